@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fold
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -20,8 +22,69 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_groups(documents(spark, sf_dir))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import roundtrip
+
+    out = roundtrip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict, train
+
+    docs = documents(spark, sf_dir)
+    filters = train(docs.where(fold("doc_id", 4) != 2))
+    return predict(docs, filters).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    found = scan(documents(spark, sf_dir))
+    labels = lambda *parts: F.array_join(F.array_sort(F.array_distinct(F.concat(*parts))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"),
+        labels(F.col("base.label")).alias("base_labels"),
+        labels(F.col("base.label"), F.col("notices.label")).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max("notices.similarity"), F.lit(0.0))).alias("score"),
+    )
+
+
+#: Target weights (production parameters): by domain, language and source.
+DOMAIN_WEIGHT = {"0": 4.0, "1": 3.0, "2": 2.0, "3": 1.0}
+LANG_WEIGHT = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
+
+
+def mix_weight(path: tuple) -> float:
+    if len(path) == 1:
+        return DOMAIN_WEIGHT.get(path[0], 1.0)
+    return LANG_WEIGHT.get(path[1], 1.0) if len(path) == 2 else 1.0
+
+
+def mix_domain():
+    """A source's domain: the number at the end of its name modulo 4."""
+    return (F.regexp_extract("source", r"([0-9]{1,9})$", 1).try_cast("int") % 4).cast("string")
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    out = mix_sources(documents(spark, sf_dir), mix_domain(), mix_weight, lambda total: total // 2, epochs=2)
+    return out.drop("text_hash")
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL = {
