@@ -31,6 +31,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_store import new_folder, read_store, write_store
+
+    folder = new_folder(spark)
+    manifest = write_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 0, folder)
+    return read_store(spark, folder, manifest).select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,6 +101,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_store": op5_token_store,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
