@@ -22,6 +22,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_groups(documents(spark, sf_dir))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import join_components
+
+    return join_components(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import tag, train
 
@@ -99,6 +105,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_store": op5_token_store,
