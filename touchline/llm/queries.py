@@ -16,6 +16,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score
+
+    out = score(documents(spark, sf_dir), fold("doc_id", 5) != 1)
+    return out.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup_groups
 
@@ -107,6 +114,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_store": op5_token_store,
     "op6_byte_bpe": op6_byte_bpe,
