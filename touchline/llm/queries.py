@@ -88,6 +88,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chroma_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chroma import match, recordings
+
+    return match(recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).withColumnRenamed("rec_id", "vec_id")
+
+
 #: Target weights (production parameters): by domain, language and source.
 DOMAIN_WEIGHT = {"0": 4.0, "1": 3.0, "2": 2.0, "3": 1.0}
 LANG_WEIGHT = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
@@ -120,6 +126,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
+    "op9_chroma_match": op9_chroma_match,
     "op10_mix_sources": op10_mix_sources,
 }
 
