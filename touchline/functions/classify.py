@@ -44,7 +44,7 @@ def bracket(c: Column) -> Column:
     """CLS-05: age group and gender of ``B U14``, ``2010 Girls`` and the like."""
     age = F.nullif(F.upper(F.regexp_replace(F.regexp_extract(c, r"(?i)\b(U-?[0-9]{1,2})", 1), "-", "")), F.lit(""))
     year = F.nullif(F.regexp_extract(c, r"\b(20[0-2][0-9])", 1), F.lit(""))
-    gender = F.when(c.rlike(r"(?i)\b(boys?|men|male)\b|\bB\s?U?[0-9]|[0-9]B\b"), "M").when(c.rlike(r"(?i)\b(girls?|women|female)\b|\bG\s?U?[0-9]|[0-9]G\b"), "F")
+    gender = F.when(c.rlike(r"(?i)\b(boys?|men|male)\b|\bB\s?U?-?[0-9]|[0-9]B\b"), "M").when(c.rlike(r"(?i)\b(girls?|women|female)\b|\bG\s?U?-?[0-9]|[0-9]G\b"), "F")
     return F.struct(F.coalesce(age, year).alias("age_group"), gender.alias("gender"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, similarity
 from ..functions.classify import match_class, person_hash
 from .aggregates import completeness, keep_last
+from .lineage import cut
 from .joins import first_of_two_keys, pairs_within
 from .upsert import redirect
 
@@ -95,34 +96,29 @@ def indel_candidates(df: DataFrame, key: str, text: str, least: float) -> DataFr
     return met.select(F.least("_k", "_k2").alias("a"), F.greatest("_k", "_k2").alias("b")).distinct()
 
 
-def greedy_dedup(df: DataFrame, order: str, name: str, least: float = SAME, rounds_dir: str | None = None) -> DataFrame:
+def greedy_dedup(df: DataFrame, order: str, name: str, least: float = SAME) -> DataFrame:
     """ER-02: a row goes if an earlier row that stays is alike; ``order`` is unique.
 
     Equal names fall to their first row at once. Then, over the pairs that are
     alike: rows without an undecided earlier partner stay, their later partners
     go, until all are decided. Each round is written to checkpoint storage.
     """
-    spark = df.sparkSession
     firsts = keep_last(df, [F.col(name)], [F.col(order).asc()])
     sorted_ = firsts.withColumn("_s", F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")), " "))
     pairs = indel_candidates(sorted_, order, "_s", least)
     text = firsts.select(F.col(order).alias("_o"), F.col(name).alias("_n"))
     scored = pairs.join(text.withColumnsRenamed({"_o": "a", "_n": "na"}), "a").join(text.withColumnsRenamed({"_o": "b", "_n": "nb"}), "b")
     alike = scored.where(similarity.token_sort_ratio(F.col("na"), F.col("nb")) >= least).select("a", "b")
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(rounds_dir or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir())
-    alike = alike.checkpoint()
+    alike = cut(alike)
     gone = alike.select(F.col("b").alias("v")).limit(0)
     left = alike
     while not left.isEmpty():
         # Rows that are nobody's later partner any more stay.
         stay = left.select(F.col("a").alias("v")).distinct().join(left.select(F.col("b").alias("v")).distinct(), "v", "left_anti")
-        now = left.join(stay, left.a == stay.v, "left_semi").select(F.col("b").alias("v")).distinct().checkpoint()
+        now = cut(left.join(stay, left.a == stay.v, "left_semi").select(F.col("b").alias("v")).distinct())
         gone = gone.unionByName(now)
         left = left.join(now.withColumnRenamed("v", "_x"), left.a == F.col("_x"), "left_anti").join(now.withColumnRenamed("v", "_y"), left.b == F.col("_y"), "left_anti")
-        left = left.join(stay.withColumnRenamed("v", "_z"), left.a == F.col("_z"), "left_anti").checkpoint()
+        left = cut(left.join(stay.withColumnRenamed("v", "_z"), left.a == F.col("_z"), "left_anti"))
     return firsts.join(gone.withColumnRenamed("v", "_v"), firsts[order] == F.col("_v"), "left_anti")
 
 
@@ -175,16 +171,15 @@ def link_schools(raw: DataFrame, schools: DataFrame, least: float = SAME) -> Dat
     return q.select("state", "name").join(found, ["state", "name"], "left").withColumn("pass", F.coalesce("pass", F.lit(4)))
 
 
-def resolve_chains(losers: DataFrame, most: int = 32) -> DataFrame:
-    """ER-13: ``loser, winner`` with winners that are nobody's losers (pointer doubling)."""
+def resolve_chains(losers: DataFrame) -> DataFrame:
+    """ER-13: ``loser, winner`` with winners that are nobody's losers (pointer doubling); a circle raises ValueError."""
     now = losers
-    for _ in range(most):
+    for _ in range(losers.count().bit_length() + 1):
         step = now.select(F.col("loser").alias("_l"), F.col("winner").alias("_w"))
-        then = now.join(step, now["winner"] == step["_l"], "left").select("loser", F.coalesce("_w", "winner").alias("winner"), F.col("_w").isNotNull().alias("moved"))
-        then = then.persist()
-        if then.where("moved").isEmpty():
-            return then.drop("moved")
+        then = cut(now.join(step, now["winner"] == step["_l"], "left").select("loser", F.coalesce("_w", "winner").alias("winner"), F.col("_w").isNotNull().alias("moved")))
         now = then.drop("moved")
+        if then.where("moved").isEmpty():
+            return now
     raise ValueError("the merges run in a circle")
 
 

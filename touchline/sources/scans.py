@@ -26,7 +26,7 @@ def recent(df: DataFrame, time: str, as_of: str, days: int, full_scan: bool = Fa
 
 def csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """S-05: all columns as strings by name, missing values empty."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    df = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
     return df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns))
 
 

@@ -24,15 +24,15 @@ def streaks(events: DataFrame, key: str, time: str, failed: str) -> DataFrame:
     """ST-05: the current failure streak of each key, updated with every batch."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, last = state.get if state.exists else (0, "")
+        streak, last = state.get if state.exists else (0, -(1 << 62))
         rows = pd.concat(list(frames)).sort_values(time)
-        for at, bad in zip(rows[time].astype(str), rows[failed], strict=True):
+        for at, bad in zip(rows[time].astype("int64").tolist(), rows[failed], strict=True):
             if at >= last:
                 streak, last = (streak + 1 if bad else 0), at
         state.update((streak, last))
         yield pd.DataFrame({"key": [str(k[0])], "streak": [streak]})
 
-    return events.groupBy(key).applyInPandasWithState(step, "key string, streak long", "streak long, last string", "update", "NoTimeout")
+    return events.groupBy(key).applyInPandasWithState(step, "key string, streak long", "streak long, last long", "update", "NoTimeout")
 
 
 def upsert_into(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
