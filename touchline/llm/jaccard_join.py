@@ -184,10 +184,31 @@ def _deal(rows: DataFrame, size: int, buckets: int, hot: np.ndarray) -> DataFram
     return map_arrow(rows, make, "bucket int, kind int, low binary, of binary, cls binary, n binary").repartitionById(buckets, "bucket")
 
 
+_SHARED = "part int, cls binary, n binary, held binary, token binary, df binary"
+
+
 def _shared_shingles(dealt: DataFrame, buckets: int) -> DataFrame:
-    """``cls, n, token, df``: what each class shares with another, packed by bucket."""
+    """``part, cls, n, held, token, df``: what classes share with others, packed by the classes' part.
+
+    A row lists classes with their sizes and how many (``held``) of the row's
+    shingles each has, so that a bucket makes one row for each part at most.
+    """
 
     def make():
+        def packed(classes, sizes, token, owner, df):
+            """One row for each part, of entries whose ``owner`` indexes the classes."""
+            part = (classes.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((owner, part[owner]))
+            token, owner, df = token[order], owner[order], df[order]
+            who, held = np.unique(part[owner].astype(np.int64) << 32 | owner, return_counts=True)
+            at, who = who >> 32, who & 0xFFFFFFFF
+            parts, first = np.unique(at, return_index=True)
+            edge = np.r_[first, len(who)]
+            cut = np.r_[0, np.cumsum(held)][edge]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(parts.astype(np.int32)), _packed(classes[who], edge, 8), _packed(sizes[who].astype("<i4"), edge, 4), _packed(held.astype("<i4"), edge, 4), _packed(token, cut, 8), _packed(df, cut, 4)], schema=shape
+            )
+
         def run(batches):
             token, owner, classes, sizes, base = [], [], [], [], 0
             for batch in batches:
@@ -196,7 +217,7 @@ def _shared_shingles(dealt: DataFrame, buckets: int) -> DataFrame:
                     low, of, cls, n = (batch.column(k)[i].as_py() for k in range(2, 6))
                     if kind[i]:
                         hot = np.frombuffer(low, "<u8")
-                        yield pa.RecordBatch.from_pydict({"cls": np.frombuffer(cls, "<i8"), "n": np.frombuffer(n, "<i4"), "token": [hot.tobytes()], "df": [np.full(len(hot), np.iinfo(np.int32).max, "<i4").tobytes()]}, schema=shape)
+                        yield packed(np.frombuffer(cls, "<i8"), np.frombuffer(n, "<i4"), hot, np.zeros(len(hot), np.int64), np.full(len(hot), np.iinfo(np.int32).max, "<i4"))
                         continue
                     cells = np.zeros((len(of) // 2, 8), np.uint8)
                     cells[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
@@ -210,7 +231,7 @@ def _shared_shingles(dealt: DataFrame, buckets: int) -> DataFrame:
                 return
             token, owner, classes, sizes = map(np.concatenate, (token, owner, classes, sizes))
             classes, first, to = np.unique(classes, return_index=True, return_inverse=True)
-            sizes, owner = sizes[first], to[owner].astype(np.int32)
+            sizes, owner = sizes[first], to[owner]
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             again = np.zeros(len(token), bool)
@@ -223,23 +244,15 @@ def _shared_shingles(dealt: DataFrame, buckets: int) -> DataFrame:
             new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
             token, owner = token[new], owner[new]
             _, at, df = np.unique(token, return_inverse=True, return_counts=True)
-            df = df[at].astype(np.int32)
+            df = df[at].astype("<i4")
             ok = df > 1
-            token, owner, df = token[ok], owner[ok], df[ok]
-            order = np.argsort(owner, kind="stable")
-            token, owner, df = token[order], owner[order], df[order]
-            who, count = np.unique(owner, return_counts=True)
-            offsets = np.r_[0, np.cumsum(count)]
-            for i in range(0, len(who), 20_000):
-                part = offsets[i : i + 20_001]
-                a, b = part[0], part[-1]
-                w = who[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(classes[w]), pa.array(sizes[w]), _packed(token[a:b], part - a, 8), _packed(df[a:b], part - a, 4)], schema=shape)
-
-        shape = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("token", pa.binary()), ("df", pa.binary())])
+            if ok.any():
+                yield packed(classes, sizes, token[ok], owner[ok], df[ok])
+
+        shape = pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("cls", "n", "held", "token", "df"))])
         return run
 
-    return map_arrow(dealt, make, "cls long, n int, token binary, df binary")
+    return map_arrow(dealt, make, _SHARED)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[int, list[list]]]:
@@ -257,35 +270,35 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[i
         yield now, held
 
 
-def _prefixes(shared: DataFrame, percent: int, partitions: int) -> DataFrame:
+def _prefixes(shared: DataFrame, percent: int, parts: int) -> DataFrame:
     """``cls, n, token, k``: sets that can have a partner, in global order; the first ``k`` are the shared part of the prefix."""
 
     def make():
         def run(batches):
-            out = [[], [], [], []]
-            for cls, rows in _groups(batches):
-                n = rows[0][1]
-                token = np.frombuffer(b"".join(r[2] for r in rows), "<u8")
-                df = np.frombuffer(b"".join(r[3] for r in rows), "<i4")
-                if rows[0][1] and len(rows) > 1 and len(np.unique(token)) < len(token):  # very frequent ones come once for each run
-                    token, first = np.unique(token, return_index=True)
-                    df = df[first]
-                k = n - -(-percent * n // 100) + 1 - (n - len(token))
-                if k <= 0:
-                    continue
-                order = np.lexsort((token, df))
-                for column, value in zip(out, (cls, n, token[order].tobytes(), int(k)), strict=True):
-                    column.append(value)
-                if len(out[0]) >= 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
-                    out = [[], [], [], []]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
-
-        kinds, names = (pa.int64(), pa.int32(), pa.binary(), pa.int32()), ["cls", "n", "token", "k"]
+            columns = [[] for _ in range(5)]
+            for batch in batches:
+                for column, i, kind in zip(columns, range(1, 6), ("<i8", "<i4", "<i4", "<u8", "<i4"), strict=True):
+                    column.append(_flat(batch.column(i), kind)[0])
+            if not columns[0]:
+                return
+            cls, n, held, token, df = map(np.concatenate, columns)
+            cls, n = np.repeat(cls, held), np.repeat(n, held)
+            order = np.lexsort((token, df, cls))
+            cls, n, token = cls[order], n[order], token[order]
+            new = np.ones(len(cls), bool)  # a very frequent shingle comes once for each run of texts
+            new[1:] = (cls[1:] != cls[:-1]) | (token[1:] != token[:-1])
+            cls, n, token = cls[new], n[new].astype(np.int64), token[new]
+            first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+            end = np.r_[first[1:], len(cls)]
+            size = n[first]
+            k = size - -(-percent * size // 100) + 1 - (size - (end - first))
+            for i in range(0, len(first), 2000):
+                at = [j for j in range(i, min(len(first), i + 2000)) if k[j] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[first[at]]), pa.array(size[at].astype(np.int32)), pa.array([token[first[j] : end[j]].tobytes() for j in at], pa.binary()), pa.array(k[at].astype(np.int32))], ["cls", "n", "token", "k"])
+
         return run
 
-    return map_arrow(shared.repartition(partitions, "cls").sortWithinPartitions("cls"), make, "cls long, n int, token binary, k int")
+    return map_arrow(shared.repartitionById(parts, "part"), make, "cls long, n int, token binary, k int")
 
 
 def _candidate_edges(sets: DataFrame, buckets: int) -> DataFrame:
@@ -480,17 +493,21 @@ def _trie_links(grouped: DataFrame, percent: int) -> DataFrame:
     return map_arrow(grouped, make, "a long, b long")
 
 
-def join_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
+def join_components(docs: DataFrame, size: int = 5, percent: int = 80, least_frequent: int = 64, summary: int | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+
+    ``summary`` bounds the very frequent shingles; none has ``least_frequent``
+    occurrences or fewer. Neither changes the result.
+    """
     spark = docs.sparkSession
     rows, parts = doc_bytes(docs), shuffle_partitions(spark)
-    summary = 16 * max(parts, 256)
+    summary = summary or 16 * max(parts, 256)
     survey = materialize(_survey(rows, size, summary), "jaccard-survey")
     signed = survey.where("kind = 0").select("doc_id", "n", "cls")
     total = signed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     buckets = min(1 << 16, max(parts, -(-total // BUCKET_SHINGLES)))
     # Sums of mergeable summaries: at most ``summary`` shingles can reach this share.
-    hot = survey.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") > max(64, total // summary)).select("cls")
+    hot = survey.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") > max(least_frequent, total // summary)).select("cls")
     hot = np.sort(np.array([r.cls for r in hot.collect()], np.int64).view(np.uint64))
 
     shared = _shared_shingles(_deal(rows, size, buckets, hot), buckets)
