@@ -62,7 +62,7 @@ class Scanner:
         self.notices = []
         for number, (notice, (label, edits)) in enumerate(notices.items()):
             raw = notice.encode().decode("latin-1")
-            self.notices.append((raw, label, edits, regex.compile(f"(?b)(?:{regex.escape(raw)}){{e<={edits}}}")))
+            self.notices.append((raw, label, edits, regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(raw)}){{e<={edits}}}(?![^ ])")))
             size, at = len(raw), 0
             for k in range(edits + 1):
                 end = size * (k + 1) // (edits + 1)
@@ -79,7 +79,8 @@ class Scanner:
             for number, offset in where:
                 raw, _, edits, _ = self.notices[number]
                 start = last - size + 1 - offset
-                low, high = max(0, start - edits), min(len(line), start + len(raw) + edits)
+                low, high = max(0, start - edits), line.find(" ", min(len(line), start + len(raw) + edits))  # to the word's end
+                high = len(line) if high < 0 else high
                 spans = windows.setdefault(number, [])
                 if spans and low <= spans[-1][1] and low >= spans[-1][0]:
                     spans[-1][1] = max(spans[-1][1], high)
@@ -91,8 +92,7 @@ class Scanner:
             seen = set()
             for low, high in spans:
                 for m in pattern.finditer(line, low, high):
-                    # A match that cuts a word in its middle is no notice.
-                    if m.span() not in seen and (m.start() == 0 or line[m.start() - 1] == " " or line[m.start()] == " ") and (m.end() == len(line) or line[m.end()] == " " or line[m.end() - 1] == " "):
+                    if m.span() not in seen:
                         seen.add(m.span())
                         out.append((label, *m.span(), sum(m.fuzzy_counts)))
         return sorted(out, key=lambda x: x[1:])
