@@ -1 +1 @@
-"""See the package docstring."""
+"""Named analytics: bindings, the catalog and the endpoint queries."""
