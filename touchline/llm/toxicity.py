@@ -208,13 +208,18 @@ def fit_chain(model: Model, chains: list[tuple[np.ndarray, np.ndarray]], steps:
     model.node, model.edge = weights[:N_FEATURES], weights[N_FEATURES:].reshape(2, 2)
 
 
-def _sample(labelled: DataFrame) -> DataFrame:
-    """``(toxic, body)``: different texts, at most ``TRAIN_DOCS`` of each label, those of least hash."""
-    rows = labelled.select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    once = rows.groupBy("h", "toxic").agg(F.count("*").alias("n")).select("h", "toxic")
-    cuts = [once.where(F.col("toxic") == k).orderBy("h").limit(TRAIN_DOCS) for k in (0, 1)]
-    chosen = F.broadcast(cuts[0].union(cuts[1]))  # at most 2 * TRAIN_DOCS rows
-    return rows.join(chosen, ["h", "toxic"]).dropDuplicates(["h", "toxic"]).select("toxic", F.col("text").cast("binary").alias("body"))
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(toxic, body)``: different texts, at most ``TRAIN_DOCS`` of each label, those of least hash.
+
+    They are chosen by id and hash; only the chosen rows' texts move.
+    """
+    marked = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["_id"])
+    hashed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    once = hashed.join(marked, "_id").groupBy("h", "toxic").agg(F.min("_id").alias("_id"))
+    least = [once.where(F.col("toxic") == k).orderBy("h").limit(TRAIN_DOCS).select("_id", "toxic") for k in (0, 1)]
+    chosen = F.broadcast(materialize(least[0].union(least[1]), "toxic-chosen"))  # at most 2 * TRAIN_DOCS rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    return rows.join(chosen, "_id").dropDuplicates(["_id"]).select("toxic", "body")
 
 
 def _feature_rows(sample: DataFrame, wanted: np.ndarray | None, per_text: bool) -> DataFrame:
@@ -271,9 +276,7 @@ def cover(features: np.ndarray, texts: np.ndarray, least: int) -> list[int]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model fitted to ``docs`` (text) with ``labels`` (toxic) of the same doc_id."""
-    marked = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), "toxic").dropDuplicates(["_id"])
-    labelled = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    sample = materialize(_sample(labelled), "toxic-sample")
+    sample = materialize(_sample(docs, labels), "toxic-sample")
     n_by = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n_by.get(1):
         return Model()
