@@ -298,11 +298,11 @@ def kpi_archive_gap(spark, d):
     return flagged.agg(F.round(F.count_if("archived") * 100.0 / F.count("*"), 2).alias("pct_archived"))
 
 
-@query("""WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, day, n, (SELECT median(x.n) FROM e x WHERE x.event_type = e.event_type AND x.day < e.day AND x.day >= e.day - INTERVAL 7 DAY) AS median FROM e""")
+@query("""WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, strftime(day, '%Y-%m-%d') AS day, n, (SELECT median(x.n) FROM e x WHERE x.event_type = e.event_type AND x.day < e.day AND x.day >= e.day - INTERVAL 7 DAY) AS median FROM e""")
 def kpi_volume_drift(spark, d):
     """K-06: daily volume against the median of the seven days before."""
     e = T(spark, d, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    return windows.rolling_median(e, ["event_type"], "day", "n")
+    return windows.rolling_median(e, ["event_type"], "day", "n").withColumn("day", dates.day(F.col("day")))
 
 
 @query(f"WITH {b.RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY scraper_key ORDER BY started_at DESC, id DESC) AS rn FROM runs), s AS (SELECT scraper_key, coalesce(min(rn) FILTER (WHERE status <> 'failed'), 1 + max(rn)) - 1 AS depth FROM r GROUP BY 1) SELECT depth, count(*) AS n FROM s GROUP BY 1")
