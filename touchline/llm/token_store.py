@@ -44,21 +44,55 @@ SAMPLE_DOCS = 512
 SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
-#: Chunks of text that a worker remembers.
-REMEMBERED = 400_000
+#: Text that is encoded at a time.
+RUN_BYTES = 4 << 20
+#: Entries of each table of pieces that a worker remembers.
+REMEMBERED = 500_000
 
-_PAIR = re.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f]")
+#: White space other than blanks and line feeds, or what may be some, in UTF-8.
+_SPACES = [b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80"]
 _ODD = re.compile(r"[\x1c-\x1f]")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
+#: A word of Latin letters with at most one blank before it, and marks behind it.
+_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:#$%&*|\"()+=/-]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable bytes for themselves, the others from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Remembered:
+    """A bounded table in two generations: what is used again stays."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size // 2, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys that are not known; the known ones are in ``young`` afterwards."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        out = []
+        for key in keys - self.young.keys():
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.young[key] = value
+        return out
 
 
 class Encoder:
-    """Ids of texts from the ``tokenizers`` library, which sees each chunk of text once.
+    """Ids of texts from the ``tokenizers`` library, which sees each piece of text once.
 
     The tokenizer's own pattern never joins what stands before a blank with what
     follows the blank's first character, so texts may be cut there and the chunks
-    encoded alone. Texts with control characters that the two pattern dialects
-    class differently are encoded in one piece.
+    encoded alone. A chunk that is a word of Latin letters with marks behind it is
+    two matches of the pattern at least; its word goes straight to the library's
+    model. Texts with control characters that the two pattern dialects class
+    differently are encoded in one piece.
     """
 
     def __init__(self, path: str):
@@ -67,44 +101,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced: dict[str, bytes] = {}  # by the chunk without its leading blank
-        self.plain: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.raw = [i.to_bytes(4, "little") for i in range(self.vocabulary())]
+        self.spaced = Remembered(REMEMBERED)  # by the chunk without its leading blank
+        self.plain = Remembered(REMEMBERED)
+        self.words = Remembered(REMEMBERED)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, table: dict[str, bytes], chunks: set[str], before: str) -> None:
-        if len(table) + len(chunks) > REMEMBERED:
-            table.clear()
-        new = list(chunks - table.keys())
-        table.update(zip(new, self.direct([before + c for c in new]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, table: Remembered, chunks: set[str], before: str) -> dict[str, bytes]:
+        new = table.missing(chunks)
+        if new:
+            simple, other = [], []
+            for c in new:
+                m = _WORD.fullmatch(before + c)
+                if m:
+                    simple.append((c, *m.groups()))
+                else:
+                    other.append(c)
+            words = self.words.missing({w for _, w, _ in simple})
+            known = self.words.young
+            raw, tokenize, letters = self.raw, self.model.tokenize, self.letters
+            for w in words:
+                known[w] = b"".join([raw[t.id] for t in tokenize((w if w.isascii() else w.encode().decode("latin-1")).translate(letters))])
+            marks = {m for _, _, m in simple if m}
+            unknown = self.words.missing(marks)
+            known.update(zip(unknown, self.direct(unknown), strict=True))
+            known[""] = b""
+            table.young.update((c, known[w] + known[m]) for c, w, m in simple)
+            table.young.update(zip(other, self.direct([before + c for c in other]), strict=True))
+        return table.young
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
         spaced, plain = [], []
-        for i, text in enumerate(texts):
+        for i, data in enumerate(texts):
+            text = data.decode("utf-8", "replace")
             if not text:
                 out[i] = b""
-            elif not _PAIR.search(text):
-                first, *rest = text.replace("\n", " \n").split(" ")
-                spaced.append((i, first, rest))
-            elif _ODD.search(text):
+                continue
+            if not any(space in data for space in _SPACES):
+                chunks = text.replace("\n", " \n").split(" ")
+                if "" not in chunks and "\n" not in chunks:  # no white space meets another one or an end
+                    spaced.append((i, chunks[0], chunks[1:]))
+                    continue
+            if _ODD.search(text):
                 out[i] = self.direct([text])[0]
             else:
                 plain.append((i, _CHUNK.findall(text)))
         whole = {first for _, first, _ in spaced}.union(*(c for _, c in plain))
         after = set().union(*(rest for _, _, rest in spaced))
         lines = {c for c in after if c[0] == "\n"}  # chunks behind a line feed have no blank
-        after -= lines
-        self._learn(self.plain, whole | lines, "")
-        self._learn(self.spaced, after, " ")
-        for line in lines:
-            self.spaced[line] = self.plain[line]
+        own = self._learn(self.plain, whole | lines, "")
+        table = self._learn(self.spaced, after - lines, " ")
+        table.update((c, own[c]) for c in lines)
         for i, first, rest in spaced:
-            table = self.spaced
-            out[i] = self.plain[first] + b"".join([table[c] for c in rest])
+            out[i] = own[first] + b"".join([table[c] for c in rest])
         for i, chunks in plain:
-            out[i] = b"".join([self.plain[c] for c in chunks])
+            out[i] = b"".join([own[c] for c in chunks])
         return out
 
     def vocabulary(self) -> int:
@@ -152,7 +209,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     sample = docs.select("doc_id", F.substring("body", 1, SAMPLE_BYTES).alias("body")).orderBy(F.xxhash64("doc_id"), "body").limit(SAMPLE_DOCS).collect()
     encoder = _encoder(path)
     kind = "<u2" if encoder.vocabulary() <= 1 << 16 else "<u4"
-    coded = [np.append(np.frombuffer(ids, "<u4"), end_id).astype(kind).tobytes() for ids in encoder.encode([bytes(r.body).decode("utf-8", "replace") for r in sample])]
+    coded = [np.append(np.frombuffer(ids, "<u4"), end_id).astype(kind).tobytes() for ids in encoder.encode([bytes(r.body) for r in sample])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, coded).as_bytes()
     except zstandard.ZstdError:
@@ -179,8 +236,8 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFra
 
         def run(batches):
             index, frames, at = [], [], HEADER
-            for ids, texts in in_text_chunks(batches, 1 << 20):
-                for doc, coded in zip(ids, encoder.encode([t.decode("utf-8", "replace") for t in texts]), strict=True):
+            for ids, texts in in_text_chunks(batches, RUN_BYTES):
+                for doc, coded in zip(ids, encoder.encode(texts), strict=True):
                     array = np.append(np.frombuffer(coded, "<u4"), np.uint32(end_id))
                     frame = squeeze.compress(array.astype(kind).tobytes())
                     index.append((doc or 0, doc is not None, at, len(frame), len(array)))
