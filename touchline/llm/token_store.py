@@ -45,16 +45,18 @@ SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 #: Text that is encoded at a time.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 4_000_000
 #: Entries of each table of pieces that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 #: White space other than blanks and line feeds, or what may be some, in UTF-8.
 _SPACES = [b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80"]
 _ODD = re.compile(r"[\x1c-\x1f]")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
-#: A word of Latin letters with at most one blank before it, and marks behind it.
-_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:#$%&*|\"()+=/-]*)")
+#: Marks that may follow a word; none begins a contraction.
+_MARKS = ".,!?;:#$%&*|\"()+=/-"
+#: Letters before this one are letters to both pattern dialects.
+_LATIN = "\u0250"
 
 
 def byte_letters() -> dict[int, str]:
@@ -89,8 +91,8 @@ class Encoder:
 
     The tokenizer's own pattern never joins what stands before a blank with what
     follows the blank's first character, so texts may be cut there and the chunks
-    encoded alone. A chunk that is a word of Latin letters with marks behind it is
-    two matches of the pattern at least; its word goes straight to the library's
+    encoded alone. In a chunk of Latin letters with marks behind them the word and
+    the marks are matches of their own; the word goes straight to the library's
     model. Texts with control characters that the two pattern dialects class
     differently are encoded in one piece.
     """
@@ -106,33 +108,80 @@ class Encoder:
         self.raw = [i.to_bytes(4, "little") for i in range(self.vocabulary())]
         self.spaced = Remembered(REMEMBERED)  # by the chunk without its leading blank
         self.plain = Remembered(REMEMBERED)
-        self.words = Remembered(REMEMBERED)
+        self.marks: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str, before: str) -> bytes:
+        letters = before + word
+        if not word.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        elif before:
+            letters = self.letters[32] + word  # ASCII letters stand for themselves
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(letters)])
+
     def _learn(self, table: Remembered, chunks: set[str], before: str) -> dict[str, bytes]:
-        new = table.missing(chunks)
-        if new:
-            simple, other = [], []
-            for c in new:
-                m = _WORD.fullmatch(before + c)
-                if m:
-                    simple.append((c, *m.groups()))
-                else:
-                    other.append(c)
-            words = self.words.missing({w for _, w, _ in simple})
-            known = self.words.young
-            raw, tokenize, letters = self.raw, self.model.tokenize, self.letters
-            for w in words:
-                known[w] = b"".join([raw[t.id] for t in tokenize((w if w.isascii() else w.encode().decode("latin-1")).translate(letters))])
-            marks = {m for _, _, m in simple if m}
-            unknown = self.words.missing(marks)
-            known.update(zip(unknown, self.direct(unknown), strict=True))
-            known[""] = b""
-            table.young.update((c, known[w] + known[m]) for c, w, m in simple)
-            table.young.update(zip(other, self.direct([before + c for c in other]), strict=True))
-        return table.young
+        new, other = table.missing(chunks), []
+        young, old, marks = table.young, table.old, self.marks
+        for c in new:
+            word = c.rstrip(_MARKS)
+            if not word.isalpha() or not (word.isascii() or max(word) < _LATIN):
+                other.append(c)
+                continue
+            ids = young.get(word) or old.get(word)
+            if ids is None:
+                ids = young[word] = self._word(word, before)
+            if len(word) < len(c):
+                mark = c[len(word) :]
+                if mark not in marks:
+                    if len(marks) > REMEMBERED:
+                        marks.clear()
+                    marks[mark] = self.direct([mark])[0]
+                young[c] = ids + marks[mark]
+            else:
+                young[c] = ids
+        if other:
+            young.update(zip(other, self.direct([before + c for c in other]), strict=True))
+        return young
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
+        out: list[bytes | None] = [None] * len(texts)
+        spaced, plain = [], []
+        for i, data in enumerate(texts):
+            if not data:
+                out[i] = b""
+            elif any(space in data for space in _SPACES):
+                self._odd(data.decode("utf-8", "replace"), i, out, plain)
+            else:
+                first, *rest = data.decode("utf-8", "replace").replace("\n", " \n").split(" ")
+                spaced.append((i, first, rest))
+        after = set().union(*(rest for _, _, rest in spaced))
+        if "" in after or "\n" in after or any(not first for _, first, _ in spaced):  # white space meets some, or an end
+            odd_ones = [not first or "" in rest or "\n" in rest for _, first, rest in spaced]
+            for (i, _, _), odd in zip(spaced, odd_ones, strict=True):
+                if odd:
+                    self._odd(texts[i].decode("utf-8", "replace"), i, out, plain)
+            spaced = [x for x, odd in zip(spaced, odd_ones, strict=True) if not odd]
+            after = set().union(*(rest for _, _, rest in spaced))
+        lines = {c for c in after if c[0] == "\n"}  # chunks behind a line feed have no blank
+        own = self._learn(self.plain, lines.union((first for _, first, _ in spaced), *(c for _, c in plain)), "")
+        after -= lines
+        table = self._learn(self.spaced, after, " ")
+        table.update((c, own[c]) for c in lines)
+        for i, first, rest in spaced:
+            out[i] = own[first] + b"".join(map(table.__getitem__, rest))
+        for i, chunks in plain:
+            out[i] = b"".join(map(own.__getitem__, chunks))
+        return out
+
+    def _odd(self, text: str, i: int, out: list, plain: list) -> None:
+        if _ODD.search(text):
+            out[i] = self.direct([text])[0]
+        else:
+            plain.append((i, _CHUNK.findall(text)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
