@@ -31,7 +31,7 @@ from .common import doc_bytes, in_text_chunks, map_arrow
 #: Bytes of a piece beyond which the heap form is used.
 LONG = 512
 #: Pieces that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 #: Cells of one matrix.
 _CELLS = 1 << 21

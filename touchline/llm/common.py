@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that a broadcast side may hold; larger sides go through a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/touchline/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/touchline/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; results that read it must be done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,12 +67,23 @@ def maybe_broadcast(side: DataFrame, rows: int, bytes_per_row: int) -> DataFrame
     return F.broadcast(side) if rows * bytes_per_row <= BROADCAST_BYTES else side
 
 
+def least_by_hash(df: DataFrame, h: Column, size: int, rows: int) -> DataFrame:
+    """At most ``size`` of ``rows`` rows, those of least hash.
+
+    Rows that cannot be among them are dropped where they lie, so that about
+    ``size`` rows in all, not in each task, are sorted and sent.
+    """
+    part = F.pmod(h, F.lit(1 << 31))
+    most = min(1 << 31, int((1 << 31) * (1.3 * size + 50) / max(rows, 1)))
+    return df.withColumn("_part", part).where(F.col("_part") < most).orderBy("_part", h).limit(size).drop("_part")
+
+
 def doc_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, body)`` with the text as UTF-8 bytes; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
 
 
-def in_text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
+def in_text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[tuple[list[int], list[bytes]]]:
     """Split ``(doc_id, body)`` batches into runs of documents of about ``limit`` bytes.
 
     A document is never cut; one that is longer makes a run of its own.
@@ -77,15 +103,34 @@ def in_text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> I
             yield ids, texts
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """``mapInArrow`` with ``make()`` called once in each task."""
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
+    """``mapInArrow`` with ``make()`` called once in each task.
+
+    Rows of texts are large, so batches hold at most ``BATCH_ROWS`` rows unless the
+    session says otherwise.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":  # Spark's default
+        conf.set(_BATCH, BATCH_ROWS)
 
     def run(batches):
-        yield from make()(batches)
+        try:
+            yield from make()(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def fold(doc_id: str | int = "doc_id", mod: int = 4):
-    """crc32 of the id's decimal text modulo ``mod``."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
+def in_fold(mod: int, fold: int, doc_id: str = "doc_id") -> Column:
+    """Whether crc32 of the id's decimal text modulo ``mod`` is ``fold``; not so for a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == fold, F.lit(False))

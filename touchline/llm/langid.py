@@ -20,8 +20,8 @@ ignored, and repeated rows each give their row.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ PROFILE = 6000
 LANGUAGES = 62
 HASHES = 3
 SLOTS = 1 << 18
+#: Text that is judged at a time; its n-grams take about 150 times as many bytes.
+RUN_BYTES = 512 << 10
 #: Distinct n-grams that a counting task holds before it sends them on.
 _HELD = 1 << 20
 
@@ -87,7 +89,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                         part = g[i : i + 100_000].astype(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(c[i : i + 100_000])], ["lang", "gram", "n"])
 
-            for langs, texts in in_text_chunks(batches):
+            for langs, texts in in_text_chunks(batches, RUN_BYTES):
                 by: dict[str, list[bytes]] = {}
                 for lang, text in zip(langs, texts, strict=True):
                     by.setdefault(lang, []).append(text)
@@ -175,7 +177,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
         model = shared.value
 
         def run(batches):
-            for ids, texts in in_text_chunks(batches):
+            for ids, texts in in_text_chunks(batches, RUN_BYTES):
                 names, scores = model.decide(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -187,28 +189,28 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
 def keep_known(docs: DataFrame, filters: Filters, least: float, columns: list[str]) -> DataFrame:
     """The rows whose language is known with a score of ``least`` at least, in ``columns``.
 
-    Texts are judged where they lie: the decision is a column of the same row,
-    so that no row moves.
+    Rows are judged where they lie and passed on or not, in slices of bounded size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    rows = docs.select(*columns)
+    at = columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def known(text: pd.Series) -> pd.Series:
-        model, out, run, size = shared.value, [], [], 0
-
-        def judge():
-            names, scores = model.decide(run)
-            out.extend(n != "und" and s >= least for n, s in zip(names, scores, strict=True))
-
-        for t in text:
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            if run and size + len(raw) > 2 << 20:
-                judge()
-                run, size = [], 0
-            run.append(raw)
-            size += len(raw)
-        if run:
-            judge()
-        return pd.Series(out, dtype=bool)
-
-    return docs.where(known("text")).select(*columns)
+    def make():
+        model = shared.value
+
+        def run(batches):
+            for batch in batches:
+                sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0))
+                start = 0
+                while start < len(sizes):
+                    end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), RUN_BYTES)))
+                    part = batch.slice(start, end - start)
+                    names, scores = model.decide([(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(at)])
+                    kept = part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+                    if kept.num_rows:
+                        yield kept
+                    start = end
+
+        return run
+
+    return map_arrow(rows, make, rows.schema)

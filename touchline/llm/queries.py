@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import in_fold
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pitman_yor import score
 
-    out = score(documents(spark, sf_dir), fold("doc_id", 5) != 1)
-    return out.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = score(documents(spark, sf_dir), ~in_fold(5, 1))
+    return out.select("doc_id", in_fold(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = train(docs.where(fold("doc_id", 4) != 2), labels.where(fold("doc_id", 4) != 2))
-    return tag(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+    model = train(docs.where(~in_fold(4, 2)), labels.where(~in_fold(4, 2)))
+    return tag(docs, model).select("doc_id", in_fold(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict, train
 
     docs = documents(spark, sf_dir)
-    filters = train(docs.where(fold("doc_id", 4) != 2))
-    return predict(docs, filters).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    filters = train(docs.where(~in_fold(4, 2)))
+    return predict(docs, filters).select("doc_id", in_fold(4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xA24BAED4963EE407))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     inverse = pow(_BASE, -1, 1 << 64)
@@ -37,7 +37,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 21, 1 << (n - 1).bit_length()))
+    return _powers(max(1 << 20, 1 << (n - 1).bit_length()))
 
 
 def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
