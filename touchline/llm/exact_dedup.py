@@ -13,7 +13,8 @@ all empty texts form one group.
    found is a collision, and its rows are grouped by text instead.
 
 Extra columns are ignored. Rows that share a ``doc_id`` count as rows of their
-own. An empty table gives an empty result.
+own; a null id loses every tie. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -77,4 +78,4 @@ def dedup_groups(docs: DataFrame, hasher: Callable[[Column], Column] = content_h
         apart = collided.select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), "h", "norm").join(by_text, ["h", "norm"]).drop("norm")
         out = rows.join(split, "h", "left_anti").join(groups, "h").unionByName(apart)
     keep = (-F.col("best.neg_id")).alias("keep_id")
-    return out.select("doc_id", keep, F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id") == -F.col("best.neg_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep, F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(-F.col("best.neg_id")).alias("kept"), "text_sha256")
