@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import byte_bpe, exact_dedup, jaccard_join, langid, mixing
-from touchline.llm.common import fold, materialize, maybe_broadcast, work_path
+from touchline.llm.common import in_fold, materialize, maybe_broadcast, work_path
 from touchline.llm.queries import mix_domain, mix_weight
 
 #: Columns of ``documents``.
@@ -24,7 +24,7 @@ MIX_SHARE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in a known language; ``und`` and texts like none of the languages go."""
-    filters = langid.train(docs.where(fold("doc_id", 4) != 2))
+    filters = langid.train(docs.where(~in_fold(4, 2)))
     return langid.keep_known(docs, filters, LEAST_SHARE, COLUMNS)
 
 
