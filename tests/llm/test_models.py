@@ -46,6 +46,12 @@ def test_trie_keeps_every_link():
         assert got == [find(x) for x in range(25)]
 
 
+def test_trie_walks_long_paths():
+    sets = [np.arange(n, dtype=np.uint64) for n in range(1, 1300)]
+    got = Trie(sets, list(range(1, 1300)), 80).join()
+    assert got[:4] == [0, 1, 2, 3] and set(got[4:]) == {3}
+
+
 def test_frequent_items_are_never_lost():
     rng = np.random.default_rng(0)
     items = np.concatenate([np.repeat(np.arange(5, dtype=np.uint64), 300), rng.integers(100, 1 << 40, 4000).astype(np.uint64)])

@@ -402,21 +402,31 @@ class Trie:
         if a != b:
             self.parent[max(a, b)] = min(a, b)
 
-    def _walk(self, node: _Node, x: int, overlap: int, passed: int) -> None:
-        """Link ``x`` with the sets below ``node``; ``passed``: items of x up to here."""
-        items, n = self.sets[x], self.sizes[x]
+    def _link(self, node: _Node, x: int, overlap: int) -> None:
         for y in node.sets:
-            if self.find(y) != self.find(x) and links(overlap, n, self.sizes[y], self.percent):
+            if self.find(y) != self.find(x) and links(overlap, self.sizes[x], self.sizes[y], self.percent):
                 self.union(x, y)
-        for child in node.children.values():
-            if child.same and self.find(child.any) == self.find(x):
-                continue
-            here = overlap + int(self.held[child.items].sum())
-            gone = int(np.searchsorted(items, child.items[-1], "right"))
-            bound = here + min(len(items) - gone, child.rest)
-            if links(bound, n, max(child.least, bound), self.percent):
-                self._walk(child, x, here, gone)
-        self._look(node)
+
+    def _walk(self, x: int) -> None:
+        """Link ``x`` with the sets of the trie; kept on a stack, as paths may be long."""
+        items, n = self.sets[x], self.sizes[x]
+        self._link(self.root, x, 0)
+        stack = [(self.root, 0, iter(self.root.children.values()))]
+        while stack:
+            node, overlap, children = stack[-1]
+            for child in children:
+                if child.same and self.find(child.any) == self.find(x):
+                    continue
+                here = overlap + int(self.held[child.items].sum())
+                gone = int(np.searchsorted(items, child.items[-1], "right"))
+                bound = here + min(len(items) - gone, child.rest)
+                if links(bound, n, max(child.least, bound), self.percent):
+                    self._link(child, x, here)
+                    stack.append((child, here, iter(child.children.values())))
+                    break
+            else:
+                self._look(node)
+                stack.pop()
 
     def _look(self, node: _Node) -> None:
         root = self.find(node.any)
@@ -425,7 +435,7 @@ class Trie:
     def probe(self, x: int) -> None:
         self.held[self.sets[x]] = True
         if self.root.any >= 0:
-            self._walk(self.root, x, 0, 0)
+            self._walk(x)
         self.held[self.sets[x]] = False
 
     def insert(self, x: int) -> None:
