@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, in_text_chunks, map_arrow, materialize, shuffle_partitions, work_path
+from .common import doc_bytes, in_text_chunks, least_by_hash, map_arrow, materialize, shuffle_partitions, work_path
 
 MAGIC = b"TLIDS001"
 HEADER = len(MAGIC) + 32 + 16
@@ -255,7 +255,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A dictionary from the serialised ids of the sample; raw content where there is too little to train on."""
     import zstandard
 
-    sample = docs.select("doc_id", F.substring("body", 1, SAMPLE_BYTES).alias("body")).orderBy(F.xxhash64("doc_id"), "body").limit(SAMPLE_DOCS).collect()
+    rows = docs.select("doc_id", F.substring("body", 1, SAMPLE_BYTES).alias("body"))
+    sample = least_by_hash(rows, F.xxhash64("doc_id"), SAMPLE_DOCS, docs.count()).collect()
     encoder = _encoder(path)
     kind = "<u2" if encoder.vocabulary() <= 1 << 16 else "<u4"
     coded = [np.append(np.frombuffer(ids, "<u4"), end_id).astype(kind).tobytes() for ids in encoder.encode([bytes(r.body) for r in sample])]
