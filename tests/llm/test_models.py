@@ -90,6 +90,7 @@ def test_forward_backward_is_exact():
 
 def test_cover_prefers_what_explains_most():
     assert toxicity.cover(np.array([7, 7, 7, 8, 9, 9]), np.array([1, 2, 3, 1, 4, 5]), 2) == [7, 9]
+    assert toxicity.cover(np.array([5, 5, 5, 4, 4, 7, 7]), np.array([1, 2, 3, 1, 2, 1, 2]), 2, {5: 1}) == [4]  # a clean text holds 5; 4 is a whole word
 
 
 def test_seating_is_consistent_and_spelling_sums_to_one():

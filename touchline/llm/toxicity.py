@@ -17,8 +17,9 @@ Forward-backward marginals of all texts give each token's probability; a
 document's score is the probability that at least one token is toxic (noisy or),
 and tokens over ``OFFENDING`` give the offending byte offsets.
 
-Bounds: at most ``TRAIN_DOCS`` labelled texts of each label are used to fit
-(those of least hash of the text); everything is scored. Equal texts count once
+Bounds of the fit: at most ``TRAIN_DOCS`` labelled texts of each label (those of
+least hash of the text), of which ``CANDIDATES`` features enter the cover and
+``CHAIN_DOCS`` texts of each label the chain. Everything is scored. Equal texts count once
 in training. Scored texts are used whole. Null, empty and letterless texts score
 0. Without a toxic training text every score is 0. Extra columns are ignored.
 """
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, in_text_chunks, map_arrow, materialize
+from .common import doc_bytes, in_text_chunks, least_by_hash, map_arrow, materialize
 from .textvec import join_texts, range_hashes, spans
 
 #: Labelled texts of each label that the model is fitted to.
@@ -42,13 +43,17 @@ LEAST = 2
 #: Clean share that a candidate may have, of all training texts that hold it.
 IMPURE = 0.02
 #: Toxic texts that a marker must explain beyond those of other markers.
-EXPLAINS = 2
-#: Bytes of the prefixes; 0 is the whole word.
+EXPLAINS = 3
+#: Toxic texts that a candidate must explain to make up for one clean text that holds it.
+PRICE = 20
+#: Bytes of the prefixes; 0 is the whole word. At most four kinds.
 PREFIXES = (0, 4, 5, 6)
 #: Marginal from which a token's offsets are reported.
 OFFENDING = 0.5
 #: Node features: bias, one for each prefix length, a marker just before, one just after.
 N_FEATURES = 1 + len(PREFIXES) + 2
+#: Candidates that enter the cover, the most frequent ones of the training texts.
+CANDIDATES = 200_000
 #: Texts of each label whose token chains the weights are fitted to.
 CHAIN_DOCS = 400
 #: Tokens of a segment of a chain.
@@ -76,7 +81,7 @@ class Tokens:
                 h = np.where(self.end - self.start > size, h, 0)
             else:
                 h = range_hashes(self.buf, self.start, self.end)
-            out.append(np.where(h == 0, 0, h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64))
+            out.append(np.where(h == 0, 0, h >> np.uint64(2) << np.uint64(2) | np.uint64(k)).view(np.int64))  # the low bits tell the kind
         return out
 
 
@@ -215,8 +220,9 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["_id"])
     hashed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    once = hashed.join(marked, "_id").groupBy("h", "toxic").agg(F.min("_id").alias("_id"))
-    least = [once.where(F.col("toxic") == k).orderBy("h").limit(TRAIN_DOCS).select("_id", "toxic") for k in (0, 1)]
+    once = materialize(hashed.join(marked, "_id").groupBy("h", "toxic").agg(F.min("_id").alias("_id")), "toxic-texts")
+    n = {r.toxic: r["count"] for r in once.groupBy("toxic").count().collect()}
+    least = [least_by_hash(once.where(F.col("toxic") == k), F.col("h"), TRAIN_DOCS, n.get(k, 0)).select("_id", "toxic") for k in (0, 1)]
     chosen = F.broadcast(materialize(least[0].union(least[1]), "toxic-chosen"))  # at most 2 * TRAIN_DOCS rows
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     return rows.join(chosen, "_id").dropDuplicates(["_id"]).select("toxic", "body")
@@ -231,7 +237,6 @@ def _feature_rows(sample: DataFrame, wanted: np.ndarray | None, per_text: bool)
         only = shared.value
 
         def run(batches):
-            number = 0
             for labels, texts in in_text_chunks(batches):
                 tokens = Tokens(texts)
                 f = np.concatenate(tokens.feature_hashes())
@@ -247,7 +252,6 @@ def _feature_rows(sample: DataFrame, wanted: np.ndarray | None, per_text: bool)
                 label = np.asarray(labels, np.int64)[pair[0]]
                 both, n = np.unique(np.stack([pair[1], label]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n)], ["feature", "toxic", "n"])
-                number += 1
 
         return run
 
@@ -260,16 +264,24 @@ def hash_text(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def cover(features: np.ndarray, texts: np.ndarray, least: int) -> list[int]:
-    """Greedy cover: features in the order of how many texts they explain first."""
+def cover(features: np.ndarray, texts: np.ndarray, least: int, clean: dict[int, int] | None = None) -> list[int]:
+    """Greedy cover: features by how many texts they explain first, less ``PRICE`` for each clean text.
+
+    Of features that come to the same, the more specific one is taken: a whole
+    word, then the longer prefix.
+    """
     picked = []
+    price = {f: PRICE * n for f, n in (clean or {}).items() if n}
     while len(features):
         f, n = np.unique(features, return_counts=True)
-        best = f[n == n.max()].min()
-        if n.max() < least:
+        worth = n - np.array([price.get(int(x), 0) for x in f])
+        best = worth == worth.max()
+        if worth.max() < least:
             break
-        picked.append(int(best))
-        left = ~np.isin(texts, texts[features == best])
+        kind = np.where(f[best] & 3 == 0, 4, f[best] & 3)
+        pick = f[best][np.lexsort((f[best], -kind))[0]]
+        picked.append(int(pick))
+        left = ~np.isin(texts, texts[features == pick])
         features, texts = features[left], texts[left]
     return picked
 
@@ -286,13 +298,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     pure = of_bad.join(of_good, "feature", "left").fillna(0, ["n_clean"])
     share = n_by[1] / max(1, n_by.get(0, 0))  # of the sample, which may hold one label more densely
     pure = pure.where(F.col("n_clean") * F.lit(share) <= IMPURE * (F.col("n_toxic") + F.col("n_clean") * F.lit(share)))
-    # Bounded by the features of the sample; the most frequent come first.
-    wanted = pure.orderBy(F.desc("n_toxic"), "feature").limit(200_000).select("feature").toPandas().feature.to_numpy(np.int64)
+    wanted = pure.orderBy(F.desc("n_toxic"), "feature").limit(CANDIDATES).select("feature", "n_clean").toPandas()
+    clean = dict(zip(wanted.feature.tolist(), wanted.n_clean.tolist(), strict=True))
+    wanted = wanted.feature.to_numpy(np.int64)
     if not len(wanted):
         return Model()
     held = _feature_rows(bad, np.sort(wanted), True)
     pairs = held.toPandas()
-    model = Model(np.sort(np.array(cover(pairs.feature.to_numpy(), pairs.text.to_numpy(), EXPLAINS), np.int64)))
+    model = Model(np.sort(np.array(cover(pairs.feature.to_numpy(), pairs.text.to_numpy(), EXPLAINS, clean), np.int64)))
     rows = [r for k in (0, 1) for r in sample.where(F.col("toxic") == k).orderBy(F.xxhash64("body"), "body").limit(CHAIN_DOCS).toLocalIterator()]
     chains = []
     for row in rows:
