@@ -266,3 +266,24 @@ def test_recordings(spark):
     assert (got[40].n_matches, got[40].best_id, got[40].best_offset) == (1, 41, 5) and got[41].n_matches is None
     assert got[60].n_matches == 0 and got[61].class_id == 61 and got[62].n_frames == 0
     assert chroma.match(chroma.recordings(spark.createDataFrame([], "vec_id long, embedding array<float>"))).count() == 0
+
+
+def test_index_recall_of_noisy_copies(spark):
+    """Matches that comparing all pairs finds, and the share of them that the index gives."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(24):
+        rate, samples = chroma.read_wav(chroma.render([float(x) for x in rng.normal(0, 0.13, 64)]))
+        rows.append((20 * i, chroma.write_wav(rate, samples)))
+        for k in (1, 2):
+            shift = np.zeros(chroma.HOP * int(rng.integers(0, 9)) + int(rng.integers(0, 60)))
+            noisy = np.concatenate([shift, samples])
+            rows.append((20 * i + k, chroma.write_wav(rate, noisy + rng.normal(0, 0.03, len(noisy)))))
+    codes = {i: chroma.integers(chroma.chroma_frames(*chroma.read_wav(m))) for i, m in rows}
+    want = 0
+    for q in range(0, 480, 20):
+        for y in codes:
+            at = chroma.align(codes[q], codes[y]) if y != q else None
+            want += bool(at and at[1] <= chroma.MAX_ERROR and at[2] >= chroma.MIN_OVERLAP)
+    got = sum(r.n_matches or 0 for r in chroma.match(spark.createDataFrame(rows, "rec_id long, media binary")).collect())
+    assert want >= 24 and want >= got >= 0.9 * want
