@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm import chroma, exact_dedup, jaccard_join, langid, license_scan, mixing, pitman_yor, queries, token_store, toxicity
+from touchline.llm import chroma, context_model, exact_dedup, jaccard_join, langid, license_scan, mixing, pitman_yor, queries, token_store, toxicity
 from touchline.llm.components import connect
 
 P = pytest.importorskip("public_tokenizers")
@@ -287,3 +287,41 @@ def test_index_recall_of_noisy_copies(spark):
             want += bool(at and at[1] <= chroma.MAX_ERROR and at[2] >= chroma.MIN_OVERLAP)
     got = sum(r.n_matches or 0 for r in chroma.match(spark.createDataFrame(rows, "rec_id long, media binary")).collect())
     assert want >= 24 and want >= got >= 0.9 * want
+
+
+def test_lm_contexts(spark, odd, empty):
+    """Word order counts; columns of the base are those of the word model; all outcomes of a context add up to 1."""
+    rnd = random.Random(4)
+    rows = [(2 * i + 1, " ".join(rnd.choice(["red fox runs home", "old dog eats fish", "a cat"]) for _ in range(6))) for i in range(60)] + [(2, "red fox runs home"), (4, "home fox red runs"), (6, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    training = F.col("doc_id") % 2 == 1
+    got = by_id(context_model.score(df, training))
+    assert got[2].score > got[4].score + 2 and got[2].base_score == pytest.approx(got[4].base_score)
+    for docs in (df, odd):
+        one, two = by_id(context_model.score(docs, training)), by_id(pitman_yor.score(docs, training))
+        assert {i: (*r[1:4], round(r.base_score, 6)) for i, r in one.items()} == {i: (*r[1:4], round(r.base_score, 6)) for i, r in two.items()}
+        assert all(r.score < 0 for r in one.values())
+    assert context_model.score(empty, training).count() == 0
+    none = by_id(context_model.score(odd, F.lit(False)))
+    assert all(r.score == pytest.approx(r.base_score) for r in none.values())
+    rng = np.random.default_rng(1)
+    x, y, z, w = rng.integers(0, 4, (4, 900)).astype(np.uint64)
+    # One token of each word after the same context, not trained on.
+    every = np.arange(4, dtype=np.uint64)
+    model = context_model.Contexts(*(np.r_[v, np.full(4, 1, np.uint64)] for v in (x, y, z)), np.r_[w, every], np.r_[np.ones(900, int), np.zeros(4, int)])
+    p = np.array([0.1, 0.2, 0.3, 0.4])[model.w.astype(int)]
+    for _ in range(3):
+        model.sweep(p)
+        assert model.predictive(p)[0][model.at[0]][900:].sum() == pytest.approx(1.0)
+
+
+def test_tables_are_drawn_from_their_conditional():
+    """Against the weights of all table counts, below and above ``EXACT``."""
+    rng = np.random.default_rng(2)
+    for n, rest, p, d in ((5, 3.0, 0.2, 0.5), (60, 40.0, 0.1, 0.3), (300, 9.0, 0.3, 0.7), (600, 40.0, 0.1, 0.3), (700, 2000.0, 0.01, 0.8)):
+        weight = context_model.log_ways(n, d)[n, 1:] + np.cumsum(np.log((rest + d * np.arange(n)) * p))
+        want = np.exp(weight - weight.max())
+        want /= want.sum()
+        got = context_model.draw_tables(np.full(3000, n), np.full(3000, rest), np.full(3000, p), d, rng)
+        mean = (want * np.arange(1, n + 1)).sum()
+        assert got.mean() == pytest.approx(mean, rel=0.03)

@@ -438,6 +438,23 @@ def _documents(sums: DataFrame, parts: int, end: tuple[int, float, float]) -> Da
     return map_arrow(sums.repartition(parts, "run").sortWithinPartitions("run"), make, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
+def word_model(words: DataFrame, end_customers: int) -> tuple[DataFrame, float, float]:
+    """``p`` of each word of ``words (word, c, ..)`` with ``c`` customers, and the probabilities of the end and of an unseen word."""
+    facts = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
+    discount = min(0.9, max(0.1, facts.one / (facts.one + 2 * facts.two))) if facts.one else 0.5
+    spelling = spelling_model(_spelling_cells(words))
+    seats = materialize(_word_seats(words, spelling, discount, max(1, facts.v)), "py-seats")
+    totals = seats.agg(*(F.coalesce(F.sum(F.col("seats")[k]), F.lit(0)).alias(f"t{k}") for k in range(SAMPLES)), F.coalesce(F.sum("p0"), F.lit(0.0)).alias("p0")).first()
+    # The end token sits at one table of its own in every sample.
+    whole = STRENGTH + facts.n + end_customers
+    new = [(STRENGTH + discount * (totals[f"t{k}"] + (end_customers > 0))) / whole for k in range(SAMPLES)]
+    mean = sum(new) / SAMPLES
+    p_word = sum(((F.col("c") - discount * F.col("seats")[k]) / whole + F.lit(new[k]) * F.col("p0") for k in range(SAMPLES)), F.lit(0.0)) / SAMPLES
+    end_p = (end_customers - discount) / whole + mean * END_BASE
+    model = words.join(seats.select("word", "p0", "seats"), "word").withColumn("p", p_word)
+    return model, end_p, mean * max(1e-9, 1 - END_BASE - totals.p0)
+
+
 def score(docs: DataFrame, training: Column) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs``.
 

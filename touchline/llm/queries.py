@@ -17,7 +17,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pitman_yor import score
+    from .context_model import score
 
     out = score(documents(spark, sf_dir), ~in_fold(5, 1))
     return out.select("doc_id", in_fold(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
