@@ -325,3 +325,20 @@ def test_tables_are_drawn_from_their_conditional():
         got = context_model.draw_tables(np.full(3000, n), np.full(3000, rest), np.full(3000, p), d, rng)
         mean = (want * np.arange(1, n + 1)).sum()
         assert got.mean() == pytest.approx(mean, rel=0.03)
+
+
+def test_lm_sweeps_resample_every_customer(spark):
+    """Tables follow their conditional however many customers a word has, and are the customers of the spelling."""
+    words = spark.createDataFrame([(b"ab", 30_000, 1), (b"cd", 400, 1)], "word binary, c long, tables long")
+    spelling = np.full((pitman_yor.CONTEXTS, pitman_yor.SYMBOLS), 0.3)
+    got = {bytes(r.word): r for r in pitman_yor._word_seats(words, spelling, 0.5, 2000).collect()}
+    p0 = 0.99 * 0.3**3
+    for word, n in ((b"ab", 30_000), (b"cd", 400)):
+        ways = context_model.log_ways(400, 0.5)[400, 1:] + np.cumsum(np.log((1 + 0.5 * 1999 + 0.5 * np.arange(400)) * p0))
+        want = (np.exp(ways - ways.max()) * np.arange(1, 401)).sum() / np.exp(ways - ways.max()).sum()
+        seats = got[word].seats
+        assert len(set(seats)) > 1
+        if n == 400:
+            assert abs(np.mean(seats) - want) < 0.25 * want
+    cells = pitman_yor._spelling_cells(words.withColumn("tables", F.lit(7).cast("long")))
+    assert cells.sum() == 2 * 3 * 7

@@ -20,7 +20,6 @@ scores. A bucket holds its tokens: that of a very frequent word grows with the w
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,106 +28,13 @@ from pyspark.sql import functions as F
 
 from . import pitman_yor as py
 from .common import in_text_chunks, map_arrow, materialize, shuffle_partitions
+from .seating import draw_tables, log_ways  # noqa: F401
 from .textvec import Words, mix, range_hashes
 
 #: Preceding words of the longest context.
 ORDER = 3
 _START, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
 _LONG = "<i8"
-#: Dishes up to this size have the weights of all their table counts in a table.
-EXACT = 512
-#: Tables up to which a finite sum is used; deviations around the peak.
-FEW, WIDE = 150, 9
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """log of the gamma function, elementwise, for positive numbers."""
-    small = np.ones_like(x)
-    for k in range(8):
-        small = small * (x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(small)
-
-
-@lru_cache(maxsize=8)
-def log_ways(most: int, d: float) -> np.ndarray:
-    """``[n, t]``: log weight of all seatings of ``n`` customers at ``t`` tables of one dish."""
-    out = np.full((most + 1, most + 1), -np.inf)
-    out[1, 1] = 0.0
-    for n in range(1, most):
-        t = np.arange(1, n + 1)
-        out[n + 1, 1 : n + 1] = out[n, 1 : n + 1] + np.log(n - d * t)
-        out[n + 1, 1 : n + 2] = np.logaddexp(out[n + 1, 1 : n + 2], out[n, 0 : n + 1])
-    return out
-
-
-def log_ways_of_many(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """``log_ways`` for ``n`` above ``EXACT``: few tables by their finite sum, more by a saddle point (error about 1 / (12 t))."""
-    n, t, out = n.astype(np.float64), t.astype(np.float64), np.zeros(len(n))
-    few = (t <= FEW) & (t <= np.maximum(3 * n**d, 4)) & (t <= n / 2)
-    if few.any():
-        m, k = n[few], t[few]
-        total = np.zeros(len(m))
-        for j in range(1, int(k.max()) + 1):
-            choose = np.where(k >= j, np.exp(log_gamma(k + 1) - log_gamma(np.array([j + 1.0])) - log_gamma(np.maximum(k - j, 0) + 1)), 0.0)
-            total += choose * (-1) ** (j + 1) * math.sin(math.pi * j * d) / math.pi * np.exp(log_gamma(np.maximum(m - j * d, 0.1)) + math.lgamma(1 + j * d) - log_gamma(m))
-        out[few] = log_gamma(m) + np.log(np.maximum(total, 1e-300)) - k * math.log(d) - log_gamma(k + 1)
-    if not few.all():
-        m, k = n[~few], t[~few]
-        with np.errstate(all="ignore"):
-            goal = np.log(m / k)
-            v = (goal - math.log(d)) / (1 - d)
-            for _ in range(12):
-                slope = 1 / -np.expm1(-v) - d / -np.expm1(-d * v)
-                v = np.maximum(v - (v - d * v + np.log(-np.expm1(-v)) - np.log(-np.expm1(-d * v)) + math.log(d) - goal) / slope, 1e-9)
-            slope = 1 / -np.expm1(-v) - d / -np.expm1(-d * v)
-            here = log_gamma(m + 1) - log_gamma(k + 1) + k * np.log(-np.expm1(-d * v) / d) - m * np.log(-np.expm1(-v)) - 0.5 * np.log(2 * math.pi * m * np.expm1(v) * slope)
-        out[~few] = np.where(k == m, 0.0, here)
-    return out
-
-
-def draw_tables(n: np.ndarray, rest: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Table counts of dishes whose ``n`` customers all sit down anew.
-
-    ``rest`` is strength + discount * tables of the restaurant's other dishes, ``p`` the
-    dish's probability in the parent. ``t`` tables weigh their number of seatings times
-    ``(rest + i * d) * p`` for each table; the weights rise to one peak and fall. Above
-    ``EXACT`` customers those within ``WIDE`` deviations of the peak are drawn from.
-    """
-    out = np.minimum(n, 1).astype(np.int64)
-    small = np.flatnonzero((n >= 2) & (n <= EXACT))
-    if len(small):
-        ways = log_ways(EXACT if int(n[small].max()) > 64 else 64, d)
-        order = small[np.argsort(n[small], kind="stable")]
-        size, first = np.unique(n[order], return_index=True)
-        for k, s, e in zip(size.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-            for a in range(s, e, 20_000):
-                i = order[a : min(e, a + 20_000)]
-                weight = np.cumsum(np.log(rest[i, None] + d * np.arange(k)) + np.log(p[i, None]), axis=1) + ways[k, 1 : k + 1]
-                out[i] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
-    large = np.flatnonzero(n > EXACT)
-    for a in range(0, len(large), 500):
-        i = large[a : a + 500]
-
-        def weight(i, t):
-            return log_ways_of_many(n[i], t, d) + t * (np.log(p[i]) + math.log(d)) + log_gamma(rest[i] / d + t) - log_gamma(rest[i] / d)
-
-        low, high = np.ones(len(i), np.int64), n[i].astype(np.int64)
-        while (low < high).any():
-            middle = np.minimum((low + high) // 2, n[i] - 1)
-            up = weight(i, middle + 1) > weight(i, middle)
-            low, high = np.where(up & (low < high), middle + 1, low), np.where(up, high, np.maximum(middle, low))
-        # No distribution of table counts is wider than that of independent openings.
-        reach = (WIDE * np.sqrt(low + 1.0)).astype(np.int64) + WIDE
-        low, high = np.maximum(1, low - reach), np.minimum(n[i], low + reach)
-        width = high - low + 1
-        first = np.cumsum(width) - width
-        t = np.arange(width.sum()) - np.repeat(first - low, width)
-        of = np.repeat(np.arange(len(i)), width)
-        w = weight(i[of], t) + rng.gumbel(size=len(t))
-        best = np.lexsort((w, of))[first + width - 1]
-        out[i] = t[best]
-    return out
 
 
 def _fold(*parts: np.ndarray) -> np.ndarray:

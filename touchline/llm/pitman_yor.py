@@ -7,10 +7,9 @@ parents (one class, none) and end in the uniform distribution. Each table of the
 word restaurant sends its word to the spelling restaurants, each table there a
 customer to its parent.
 
-Seatings are explicit (sizes of all tables) and sampled by Gibbs: a customer
-leaves its table and sits down again given all others. All dishes move at once,
-one customer each in a round, with totals as they were before the round.
-Predictive probabilities are averaged over samples.
+Table counts are sampled by Gibbs: all customers of a dish leave and sit down again
+given the others (``seating.draw_tables``). Dishes move at once, with totals as they
+were before the sweep. Predictive probabilities are averaged over samples.
 
 Outcomes are the ``V`` distinct training tokens and one outcome for any unseen
 word, as in the base score: an unseen word has the mass of a new table times what
@@ -38,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_text_chunks, map_arrow, materialize, shuffle_partitions
+from .seating import draw_tables
 from .textvec import Words
 
 #: Spelled symbols: bytes and the end of a word.
@@ -47,6 +47,8 @@ CLASSES = 33
 CONTEXTS = CLASSES * CLASSES
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 12, 4
+#: Sweeps over the words, each with the tables and the spelling of the one before.
+ROUNDS = 3
 #: Mass of the end token in the base measure.
 END_BASE = 0.01
 RUN_BYTES = 4_000_000
@@ -57,7 +59,7 @@ _START = 32
 
 
 class Seating:
-    """Tables of many dishes: ``owner`` (dish) in order and ``size``; ``n`` customers of each dish."""
+    """Explicit tables of many dishes (the models draw table counts by ``seating.draw_tables``): ``owner`` (dish) in order and ``size``; ``n`` customers of each dish."""
 
     def __init__(self, n: np.ndarray, appeal: np.ndarray, discount: float, rng: np.random.Generator):
         """First seats: customers come in growing groups, each sits down given those before."""
@@ -149,46 +151,40 @@ def spelling_model(counts: np.ndarray, seed: int = 7) -> np.ndarray:
     # Restaurants of a level share one array of dishes (restaurant * SYMBOLS + symbol).
     parent = [np.arange(CONTEXTS) % CLASSES, np.zeros(CLASSES, np.int64), None]
     places = [CONTEXTS, CLASSES, 1]
-    levels: list[Seating] = []
-    uniform = np.full((1, SYMBOLS), 1 / SYMBOLS)
+    n = [counts.reshape(CONTEXTS, SYMBOLS).astype(np.int64)]
+    t = [np.minimum(n[0], 1)]
 
-    def predictive() -> list[np.ndarray]:
-        out = [uniform]
-        for level in range(len(levels) - 1, -1, -1):
-            s, up = levels[level], out[0] if parent[level] is None else out[0][parent[level]]
-            n = s.n.reshape(places[level], SYMBOLS)
-            t = s.tables().reshape(n.shape)
-            total = STRENGTH + n.sum(axis=1, keepdims=True)
-            out.insert(0, (n - s.d * t + (STRENGTH + s.d * t.sum(axis=1, keepdims=True)) * up) / total)
+    def to_parent(level: int) -> np.ndarray:
+        out = np.zeros((places[level + 1], SYMBOLS), np.int64)
+        np.add.at(out, slice(None) if parent[level] is None else parent[level], t[level])
         return out
 
+    for level in range(2):
+        n.append(to_parent(level))
+        t.append(np.minimum(n[-1], 1))
+    d = [discount_of(x) for x in n]
+    uniform = np.full((1, SYMBOLS), 1 / SYMBOLS)
+
     def up_of(level: int, probabilities: np.ndarray) -> np.ndarray:
         return probabilities if parent[level] is None else probabilities[parent[level]]
 
-    def appeal(level: int, up: np.ndarray) -> np.ndarray:
-        t = levels[level].tables().reshape(places[level], SYMBOLS).sum(axis=1, keepdims=True)
-        return ((STRENGTH + levels[level].d * t) * up).ravel()
+    def predictive() -> list[np.ndarray]:
+        out = [uniform]
+        for level in (2, 1, 0):
+            tables, customers = t[level].sum(axis=1, keepdims=True), n[level].sum(axis=1, keepdims=True)
+            out.insert(0, (n[level] - d[level] * t[level] + (STRENGTH + d[level] * tables) * up_of(level, out[0])) / (STRENGTH + customers))
+        return out
 
-    def to_parent(level: int) -> np.ndarray:
-        t = levels[level].tables().reshape(places[level], SYMBOLS)
-        out = np.zeros((places[level + 1], SYMBOLS), np.int64)
-        np.add.at(out, parent[level], t)
-        return out.ravel()
-
-    n = counts.reshape(-1)
-    for level in range(3):
-        guess = np.full(len(n), 1 / SYMBOLS)
-        levels.append(Seating(n, (STRENGTH + 0.5 * np.repeat((n > 0).reshape(-1, SYMBOLS).sum(axis=1), SYMBOLS)) * guess, discount_of(n), rng))
-        if level < 2:
-            n = to_parent(level)
     total = np.zeros((CONTEXTS, SYMBOLS))
     for sweep in range(BURN_IN + SAMPLES):
+        p = predictive()
         for level in range(3):
-            p = predictive()
-            for _ in range(3):
-                levels[level].round(appeal(level, up_of(level, p[level + 1])))
-            if level < 2:
-                levels[level + 1].resize(to_parent(level), appeal(level + 1, up_of(level + 1, p[level + 2])))
+            if level:
+                n[level] = to_parent(level - 1)
+                t[level] = np.minimum(t[level], n[level])
+            others = STRENGTH + d[level] * (t[level].sum(axis=1, keepdims=True) - t[level])
+            up = np.broadcast_to(up_of(level, p[level + 1]), n[level].shape)
+            t[level] = draw_tables(n[level].ravel(), others.ravel(), up.ravel(), d[level], rng).reshape(n[level].shape)
         if sweep >= BURN_IN:
             total += predictive()[0]
     return total / SAMPLES
@@ -242,27 +238,27 @@ def distinct(words: Words) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndar
 
 
 def _spelling_cells(vocabulary: DataFrame) -> np.ndarray:
-    """Customers of the spelling restaurants with one table for each word."""
+    """Customers of the spelling restaurants: ``tables`` of each word."""
 
     def make():
         def run(batches):
             total = np.zeros(CONTEXTS * SYMBOLS, np.int64)
             for batch in batches:
-                context, symbol, _ = spelled(batch.column(0).to_pylist())
-                total += np.bincount(context * SYMBOLS + symbol, minlength=len(total))
+                context, symbol, word = spelled(batch.column(0).to_pylist())
+                total += np.bincount(context * SYMBOLS + symbol, np.asarray(batch.column(1))[word], len(total)).astype(np.int64)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
         return run
 
-    cells = map_arrow(vocabulary.select("word"), make, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = map_arrow(vocabulary.select("word", "tables"), make, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CONTEXTS * SYMBOLS, np.int64)
     out[cells.cell.to_numpy()] = cells.n.to_numpy()
     return out.reshape(CONTEXTS, SYMBOLS)
 
 
 def _word_seats(vocabulary: DataFrame, spelling: np.ndarray, discount: float, tables: int) -> DataFrame:
-    """``word, c, p0, seats``: tables of each word in ``SAMPLES`` samples."""
+    """``word, c, p0, seats``: tables of each word (``tables`` of them before, in all) in ``SAMPLES`` samples."""
     shared = vocabulary.sparkSession.sparkContext.broadcast(spelling)  # CONTEXTS * SYMBOLS
 
     def make():
@@ -275,20 +271,14 @@ def _word_seats(vocabulary: DataFrame, spelling: np.ndarray, discount: float, ta
                 c = np.asarray(batch.column(1))
                 context, symbol, word = spelled(words)
                 p0 = (1 - END_BASE) * np.exp(np.bincount(word, log_p[context, symbol], len(words)))
-                appeal = (STRENGTH + discount * tables) * p0
-                seats = Seating(c, appeal, discount, rng)
-                kept = []
-                for k in range(BURN_IN + SAMPLES):
-                    seats.round(appeal)
-                    if k >= BURN_IN:
-                        kept.append(seats.tables())
-                kept = np.stack(kept, axis=1)
+                others = STRENGTH + discount * (tables - np.asarray(batch.column(2)))
+                kept = np.stack([draw_tables(c, others, p0, discount, rng) for _ in range(SAMPLES)], axis=1)
                 seats_of = pa.FixedSizeListArray.from_arrays(pa.array(kept.ravel()), SAMPLES).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p0), seats_of], ["word", "c", "p0", "seats"])
 
         return run
 
-    return map_arrow(vocabulary.select("word", "c"), make, "word binary, c long, p0 double, seats array<long>")
+    return map_arrow(vocabulary.select("word", "c", "tables"), make, "word binary, c long, p0 double, seats array<long>")
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -438,12 +428,20 @@ def _documents(sums: DataFrame, parts: int, end: tuple[int, float, float]) -> Da
     return map_arrow(sums.repartition(parts, "run").sortWithinPartitions("run"), make, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
+def _seated(words: DataFrame, discount: float, count: int) -> DataFrame:
+    """``word, c, p0, seats`` after ``ROUNDS`` sweeps; each one's tables are the customers of the next one's spelling."""
+    seats, tables = words.withColumn("tables", F.lit(1).cast("long")), count
+    for _ in range(ROUNDS):
+        seats = materialize(_word_seats(seats, spelling_model(_spelling_cells(seats)), discount, tables), "py-seats").withColumn("tables", F.col("seats")[SAMPLES - 1])
+        tables = seats.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("t")).first().t
+    return seats
+
+
 def word_model(words: DataFrame, end_customers: int) -> tuple[DataFrame, float, float]:
     """``p`` of each word of ``words (word, c, ..)`` with ``c`` customers, and the probabilities of the end and of an unseen word."""
     facts = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
     discount = min(0.9, max(0.1, facts.one / (facts.one + 2 * facts.two))) if facts.one else 0.5
-    spelling = spelling_model(_spelling_cells(words))
-    seats = materialize(_word_seats(words, spelling, discount, max(1, facts.v)), "py-seats")
+    seats = _seated(words, discount, facts.v)
     totals = seats.agg(*(F.coalesce(F.sum(F.col("seats")[k]), F.lit(0)).alias(f"t{k}") for k in range(SAMPLES)), F.coalesce(F.sum("p0"), F.lit(0.0)).alias("p0")).first()
     # The end token sits at one table of its own in every sample.
     whole = STRENGTH + facts.n + end_customers
@@ -471,8 +469,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     tokens, distinct_ = facts.n + n_train, facts.v + (n_train > 0)
     base_scale = math.log10(tokens + 0.5 * (distinct_ + 1))
     discount = min(0.9, max(0.1, facts.one / (facts.one + 2 * facts.two))) if facts.one else 0.5
-    spelling = spelling_model(_spelling_cells(vocabulary))
-    seats = materialize(_word_seats(vocabulary, spelling, discount, max(1, facts.v)), "py-seats")
+    seats = _seated(vocabulary, discount, facts.v)
     totals = seats.agg(*(F.coalesce(F.sum(F.col("seats")[k]), F.lit(0)).alias(f"t{k}") for k in range(SAMPLES)), F.coalesce(F.sum("p0"), F.lit(0.0)).alias("p0")).first()
     # The end token sits at one table of its own in every sample.
     t = [totals[f"t{k}"] + (n_train > 0) for k in range(SAMPLES)]
