@@ -195,3 +195,15 @@ def test_stream_streaks_follow_batch(spark, tmp_path):
     stream = streams.streaks(streams.file_stream(spark, str(tmp_path / "in")), "k", "t", "bad")
     out = streams.run_available(stream, "streaks_now", str(tmp_path / "cp"), "update")
     assert out.groupBy("key").agg(F.max("streak")).first()[1] == 2
+
+
+def test_link_names_finds_swapped_misspelt_names(spark):
+    from touchline.functions import similarity as sim
+
+    raws = ["strikers arsenals", "unitedd rangerz", "zebra quartz"]
+    choices = [(1, "arsenal striker"), (2, "rangers united"), (3, "harbor lions")]
+    canonicals = spark.createDataFrame(choices, "id long, name string")
+    raw = spark.createDataFrame([(r,) for r in raws], "raw string")
+    got = {r.raw: r.club_id for r in entity.link_names(raw, "raw", canonicals, spark.createDataFrame([], "club_id long, alias string")).collect()}
+    scored = raw.crossJoin(canonicals).withColumn("score", sim.token_set_ratio(F.col("raw"), F.col("name"))).where("score >= 88").collect()
+    assert got == {**dict.fromkeys(raws), **{r.raw: r.id for r in scored}} and got["strikers arsenals"] == 1

@@ -147,10 +147,13 @@ def link_names(raw: DataFrame, column: str, canonicals: DataFrame, aliases: Data
     # A set ratio of 88 needs a shared token or nearly equal strings; both are joined for.
     word = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != "")))
     by_word = rest.select("raw", "_query", word("_query").alias("_w")).join(choices.select("choice", "choice_id", word("choice").alias("_w")), "_w").select("raw", "_query", "choice", "choice_id").distinct()
-    texts = rest.select(F.col("_query").alias("t")).unionByName(choices.select(F.col("choice").alias("t"))).distinct().withColumn("k", F.col("t"))
+    # Without a shared token the set ratio compares the sorted distinct tokens.
+    in_order = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))), " ")
+    rest, choices = rest.withColumn("_sorted", in_order("_query")), choices.withColumn("_choice_sorted", in_order("choice"))
+    texts = rest.select(F.col("_sorted").alias("t")).unionByName(choices.select(F.col("_choice_sorted").alias("t"))).distinct().withColumn("k", F.col("t"))
     near = indel_candidates(texts, "k", "t", least)
     near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    by_text = rest.select("raw", "_query").join(near, rest["_query"] == near["a"]).join(choices, F.col("b") == choices["choice"]).select("raw", "_query", "choice", "choice_id")
+    by_text = rest.select("raw", "_query", "_sorted").join(near, F.col("_sorted") == F.col("a")).join(choices, F.col("b") == F.col("_choice_sorted")).select("raw", "_query", "choice", "choice_id")
     scored = by_word.unionByName(by_text).distinct().withColumn("score", similarity.token_set_ratio(F.col("_query"), F.col("choice"))).where(F.col("score") >= least)
     scored = scored.where(~similarity.unsafe_subset(F.col("_query"), F.col("choice")))
     best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("score"), "choice", "choice_id"))).where("_r = 1").select(F.col("raw").alias("_fraw"), F.col("choice_id").alias("_by_fuzzy"), "score")
