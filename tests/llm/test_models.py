@@ -64,33 +64,54 @@ def test_frequent_items_are_never_lost():
 
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
-    old, toxicity.SEGMENT = toxicity.SEGMENT, 4
-    try:
-        lengths = [0, 1, 3, 4, 5, 9, 0, 2]
-        first = np.concatenate([[0], np.cumsum(lengths)])
-        node, edge = rng.normal(size=first[-1]), rng.normal(size=(2, 2))
-        p, pairs = toxicity.marginals(node, first, edge, True)
-    finally:
-        toxicity.SEGMENT = old
-    want, want_pairs = np.zeros(len(node)), np.zeros((2, 2))
-    for k, n in enumerate(lengths):
-        total, part, both = 0.0, np.zeros(n), np.zeros((2, 2))
-        for y in itertools.product((0, 1), repeat=n):
-            if n:
-                w = np.exp(sum(node[first[k] + i] * y[i] for i in range(n)) + sum(edge[y[i - 1], y[i]] for i in range(1, n)))
-                total += w
-                part += w * np.array(y)
-                for i in range(1, n):
-                    both[y[i - 1], y[i]] += w
-        if n:
-            want[first[k] : first[k + 1]] = part / total
-            want_pairs += both / total
-    assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
-
-
-def test_cover_prefers_what_explains_most():
-    assert toxicity.cover(np.array([7, 7, 7, 8, 9, 9]), np.array([1, 2, 3, 1, 4, 5]), 2) == [7, 9]
-    assert toxicity.cover(np.array([5, 5, 5, 4, 4, 7, 7]), np.array([1, 2, 3, 1, 2, 1, 2]), 2, {5: 1}) == [4]  # a clean text holds 5; 4 is a whole word
+    gaps, tail = [[0, 2], [1], [], [3, 0, 1]], np.array([1, 0, 3, 2])
+    first = np.r_[0, np.cumsum([len(g) for g in gaps])]
+    gap = np.array(sum(gaps, []), np.int64)
+    none = np.zeros(0, np.int64)
+    node, bias, edge = rng.normal(size=len(gap)), -0.7, rng.normal(size=(2, 2))
+    edge[0, 0] = 0.0
+    chains = toxicity.Chains(first, gap, tail, none, none, np.zeros(0), none)
+    log_z, p, expected = toxicity.forward_backward(chains, node, bias, edge, slopes=True)
+    assert np.allclose(toxicity.forward_backward(chains, node, bias, edge)[0], log_z)
+    pairs = [(0, 1), (1, 0), (1, 1)]
+    for d in range(len(tail)):
+        odds, which = [], []
+        for i in range(first[d], first[d + 1]):
+            odds += [bias] * int(gap[i]) + [node[i]]
+            which += [-1] * int(gap[i]) + [i]
+        odds, which = odds + [bias] * int(tail[d]), which + [-1] * int(tail[d])
+        total, part, want = 0.0, np.zeros(len(odds)), np.zeros(4)
+        for y in itertools.product((0, 1), repeat=len(odds)):
+            steps = list(zip((0, *y), y, strict=False))
+            w = np.exp(sum(o * v for o, v in zip(odds, y, strict=True)) + sum(edge[s] for s in steps))
+            total += w
+            part += w * np.array(y)
+            want += w * np.array([sum(v for v, i in zip(y, which, strict=True) if i < 0), *(steps.count(k) for k in pairs)])
+        assert np.isclose(np.log(total), log_z[d]) and np.allclose(want / total, expected[d])
+        assert all(np.isclose(part[k] / total, p[i]) for k, i in enumerate(which) if i >= 0)
+
+
+def test_words_learn_to_be_toxic_from_labelled_texts():
+    rnd = random.Random(5)
+    plain = ["blue", "river", "stone", "walks", "under", "green", "table", "seven", "light"]
+    texts, toxic = [], []
+    for i in range(300):
+        words = [rnd.choice(plain) + rnd.choice(["", "s", "ing"]) for _ in range(rnd.randrange(5, 60))]
+        if i % 4 == 0:
+            words[rnd.randrange(len(words))] = rnd.choice(["zorkify", "zorkum", "Zorka", "zorkest", "grmpf"])
+        texts.append(" ".join(words).encode())
+        toxic.append(i % 4 == 0)
+    tokens = toxicity.Tokens(texts)
+    h, _ = tokens.features()
+    wanted = np.unique(toxicity.Tokens([b"zorkify zorkum zorka zorkest grmpf river"]).features()[0])
+    model = toxicity.Model(wanted, np.ones(len(wanted)), np.concatenate([np.zeros(toxicity.SHAPES), np.full(len(wanted), 3.0)]), -6.0)
+    toxicity.fit(model, model.chains(tokens), np.array(toxic))
+    seen = toxicity.Tokens([b"the green zorkish stone", b"under the river walks light", b"GRMPF", b"", b"12 !"])
+    chains = model.chains(seen)
+    log_z, p = toxicity.forward_backward(chains, model.node(chains), model.bias, model.edge)
+    score = 1 - np.exp(-log_z)
+    assert score[0] > 0.5 and score[2] > 0.5 and score[1] < 0.2 and score[3] == score[4] == 0
+    assert chains.at[p.argmax()] in (2, 9) and set(wanted.tolist()) & set(h.tolist())
 
 
 def test_seating_is_consistent_and_spelling_sums_to_one():

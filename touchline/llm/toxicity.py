@@ -1,27 +1,31 @@
-"""Toxicity: a linear-chain conditional random field over letter runs.
-
-Tokens are runs of letters (a-z after lower-casing A-Z, and all bytes from 128).
-A token's features say whether it, or a prefix of it, is a *marker*, and how near
-the next marker is on either side. Labelled tokens come from labelled documents:
-
-1. Word and prefix features that occur in at least ``LEAST`` toxic training texts
-   and in (almost) no clean one are candidates. Greedy cover picks as markers the
-   candidates that explain the most toxic texts not yet explained, so a rare word
-   that only happens to stand in one toxic text is not picked.
-2. In toxic texts, tokens with a marker are labelled 1; all other tokens, and all
-   tokens of clean texts, are labelled 0.
-3. The chain's weights are fitted to those labels by gradient steps on the exact
-   likelihood (forward-backward).
-
-Forward-backward marginals of all texts give each token's probability; a
-document's score is the probability that at least one token is toxic (noisy or),
-and tokens over ``OFFENDING`` give the offending byte offsets.
-
-Bounds of the fit: at most ``TRAIN_DOCS`` labelled texts of each label (those of
-least hash of the text), of which ``CANDIDATES`` features enter the cover and
-``CHAIN_DOCS`` texts of each label the chain. Everything is scored. Equal texts count once
-in training. Scored texts are used whole. Null, empty and letterless texts score
-0. Without a toxic training text every score is 0. Extra columns are ignored.
+"""Toxicity: a linear-chain conditional random field with latent token labels.
+
+Tokens are runs of letters (a-z after lower-casing A-Z, and all bytes from 128). A
+token's label says whether it is toxic; only documents are labelled, so token labels
+are latent: a document marked toxic has at least one toxic token, any other has none.
+
+Features of a token: the whole word, its byte n-grams of ``GRAMS`` (the word's ends
+count as a byte), its shape (length class, capitals), and evidence in the token just
+before or after. Of words and n-grams, those that the training texts of label 1 hold
+far more often enter the model (likelihood ratio, at most ``FEATURES``); each has a
+weight of its own. A token without any of them, and without a neighbour that has,
+has the bias alone.
+
+Fit: the all-zero labelling has potential 1, so the probability that no token is toxic
+is ``1 / Z``. The weights maximise ``log(1 / Z)`` over clean texts and
+``log(NOISE + (1 - NOISE) * (1 - 1 / Z))`` over toxic ones, less a penalty on squares;
+``NOISE`` is the chance of a wrong label. The gradients are expectations under the
+marginals of forward-backward. Runs of tokens with the bias alone are powers of one
+transfer matrix, so a text costs as many steps as it has tokens with evidence; this is
+exact. A document's score is ``1 - 1 / Z``, the probability that some token is toxic,
+and tokens whose marginal is at least ``OFFENDING`` give the offending byte offsets.
+
+Bounds of the fit: at most ``TRAIN_DOCS`` different labelled texts of each label and
+``TRAIN_BYTES`` of text of each (those of least hash). Everything is scored, and
+scored texts are used whole. A text that has both labels counts as toxic. Null, empty
+and letterless texts score 0, as does everything where no toxic text is labelled.
+Repeated rows each give their row; labels of a repeated id count once (the larger);
+extra columns are ignored, also those named like the labels' columns.
 """
 
 from __future__ import annotations
@@ -30,297 +34,367 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_bytes, in_text_chunks, least_by_hash, map_arrow, materialize
 from .textvec import join_texts, range_hashes, spans
 
-#: Labelled texts of each label that the model is fitted to.
+#: Labelled texts of each label, and their bytes, that the model is fitted to.
 TRAIN_DOCS = 6000
-#: Toxic texts that a candidate must occur in.
-LEAST = 2
-#: Clean share that a candidate may have, of all training texts that hold it.
-IMPURE = 0.02
-#: Toxic texts that a marker must explain beyond those of other markers.
-EXPLAINS = 3
-#: Toxic texts that a candidate must explain to make up for one clean text that holds it.
-PRICE = 20
-#: Bytes of the prefixes; 0 is the whole word. At most four kinds.
-PREFIXES = (0, 4, 5, 6)
+TRAIN_BYTES = 24 << 20
+#: Sizes of byte n-grams.
+GRAMS = (4, 5, 6)
+#: Toxic training texts that a feature must occur in, and its least likelihood ratio.
+LEAST, LEAST_RATIO = 3, 10.0
+#: Words and n-grams of the model.
+FEATURES = 20_000
+#: Chance that a label is wrong, and the penalty on squared weights.
+NOISE, PENALTY = 0.01, 0.3
+STEPS = 60
+#: Weight of a feature before the fit, as a multiple of its log odds, and the bias before the fit.
+TRUST, BIAS = 2.5, -9.0
+#: Of a word's features, those with at least this share of its best one's log odds count.
+NEAR = 0.75
 #: Marginal from which a token's offsets are reported.
 OFFENDING = 0.5
-#: Node features: bias, one for each prefix length, a marker just before, one just after.
-N_FEATURES = 1 + len(PREFIXES) + 2
-#: Candidates that enter the cover, the most frequent ones of the training texts.
-CANDIDATES = 200_000
-#: Texts of each label whose token chains the weights are fitted to.
-CHAIN_DOCS = 400
-#: Tokens of a segment of a chain.
-SEGMENT = 128
+#: Shape features: length classes, capital first, capitals only, evidence before, evidence after.
+SHAPES = 8
+_HELD = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 
 
 class Tokens:
-    """Letter runs of some texts."""
+    """Letter runs of some texts, and their different words."""
 
     def __init__(self, texts: list[bytes]):
         self.buf, self.text_start = join_texts(texts)
         self.start, self.end = spans(_LETTER[self.buf])
         self.first = np.searchsorted(self.start, self.text_start)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        upper = np.r_[0, np.cumsum((raw >= 65) & (raw <= 90))]
+        self.capital = (raw[self.start] != self.buf[self.start]).astype(np.int8)
+        self.capitals = (upper[self.end] - upper[self.start] == self.end - self.start) & (self.end - self.start > 1)
+        self.hash = range_hashes(self.buf, self.start, self.end)
+        _, at, self.word = np.unique(self.hash, return_index=True, return_inverse=True)
+        self.word_start, self.word_end = self.start[at], self.end[at]
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the features of the different words, and the word of each."""
+        n = self.word_end - self.word_start
+        # Every word between two line feeds, which stand for its ends.
+        first = np.cumsum(n + 2) - n - 2
+        total = int((n + 2).sum())
+        own = np.repeat(np.arange(len(n)), n + 2)
+        place = np.arange(total) - first[own]
+        inside = (place > 0) & (place <= n[own])
+        text = np.full(total, 10, np.uint8)
+        text[inside] = self.buf[(self.word_start[own] + place - 1)[inside]]
+        hashes, owners = [range_hashes(text, first, first + n + 2)], [np.arange(len(n))]
+        for size in GRAMS:
+            at = np.flatnonzero(place + size <= n[own] + 2)
+            at = at[(size < n[own[at]] + 2)]  # the whole word is there already
+            hashes.append(range_hashes(text, at, at + size))
+            owners.append(own[at])
+        return np.concatenate(hashes).view(np.int64), np.concatenate(owners)
 
-    def feature_hashes(self) -> list[np.ndarray]:
-        """A hash for each token and prefix length; shorter tokens have 0."""
-        out = []
-        for k, size in enumerate(PREFIXES):
-            if size:
-                h = range_hashes(self.buf, self.start, np.minimum(self.end, self.start + size))
-                h = np.where(self.end - self.start > size, h, 0)
-            else:
-                h = range_hashes(self.buf, self.start, self.end)
-            out.append(np.where(h == 0, 0, h >> np.uint64(2) << np.uint64(2) | np.uint64(k)).view(np.int64))  # the low bits tell the kind
-        return out
+
+@dataclass
+class Chains:
+    """Tokens with evidence of some texts: ``gap`` tokens before each, features by token, ``tail`` tokens behind the last."""
+
+    first: np.ndarray  # of each text, and the end
+    gap: np.ndarray
+    tail: np.ndarray
+    token: np.ndarray  # of each feature
+    feature: np.ndarray  # index of its weight
+    value: np.ndarray  # 1, or for words and n-grams one over their number
+    at: np.ndarray  # place among all tokens
 
 
 @dataclass
 class Model:
-    markers: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted hashes
-    node: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES))  # log-odds of label 1
-    edge: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
+    features: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted hashes
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the features, before the fit
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(SHAPES))  # shapes, then features
+    bias: float = 0.0
+    edge: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))  # [0, 0] stays 0
 
     def __post_init__(self):
-        self.quick = np.zeros(1 << 16, bool)
-        self.quick[self.markers & 0xFFFF] = True
-
-    def _is_marker(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), bool)
-        maybe = np.flatnonzero(self.quick[h & 0xFFFF])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.markers, h[maybe]), len(self.markers) - 1)
-            out[maybe] = self.markers[at] == h[maybe]
-        return out
-
-    def features(self, tokens: Tokens) -> np.ndarray:
-        """``(N_FEATURES, tokens)`` of 0 and 1."""
+        self.quick = np.zeros(1 << 20, bool)
+        self.quick[self.features & 0xFFFFF] = True
+
+    def chains(self, tokens: Tokens) -> Chains:
         n = len(tokens.start)
-        x = np.zeros((N_FEATURES, n), np.int8)
-        x[0] = 1
-        if len(self.markers):
-            for k, h in enumerate(tokens.feature_hashes()):
-                x[1 + k] = self._is_marker(h)
-        any_ = x[1 : 1 + len(PREFIXES)].any(axis=0)
+        h, word = tokens.features() if n and len(self.features) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        maybe = np.flatnonzero(self.quick[h & 0xFFFFF])
+        h, word = h[maybe], word[maybe]
+        at = np.minimum(np.searchsorted(self.features, h), max(0, len(self.features) - 1))
+        hit = self.features[at] == h if len(self.features) else np.zeros(0, bool)
+        feature, word = at[hit], word[hit]
+        pair = np.unique(word * np.int64(len(self.features) + 1) + feature)
+        word, feature = pair // (len(self.features) + 1), pair % (len(self.features) + 1)
+        best = np.zeros(len(tokens.word_start))
+        np.maximum.at(best, word, self.odds[feature])
+        strong = self.odds[feature] >= NEAR * best[word]
+        word, feature = word[strong], feature[strong]
+        times = np.bincount(word, minlength=len(tokens.word_start)) if n else np.zeros(0, np.int64)
+        has = times[tokens.word] > 0 if n else np.zeros(0, bool)
         same = tokens.doc[1:] == tokens.doc[:-1]
-        x[-2, 1:] = any_[:-1] & same
-        x[-1, :-1] = any_[1:] & same
-        return x
-
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
-        return self.node @ x
-
-
-def marginals(node: np.ndarray, first: np.ndarray, edge: np.ndarray, pairs: bool = False):
-    """P(label 1) of each token of several chains, by forward-backward.
-
-    ``node`` has each token's log-odds, ``first`` where each chain begins (and the
-    end). With ``pairs`` also the expected number of each pair of labels.
-
-    All chains are cut into segments of ``SEGMENT`` tokens that advance together: a
-    segment's product of transfer matrices carries messages across it, a pass over
-    the segments of each chain gives every segment its incoming messages, and one
-    more pass inside the segments gives the marginals. Exact, with a number of
-    steps that does not grow with the longest text times the number of texts.
+        before, after = np.zeros(n, bool), np.zeros(n, bool)
+        before[1:] = has[:-1] & same
+        after[:-1] = has[1:] & same
+        live = np.flatnonzero(has | before | after)
+        first = np.searchsorted(live, tokens.first)
+        ends = tokens.first[1:]
+        previous = np.r_[0, live[:-1] + 1][: len(live)]
+        gap = live - np.maximum(previous, tokens.first[:-1][tokens.doc[live]])
+        last = np.where(np.diff(first) > 0, live[np.maximum(first[1:] - 1, 0)] + 1 if len(live) else 0, tokens.first[:-1])
+        # Features of the words, spread to their tokens, and shapes of tokens with words of the model.
+        start = np.cumsum(times) - times
+        per = times[tokens.word[live]] if len(live) else np.zeros(0, np.int64)
+        token = np.repeat(np.arange(len(live)), per)
+        own = feature[np.repeat(start[tokens.word[live]] - np.cumsum(per) + per, per) + np.arange(len(token))] + SHAPES if len(live) else np.zeros(0, np.int64)
+        size = np.clip((tokens.end - tokens.start)[live] // 4, 0, 3)
+        kinds = [(has[live], size), (has[live] & (tokens.capital[live] > 0), 4), (has[live] & tokens.capitals[live], 5), (before[live], 6), (after[live], 7)]
+        value = 1.0 / np.repeat(per, per)
+        token = np.concatenate([token, *(np.flatnonzero(ok) for ok, _ in kinds)])
+        own = np.concatenate([own, *(np.broadcast_to(k, len(live))[ok] for ok, k in kinds)])
+        value = np.concatenate([value, np.ones(len(own) - len(value))])
+        return Chains(first, gap, ends - last, token, own, value, live)
+
+    def node(self, chains: Chains) -> np.ndarray:
+        return np.clip(self.bias + np.bincount(chains.token, self.weights[chains.feature] * chains.value, len(chains.gap)), -60, 30)
+
+
+def _run_powers(bias: float, edge: np.ndarray, lengths: np.ndarray, slopes: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Powers of the transfer matrix of a token with the bias alone, and their derivatives by edges (0,1), (1,0), (1,1)."""
+    a = np.exp(edge + np.array([0.0, bias]))
+    places = [(0, 1), (1, 0), (1, 1)] if slopes else []
+    blocks = []
+    for i, j in places or [(0, 0)]:
+        block = np.zeros((4, 4))
+        block[:2, :2] = block[2:, 2:] = a
+        if places:
+            block[i, 2 + j] = a[i, j]
+        blocks.append(block)
+    power = np.stack(blocks)[:, None]
+    out = np.broadcast_to(np.eye(4), (len(blocks), len(lengths), 4, 4)).copy()
+    left = lengths.copy()
+    while left.any():
+        odd = left & 1 == 1
+        out[:, odd] = out[:, odd] @ power
+        power, left = power @ power, left >> 1
+    return out[0, :, :2, :2], [out[k, :, :2, 2:] for k in range(len(places))]
+
+
+def forward_backward(chains: Chains, node: np.ndarray, bias: float, edge: np.ndarray, slopes: bool = False):
+    """log Z of each text and P(label 1) of each token with evidence.
+
+    With ``slopes`` also, for each text, the expected number of toxic tokens that have
+    the bias alone, and of the pairs (0,1), (1,0), (1,1) of labels; the label before
+    the first token counts as 0.
+    """
+    docs = len(chains.tail)
+    count = np.diff(chains.first)
+    order = np.argsort(-count, kind="stable")  # texts advance together, the longest first
+    lengths, of = np.unique(np.r_[chains.gap, chains.tail], return_inverse=True)
+    runs, slope = _run_powers(bias, edge, lengths, slopes)
+    gap, tail = of[: len(chains.gap)], of[len(chains.gap) :]
+    own = np.exp(edge[None] + np.stack([np.zeros(len(node)), node], axis=1)[:, None, :])
+    step = runs[gap] @ own
+    live = [int(x) for x in np.searchsorted(-count[order], -np.arange(int(count.max()) if docs else 0), "left")]
+    begin = chains.first[:-1][order]
+    scale, now = np.ones(len(node)), np.tile([1.0, 0.0], (docs, 1))
+    came, behind = np.empty((len(node), 2)), np.empty((len(node), 2))
+    for t, n in enumerate(live):
+        i = begin[:n] + t
+        came[i] = now[:n]
+        m = step[i]
+        v = now[:n, :1] * m[:, 0] + now[:n, 1:] * m[:, 1]
+        total = scale[i] = v[:, 0] + v[:, 1]
+        now[:n] = v / total[:, None]
+    last = np.empty((docs, 2))
+    last[order] = now
+    back = runs[tail].sum(axis=2)
+    owner = np.repeat(np.arange(docs), count)
+    log_z = np.bincount(owner, np.log(scale), docs) + np.log((last * back).sum(axis=1))
+    back = (back / back.sum(axis=1, keepdims=True))[order]
+    for t in range(len(live) - 1, -1, -1):
+        n = live[t]
+        i = begin[:n] + t
+        behind[i] = back[:n]
+        m = step[i]
+        b = m[:, :, 0] * back[:n, :1] + m[:, :, 1] * back[:n, 1:]
+        back[:n] = b / (b[:, :1] + b[:, 1:])
+    into = (came[:, None, :] @ runs[gap])[:, 0]
+    joint = into[:, :, None] * own * behind[:, None, :]
+    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    p = joint[:, :, 1].sum(axis=1)
+    if not slopes:
+        return log_z, p
+    expected = np.stack([np.zeros(docs), *(np.bincount(owner, joint[:, i, j], docs) for i, j in ((0, 1), (1, 0), (1, 1)))], axis=1)
+
+    def in_run(to, ahead, which, after):
+        """Adds what runs hold between the messages ``ahead`` and ``after`` them."""
+        whole = np.einsum("ni,nij,nj->n", ahead, runs[which], after)
+        part = [np.bincount(to, np.einsum("ni,nij,nj->n", ahead, s[which], after) / whole, docs) for s in slope]
+        expected[:, 0] += part[0] + part[2]
+        expected[:, 1:] += np.stack(part, axis=1)
+
+    in_run(owner, came, gap, (own @ behind[:, :, None])[:, :, 0])
+    in_run(np.arange(docs), last, tail, np.ones((docs, 2)))
+    return log_z, p, expected
+
+
+def fit(model: Model, chains: Chains, toxic: np.ndarray, steps: int = STEPS) -> None:
+    """Fit the weights to texts of label ``toxic`` by gradient steps of adapted size (RPROP).
+
+    The penalty draws weights to those that the model comes with, so that a word that
+    always stands beside others like it keeps what it is worth by itself.
     """
-    lengths = np.diff(first)
-    parts = -(-lengths // SEGMENT)
-    n = int(parts.sum())
-    if not n:
-        return (np.zeros(0), np.zeros((2, 2))) if pairs else np.zeros(0)
-    chain = np.repeat(np.arange(len(lengths)), parts)
-    number = np.arange(n) - np.repeat(np.cumsum(parts) - parts, parts)
-    cell = first[chain][:, None] + number[:, None] * SEGMENT + np.arange(SEGMENT)
-    real = cell < first[chain + 1][:, None]
-    weight = np.where(real, np.exp(np.clip(node[np.minimum(cell, len(node) - 1)], -60, 60)), 0.0)
-    e, same = np.exp(edge), np.eye(2)
-
-    def transfer(t: int) -> np.ndarray:
-        """Message matrices of the tokens at ``t``; the identity behind a chain's end."""
-        a = np.where((number == 0)[:, None, None] & (t == 0), np.ones((2, 2)), e).copy()
-        a[:, :, 1] *= weight[:, t, None]
-        return np.where(real[:, t, None, None], a, same)
-
-    product = np.broadcast_to(same, (n, 2, 2))
-    for t in range(SEGMENT):
-        product = product @ transfer(t)
-        product = product / product.sum(axis=(1, 2), keepdims=True)
-    start, end = np.zeros((n, 2)), np.ones((n, 2))
-    head = np.cumsum(parts) - parts
-    start[number == 0] = (1.0, 0.0)
-    for k in range(1, int(parts.max())):
-        at = head[parts > k] + k
-        v = np.einsum("ni,nij->nj", start[at - 1], product[at - 1])
-        start[at] = v / v.sum(axis=1, keepdims=True)
-    for k in range(int(parts.max()) - 2, -1, -1):
-        at = head[parts > k + 1] + k
-        v = np.einsum("nij,nj->ni", product[at + 1], end[at + 1])
-        end[at] = v / v.sum(axis=1, keepdims=True)
-    forward, backward = np.empty((SEGMENT, n, 2)), np.empty((SEGMENT, n, 2))
-    now = start
-    for t in range(SEGMENT):
-        now = np.einsum("ni,nij->nj", now, transfer(t))
-        now = forward[t] = now / now.sum(axis=1, keepdims=True)
-    now = end
-    for t in range(SEGMENT - 1, -1, -1):
-        backward[t] = now
-        now = np.einsum("nij,nj->ni", transfer(t), now)
-        now = now / now.sum(axis=1, keepdims=True)
-    both = forward * backward
-    out = np.zeros(len(node))
-    out[cell[real]] = (both[:, :, 1] / both.sum(axis=2)).T[real]
-    if not pairs:
-        return out
-    expected = np.zeros((2, 2))
-    for t in range(SEGMENT):
-        live = real[:, t] & ~((number == 0) & (t == 0))
-        joint = (forward[t - 1] if t else start)[live][:, :, None] * transfer(t)[live] * backward[t][live][:, None, :]
-        expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-    return out, expected
-
-
-def fit_chain(model: Model, chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 60) -> None:
-    """Fit the weights to ``(features, labels)`` chains by RPROP-like gradient steps with a small L2."""
-    x = np.concatenate([c[0] for c in chains], axis=1).astype(np.float64)
-    y = np.concatenate([c[1] for c in chains])
-    first = np.concatenate([[0], np.cumsum([len(c[1]) for c in chains])])
-    inner = np.ones(len(y), bool)
-    inner[first[:-1][np.diff(first) > 0]] = False
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
-    weights = np.concatenate([model.node, model.edge.ravel()])
-    weights[0] = -3.0
-    rate, last = np.full(len(weights), 0.5), np.zeros(len(weights))
+    w = np.concatenate([model.weights, [model.bias], model.edge.ravel()[1:]])
+    k = len(model.weights)
+    prior = w.copy()
+    rate, last = np.full(len(w), 0.2), np.zeros(len(w))
+    owner = np.repeat(np.arange(len(chains.tail)), np.diff(chains.first))
     for _ in range(steps):
-        node, edge = weights[:N_FEATURES], weights[N_FEATURES:].reshape(2, 2)
-        p, expected = marginals(node @ x, first, edge, pairs=True)
-        slope = np.concatenate([x @ (y - p), (seen - expected).ravel()]) - 0.5 * weights
-        slope[N_FEATURES] = 0.0  # the pair (0, 0) is the reference
+        model.weights, model.bias, model.edge = w[:k], float(w[k]), np.r_[0.0, w[k + 1 :]].reshape(2, 2)
+        log_z, p, expected = forward_backward(chains, model.node(chains), model.bias, model.edge, slopes=True)
+        none = np.exp(-np.maximum(log_z, 0))
+        pull = np.where(toxic, (1 - NOISE) * none / (NOISE + (1 - NOISE) * (1 - none)), -1.0)
+        given = p * pull[owner]
+        slope = np.concatenate([np.bincount(chains.feature, given[chains.token] * chains.value, k), [given.sum() + pull @ expected[:, 0]], pull @ expected[:, 1:]]) - PENALTY * (w - prior)
         turn = slope * last
-        rate = np.clip(np.where(turn > 0, rate * 1.2, np.where(turn < 0, rate * 0.5, rate)), 1e-4, 1.0)
-        weights = np.clip(weights + np.sign(slope) * rate, -25, 25)
-        last = slope
-    model.node, model.edge = weights[:N_FEATURES], weights[N_FEATURES:].reshape(2, 2)
+        rate = np.clip(np.where(turn > 0, rate * 1.2, np.where(turn < 0, rate * 0.5, rate)), 1e-5, 0.5)
+        slope = np.where(turn < 0, 0.0, slope)
+        w, last = np.clip(w + np.sign(slope) * rate, -25, 25), slope
+    model.weights, model.bias, model.edge = w[:k], float(w[k]), np.r_[0.0, w[k + 1 :]].reshape(2, 2)
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(toxic, body)``: different texts, at most ``TRAIN_DOCS`` of each label, those of least hash.
+    """``toxic, body``: different texts, of each label those of least hash within the bounds.
 
     They are chosen by id and hash; only the chosen rows' texts move.
     """
-    marked = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["_id"])
-    hashed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    once = materialize(hashed.join(marked, "_id").groupBy("h", "toxic").agg(F.min("_id").alias("_id")), "toxic-texts")
+    marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    once = hashed.join(marked, "_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min(F.struct("_id", "size")).alias("one"))
+    once = materialize(once.select("h", "toxic", F.col("one._id").alias("_id"), F.col("one.size").alias("size")), "toxic-texts")
     n = {r.toxic: r["count"] for r in once.groupBy("toxic").count().collect()}
-    least = [least_by_hash(once.where(F.col("toxic") == k), F.col("h"), TRAIN_DOCS, n.get(k, 0)).select("_id", "toxic") for k in (0, 1)]
-    chosen = F.broadcast(materialize(least[0].union(least[1]), "toxic-chosen"))  # at most 2 * TRAIN_DOCS rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    return rows.join(chosen, "_id").dropDuplicates(["_id"]).select("toxic", "body")
+    least = [least_by_hash(once.where(F.col("toxic") == k), F.col("h"), TRAIN_DOCS, n.get(k, 0)) for k in (0, 1)]
+    chosen = least[0].union(least[1])  # at most 2 * TRAIN_DOCS rows
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("h", "_id"))
+    chosen = materialize(chosen.withColumn("so_far", so_far).where(F.col("so_far") <= TRAIN_BYTES).select("_id", F.col("h").alias("_h"), "toxic"), "toxic-chosen")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    return rows.join(F.broadcast(chosen), ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select("toxic", "body")
 
 
-def _feature_rows(sample: DataFrame, wanted: np.ndarray | None, per_text: bool) -> DataFrame:
-    """Features of the sample's texts: ``(feature, toxic, n)`` summed by task, or ``(text, feature)``."""
-    spark = sample.sparkSession
-    shared = spark.sparkContext.broadcast(wanted)
+def _counts(sample: DataFrame) -> DataFrame:
+    """``feature, n0, n1``: texts of each label that hold it; every task combines its own."""
 
     def make():
-        only = shared.value
-
         def run(batches):
-            for labels, texts in in_text_chunks(batches):
+            parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            size = 0
+
+            def combined():
+                f, a, b = (np.concatenate([p[i] for p in parts]) for i in range(3))
+                f, at = np.unique(f, return_inverse=True)
+                return f, np.bincount(at, a, len(f)).astype(np.int64), np.bincount(at, b, len(f)).astype(np.int64)
+
+            def flush():
+                f, a, b = parts[0]
+                for i in range(0, len(f), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (f, a, b)], ["feature", "n0", "n1"])
+
+            for labels, texts in in_text_chunks(batches, 256 << 10):
                 tokens = Tokens(texts)
-                f = np.concatenate(tokens.feature_hashes())
-                d = np.tile(tokens.doc, len(PREFIXES))
-                ok = f != 0
-                if only is not None:
-                    ok &= np.isin(f, only)
-                pair = np.unique(np.stack([d[ok], f[ok]]), axis=1)
-                if per_text:
-                    keys = np.array([hash_text(t) for t in texts], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[pair[0]]), pa.array(pair[1])], ["text", "feature"])
+                if not len(tokens.start):
                     continue
-                label = np.asarray(labels, np.int64)[pair[0]]
-                both, n = np.unique(np.stack([pair[1], label]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(n)], ["feature", "toxic", "n"])
+                h, word = tokens.features()
+                h, at = np.unique(h, return_inverse=True)
+                pair = np.unique(tokens.doc * np.int64(len(tokens.word_start)) + tokens.word)
+                doc, used = pair // len(tokens.word_start), pair % len(tokens.word_start)
+                # (text, feature) pairs by way of the words of each text.
+                order = np.argsort(word, kind="stable")
+                times = np.bincount(word, minlength=len(tokens.word_start))
+                start = np.cumsum(times) - times
+                per = times[used]
+                which = at[order[np.repeat(start[used] - np.cumsum(per) + per, per) + np.arange(per.sum())]]
+                both = np.unique(np.repeat(doc, per) * np.int64(len(h)) + which)
+                toxic = np.asarray(labels, np.int64)[both // len(h)]
+                n1 = np.bincount(both % len(h), toxic, len(h)).astype(np.int64)
+                n = np.bincount(both % len(h), minlength=len(h))
+                parts.append((h, n - n1, n1))
+                size += len(h)
+                if size > _HELD:
+                    parts[:] = [combined()]
+                    size = len(parts[0][0])
+                    if size > _HELD // 2:
+                        yield from flush()
+                        parts.clear()
+                        size = 0
+            if parts:
+                parts[:] = [combined()]
+                yield from flush()
 
         return run
 
-    return map_arrow(sample, make, "text long, feature long" if per_text else "feature long, toxic long, n long")
+    return map_arrow(sample, make, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def hash_text(text: bytes) -> int:
-    import hashlib
+def _chains_of(sample: DataFrame, unfitted: Model) -> tuple[Chains, np.ndarray]:
+    """The sample's tokens with evidence (bounded by the sample's bounds), and the labels."""
+    shared = sample.sparkSession.sparkContext.broadcast(unfitted)
+    names, kinds = ["count", "gap", "tail", "times", "feature", "value"], ["<i4"] * 5 + ["<f4"]
 
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+    def make():
+        model = shared.value
 
+        def run(batches):
+            for labels, texts in in_text_chunks(batches):
+                c = model.chains(Tokens(texts))
+                order = np.argsort(c.token, kind="stable")
+                values = [np.diff(c.first), c.gap, c.tail, np.bincount(c.token, minlength=len(c.gap)), c.feature[order], c.value[order]]
+                yield pa.RecordBatch.from_arrays([pa.array([np.array(labels, np.int8).tobytes()]), *(pa.array([v.astype(k).tobytes()]) for v, k in zip(values, kinds, strict=True))], ["toxic", *names])
 
-def cover(features: np.ndarray, texts: np.ndarray, least: int, clean: dict[int, int] | None = None) -> list[int]:
-    """Greedy cover: features by how many texts they explain first, less ``PRICE`` for each clean text.
+        return run
 
-    Of features that come to the same, the more specific one is taken: a whole
-    word, then the longer prefix.
-    """
-    picked = []
-    price = {f: PRICE * n for f, n in (clean or {}).items() if n}
-    while len(features):
-        f, n = np.unique(features, return_counts=True)
-        worth = n - np.array([price.get(int(x), 0) for x in f])
-        best = worth == worth.max()
-        if worth.max() < least:
-            break
-        kind = np.where(f[best] & 3 == 0, 4, f[best] & 3)
-        pick = f[best][np.lexsort((f[best], -kind))[0]]
-        picked.append(int(pick))
-        left = ~np.isin(texts, texts[features == pick])
-        features, texts = features[left], texts[left]
-    return picked
+    rows = map_arrow(sample, make, "toxic binary, " + ", ".join(f"{k} binary" for k in names)).collect()
+    *counts, value = (np.concatenate([np.frombuffer(r[k], kind) for r in rows] or [np.zeros(0, kind)]) for k, kind in zip(names, kinds, strict=True))
+    count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
+    toxic = np.concatenate([np.frombuffer(r.toxic, np.int8) for r in rows] or [np.zeros(0, np.int8)]) == 1
+    return Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64)), toxic
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model fitted to ``docs`` (text) with ``labels`` (toxic) of the same doc_id."""
     sample = materialize(_sample(docs, labels), "toxic-sample")
-    n_by = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if not n_by.get(1):
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not n.get(1):
         return Model()
-    bad = sample.where("toxic = 1")
-    of_bad = _feature_rows(bad, None, False).groupBy("feature").agg(F.sum("n").alias("n_toxic")).where(F.col("n_toxic") >= LEAST)
-    of_good = _feature_rows(sample.where("toxic = 0"), None, False).groupBy("feature").agg(F.sum("n").alias("n_clean"))
-    pure = of_bad.join(of_good, "feature", "left").fillna(0, ["n_clean"])
-    share = n_by[1] / max(1, n_by.get(0, 0))  # of the sample, which may hold one label more densely
-    pure = pure.where(F.col("n_clean") * F.lit(share) <= IMPURE * (F.col("n_toxic") + F.col("n_clean") * F.lit(share)))
-    wanted = pure.orderBy(F.desc("n_toxic"), "feature").limit(CANDIDATES).select("feature", "n_clean").toPandas()
-    clean = dict(zip(wanted.feature.tolist(), wanted.n_clean.tolist(), strict=True))
-    wanted = wanted.feature.to_numpy(np.int64)
-    if not len(wanted):
+    n1, n0 = float(n[1]), float(n.get(0, 0))
+    one, zero = F.col("n1") + 0.0, F.col("n0") + 0.0
+    # Likelihood ratio of the label given the feature; log odds with half a text added on either side.
+    part = lambda x, of: F.when(x > 0, x * F.log(x / ((one + zero) * of / (n1 + n0)))).otherwise(0.0)
+    odds = F.log((one + 0.5) / (n1 + 1)) - F.log((zero + 0.5) / (n0 + 1)) - 2 * F.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))  # the lower end of an interval
+    counted = _counts(sample).where(F.col("n1") >= LEAST).select("feature", (2 * (part(one, F.lit(n1)) + part(zero, F.lit(n0)))).alias("ratio"), odds.alias("odds"))
+    best = counted.where((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") > 0)).orderBy(F.desc("ratio"), "feature").limit(FEATURES).toPandas().sort_values("feature")
+    if not len(best):
         return Model()
-    held = _feature_rows(bad, np.sort(wanted), True)
-    pairs = held.toPandas()
-    model = Model(np.sort(np.array(cover(pairs.feature.to_numpy(), pairs.text.to_numpy(), EXPLAINS, clean), np.int64)))
-    rows = [r for k in (0, 1) for r in sample.where(F.col("toxic") == k).orderBy(F.xxhash64("body"), "body").limit(CHAIN_DOCS).toLocalIterator()]
-    chains = []
-    for row in rows:
-        x = model.features(Tokens([bytes(row.body)]))
-        if x.shape[1]:
-            y = x[1 : 1 + len(PREFIXES)].any(axis=0).astype(np.int64) if row.toxic else np.zeros(x.shape[1], np.int64)
-            chains.append((x, y))
-    if chains:
-        fit_chain(model, chains)
+    model = Model(best.feature.to_numpy(np.int64), best.odds.to_numpy(), np.concatenate([np.zeros(SHAPES), TRUST * best.odds.to_numpy()]), BIAS)
+    chains, toxic = _chains_of(sample, model)
+    fit(model, chains, toxic)
     return model
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, spans``; spans are byte offsets of offending tokens with their probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES hashes and weights
 
     def make():
         m = shared.value
@@ -330,17 +404,14 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
             for ids, texts in in_text_chunks(batches):
                 tokens = Tokens(texts)
                 scores, found = np.zeros(len(texts)), [[] for _ in texts]
-                if len(m.markers) and len(tokens.start):
-                    p = marginals(m.log_odds(m.features(tokens)), tokens.first, m.edge)
-                    # Tokens without any evidence share one small probability; only what exceeds it counts.
-                    quiet = 1 / (1 + np.exp(-m.node[0]))
-                    over = np.where(p > max(quiet * 10, 0.01), np.minimum(p, 1 - 1e-12), 0.0)
-                    clean = np.zeros(len(texts))
-                    np.add.at(clean, tokens.doc, np.log1p(-over))
-                    scores = 1 - np.exp(clean)
+                if len(m.features) and len(tokens.start):
+                    chains = m.chains(tokens)
+                    log_z, p = forward_backward(chains, m.node(chains), m.bias, m.edge)
+                    scores = -np.expm1(-np.maximum(log_z, 0))
                     for i in np.flatnonzero(p >= OFFENDING):
-                        d = tokens.doc[i]
-                        found[d].append({"start": int(tokens.start[i] - tokens.text_start[d]), "end": int(tokens.end[i] - tokens.text_start[d]), "p": float(p[i])})
+                        t = chains.at[i]
+                        d = tokens.doc[t]
+                        found[d].append({"start": int(tokens.start[t] - tokens.text_start[d]), "end": int(tokens.end[t] - tokens.text_start[d]), "p": float(p[i])})
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores), pa.array(found, span)], ["doc_id", "score", "spans"])
 
         return run
