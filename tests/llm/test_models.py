@@ -114,18 +114,7 @@ def test_words_learn_to_be_toxic_from_labelled_texts():
     assert chains.at[p.argmax()] in (2, 9) and set(wanted.tolist()) & set(h.tolist())
 
 
-def test_seating_is_consistent_and_spelling_sums_to_one():
-    rng = np.random.default_rng(3)
-    n = rng.integers(0, 50, 200)
-    appeal = rng.random(200) * 3
-    s = pitman_yor.Seating(n, appeal, 0.5, rng)
-    for _ in range(10):
-        s.round(appeal)
-        assert np.array_equal(np.bincount(s.owner, s.size, 200).astype(int), n)
-        assert (s.size > 0).all() and (s.tables() <= n).all() and ((s.tables() > 0) == (n > 0)).all()
-    m = rng.integers(0, 50, 200)
-    s.resize(m, appeal)
-    assert np.array_equal(np.bincount(s.owner, s.size, 200).astype(int), m)
+def test_spelling_sums_to_one():
     counts = np.zeros((pitman_yor.CONTEXTS, pitman_yor.SYMBOLS), np.int64)
     context, symbol, _ = pitman_yor.spelled([b"the", b"then", "é".encode(), b""])
     np.add.at(counts, (context, symbol), 1)

@@ -58,6 +58,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a materialized ``df`` that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if path.startswith(_own_dir(df.sparkSession)):
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -103,6 +111,22 @@ def in_text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) ->
             yield ids, texts
 
 
+def in_runs(batches: Iterator[pa.RecordBatch], limit: int, most: int = 60_000) -> Iterator[tuple[list, list[bytes]]]:
+    """As ``in_text_chunks``, but runs go on over batches; none has more than ``most`` documents."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = body.as_py() or b""
+            if texts and (size + len(raw) > limit or len(texts) == most):
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(doc)
+            texts.append(raw)
+            size += len(raw)
+    if texts:
+        yield ids, texts
+
+
 def give_back() -> None:
     """Return freed memory of this Python worker to the system; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

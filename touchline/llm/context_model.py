@@ -1,20 +1,28 @@
 """LM scoring with a hierarchical Pitman-Yor model over preceding words.
 
-A text is its words and one end; the context of a token are the three tokens before
-it (starts of text where there are fewer). Restaurants of three, two and one preceding
-words hand each of their tables to the restaurant of the shorter context; tables of the
+A text is its words and one end; the context of a token are the two tokens before it
+(starts of text where there are fewer). Restaurants of two and of one preceding word
+hand each of their tables to the restaurant of the shorter context; tables of the
 one-word restaurants are the customers of the word restaurant, whose base measure
 spells words (``pitman_yor``). All counts are of the whole training corpus.
 
 A sweep draws the table count of every dish anew, given the other tables of its
 restaurant and the shorter context's probability (``draw_tables``), from the longest
 contexts to the shortest. Dishes of one level move at once. ``BURN_IN`` sweeps are
-thrown away, ``SAMPLES`` predictive probabilities are averaged.
+thrown away, ``SAMPLES`` predictive probabilities are averaged. Random numbers follow
+from a dish's hash, so scores do not depend on how the rows lie.
 
 How it is dealt: tokens go with their contexts to the bucket of the preceding word, as
-all restaurants that hand tables to it end in that word. A first round of buckets gives
-the customers of the word restaurant, a second one, which knows the word probabilities,
-scores. A bucket holds its tokens: that of a very frequent word grows with the word.
+all restaurants that hand tables to it end in that word. The one-word restaurant of a
+very frequent word is dealt as shares by the word before it (at the start of a text:
+by document); each share is a restaurant of its own under the same parent, and the
+two-word restaurants stay whole. A first round of buckets gives the customers of the
+word restaurant, a second one, which knows the word probabilities, scores. Words are
+told apart by 48 bits of hash.
+
+A null or empty text has the end alone. Texts are used whole. Rows with the same id
+are scored each. Without training texts every token has the base score's probability
+of an unseen one. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,105 +35,165 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pitman_yor as py
-from .common import in_text_chunks, map_arrow, materialize, shuffle_partitions
-from .seating import draw_tables, log_ways  # noqa: F401
-from .textvec import Words, mix, range_hashes
+from .common import forget, in_runs, map_arrow, materialize, shuffle_partitions
+from .seating import draw_tables
+from .textvec import Words, mix
 
 #: Preceding words of the longest context.
-ORDER = 3
-_START, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
-_LONG = "<i8"
+ORDER = 2
+#: Sweeps of the first round; sweeps thrown away and samples of the second.
+LEARN, BURN_IN, SAMPLES = 3, 3, 3
+#: Discounts of two-word and one-word contexts.
+DISCOUNTS = (0.8, 0.75)
+#: Tokens that a bucket should hold, occurrences of a preceding word in one share.
+BUCKET_TOKENS = 2_000_000
+SHARE_TOKENS = 1_000_000
+#: Words that are looked at for shares, the most frequent ones.
+HOT = 1 << 20
+RUN_BYTES = 12 << 20
+_U = np.uint64
+_START, _END = _U(0x1B873593CC9E), _U(0x85EBCA6BC2B2)
+_BITS = _U(16)
 
 
 def _fold(*parts: np.ndarray) -> np.ndarray:
-    h = np.full(len(parts[0]), len(parts), np.uint64)
+    h = np.full(len(parts[0]), len(parts), _U)
     for part in parts:
-        h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + part)
+        h = mix(h * _U(0xC2B2AE3D27D4EB4F) + part)
     return h
 
 
 class Contexts:
-    """The restaurants of tokens ``w`` after ``x, y, z``; ``train`` tokens are customers.
+    """The restaurants of tokens ``w`` after ``y, z``; ``train`` tokens are customers.
 
     Levels go from the longest contexts to the shortest. Dishes without customers are
     kept, as tokens to score look them up.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, w: np.ndarray, train: np.ndarray, seed: int = 5):
-        self.rng = np.random.default_rng(seed)
-        self.at, self.rest, self.n, self.t, self.d, self.busy = [], [], [], [], [], []
-        count, context = train.astype(np.int64), [x, y, z]
+    def __init__(self, y: np.ndarray, z: np.ndarray, w: np.ndarray, train: np.ndarray):
+        self.at, self.rest, self.n, self.t, self.busy, self.key = [], [], [], [], [], []
+        count, context = train.astype(np.int64), [y, z]
         for _ in range(ORDER):
-            _, first, at = np.unique(_fold(*context, w), return_index=True, return_inverse=True)
+            key, first, at = np.unique(_fold(*context, w), return_index=True, return_inverse=True)
             count = np.bincount(at, count, len(first)).astype(np.int64)
             context, w = [c[first] for c in context], w[first]
             self.at.append(at)
             self.rest.append(np.unique(_fold(*context), return_inverse=True)[1])
             self.n.append(count)
             self.t.append(np.minimum(count, 1))
-            self.busy.append(np.flatnonzero(count > 1))
+            self.key.append(key)
             context = context[1:]
+            count = self.t[-1]
         self.w = w
-        for k in range(1, ORDER):
-            self.n[k] = self._handed(k)
-        self.d = [py.discount_of(n) for n in self.n]
+        self._who_is_busy()
 
-    def _handed(self, k: int) -> np.ndarray:
-        return np.bincount(self.at[k], self.t[k - 1], len(self.n[k])).astype(np.int64)
+    def _who_is_busy(self) -> None:
+        self.busy = [np.flatnonzero(n > 1) for n in self.n]
 
     def up(self, k: int) -> np.ndarray:
         """The dish of the shorter context."""
         return self.at[k + 1]
 
     def predictive(self, p: np.ndarray, busy: bool = False) -> list[np.ndarray]:
-        """Probabilities of the dishes of each level and, last, ``p`` of the words; others than busy dishes are not filled."""
+        """Probabilities of the dishes of each level and, last, ``p`` of the words; with ``busy`` the first level's only of busy dishes."""
         out = [p]
         for k in range(ORDER - 1, -1, -1):
-            which = self.busy[k] if busy else slice(None)
+            which = self.busy[k] if busy and k == 0 else slice(None)
             rest, n, t = self.rest[k], self.n[k], self.t[k]
             parent = out[0][which if k == ORDER - 1 else self.up(k)[which]]
             customers, tables = np.bincount(rest, n), np.bincount(rest, t)
-            here = (n[which] - self.d[k] * t[which] + (py.STRENGTH + self.d[k] * tables[rest[which]]) * parent) / (py.STRENGTH + customers[rest[which]])
-            if busy:
-                full = np.zeros(len(n))
-                full[which] = here
-                here = full
+            here = (n[which] - DISCOUNTS[k] * t[which] + (py.STRENGTH + DISCOUNTS[k] * tables[rest[which]]) * parent) / (py.STRENGTH + customers[rest[which]])
             out.insert(0, here)
         return out
 
-    def sweep(self, p: np.ndarray) -> None:
+    def sweep(self, p: np.ndarray, number: int) -> None:
         """Every customer of every dish sits down anew."""
-        probabilities = self.predictive(p, busy=True)
+        parents = self.predictive(p, busy=True)[1:]
         for k in range(ORDER):
             if k:
-                self.n[k] = self._handed(k)
-            i = self.busy[k]
-            parent = probabilities[k + 1][i if k == ORDER - 1 else self.up(k)[i]]
+                self.n[k] = np.bincount(self.at[k], self.t[k - 1], len(self.n[k])).astype(np.int64)
+            i = self.busy[k] = np.flatnonzero(self.n[k] > 1)
+            parent = parents[k][i if k == ORDER - 1 else self.up(k)[i]]
             tables = np.bincount(self.rest[k], self.t[k])
-            others = py.STRENGTH + self.d[k] * (tables[self.rest[k][i]] - self.t[k][i])
+            others = py.STRENGTH + DISCOUNTS[k] * (tables[self.rest[k][i]] - self.t[k][i])
             self.t[k] = np.minimum(self.n[k], 1)
-            self.t[k][i] = draw_tables(self.n[k][i], others, parent, self.d[k], self.rng)
+            self.t[k][i] = draw_tables(self.n[k][i], others, parent, DISCOUNTS[k], self.key[k][i], number)
 
 
-_SHAPE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.int64()), ("words", pa.binary()), ("at", pa.binary()), ("doc", pa.binary()), ("c", pa.int64()), ("p", pa.float64())])
-_DEALT = "bucket int, kind int, run long, words binary, at binary, doc binary, c long, p double"
+_NAMES = ["bucket", "kind", "run", "a", "b", "c"]
+_SHAPE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_DEALT = "bucket int, kind int, run long, a binary, b binary, c binary"
 
 
-def _deal(rows: DataFrame, buckets: int) -> DataFrame:
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays as byte planes (numbers of the same place together), compressed."""
+    import zstandard
+
+    planes = []
+    for x in arrays:
+        planes.append(np.array([len(x), x.dtype.itemsize], "<u4").tobytes())
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _opened(data: bytes, *kinds: str) -> list[np.ndarray]:
+    import zstandard
+
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    for kind in kinds:
+        n, size = np.frombuffer(raw, "<u4", 2, at).tolist()
+        plane = np.frombuffer(raw, np.uint8, n * size, at + 8).reshape(size, n)
+        at += 8 + n * size
+        wide = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        wide[:, :size] = plane.T
+        out.append(wide.view(kind).ravel())
+    return out
+
+
+def _least_width(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u2" if not len(x) or int(x.max()) < 1 << 16 else "<u4")
+
+
+class Shares:
+    """In how many shares the occurrences of a preceding word are dealt."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, starts: int):
+        order = np.argsort(words)
+        self.words, self.shares = words[order], -(-counts[order] // SHARE_TOKENS)
+        self.starts = max(1, -(-starts // SHARE_TOKENS))
+
+    def split(self, y: np.ndarray, z: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """``z`` with its share in it; ``doc`` is a hash of the document."""
+        out = z.copy()
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, z), len(self.words) - 1)
+            i = np.flatnonzero(self.words[at] == z)
+            by = np.where(y[i] == _START, mix(doc[i]), mix(y[i]))
+            out[i] = _fold(z[i], by % self.shares[at[i]].astype(_U)) >> _BITS
+        if self.starts > 1:
+            i = np.flatnonzero(z == _START)
+            out[i] = _fold(z[i], mix(doc[i]) % _U(self.starts)) >> _BITS
+        return out
+
+
+def _deal(rows: DataFrame, buckets: int, shares: Shares, documents: bool) -> DataFrame:
     """Runs of texts by the bucket of preceding words; kind 0: tokens, kind 2: the run's documents.
 
-    ``body`` has one more byte before the text: whether it is trained on.
+    ``body`` has one more byte before the text: whether it is trained on. Without
+    ``documents``, tokens alone are dealt.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(shares)  # HOT words at most
 
     def make():
         from pyspark import TaskContext
 
+        share = shared.value
+
         def run(batches):
             number = TaskContext.get().partitionId() << 32
-            for ids, bodies in in_text_chunks(batches, py.RUN_BYTES):
-                for i in range(0, len(ids), 60_000):
-                    number += 1
-                    yield from one(number, ids[i : i + 60_000], bodies[i : i + 60_000])
+            for ids, bodies in in_runs(batches, RUN_BYTES):
+                number += 1
+                yield from one(number, ids, bodies)
 
         def one(number, ids, bodies):
             train = np.array([b[:1] == b"1" for b in bodies])
@@ -133,28 +201,34 @@ def _deal(rows: DataFrame, buckets: int) -> DataFrame:
             n = words.count + 1
             doc = np.repeat(np.arange(len(ids)), n)
             ends = np.cumsum(n) - 1
-            h = np.full(len(doc), _END, np.uint64)
-            h[np.arange(len(words.doc)) + words.doc] = words.hashes()
+            h = np.full(len(doc), _END, _U)
+            h[np.arange(len(words.doc)) + words.doc] = words.hashes() >> _BITS
+            del words
             place = np.arange(len(doc)) - (ends - n + 1)[doc]
-            z, y, x = (np.where(place >= k, np.r_[np.full(k, _START), h[:-k]][: len(h)], _START) for k in (1, 2, 3))
-            bucket = py._bucket(mix(z), buckets)
-            order = np.lexsort((z, bucket))
+            z = np.where(place >= 1, np.r_[_START, h[:-1]], _START)
+            y = np.where(place >= 2, np.r_[_START, _START, h[:-2]][: len(h)], _START)
+            known = mix(np.array([(i or 0) & (2**64 - 1) for i in ids], _U))
+            z = share.split(y, z, known[doc])
+            bucket = (mix(z) % _U(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
             which, first = np.unique(bucket[order], return_index=True)
-            columns = {k: [] for k in _SHAPE.names}
-
-            def add(*values):
-                for k, v in zip(_SHAPE.names, values, strict=True):
-                    columns[k].append(v)
-
-            valid = np.array([i is not None for i in ids], np.uint8)
-            add(number % buckets, 2, number, valid.tobytes(), np.array([i or 0 for i in ids], _LONG).tobytes(), n.astype(_LONG).tobytes(), None, None)
+            if documents:
+                valid = np.array([i is not None for i in ids], np.uint8)
+                yield pa.RecordBatch.from_pydict(
+                    {"bucket": [number % buckets], "kind": [2], "run": [number], "a": [np.array([i or 0 for i in ids], "<i8").tobytes()], "b": [n.astype("<i8").tobytes()], "c": [valid.tobytes()]}, schema=_SHAPE
+                )
+            rows_ = {k: [] for k in _NAMES}
             for b, s, e in zip(which.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
                 i = order[s:e]
-                own, at = np.unique(np.concatenate([z[i], y[i], x[i], h[i]]), return_inverse=True)
-                width = "<u2" if len(own) <= 1 << 16 else "<u4"
-                # The documents' numbers are doubled; odd ones are trained on.
-                add(b, 0, number, own.astype("<u8").tobytes(), at.astype(width).tobytes(), (doc[i] * 2 + train[doc[i]]).astype("<u4" if len(ids) > 30_000 else "<u2").tobytes(), None, None)
-            yield pa.RecordBatch.from_pydict(columns, schema=_SHAPE)
+                own, at = np.unique(np.concatenate([y[i], z[i], h[i]]), return_inverse=True)
+                at = _least_width(at).reshape(3, -1)
+                own = np.diff(own, prepend=_U(0)).view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits
+                texts = _least_width(np.diff(doc[i], prepend=0)) if documents else np.zeros(0, "<u2")
+                known_too = train[doc[i]].astype(np.uint8) if documents else np.zeros(0, np.uint8)
+                body = _squeezed(np.ascontiguousarray(own).view("V6").ravel(), at[0], at[1], at[2], texts, known_too)
+                for k, v in zip(_NAMES, (b, 0, number, body, None, None), strict=True):
+                    rows_[k].append(v)
+            yield pa.RecordBatch.from_pydict(rows_, schema=_SHAPE)
 
         return run
 
@@ -162,58 +236,80 @@ def _deal(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _read(batches):
-    """Contexts of the bucket's tokens, ``(run, doc, tokens)`` of each run, known words ``(w, c, p)`` and heads."""
+    """Contexts of the bucket's tokens, ``(run, doc)`` of each run, known words ``(w, c, p)`` and heads."""
     parts, runs, known, heads = [], [], [], []
     for batch in batches:
-        kinds = np.asarray(batch.column(1))
-        ones = np.flatnonzero(kinds == 1)
-        if len(ones):
-            some = batch.take(pa.array(ones))
-            known.append([np.asarray(some.column(i)) for i in (2, 6, 7)])
-        for j in np.flatnonzero(kinds != 1).tolist():
-            number, words, at, doc = (batch.column(i)[j].as_py() for i in (2, 3, 4, 5))
-            if kinds[j] == 2:
-                heads.append((number, at, doc, words))
-                continue
-            own = np.frombuffer(words, "<u8")
-            at = np.frombuffer(at, "<u2" if len(own) <= 1 << 16 else "<u4").reshape(4, -1)
-            doc = np.frombuffer(doc, "<u2" if len(doc) == 2 * at.shape[1] else "<u4").astype(np.int64)
-            parts.append((own[at], doc & 1))
-            runs.append((number, doc >> 1))
+        for kind, number, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            if kind == 2:
+                heads.append((number, a, b, c))
+            elif kind == 1:
+                known.append((np.frombuffer(a, "<u8"), np.frombuffer(b, "<i8"), np.frombuffer(c, "<f8")))
+            else:
+                own, y, z, w, doc, train = _opened(a, "<u8", "<u4", "<u4", "<u4", "<u4", "u1")
+                own = np.cumsum(own, dtype=_U)
+                parts.append((own[y], own[z], own[w], train if len(train) else np.ones(len(w), np.uint8)))
+                runs.append((number, np.cumsum(doc, dtype=np.int64)))
     if not parts:
         return None, [], known, heads
-    (z, y, x, w), train = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
+    columns = []
+    for i in range(4):
+        columns.append(np.concatenate([p[i] for p in parts]))
     del parts
-    return Contexts(x, y, z, w, train), runs, known, heads
+    return Contexts(*columns), runs, known, heads
 
 
 def _learn(dealt: DataFrame, buckets: int, words: int) -> DataFrame:
-    """``bucket, w, n``: tables of the one-word restaurants for each word of a bucket."""
+    """``w, bucket, n``: tables of the one-word restaurants of a bucket for each word."""
 
     def make():
         def run(batches):
-            kept = list(batches)
-            of = np.concatenate([np.asarray(b.column(0)) for b in kept] or [np.zeros(0, np.int32)])
-            model, _, _, _ = _read(kept)
+            from pyspark import TaskContext
+
+            model, _, _, _ = _read(batches)
             if model is None:
                 return
             p = np.full(len(model.w), 1 / (words + 2))
-            for _ in range(py.BURN_IN):
-                model.sweep(p)
+            for k in range(LEARN):
+                model.sweep(p, k)
             w, at = np.unique(model.w, return_inverse=True)
             n = np.bincount(at, model.t[-1]).astype(np.int64)
-            # Every bucket of the task asks for these words.
-            for b in np.unique(of).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), b, np.int32)), pa.array(w.view(np.int64)), pa.array(n)], ["bucket", "w", "n"])
-                n = np.zeros_like(n)
+            bucket = np.full(len(w), TaskContext.get().partitionId(), np.int32)
+            for i in range(0, len(w), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(w[i : i + 100_000].view(np.int64)), pa.array(bucket[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["w", "bucket", "n"])
 
         return run
 
-    return map_arrow(dealt.repartitionById(buckets, "bucket"), make, "bucket int, w long, n long")
+    # repartitionById sends bucket b to partition b.
+    return map_arrow(dealt.repartitionById(buckets, "bucket"), make, "w long, bucket int, n long")
+
+
+def _answers(words: DataFrame) -> DataFrame:
+    """kind 1: for each bucket its words with count and probability, of ``w, raw, p, buckets``; packed by task."""
+
+    def make():
+        def run(batches):
+            for batch in batches:
+                w, c, p = (np.asarray(batch.column(i)) for i in range(3))
+                lists = batch.column(3)
+                bucket = np.asarray(lists.flatten())
+                at = np.repeat(np.arange(len(w)), np.diff(np.asarray(lists.offsets)))
+                order = np.argsort(bucket, kind="stable")
+                bucket, at = bucket[order], at[order]
+                which, first = np.unique(bucket, return_index=True)
+                rows = {k: [] for k in _NAMES}
+                for b, s, e in zip(which.tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+                    i = at[s:e]
+                    for k, v in zip(_NAMES, (b, 1, 0, w[i].tobytes(), c[i].tobytes(), p[i].astype("<f8").tobytes()), strict=True):
+                        rows[k].append(v)
+                yield pa.RecordBatch.from_pydict(rows, schema=_SHAPE)
+
+        return run
+
+    return map_arrow(words.select("w", "raw", "p", "buckets"), make, _DEALT)
 
 
 def _score(dealt: DataFrame, buckets: int, base_scale: float, unseen: float) -> DataFrame:
-    """``run, kind, a, b, c, d``: as ``pitman_yor._sums``, of tokens in their contexts."""
+    """``run, kind, a, b, c, d``: kind 0: documents of a run with known tokens, base and model sums; kind 2: heads."""
 
     def make():
         shape = pa.schema([("run", pa.int64()), ("kind", pa.int32()), *((k, pa.binary()) for k in "abcd")])
@@ -227,17 +323,17 @@ def _score(dealt: DataFrame, buckets: int, base_scale: float, unseen: float) ->
             count, p = np.zeros(len(model.w), np.int64), np.full(len(model.w), unseen)
             if known:
                 w, c, q = (np.concatenate([k[i] for k in known]) for i in range(3))
-                w, first = np.unique(w.view(np.uint64), return_index=True)
-                at = np.minimum(np.searchsorted(w, model.w), len(w) - 1)
+                order = np.argsort(w)
+                at = order[np.minimum(np.searchsorted(w[order], model.w), len(w) - 1)]
                 hit = w[at] == model.w
-                count[hit], p[hit] = c[first][at[hit]], q[first][at[hit]]
+                count[hit], p[hit] = c[at[hit]], q[at[hit]]
             total = 0.0
-            for sweep in range(py.BURN_IN + py.SAMPLES):
-                model.sweep(p)
-                if sweep >= py.BURN_IN:
+            for sweep in range(BURN_IN + SAMPLES):
+                model.sweep(p, LEARN + sweep)
+                if sweep >= BURN_IN:
                     total = total + model.predictive(p)[0]
-            logs = np.log10(total / py.SAMPLES)[model.at[0]]
-            word = model.at[2][model.at[1]][model.at[0]]
+            logs = np.log10(total / SAMPLES)[model.at[0]]
+            word = model.at[1][model.at[0]]
             base, seen = (np.log10(count + 0.5) - base_scale)[word], (count > 0).astype(np.float64)[word]
             start = 0
             for number, doc in runs:
@@ -245,25 +341,45 @@ def _score(dealt: DataFrame, buckets: int, base_scale: float, unseen: float) ->
                 own = slice(start, start + len(doc))
                 start += len(doc)
                 sums = [np.bincount(to, x[own]) for x in (seen, base, logs)]
-                yield pa.RecordBatch.from_pydict(
-                    {"run": [number], "kind": [0], "a": [docs.astype("<u2").tobytes()], "b": [sums[0].astype(_LONG).tobytes()], "c": [sums[1].astype("<f8").tobytes()], "d": [sums[2].astype("<f8").tobytes()]}, schema=shape
-                )
+                values = (docs.astype("<u2"), sums[0].astype("<u4"), sums[1].astype("<f8"), sums[2].astype("<f8"))
+                yield pa.RecordBatch.from_pydict({"run": [number], "kind": [0], **{k: [v.tobytes()] for k, v in zip("abcd", values, strict=True)}}, schema=shape)
 
         return run
 
     return map_arrow(dealt.repartitionById(buckets, "bucket"), make, "run long, kind int, a binary, b binary, c binary, d binary")
 
 
+def _documents(sums: DataFrame, parts: int) -> DataFrame:
+    """``doc_id, n_tokens, n_known, base_score, score``: the sums of each run's documents."""
+
+    def make():
+        from .jaccard_join import _groups
+
+        def run(batches):
+            for _, rows in _groups(batches):
+                head = next(r for r in rows if r[1] == 2)
+                ids, n, valid = np.frombuffer(head[2], "<i8"), np.frombuffer(head[3], "<i8"), np.frombuffer(head[4], np.uint8)
+                known, base, score = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+                for _, kind, a, b, c, d in sorted(rows, key=lambda r: r[2:4]):
+                    if kind == 0:
+                        at = np.frombuffer(a, "<u2")
+                        known[at] += np.frombuffer(b, "<u4")
+                        base[at] += np.frombuffer(c, "<f8")
+                        score[at] += np.frombuffer(d, "<f8")
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        return run
+
+    return map_arrow(sums.repartition(parts, "run").sortWithinPartitions("run"), make, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
 def _hashed(vocabulary: DataFrame) -> DataFrame:
     """``w, word, raw``: words with the hash by which tokens are dealt."""
 
     def make():
         def run(batches):
             for batch in batches:
-                words = batch.column(0).to_pylist()
-                length = np.fromiter(map(len, words), np.int64, len(words))
-                end = np.cumsum(length + 1) - 1
-                h = range_hashes(np.frombuffer(b"\n".join([*words, b""]), np.uint8), end - length, end)
+                h = py._hash_of(batch.column(0)) >> _BITS
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0), batch.column(1)], ["w", "word", "raw"])
 
         return run
@@ -272,30 +388,38 @@ def _hashed(vocabulary: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, training: Column) -> DataFrame:
-    """The columns of ``pitman_yor.score``; ``score`` is the log10 probability of the tokens in their contexts."""
-    spark, buckets = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs``.
+
+    Rows where ``training`` is true are learned from. ``score`` is the model's log10
+    probability of the text; the text's perplexity is ``10 ** (-score / n_tokens)``.
+    """
+    spark = docs.sparkSession
     flag = F.coalesce(training, F.lit(False))
     body = F.coalesce("text", F.lit("")).cast("binary")
-    all_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), flag.alias("training"))
-    train_rows = all_rows.where("training").select("doc_id", "body")
-    vocabulary = materialize(py._count_words(train_rows), "py-words")
-    n_train = train_rows.count()
-    facts = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    flagged = F.concat(F.when(flag, F.lit(b"1")).otherwise(F.lit(b"0")), body).alias("body")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    vocabulary = materialize(_hashed(py._count_words(docs.where(flag).select(doc_id, body.alias("body")))), "py-words")
+    n_train = docs.where(flag).count()
+    facts = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("raw"), F.lit(0)).alias("n")).first()
     tokens, distinct = facts.n + n_train, facts.v + (n_train > 0)
     base_scale = math.log10(tokens + 0.5 * (distinct + 1))
-    dealt = _deal(all_rows.select("doc_id", F.concat(F.when(F.col("training"), F.lit(b"1")).otherwise(F.lit(b"0")), "body").alias("body")), buckets)
+    buckets = max(shuffle_partitions(spark), -(-tokens // BUCKET_TOKENS))
+    often = vocabulary.where(F.col("raw") > SHARE_TOKENS).orderBy(F.desc("raw"), "w").limit(HOT).select("w", "raw").toPandas()
+    shares = Shares(often.w.to_numpy(np.int64).view(_U), often.raw.to_numpy(np.int64), n_train)
+    dealt = _deal(docs.select(doc_id, flagged), buckets, shares, True)
     if not n_train:
         sums = _score(dealt, buckets, base_scale, 0.5 / 10**base_scale)
     else:
-        tables = materialize(_learn(dealt, buckets, facts.v), "py-tables")
-        end = int(_END.astype(np.int64))
-        customers = tables.where("n > 0").groupBy("w").agg(F.sum("n").alias("c"))
-        words = materialize(_hashed(vocabulary).join(customers, "w").select("w", "word", "raw", "c"), "py-customers")
-        root, end_p, unseen = py.word_model(words, customers.where(F.col("w") == end).first().c)
-        known = root.select("w", F.col("raw").alias("c"), "p").unionByName(spark.createDataFrame([(end, n_train, end_p)], "w long, c long, p double"))
-        asked = tables.select("bucket", "w").join(known, "w")
-        none = F.lit(None).cast("binary")
-        rows = asked.select("bucket", F.lit(1).alias("kind"), F.col("w").alias("run"), none.alias("words"), none.alias("at"), none.alias("doc"), "c", "p")
-        sums = _score(dealt.unionByName(rows), buckets, base_scale, unseen)
-    out = py._documents(sums, buckets, (0, 0.0, 0.0))
+        tables = materialize(_learn(_deal(docs.where(flag).select(doc_id, flagged), buckets, shares, False), buckets, facts.v), "py-tables")
+        end = int(_END)
+        customers = materialize(tables.groupBy("w").agg(F.sum("n").alias("c"), F.collect_list("bucket").alias("buckets")), "py-customers")
+        forget(tables)
+        last = customers.where(F.col("w") == end).first()
+        words = materialize(vocabulary.join(customers, "w").select("w", "word", "raw", "c", "buckets"), "py-words")
+        forget(vocabulary)
+        root, end_p, unseen = py.word_model(words, last.c)
+        end_row = spark.createDataFrame([(end, n_train, end_p, last.buckets)], "w long, raw long, p double, buckets array<int>")
+        forget(customers)
+        sums = _score(dealt.unionByName(_answers(root.select("w", "raw", "p", "buckets").unionByName(end_row))), buckets, base_scale, unseen)
+    out = _documents(sums, shuffle_partitions(spark))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

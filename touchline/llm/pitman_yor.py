@@ -1,44 +1,37 @@
-"""LM scoring with a nested hierarchical Pitman-Yor model.
+"""The word restaurant of the Pitman-Yor model, and its spelling.
 
-The word restaurant's customers are the training tokens (words and one end for
-each text). Its base measure spells words: a hierarchy of restaurants over the
-bytes of a word, whose context restaurants (two classes of preceding bytes) share
-parents (one class, none) and end in the uniform distribution. Each table of the
-word restaurant sends its word to the spelling restaurants, each table there a
-customer to its parent.
+The customers of the word restaurant are the tables that the restaurants of contexts
+send (``context_model``). Its base measure spells words: a hierarchy of restaurants
+over the bytes of a word, whose context restaurants (two classes of preceding bytes)
+share parents (one class, none) and end in the uniform distribution. Each table of the
+word restaurant sends its word to the spelling restaurants, each table there a customer
+to its parent.
 
 Table counts are sampled by Gibbs: all customers of a dish leave and sit down again
 given the others (``seating.draw_tables``). Dishes move at once, with totals as they
-were before the sweep. Predictive probabilities are averaged over samples.
+were before the sweep. Random numbers follow from the word's hash and the sweep, so
+results do not depend on how the rows lie. Predictive probabilities are averaged over
+samples.
 
 Outcomes are the ``V`` distinct training tokens and one outcome for any unseen
 word, as in the base score: an unseen word has the mass of a new table times what
 the spelling model leaves to unseen words. Probabilities of all outcomes add up
-to 1.
-
-How it is dealt: words are counted over all training texts and kept by hash; runs
-of texts send their distinct words with the documents they stand in to the word's
-bucket, which answers with sums for each document. A bucket gets a frequent word
-once for each run of texts, so no bucket grows with a word. What is collected is
-the spelling cells, at most ``CONTEXTS * SYMBOLS``, whatever the corpus.
-
-A null or empty text has the end alone. Texts are used whole. Rows with the same
-id are scored each. Without training texts every token has the base score's
-probability of an unseen one. Extra columns are ignored.
+to 1. What is collected is the spelling cells, at most ``CONTEXTS * SYMBOLS``, whatever
+the corpus.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import in_text_chunks, map_arrow, materialize, shuffle_partitions
+from .common import forget, in_text_chunks, map_arrow, materialize
 from .seating import draw_tables
-from .textvec import Words
+from .textvec import Words, mix, range_hashes
 
 #: Spelled symbols: bytes and the end of a word.
 SYMBOLS = 257
@@ -46,9 +39,9 @@ SYMBOLS = 257
 CLASSES = 33
 CONTEXTS = CLASSES * CLASSES
 STRENGTH = 1.0
-BURN_IN, SAMPLES = 12, 4
+BURN_IN, SAMPLES = 3, 3
 #: Sweeps over the words, each with the tables and the spelling of the one before.
-ROUNDS = 3
+ROUNDS = 2
 #: Mass of the end token in the base measure.
 END_BASE = 0.01
 RUN_BYTES = 4_000_000
@@ -58,96 +51,14 @@ _CLASS = np.array([b - 97 if 97 <= b < 123 else 26 if 48 <= b < 58 else 27 if b
 _START = 32
 
 
-class Seating:
-    """Explicit tables of many dishes (the models draw table counts by ``seating.draw_tables``): ``owner`` (dish) in order and ``size``; ``n`` customers of each dish."""
-
-    def __init__(self, n: np.ndarray, appeal: np.ndarray, discount: float, rng: np.random.Generator):
-        """First seats: customers come in growing groups, each sits down given those before."""
-        self.n, self.d, self.rng = n.astype(np.int64), discount, rng
-        tables = (self.n > 0).astype(np.int64)
-        sat = tables.astype(np.float64)
-        while (more := sat < self.n).any():
-            group = np.where(more, np.minimum(np.maximum(1, sat // 4), self.n - sat), 0).astype(np.int64)
-            new = appeal / (appeal + np.maximum(sat - discount * tables, 1e-9))
-            tables += rng.binomial(group, np.clip(new, 0, 1))
-            sat += group
-        self.owner = np.repeat(np.arange(len(n)), tables)
-        self.size = np.ones(len(self.owner), np.int64)
-        rest = self.n - tables
-        first = np.cumsum(tables) - tables
-        live = tables > 0
-        self.size[first[live]] += rest[live]
-
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.owner, minlength=len(self.n))
-
-    def round(self, appeal: np.ndarray) -> None:
-        """One customer of every dish leaves and sits down again; ``appeal`` is the weight of a new table."""
-        rng = self.rng
-        who = np.flatnonzero(self.n > 1)
-        if not len(who):
-            return
-        end = np.cumsum(self.size)
-        first = np.cumsum(self.n) - self.n
-        self.size[np.searchsorted(end, first[who] + rng.integers(0, self.n[who]), "right")] -= 1
-        live = self.size > 0
-        self.owner, self.size = self.owner[live], self.size[live]
-        tables = self.tables()[who]
-        old = np.maximum(self.n[who] - 1 - self.d * tables, 0)
-        new = rng.random(len(who)) * (appeal[who] + old) < appeal[who]
-        # An old table in proportion to size - discount: take that of some customer, with rejection.
-        taken = np.bincount(self.owner, self.size, len(self.n)).astype(np.int64)
-        end, first = np.cumsum(self.size), np.cumsum(taken) - taken
-        todo = who[~new]
-        for _ in range(50):
-            if not len(todo):
-                break
-            at = np.searchsorted(end, first[todo] + rng.integers(0, taken[todo]), "right")
-            ok = rng.random(len(todo)) * self.size[at] < self.size[at] - self.d
-            np.add.at(self.size, at[ok], 1)
-            todo = todo[~ok]
-            if ok.any():
-                end = np.cumsum(self.size)
-                taken = np.bincount(self.owner, self.size, len(self.n)).astype(np.int64)
-                first = np.cumsum(taken) - taken
-        new_owner = np.concatenate([who[new], todo])
-        owner, size = np.concatenate([self.owner, new_owner]), np.concatenate([self.size, np.ones(len(new_owner), np.int64)])
-        order = np.argsort(owner, kind="stable")
-        self.owner, self.size = owner[order], size[order]
-
-    def resize(self, n: np.ndarray, appeal: np.ndarray) -> None:
-        """Customers come and go at random until dish ``i`` has ``n[i]``."""
-        tables = self.tables()
-        fresh = (tables == 0) & (n > 0)
-        gone = np.flatnonzero(n < self.n)
-        keep = self.size.copy()
-        for i in gone:  # from the largest tables first when many leave at once
-            a, b = np.searchsorted(self.owner, [i, i + 1])
-            left = self.n[i] - n[i]
-            while left > 0:
-                j = a + int(np.argmax(keep[a:b]))
-                cut = min(left, max(1, int(keep[j]) // 2))
-                keep[j] -= cut
-                left -= cut
-        more = np.where((n > self.n) & ~fresh, n - self.n, 0)
-        first = np.searchsorted(self.owner, np.flatnonzero(more))
-        keep[first] += more[more > 0]
-        live = keep > 0
-        owner = np.concatenate([self.owner[live], np.flatnonzero(fresh)])
-        size = np.concatenate([keep[live], n[fresh]])
-        order = np.argsort(owner, kind="stable")
-        self.owner, self.size, self.n = owner[order], size[order], n.astype(np.int64)
-
-
 def discount_of(n: np.ndarray) -> float:
     """The discount by the numbers of dishes with one and with two customers."""
     one, two = int((n == 1).sum()), int((n == 2).sum())
     return min(0.9, max(0.1, one / (one + 2 * two))) if one else 0.5
 
 
-def spelling_model(counts: np.ndarray, seed: int = 7) -> np.ndarray:
+def spelling_model(counts: np.ndarray) -> np.ndarray:
     """Averaged predictive probabilities ``(CONTEXTS, SYMBOLS)`` from customers of that shape."""
-    rng = np.random.default_rng(seed)
     # Restaurants of a level share one array of dishes (restaurant * SYMBOLS + symbol).
     parent = [np.arange(CONTEXTS) % CLASSES, np.zeros(CLASSES, np.int64), None]
     places = [CONTEXTS, CLASSES, 1]
@@ -184,7 +95,8 @@ def spelling_model(counts: np.ndarray, seed: int = 7) -> np.ndarray:
                 t[level] = np.minimum(t[level], n[level])
             others = STRENGTH + d[level] * (t[level].sum(axis=1, keepdims=True) - t[level])
             up = np.broadcast_to(up_of(level, p[level + 1]), n[level].shape)
-            t[level] = draw_tables(n[level].ravel(), others.ravel(), up.ravel(), d[level], rng).reshape(n[level].shape)
+            key = mix(np.arange(n[level].size, dtype=np.uint64) + np.uint64(level << 40))
+            t[level] = draw_tables(n[level].ravel(), others.ravel(), up.ravel(), d[level], key, sweep).reshape(n[level].shape)
         if sweep >= BURN_IN:
             total += predictive()[0]
     return total / SAMPLES
@@ -257,235 +169,60 @@ def _spelling_cells(vocabulary: DataFrame) -> np.ndarray:
     return out.reshape(CONTEXTS, SYMBOLS)
 
 
-def _word_seats(vocabulary: DataFrame, spelling: np.ndarray, discount: float, tables: int) -> DataFrame:
-    """``word, c, p0, seats``: tables of each word (``tables`` of them before, in all) in ``SAMPLES`` samples."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(spelling)  # CONTEXTS * SYMBOLS
-
-    def make():
-        log_p = np.log(shared.value)
-
-        def run(batches):
-            rng = np.random.default_rng(11)
-            for batch in batches:
-                words = batch.column(0).to_pylist()
-                c = np.asarray(batch.column(1))
-                context, symbol, word = spelled(words)
-                p0 = (1 - END_BASE) * np.exp(np.bincount(word, log_p[context, symbol], len(words)))
-                others = STRENGTH + discount * (tables - np.asarray(batch.column(2)))
-                kept = np.stack([draw_tables(c, others, p0, discount, rng) for _ in range(SAMPLES)], axis=1)
-                seats_of = pa.FixedSizeListArray.from_arrays(pa.array(kept.ravel()), SAMPLES).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p0), seats_of], ["word", "c", "p0", "seats"])
-
-        return run
-
-    return map_arrow(vocabulary.select("word", "c", "tables"), make, "word binary, c long, p0 double, seats array<long>")
-
-
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-
-
-_DEALT = "bucket int, kind int, run long, words binary, a binary, b binary, c binary"
-
-
-def _deal_words(rows: DataFrame, buckets: int) -> DataFrame:
-    """Runs of texts by the bucket of their words; kind 0: words and where they stand, kind 2: the run's documents."""
-
-    def make():
-        from pyspark import TaskContext
-
-        def run(batches):
-            number = TaskContext.get().partitionId() << 32
-            for ids, texts in in_text_chunks(batches, RUN_BYTES):
-                for i in range(0, len(ids), 60_000):
-                    number += 1
-                    yield from one(number, ids[i : i + 60_000], texts[i : i + 60_000])
-
-        def one(number, ids, texts):
-            w = Words(texts)
-            words, h, at, _ = distinct(w)
-            bucket = _bucket(h, buckets)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            pair, times = np.unique(rank[at] * len(texts) + w.doc, return_counts=True)
-            word, doc = pair // len(texts), pair % len(texts)
-            docs_of = np.bincount(word, minlength=len(words))
-            which, first = np.unique(bucket[order], return_index=True)
-            ends = np.r_[first[1:], len(order)]
-            cut = np.r_[0, np.cumsum(docs_of)]
-            valid = np.array([i is not None for i in ids], np.uint8)
-            head = {"bucket": [number % buckets], "kind": [2], "run": [number], "words": [valid.tobytes()], "a": [np.array([i or 0 for i in ids], "<i8").tobytes()], "b": [(w.count + 1).astype("<i8").tobytes()], "c": [b""]}
-            yield pa.RecordBatch.from_pydict(head, schema=shape)
-            if not len(which):
-                return
-            rows_ = {k: [] for k in shape.names}
-            for b, s, e in zip(which.tolist(), first.tolist(), ends.tolist(), strict=True):
-                rows_["bucket"].append(b)
-                rows_["kind"].append(0)
-                rows_["run"].append(number)
-                rows_["words"].append(b"\n".join([words[i] for i in order[s:e].tolist()]))
-                rows_["a"].append(docs_of[s:e].astype("<u4").tobytes())
-                rows_["b"].append(doc[cut[s] : cut[e]].astype("<u2").tobytes())
-                rows_["c"].append(times[cut[s] : cut[e]].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_pydict(rows_, schema=shape)
-
-        return run
-
-    shape = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.int64()), *((k, pa.binary()) for k in ("words", "a", "b", "c"))])
-    return map_arrow(rows, make, _DEALT)
-
-
-def _deal_vocabulary(model: DataFrame, buckets: int) -> DataFrame:
-    """kind 1: the bucket's words with count and log10 probability."""
-    shape = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.int64()), *((k, pa.binary()) for k in ("words", "a", "b", "c"))])
-
-    def make():
-        def run(batches):
-            from .textvec import range_hashes
-
-            for batch in batches:
-                words = batch.column(0).to_pylist()
-                length = np.fromiter(map(len, words), np.int64, len(words))
-                end = np.cumsum(length + 1) - 1
-                buf = np.frombuffer(b"\n".join([*words, b""]), np.uint8)
-                bucket = _bucket(range_hashes(buf, end - length, end), buckets)
-                c, p = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-                order = np.argsort(bucket, kind="stable")
-                which, first = np.unique(bucket[order], return_index=True)
-                rows_ = {k: [] for k in shape.names}
-                for b, s, e in zip(which.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-                    i = order[s:e]
-                    for k, v in zip(shape.names, (b, 1, 0, b"\n".join([words[j] for j in i.tolist()]), c[i].astype("<i8").tobytes(), p[i].astype("<f8").tobytes(), b""), strict=True):
-                        rows_[k].append(v)
-                yield pa.RecordBatch.from_pydict(rows_, schema=shape)
-
-        return run
-
-    return map_arrow(model, make, _DEALT)
+def _hash_of(word: pa.Array) -> np.ndarray:
+    """Hashes of words, as ``Words.hashes`` gives them."""
+    length = np.asarray(pc.binary_length(word)).astype(np.int64)
+    end = np.cumsum(length + 1) - 1
+    return range_hashes(np.frombuffer(b"\n".join([*word.to_pylist(), b""]), np.uint8), end - length, end)
 
 
-def _sums(dealt: DataFrame, buckets: int, base_scale: float, unseen: float) -> DataFrame:
-    """``run, kind, a, b, c, d``: kind 0: documents of a run with known tokens, base and model sums."""
+def _word_seats(words: DataFrame, spelling: np.ndarray, discount: float, tables: int, sweep: int, samples: int) -> DataFrame:
+    """``words`` with ``p0`` and ``seats``: its tables (``tables`` in all before) in ``samples`` samples."""
+    shared = words.sparkSession.sparkContext.broadcast(spelling)  # CONTEXTS * SYMBOLS
+    word_at, c_at, tables_at = (words.columns.index(k) for k in ("word", "c", "tables"))
 
     def make():
-        shape = pa.schema([("run", pa.int64()), ("kind", pa.int32()), *((k, pa.binary()) for k in "abcd")])
+        log_p = np.log(shared.value)
 
         def run(batches):
-            known: dict[bytes, int] = {}
-            counts, logs, waiting = [np.zeros(1, np.int64)], [np.full(1, unseen)], []
-            size = 1
             for batch in batches:
-                for kind, number, words, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
-                    if kind == 1:
-                        words = words.split(b"\n")
-                        known.update(zip(words, range(size, size + len(words)), strict=True))
-                        counts.append(np.frombuffer(a, "<i8"))
-                        logs.append(np.frombuffer(b, "<f8"))
-                        size += len(words)
-                    elif kind == 0:
-                        waiting.append((number, words, a, b, c))
-                    else:
-                        yield pa.RecordBatch.from_pydict({"run": [number], "kind": [2], "a": [a], "b": [b], "c": [words], "d": [b""]}, schema=shape)
-            counts, logs = np.concatenate(counts), np.concatenate(logs)
-            base = np.log10(counts + 0.5) - base_scale
-            for number, words, a, b, c in waiting:
-                words = words.split(b"\n")
-                at = np.repeat(np.fromiter((known.get(w, 0) for w in words), np.int64, len(words)), np.frombuffer(a, "<u4"))
-                doc, times = np.frombuffer(b, "<u2"), np.frombuffer(c, "<u4").astype(np.float64)
-                docs, to = np.unique(doc, return_inverse=True)
-                sums = [np.bincount(to, times * x) for x in ((counts[at] > 0).astype(np.float64), base[at], logs[at])]
-                yield pa.RecordBatch.from_pydict(
-                    {"run": [number], "kind": [0], "a": [docs.astype("<u2").tobytes()], "b": [sums[0].astype("<i8").tobytes()], "c": [sums[1].astype("<f8").tobytes()], "d": [sums[2].astype("<f8").tobytes()]}, schema=shape
-                )
+                context, symbol, word = spelled(batch.column(word_at).to_pylist())
+                p0 = (1 - END_BASE) * np.exp(np.bincount(word, log_p[context, symbol], batch.num_rows))
+                others = STRENGTH + discount * (tables - np.asarray(batch.column(tables_at)))
+                c, key = np.asarray(batch.column(c_at)), _hash_of(batch.column(word_at))
+                kept = np.stack([draw_tables(c, others, p0, discount, key, sweep + k) for k in range(samples)], axis=1)
+                seats_of = pa.FixedSizeListArray.from_arrays(pa.array(kept.ravel()), samples).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p0), seats_of], [*batch.schema.names, "p0", "seats"])
 
         return run
 
-    return map_arrow(dealt.repartitionById(buckets, "bucket"), make, "run long, kind int, a binary, b binary, c binary, d binary")
-
-
-def _documents(sums: DataFrame, parts: int, end: tuple[int, float, float]) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score``: the sums of each run's documents and their end token."""
-
-    def make():
-        from .jaccard_join import _groups
-
-        def run(batches):
-            for _, rows in _groups(batches):
-                head = next(r for r in rows if r[1] == 2)
-                ids, n, valid = np.frombuffer(head[2], "<i8"), np.frombuffer(head[3], "<i8"), np.frombuffer(head[4], np.uint8)
-                known, base, score = np.full(len(ids), end[0]), np.full(len(ids), end[1]), np.full(len(ids), end[2])
-                for _, kind, a, b, c, d in rows:
-                    if kind == 0:
-                        at = np.frombuffer(a, "<u2")
-                        known[at] += np.frombuffer(b, "<i8")
-                        base[at] += np.frombuffer(c, "<f8")
-                        score[at] += np.frombuffer(d, "<f8")
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-        return run
-
-    return map_arrow(sums.repartition(parts, "run").sortWithinPartitions("run"), make, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-
-
-def _seated(words: DataFrame, discount: float, count: int) -> DataFrame:
-    """``word, c, p0, seats`` after ``ROUNDS`` sweeps; each one's tables are the customers of the next one's spelling."""
-    seats, tables = words.withColumn("tables", F.lit(1).cast("long")), count
-    for _ in range(ROUNDS):
-        seats = materialize(_word_seats(seats, spelling_model(_spelling_cells(seats)), discount, tables), "py-seats").withColumn("tables", F.col("seats")[SAMPLES - 1])
-        tables = seats.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("t")).first().t
-    return seats
+    schema = T.StructType([*words.schema.fields, T.StructField("p0", T.DoubleType()), T.StructField("seats", T.ArrayType(T.LongType()))])
+    return map_arrow(words, make, schema)
 
 
 def word_model(words: DataFrame, end_customers: int) -> tuple[DataFrame, float, float]:
-    """``p`` of each word of ``words (word, c, ..)`` with ``c`` customers, and the probabilities of the end and of an unseen word."""
+    """``words (word, c, ..)`` with ``p``, for ``c`` customers, and the probabilities of the end and of an unseen word.
+
+    ``ROUNDS`` sweeps; each one's tables are the customers of the next one's spelling.
+    """
     facts = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
     discount = min(0.9, max(0.1, facts.one / (facts.one + 2 * facts.two))) if facts.one else 0.5
-    seats = _seated(words, discount, facts.v)
-    totals = seats.agg(*(F.coalesce(F.sum(F.col("seats")[k]), F.lit(0)).alias(f"t{k}") for k in range(SAMPLES)), F.coalesce(F.sum("p0"), F.lit(0.0)).alias("p0")).first()
+    now, tables, old = words.withColumn("tables", F.lit(1).cast("long")), facts.v, words
+    for k in range(ROUNDS):
+        samples = SAMPLES if k == ROUNDS - 1 else 1
+        seats = _word_seats(now, spelling_model(_spelling_cells(now)), discount, tables, k, samples)
+        if samples == 1:
+            seats = seats.drop("p0", "tables").withColumn("tables", F.col("seats")[0]).drop("seats")
+        now = materialize(seats, "py-seats")
+        forget(old)
+        old = now
+        if samples == 1:
+            tables = now.agg(F.coalesce(F.sum("tables"), F.lit(0)).alias("t")).first().t
+    totals = now.agg(*(F.coalesce(F.sum(F.col("seats")[k]), F.lit(0)).alias(f"t{k}") for k in range(SAMPLES)), F.coalesce(F.sum("p0"), F.lit(0.0)).alias("p0")).first()
     # The end token sits at one table of its own in every sample.
     whole = STRENGTH + facts.n + end_customers
     new = [(STRENGTH + discount * (totals[f"t{k}"] + (end_customers > 0))) / whole for k in range(SAMPLES)]
     mean = sum(new) / SAMPLES
     p_word = sum(((F.col("c") - discount * F.col("seats")[k]) / whole + F.lit(new[k]) * F.col("p0") for k in range(SAMPLES)), F.lit(0.0)) / SAMPLES
     end_p = (end_customers - discount) / whole + mean * END_BASE
-    model = words.join(seats.select("word", "p0", "seats"), "word").withColumn("p", p_word)
-    return model, end_p, mean * max(1e-9, 1 - END_BASE - totals.p0)
-
-
-def score(docs: DataFrame, training: Column) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs``.
-
-    Rows where ``training`` is true are learned from. ``score`` is the model's log10
-    probability of the text; the text's perplexity is ``10 ** (-score / n_tokens)``.
-    """
-    spark, buckets = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    all_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.coalesce(training, F.lit(False)).alias("training"))
-    train_rows = all_rows.where("training").select("doc_id", "body")
-    rows = all_rows.select("doc_id", "body")
-    vocabulary = materialize(_count_words(train_rows), "py-words")
-    n_train = train_rows.count()
-    facts = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
-    tokens, distinct_ = facts.n + n_train, facts.v + (n_train > 0)
-    base_scale = math.log10(tokens + 0.5 * (distinct_ + 1))
-    discount = min(0.9, max(0.1, facts.one / (facts.one + 2 * facts.two))) if facts.one else 0.5
-    seats = _seated(vocabulary, discount, facts.v)
-    totals = seats.agg(*(F.coalesce(F.sum(F.col("seats")[k]), F.lit(0)).alias(f"t{k}") for k in range(SAMPLES)), F.coalesce(F.sum("p0"), F.lit(0.0)).alias("p0")).first()
-    # The end token sits at one table of its own in every sample.
-    t = [totals[f"t{k}"] + (n_train > 0) for k in range(SAMPLES)]
-    whole = STRENGTH + tokens
-    new = [(STRENGTH + discount * x) / whole for x in t]
-    mean = lambda values: sum(values) / SAMPLES
-    p_word = sum(((F.col("c") - discount * F.col("seats")[k]) / whole + F.lit(new[k]) * F.col("p0") for k in range(SAMPLES)), F.lit(0.0)) / SAMPLES
-    model = seats.select("word", "c", F.log10(p_word).alias("p"))
-    if n_train:
-        end_p = (n_train - discount) / whole + mean(new) * END_BASE
-        unseen_p = mean(new) * max(1e-9, 1 - END_BASE - totals.p0)
-        end = (1, math.log10(n_train + 0.5) - base_scale, math.log10(end_p))
-        unseen = math.log10(unseen_p)
-    else:
-        unseen = math.log10(0.5) - base_scale
-        end = (0, unseen, unseen)
-    dealt = _deal_words(rows, buckets).unionByName(_deal_vocabulary(model, buckets))
-    out = _documents(_sums(dealt, buckets, base_scale, unseen), buckets, end)
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return now.withColumn("p", p_word).drop("p0", "seats", "tables"), end_p, mean * max(1e-9, 1 - END_BASE - totals.p0)

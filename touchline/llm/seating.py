@@ -7,10 +7,12 @@ from functools import lru_cache
 
 import numpy as np
 
+from .textvec import mix
+
 #: Dishes up to this size have the weights of all their table counts in a table.
 EXACT = 512
 #: Tables up to which a finite sum is used; Metropolis steps.
-FEW, STEPS = 150, 10
+FEW, STEPS = 12, 5
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -50,7 +52,7 @@ def log_ways_of_many(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
         with np.errstate(all="ignore"):
             goal = np.log(m / k)
             v = (goal - math.log(d)) / (1 - d)
-            for _ in range(12):
+            for _ in range(8):
                 slope = 1 / -np.expm1(-v) - d / -np.expm1(-d * v)
                 v = np.maximum(v - (v - d * v + np.log(-np.expm1(-v)) - np.log(-np.expm1(-d * v)) + math.log(d) - goal) / slope, 1e-9)
             slope = 1 / -np.expm1(-v) - d / -np.expm1(-d * v)
@@ -59,14 +61,22 @@ def log_ways_of_many(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return out
 
 
-def draw_tables(n: np.ndarray, rest: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def uniforms(key: np.ndarray, number: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the key and the draw's number alone, wherever a dish is worked on."""
+    return ((mix(key.view(np.uint64) + np.uint64((number * 0x9E3779B97F4A7C15) & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def draw_tables(n: np.ndarray, rest: np.ndarray, p: np.ndarray, d: float, key: np.ndarray, sweep: int) -> np.ndarray:
     """Table counts of dishes whose ``n`` customers all sit down anew.
 
     ``rest`` is strength + discount * tables of the restaurant's other dishes, ``p`` the
     dish's probability in the parent. ``t`` tables weigh their number of seatings times
     ``(rest + i * d) * p`` for each table; the weights rise to one peak and fall. Above
     ``EXACT`` customers ``STEPS`` Metropolis steps with a proposal at the peak draw from them.
+    ``key`` and ``sweep`` fix the random numbers, so that a repeated task, or another
+    layout of the data, draws the same.
     """
+    number = sweep * (3 * STEPS + 1)
     out = np.minimum(n, 1).astype(np.int64)
     small = np.flatnonzero((n >= 2) & (n <= EXACT))
     if len(small):
@@ -76,11 +86,12 @@ def draw_tables(n: np.ndarray, rest: np.ndarray, p: np.ndarray, d: float, rng: n
         for k, s, e in zip(size.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
             for a in range(s, e, 20_000):
                 i = order[a : min(e, a + 20_000)]
-                weight = np.cumsum(np.log(rest[i, None] + d * np.arange(k)) + np.log(p[i, None]), axis=1) + ways[k, 1 : k + 1]
-                out[i] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+                weight = np.cumsum(np.log((rest[i, None] + d * np.arange(k)) * p[i, None]), axis=1) + ways[k, 1 : k + 1]
+                total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+                out[i] = 1 + (total[:, :-1] < (uniforms(key[i], number) * total[:, -1])[:, None]).sum(axis=1)
     large = np.flatnonzero(n > EXACT)
-    for a in range(0, len(large), 500):
-        i = large[a : a + 500]
+    for a in range(0, len(large), 4000):
+        i = large[a : a + 4000]
 
         def weight(i, t):
             return log_ways_of_many(n[i], t, d) + t * (np.log(p[i]) + math.log(d)) + log_gamma(rest[i] / d + t) - log_gamma(rest[i] / d)
@@ -97,13 +108,14 @@ def draw_tables(n: np.ndarray, rest: np.ndarray, p: np.ndarray, d: float, rng: n
         bend = np.where((side[0] < peak) & (side[2] > peak), 2 * here - left - right, 1 / (peak + 1.0))
         spread = 1.1 / np.sqrt(np.maximum(bend, 1 / (peak + 1.0))) + 0.5
         t, log_t = peak, here
-        for _ in range(STEPS):
-            new = np.rint(peak + spread * rng.standard_normal(len(i))).astype(np.int64)
+        for step in range(STEPS):
+            u, v, w = (uniforms(key[i], number + 1 + 3 * step + j) for j in range(3))
+            new = np.rint(peak + spread * np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * v)).astype(np.int64)
             inside = (new >= 1) & (new <= n[i])
             new = np.clip(new, 1, n[i])
             log_new = weight(i, new)
             gain = log_new - log_t + ((new - peak) ** 2 - (t - peak) ** 2) / (2 * spread**2)
-            take = inside & (np.log(rng.random(len(i))) < gain)
+            take = inside & (np.log(w) < gain)
             t, log_t = np.where(take, new, t), np.where(take, log_new, log_t)
         out[i] = t
     return out
