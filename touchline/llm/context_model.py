@@ -180,7 +180,7 @@ def _deal(rows: DataFrame, buckets: int, shares: Shares, documents: bool) -> Dat
     """Runs of texts by the bucket of preceding words; kind 0: tokens, kind 2: the run's documents.
 
     ``body`` has one more byte before the text: whether it is trained on. Without
-    ``documents``, tokens alone are dealt.
+    ``documents``, tokens are dealt without their documents.
     """
     shared = rows.sparkSession.sparkContext.broadcast(shares)  # HOT words at most
 
@@ -224,8 +224,7 @@ def _deal(rows: DataFrame, buckets: int, shares: Shares, documents: bool) -> Dat
                 at = _least_width(at).reshape(3, -1)
                 own = np.diff(own, prepend=_U(0)).view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits
                 texts = _least_width(np.diff(doc[i], prepend=0)) if documents else np.zeros(0, "<u2")
-                known_too = train[doc[i]].astype(np.uint8) if documents else np.zeros(0, np.uint8)
-                body = _squeezed(np.ascontiguousarray(own).view("V6").ravel(), at[0], at[1], at[2], texts, known_too)
+                body = _squeezed(np.ascontiguousarray(own).view("V6").ravel(), at[0], at[1], at[2], texts, train[doc[i]].astype(np.uint8))
                 for k, v in zip(_NAMES, (b, 0, number, body, None, None), strict=True):
                     rows_[k].append(v)
             yield pa.RecordBatch.from_pydict(rows_, schema=_SHAPE)
@@ -247,7 +246,7 @@ def _read(batches):
             else:
                 own, y, z, w, doc, train = _opened(a, "<u8", "<u4", "<u4", "<u4", "<u4", "u1")
                 own = np.cumsum(own, dtype=_U)
-                parts.append((own[y], own[z], own[w], train if len(train) else np.ones(len(w), np.uint8)))
+                parts.append((own[y], own[z], own[w], train))
                 runs.append((number, np.cumsum(doc, dtype=np.int64)))
     if not parts:
         return None, [], known, heads
@@ -259,13 +258,14 @@ def _read(batches):
 
 
 def _learn(dealt: DataFrame, buckets: int, words: int) -> DataFrame:
-    """``w, bucket, n``: tables of the one-word restaurants of a bucket for each word."""
+    """``w, bucket, n``: tables of the one-word restaurants of a bucket for each word, 0 for words of texts that are not trained on."""
 
     def make():
         def run(batches):
-            from pyspark import TaskContext
-
-            model, _, _, _ = _read(batches)
+            kept = list(batches)
+            of = np.unique(np.concatenate([np.asarray(b.column(0)) for b in kept] or [np.zeros(0, np.int32)]))
+            model, _, _, _ = _read(kept)
+            del kept
             if model is None:
                 return
             p = np.full(len(model.w), 1 / (words + 2))
@@ -273,13 +273,15 @@ def _learn(dealt: DataFrame, buckets: int, words: int) -> DataFrame:
                 model.sweep(p, k)
             w, at = np.unique(model.w, return_inverse=True)
             n = np.bincount(at, model.t[-1]).astype(np.int64)
-            bucket = np.full(len(w), TaskContext.get().partitionId(), np.int32)
-            for i in range(0, len(w), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(w[i : i + 100_000].view(np.int64)), pa.array(bucket[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["w", "bucket", "n"])
+            # Every bucket of the task (one, unless Spark joins small ones) asks for these words.
+            for b in of.tolist():
+                for i in range(0, len(w), 100_000):
+                    part = w[i : i + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), b, np.int32)), pa.array(n[i : i + 100_000])], ["w", "bucket", "n"])
+                n = np.zeros_like(n)
 
         return run
 
-    # repartitionById sends bucket b to partition b.
     return map_arrow(dealt.repartitionById(buckets, "bucket"), make, "w long, bucket int, n long")
 
 
@@ -410,7 +412,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     if not n_train:
         sums = _score(dealt, buckets, base_scale, 0.5 / 10**base_scale)
     else:
-        tables = materialize(_learn(_deal(docs.where(flag).select(doc_id, flagged), buckets, shares, False), buckets, facts.v), "py-tables")
+        tables = materialize(_learn(_deal(docs.select(doc_id, flagged), buckets, shares, False), buckets, facts.v), "py-tables")
         end = int(_END)
         customers = materialize(tables.groupBy("w").agg(F.sum("n").alias("c"), F.collect_list("bucket").alias("buckets")), "py-customers")
         forget(tables)
