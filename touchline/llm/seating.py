@@ -12,7 +12,7 @@ from .textvec import mix
 #: Dishes up to this size have the weights of all their table counts in a table.
 EXACT = 512
 #: Tables up to which a finite sum is used; Metropolis steps.
-FEW, STEPS = 12, 5
+FEW, STEPS = 40, 5
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
