@@ -22,11 +22,13 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a folder of our own
-    is set.
+    Only where a session on one machine has none, a folder of our own is set; on a
+    cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "touchline-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -127,6 +129,19 @@ def in_runs(batches: Iterator[pa.RecordBatch], limit: int, most: int = 60_000) -
         yield ids, texts
 
 
+def joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def give_back() -> None:
     """Return freed memory of this Python worker to the system; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

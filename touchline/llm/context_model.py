@@ -50,7 +50,7 @@ BUCKET_TOKENS = 2_000_000
 SHARE_TOKENS = 1_000_000
 #: Words that are looked at for shares, the most frequent ones.
 HOT = 1 << 20
-RUN_BYTES = 12 << 20
+RUN_BYTES = 4 << 20
 _U = np.uint64
 _START, _END = _U(0x1B873593CC9E), _U(0x85EBCA6BC2B2)
 _BITS = _U(16)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, in_text_chunks, map_arrow, materialize
+from .common import forget, in_text_chunks, joined, map_arrow, materialize
 from .seating import draw_tables
 from .textvec import Words, mix, range_hashes
 
@@ -45,6 +45,8 @@ ROUNDS = 2
 #: Mass of the end token in the base measure.
 END_BASE = 0.01
 RUN_BYTES = 4_000_000
+#: Words that are seated at a time.
+WORDS = 50_000
 _HELD = 400_000
 
 _CLASS = np.array([b - 97 if 97 <= b < 123 else 26 if 48 <= b < 58 else 27 if b < 128 else 28 + b % 4 for b in range(256)], np.int64)
@@ -185,7 +187,7 @@ def _word_seats(words: DataFrame, spelling: np.ndarray, discount: float, tables:
         log_p = np.log(shared.value)
 
         def run(batches):
-            for batch in batches:
+            for batch in joined(batches, WORDS):
                 context, symbol, word = spelled(batch.column(word_at).to_pylist())
                 p0 = (1 - END_BASE) * np.exp(np.bincount(word, log_p[context, symbol], batch.num_rows))
                 others = STRENGTH + discount * (tables - np.asarray(batch.column(tables_at)))
