@@ -66,7 +66,13 @@ def test_classes(spark):
     assert one(spark, classify.role_of_title, "Director of Coaching") == "doc"
     assert one(spark, classify.grade, "PK") == -1
     assert one(spark, classify.loose_int, "24pts") == 24
-    assert one(spark, classify.failure_kind, "Read timed out") == "timeout"
+    assert one(spark, classify.role_of_title, "Asst. Coach") == "assistant" and one(spark, classify.role_of_title, "Goalkeeping") == "gk_coach"
+    assert one(spark, classify.title_role, " Director of Coaching ") == "club_director" and one(spark, classify.title_role, "Conditioning lead") == "fitness" and one(spark, classify.title_role, None) == "other"
+    assert one(spark, classify.failure_kind, "Read timed out") == "timeout" and one(spark, classify.failure_kind, "ERR_INTERNET down") == "network"
+    assert one(spark, lambda m, k: classify.failure_kind(m, k), "x", "KeyError") == "parse_error" and one(spark, classify.failure_kind, "0 rows") == "unknown"
+    assert one(spark, classify.tier_of_label, "NPL Member League") == "competitive" and one(spark, classify.tier_of_label, "ECNL") is None
+    assert one(spark, names.without_suffixes, "Solar Soccer Club Juniors") == "solar" and one(spark, names.without_suffixes, "Inc League FA") == "inc league"
+    assert one(spark, lambda h, a, z, t: classify.site_status(h, a, z, t), 200, "https://a.org", "https://a.org", "Coming soon, parked by X") == "dead"
     assert tuple(one(spark, classify.bracket, "G U-14 Premier")) == ("U14", "F")
     assert one(spark, lambda a, b, c: classify.person_hash(a, b, c), "Jo  O'Neil", None, 7) == one(spark, lambda a, b, c: classify.person_hash(a, b, c), "jo o'neil", "", 7)
 

@@ -153,9 +153,14 @@ def test_containing_meets_short_names(spark):
 
 
 def test_quality(spark):
-    df = spark.createDataFrame([("Home",), ("12/3",), ("Tom 14",), ("# 14",), ("",), ("Jane Smith",), ("Head Coach Al",)], "n string")
+    df = spark.createDataFrame([("Home",), ("12/3",), ("Tom 14",), ("# 14",), ("",), ("Jane Smith",), ("Head Coach Al",), ("jane Smith",), ("JANE SMITH",), ("Meet  The!",), ("Ann B. C. D. E",), ("Élodie Roux",), ("Al 'Bo Cy",)], "n string")
     got = dict(rows(df.select("n", quality.name_problem(F.col("n")).alias("r"))))
-    assert got == {"Home": "nav_word", "12/3": "digits", "Tom 14": "digits", "# 14": "digits", "": "empty", "Jane Smith": None, "Head Coach Al": "role_word"}
+    assert got == {
+        "Home": "wrong_token_count", "12/3": "wrong_token_count", "Tom 14": "not_alpha_start", "# 14": "first_char_not_upper", "": "too_short", "Jane Smith": None, "Head Coach Al": "token_in_blocklist",
+        "jane Smith": "first_char_not_upper", "JANE SMITH": "all_caps", "Meet  The!": "in_blocklist", "Ann B. C. D. E": "wrong_token_count", "Élodie Roux": None, "Al 'Bo Cy": "not_alpha_start",
+    }
+    assert dict(rows(df.select("n", quality.fragment_kind(F.upper("n")).alias("r"))))["Home"] is None
+    assert rows(df.limit(1).select(quality.fragment_kind(F.lit(" contact US ")).alias("a"), quality.fragment_kind(F.lit("One week")).alias("b"))) == [("nav_label", "pricing_or_date")]
     assert rows(df.where(quality.is_numeric_name(F.col("n"))).select("n")) == [("",), ("12/3",)]
     with pytest.raises(ValueError):
         quality.purge(df, F.lit(True), 3)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .names import apex_domain, person_name
 
-# Fixed value.
-SCORE = r"(?i)^\s*(?:[WLDTF]\s+)?([0-9]{1,2})\s*[-–:]\s*([0-9]{1,2})(?:\s*\(([0-9]{1,2})\s*[-–:]\s*([0-9]{1,2})\))?(?:\s+FF|\s+F)?\s*$"
-INLINE_SCORE = r"(?<![0-9])([0-9]{1,2})\s*[-–]\s*([0-9]{1,2})(?![0-9])"
+# Fixed values.
+SCORE = r"(?i)^\s*(?:[WLDTF]\s+)?(\d{1,2})\s*[-–:]\s*(\d{1,2})(?:\s*\((\d{1,2})\s*[-–:]\s*(\d{1,2})\))?(?:\s+FF|\s+F)?\s*$"
+INLINE_SCORE = r"(?<!\d)(\d{1,2})\s*[-–]\s*(\d{1,2})(?!\d)"
 
 
 def score(c: Column) -> Column:
@@ -48,12 +48,34 @@ def bracket(c: Column) -> Column:
     return F.struct(F.coalesce(age, year).alias("age_group"), gender.alias("gender"))
 
 
-# Title parts and roles, first match wins.
-ROLES = [("%head coach%", "head_coach"), ("%assistant%", "assistant"), ("%goalkeeper%", "gk_coach"), ("%gk%", "gk_coach"), ("%director%", "doc"), ("%doc%", "doc"), ("%academy%", "academy_director"), ("%fitness%", "fitness")]
+# Roles of whole titles, and parts of titles of which the first match wins.
+TITLE_ROLES = {
+    "head coach": "head_coach",
+    "head_coach": "head_coach",
+    "assistant coach": "assistant",
+    "assistant": "assistant",
+    "asst coach": "assistant",
+    "goalkeeper coach": "gk_coach",
+    "gk coach": "gk_coach",
+    "director of coaching": "club_director",
+    "doc": "doc",
+    "fitness": "fitness",
+    "fitness coach": "fitness",
+}
+TITLE_PARTS = [("head", "head_coach"), ("assistant", "assistant"), ("asst", "assistant"), ("director", "doc"), ("doc", "doc"), ("goalkeep", "gk_coach"), ("gk", "gk_coach"), ("fitness", "fitness"), ("strength", "fitness"), ("conditioning", "fitness")]
+ROLES = [("%head%", "head_coach"), ("%assistant%", "assistant"), ("%asst%", "assistant"), ("%director%", "doc"), ("doc", "doc"), ("%goalkeep%", "gk_coach"), ("%gk%", "gk_coach"), ("%fitness%", "fitness"), ("%strength%", "fitness")]
+
+
+def title_role(c: Column) -> Column:
+    """CLS-06: the role of the whole title, or of the first part that it holds; none is ``other``."""
+    title = F.lower(F.trim(c))
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in TITLE_ROLES.items() for x in pair)), title)
+    part = reduce(lambda out, p: out.when(F.contains(title, F.lit(p[0])), p[1]), TITLE_PARTS[1:], F.when(F.contains(title, F.lit(TITLE_PARTS[0][0])), TITLE_PARTS[0][1]))
+    return F.coalesce(known, part, F.lit("other"))
 
 
 def role_of_title(c: Column) -> Column:
-    """CLS-06, CLS-07."""
+    """CLS-07: the first pattern that the title is like."""
     out = None
     for pattern, role in ROLES:
         hit = F.lower(c).like(pattern)
@@ -62,7 +84,17 @@ def role_of_title(c: Column) -> Column:
 
 
 # Fixed values.
-TIERS = {"MLS NEXT": "academy", "ECNL": "elite", "Girls Academy": "elite", "NPL": "competitive", "ECNL RL": "competitive", "EDP": "competitive", "State League": "recreational_plus", "Recreational": "recreational", "USL Academy": "academy"}
+TIERS = {
+    "National Elite": "elite",
+    "National Elite / High National": "elite",
+    "National Elite / Pro Pathway": "elite",
+    "National / Regional High Performance": "elite",
+    "Pre-Elite Development": "elite",
+    "NPL Member League": "competitive",
+    "Regional Power League": "competitive",
+    "Regional Tournament": "competitive",
+    "State Association / League Hub": "competitive",
+}
 
 
 def tier_of_label(c: Column, table: dict[str, str] = TIERS) -> Column:
@@ -77,7 +109,8 @@ def final_tier(professional: Column, best: Column) -> Column:
 
 # Days until stale, and hours of the service level, by entity.
 STALE_DAYS = {"club": 90, "coach": 30, "tryout": 7, "event": 14}
-SLA_HOURS = {"club": 168, "league": 168, "college": 168, "match": 24}
+SLA_HOURS = {"club": 168, "league": 720, "college": 168, "coach": 168, "event": 24, "match": 24, "tryout": 168}
+OTHER_SLA_HOURS = 168
 STREAK = 3
 
 
@@ -90,7 +123,7 @@ def health_status(scraped: Column, success: Column, failures: Column, entity: Co
 
 def sla_status(status: Column, scraped: Column, entity: Column, as_of: str) -> Column:
     """CLS-11: ``ok`` becomes ``stale`` beyond the hours of the service level."""
-    hours = F.try_element_at(F.create_map(*(F.lit(x) for pair in SLA_HOURS.items() for x in pair)), entity)
+    hours = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in SLA_HOURS.items() for x in pair)), entity), F.lit(OTHER_SLA_HOURS))
     late = scraped < F.lit(as_of).cast("timestamp_ntz") - F.make_interval(hours=hours)
     return F.when((status == "ok") & late, "stale").otherwise(status)
 
@@ -104,12 +137,17 @@ def _any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(w)) for w in words))
 
 
-def failure_kind(message: Column) -> Column:
-    """CLS-13."""
-    return (
-        F.when(message.isNull(), None).when(_any(message, ["timeout", "timed out"]), "timeout").when(_any(message, ["connection", "network", "dns"]), "network")
-        .when(_any(message, ["parse", "json", "decode"]), "parse_error").when(_any(message, ["0 rows", "zero results", "no rows"]), "zero_results").otherwise("unknown")
-    )
+# What marks a kind of failure, in the message or the exception's type.
+TIMEOUT_MARKS = ["timeout", "timed out", "timeouterror"]
+NETWORK_MARKS = ["connectionerror", "connection", "network", "dns", "err_name_not_resolved", "err_connection", "err_internet", "transient"]
+PARSE_MARKS = ["beautifulsoup", "parseerror", "parse", "valueerror", "keyerror", "attributeerror", "indexerror"]
+
+
+def failure_kind(message: Column, kind: Column | None = None) -> Column:
+    """CLS-13, by the message and the exception's type name; without either null."""
+    said = F.concat_ws("\n", message, kind) if kind is not None else message
+    given = message.isNotNull() if kind is None else message.isNotNull() | kind.isNotNull()
+    return F.when(~given, None).when(_any(said, TIMEOUT_MARKS), "timeout").when(_any(said, NETWORK_MARKS), "network").when(_any(said, PARSE_MARKS), "parse_error").otherwise("unknown")
 
 
 def first_match(c: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
@@ -133,7 +171,21 @@ def platform(html: Column) -> Column:
     return out.otherwise("unknown")
 
 
-PARKED = ["domain is for sale", "buy this domain", "parked free", "this domain may be for sale", "domain has expired"]
+# Phrases of parked pages.
+PARKED = [
+    "this domain is for sale",
+    "domain parking",
+    "buy this domain",
+    "this webpage is parked",
+    "domain has expired",
+    "website is under construction",
+    "coming soon",
+    "parked by",
+    "godaddy",
+    "hugedomains.com",
+    "sedoparking",
+    "undeveloped.com",
+]
 
 
 def site_status(http: Column, first_url: Column, last_url: Column, body: Column) -> Column:

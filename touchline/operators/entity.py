@@ -21,10 +21,32 @@ def normalize(df: DataFrame, name: str) -> DataFrame:
     return df.where(names.is_valid_name(F.col(name))).withColumn("canonical_name", names.canonical_name(F.col(name)))
 
 
+def _token_pairs(tokened: DataFrame, key: str, block: list[Column], name: str, share: float) -> DataFrame:
+    """Pairs of a block whose token sets can have a Jaccard share of ``share``.
+
+    Two such sets share one of the first ``n - ceil(share * n) + 1`` tokens of each in
+    one order, rarest first, so a frequent token joins only names that have nothing
+    rarer. Names without tokens are alike and meet on a token of their own.
+    """
+    named = tokened.withColumns({f"_b{i}": c for i, c in enumerate(block)})
+    keys = [f"_b{i}" for i in range(len(block))]
+    often = named.select(F.explode("_tok").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
+    one = named.select(key, *keys, F.size("_tok").alias("_n"), F.explode("_tok").alias("_t")).join(often, "_t")
+    first = F.array_sort(F.collect_list(F.struct("_df", "_t")))
+    ranked = one.groupBy(key, *keys, "_n").agg(first.alias("_all"))
+    most = F.col("_n") - F.ceil(F.lit(share) * F.col("_n") - 1e-9).cast("int") + 1
+    heads = ranked.select(key, *keys, F.explode(F.transform(F.slice("_all", F.lit(1), most), lambda x: x["_t"])).alias("_t"))
+    heads = heads.unionByName(named.where(F.size("_tok") == 0).select(key, *keys, F.lit("").alias("_t")))
+    side = lambda s: heads.select(F.col(key).alias(f"{s}_{key}"), *keys, "_t")
+    met = side("a").join(side("b"), [*keys, "_t"]).where(F.col(f"a_{key}") < F.col(f"b_{key}")).select(f"a_{key}", f"b_{key}").distinct()
+    full = lambda s: named.select(F.col(key).alias(f"{s}_{key}"), F.col(name).alias(f"{s}_{name}"), F.col("_tok").alias(f"{s}__tok"))
+    return met.join(full("a"), f"a_{key}").join(full("b"), f"b_{key}")
+
+
 def duplicate_pairs(df: DataFrame, key: str, name: str, block: list[Column], least: float, skip_extensions: bool = False) -> DataFrame:
     """ER-09, ER-10: pairs within a block with combined similarity of ``least`` or more."""
     tokened = df.withColumn("_tok", names.tokens(F.col(name)))
-    pairs = pairs_within(tokened, key, block, [name, "_tok"])
+    pairs = _token_pairs(tokened, key, block, name, (least - 0.4) / 0.6) if least > 0.4 else pairs_within(tokened, key, block, [name, "_tok"])
     if skip_extensions:
         pairs = pairs.where(~names.is_extension(F.col(f"a_{name}"), F.col(f"b_{name}")))
     a, b = F.col(f"a_{name}"), F.col(f"b_{name}")

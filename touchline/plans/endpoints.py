@@ -152,12 +152,12 @@ def upsert_change_guard(spark, d):
     return upsert.upsert(old.select("c_custkey", "segment"), new.select("c_custkey", "segment"), ["c_custkey"])
 
 
-@query("""WITH p AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey AND l_linenumber = 1 AND l_orderkey % 50 = 0),
+@query("""WITH p AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey),
 old AS (SELECT a, b, 'pending' AS decision FROM p WHERE (a + b) % 2 = 0), new AS (SELECT a, b, 'rejected' AS decision FROM p WHERE (a + b) % 3 = 0)
 SELECT coalesce(o.a, n.a) AS a, coalesce(o.b, n.b) AS b, coalesce(n.decision, o.decision) AS decision FROM old o FULL JOIN new n ON o.a = n.a AND o.b = n.b""")
 def review_decisions(spark, d):
     """Q-02, Q-39, CLS-22: decisions on unordered pairs; a pair with itself is none."""
-    li = T(spark, d, "lineitem").where("l_suppkey <> l_partkey AND l_linenumber = 1 AND l_orderkey % 50 = 0")
+    li = T(spark, d, "lineitem").where("l_suppkey <> l_partkey")
     a, z = classify.ordered_pair(F.col("l_suppkey"), F.col("l_partkey"))
     p = li.select(a.alias("a"), z.alias("b")).distinct()
     old = p.where("(a + b) % 2 = 0").withColumn("decision", F.lit("pending"))
@@ -256,10 +256,12 @@ def scrape_runs(spark, d):
     return r.orderBy(F.desc("started_at"), F.desc("id")).limit(100).select("id", "scraper_key", "started_at", "status")
 
 
-@query("SELECT o_orderkey, regexp_replace('3:30 PM EST', '\\s+[A-Z]{2,4}$', '') AS clock, strftime(o_orderdate, '%Y-%m-%d') AS utc_day, year(o_orderdate) AS y FROM orders WHERE o_orderkey % 100 = 0".replace("\\\\", "\\"))
+@query("SELECT o_orderkey, regexp_replace((1 + o_orderkey % 12) || ':30 PM' || CASE o_orderkey % 3 WHEN 0 THEN ' EST' WHEN 1 THEN '  PDT' ELSE '' END, '\\s+[A-Z]{3,4}$', '') AS clock, strftime(o_orderdate, '%Y-%m-%d') AS utc_day, year(o_orderdate) AS y FROM orders".replace("\\\\", "\\"))
 def day_stamps(spark, d):
     """DT-09, DT-11, DT-15, DT-16."""
-    return T(spark, d, "orders").where("o_orderkey % 100 = 0").select("o_orderkey", F.regexp_replace(F.lit("3:30 PM EST"), r"\s+[A-Z]{2,4}$", "").alias("clock"), dates.day(F.col("o_orderdate")).alias("utc_day"), F.year("o_orderdate").cast("long").alias("y"))
+    key = F.col("o_orderkey")
+    clock = F.concat((key % 12 + 1).cast("string"), F.lit(":30 PM"), F.when(key % 3 == 0, " EST").when(key % 3 == 1, "  PDT").otherwise(""))
+    return T(spark, d, "orders").select("o_orderkey", F.regexp_replace(clock, r"\s+[A-Z]{3,4}$", "").alias("clock"), dates.day(F.col("o_orderdate")).alias("utc_day"), F.year("o_orderdate").cast("long").alias("y"))
 
 
 @query(f"""WITH {b.TEAM_NAMES} SELECT id, nullif(upper(regexp_extract(raw, '(?i)\\bU-?([0-9]{{1,2}})\\b', 1)), '') AS age, CASE WHEN regexp_matches(raw, '(?i)\\bboys?\\b') THEN 'M' WHEN regexp_matches(raw, '(?i)\\bgirls?\\b') THEN 'F' END AS gender,
@@ -319,12 +321,10 @@ def cadence_due(spark, d):
     return last.select("scraper_key", dates.is_due(F.col("last"), b.AS_OF).alias("due"))
 
 
-@query(f"WITH {_CELL_SQL} SELECT count(*) FILTER (WHERE lower(trim(name)) IN ('home', 'menu')) AS found, count(*) AS n FROM cells")
+@query(f"WITH {_CELL_SQL} SELECT CASE WHEN lower(trim(name)) = 'privacy preferences' THEN 'nav_label' END AS kind, count(*) AS n FROM cells GROUP BY 1")
 def ui_fragments(spark, d):
-    """DQ-05: rows in a gazetteer."""
-    c = _cells(spark, d)
-    found = quality.listed_fragments(c, "name", ["Home", "Menu"]).agg(F.count("*").alias("found"))
-    return found.crossJoin(c.agg(F.count("*").alias("n")))
+    """DQ-05: rows by their category in the gazetteer."""
+    return _cells(spark, d).groupBy(quality.fragment_kind(F.col("name")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, event_type, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) OVER (PARTITION BY user_id) AS kinds FROM events GROUP BY 1, 2")
@@ -340,7 +340,7 @@ def page_registry(spark, d):
     return T(spark, d, "pages").select("page_id", classify.platform(F.col("html")).alias("platform"), classify.first_match(F.col("url"), [("/(blog|news)", "news")], "page").alias("kind"))
 
 
-@query("SELECT c_custkey, replace(lower(trim(c_name)), '#', ' ') AS slugged FROM customer WHERE c_custkey % 100 = 0")
+@query("SELECT c_custkey, replace(lower(trim(c_name)), '#', ' ') AS slugged FROM customer")
 def name_list(spark, d):
     """STR-08."""
-    return T(spark, d, "customer").where("c_custkey % 100 = 0").select("c_custkey", names.person_name(F.col("c_name")).alias("slugged"))
+    return T(spark, d, "customer").select("c_custkey", names.person_name(F.col("c_name")).alias("slugged"))
