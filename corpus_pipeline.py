@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import byte_bpe, exact_dedup, jaccard_join, langid, mixing
-from touchline.llm.common import in_fold, materialize, maybe_broadcast, work_path
+from touchline.llm.common import in_fold, without_rows, work_path
 from touchline.llm.queries import mix_domain, mix_weight
 
 #: Columns of ``documents``.
@@ -22,32 +22,44 @@ LEAST_SHARE = 0.2
 MIX_SHARE = 0.5
 
 
+def _judged(text_hash: str):
+    """The row that an operator names by id and the text's hash."""
+    return F.xxhash64("doc_id", text_hash).alias("_row")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts in a known language; ``und`` and texts like none of the languages go."""
+    """Keep texts in a known language; ``und`` and texts like none of the languages go.
+
+    Null texts and texts without a letter are ``und``. Repeated rows are judged alike.
+    Without training rows nothing is known and everything goes.
+    """
     filters = langid.train(docs.where(~in_fold(4, 2)))
     return langid.keep_known(docs, filters, LEAST_SHARE, COLUMNS)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = maybe_broadcast(gone, gone.count(), 16)
-    return docs.join(gone, docs.doc_id.cast("long") == gone["_id"], "left_anti").select(*COLUMNS)
-
-
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of each group of equal texts that the operator keeps."""
+    """Keep the row of each group of equal texts that the operator keeps.
+
+    Rows are told apart by id and text; of equal rows one stays, and a row with a null
+    id stays only where its group has no other.
+    """
     groups = exact_dedup.dedup_groups(docs)
-    return _without(docs, materialize(groups.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "pipeline-copies"))
+    return without_rows(docs, groups.select(_judged("text_hash"), F.col("kept").cast("int").alias("_stays")), COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep one document of each group of near copies, the one of least id; texts without words stay."""
     return jaccard_join.one_of_each(docs, COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the target weights select, each once (one epoch)."""
+    """Keep the documents that the target weights select, each once (one epoch).
+
+    Texts without words have no tokens and go. Rows are told apart by id and text; of
+    equal rows one stays at most.
+    """
     mixed = mixing.mix_sources(docs, mix_domain(), mix_weight, lambda total: MIX_SHARE * total, epochs=1)
-    return _without(docs, materialize(mixed.where("copies = 0").select(F.col("doc_id").alias("_id")).distinct(), "pipeline-left-out"))
+    return without_rows(docs, mixed.select(_judged("text_hash"), F.least("copies", F.lit(1)).alias("_stays")), COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

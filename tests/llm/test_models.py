@@ -142,7 +142,8 @@ def test_notices_with_edits():
     assert ("apache-2.0", 2) in found(b"Licenced under teh Apache License, Version 2.0") or ("apache-2.0", 3) in found(b"Licenced under teh Apache License, Version 2.0")
     assert ("mit", 1) in found(b"Released under the MIT Licens.")
     assert found(b"nothing of the kind") == [] and found(b"") == []
-    assert license_scan.base_places(b" ".join(license_scan.words_of(b"CC BY cc-by, All rights\nreserved allrights reserved"))) == [(0, "cc-by"), (2, "cc-by"), (4, "reserved")]
+    words = license_scan.words_of(b"CC BY cc-by, All rights\nreserved allrights reserved")
+    assert license_scan.base_places(b" ".join(words), license_scan.word_starts(words)) == [(0, "cc-by"), (2, "cc-by"), (4, "reserved")]
 
 
 def test_seeds_lose_no_notice():

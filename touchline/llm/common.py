@@ -170,6 +170,28 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def row_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows of documents apart: a hash of the id and of the text's hash; equal rows share it."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` without the rows of which no copy stays, and once those of which one of several does.
+
+    ``rows`` has ``_row`` (``row_hash``) and ``_stays`` (0 or 1) for rows of ``docs``;
+    a row that is not in it stays.
+    """
+    judged = materialize(rows.groupBy("_row").agg(F.max("_stays").alias("_stays"), F.count("*").alias("_n")).where("_stays = 0 OR _n > 1"), "rows-judged")
+    count = judged.groupBy("_stays").count().collect()
+    count = {r["_stays"]: r["count"] for r in count}
+    here = docs.withColumn("_row", row_hash())
+    out = here.join(maybe_broadcast(judged.where("_stays = 0").select("_row"), count.get(0, 0), 16), "_row", "left_anti")
+    if count.get(1):
+        again = maybe_broadcast(judged.where("_stays = 1").select("_row"), count[1], 16)
+        out = out.join(again, "_row", "left_anti").unionByName(out.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return out.select(*columns)
+
+
 def in_fold(mod: int, fold: int, doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id's decimal text modulo ``mod`` is ``fold``; not so for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == fold, F.lit(False))

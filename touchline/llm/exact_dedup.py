@@ -13,8 +13,8 @@ all empty texts form one group.
    found is a collision, and its rows are grouped by text instead.
 
 Extra columns are ignored. Rows that share a ``doc_id`` count as rows of their
-own; a null id loses every tie. An empty table gives an
-empty result.
+own, and of equal rows exactly one is kept; a null id loses every tie. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,19 +41,21 @@ def content_hash(norm: Column) -> Column:
 
 def _best() -> Column:
     """Most code points first, then the smallest id."""
-    return F.max(F.struct(F.col("n_points"), (-F.col("doc_id")).alias("neg_id")))
+    return F.max(F.struct(F.col("n_points"), (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row")))
 
 
 def dedup_groups(docs: DataFrame, hasher: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256``, one row for each row of ``docs``.
+    """``doc_id, keep_id, group_size, kept, text_sha256, text_hash``, one row for each row of ``docs``.
+
+    ``text_hash`` is xxhash64 of the text as it is, so that ``(doc_id, text_hash)`` tells rows apart.
 
     ``hasher`` maps the normalised text to the grouping hash; a weak one gives
     the same result with more byte comparisons.
     """
-    norm = normalized(F.col("text"))
+    norm, text_hash = normalized(F.col("text")), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
     rows = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce(F.col("text"), F.lit(""))).alias("n_points"), norm.alias("norm")).select(
-            "doc_id", "n_points", F.sha2(F.col("norm"), 256).alias("text_sha256"), hasher(F.col("norm")).alias("h")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce(F.col("text"), F.lit(""))).alias("n_points"), norm.alias("norm"), text_hash).select(
+            "doc_id", "n_points", F.sha2(F.col("norm"), 256).alias("text_sha256"), hasher(F.col("norm")).alias("h"), "text_hash", F.monotonically_increasing_id().alias("row")
         ),
         "dedup-rows",
     )
@@ -70,12 +72,13 @@ def dedup_groups(docs: DataFrame, hasher: Callable[[Column], Column] = content_h
         out = rows.join(groups, "h")
     else:
         collided = (
-            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce(F.col("text"), F.lit(""))).alias("n_points"), norm.alias("norm"))
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce(F.col("text"), F.lit(""))).alias("n_points"), norm.alias("norm"), text_hash)
             .withColumn("h", hasher(F.col("norm")))
             .join(split, "h", "left_semi")
         )
+        collided = materialize(collided.withColumn("row", F.monotonically_increasing_id()), "dedup-collided")
         by_text = collided.groupBy("h", "norm").agg(F.count("*").alias("group_size"), _best().alias("best"))
-        apart = collided.select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), "h", "norm").join(by_text, ["h", "norm"]).drop("norm")
+        apart = collided.select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), "h", "text_hash", "row", "norm").join(by_text, ["h", "norm"]).drop("norm")
         out = rows.join(split, "h", "left_anti").join(groups, "h").unionByName(apart)
     keep = (-F.col("best.neg_id")).alias("keep_id")
-    return out.select("doc_id", keep, F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(-F.col("best.neg_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep, F.col("group_size").cast("long").alias("group_size"), (F.col("row") == -F.col("best.neg_row")).alias("kept"), "text_sha256", "text_hash")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, in_text_chunks, map_arrow, materialize, maybe_broadcast, shuffle_partitions
+from .common import doc_bytes, in_text_chunks, map_arrow, materialize, row_hash, shuffle_partitions, without_rows
 from .components import connect
 from .textvec import Words, mix, shingle_hashes
 
@@ -552,8 +552,15 @@ def join_components(docs: DataFrame, size: int = 5, percent: int = 80, least_fre
 
 
 def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The row with the least ``doc_id`` of each component, in ``columns``."""
-    joined = join_components(docs)
-    drop = materialize(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "jaccard-drop")
-    drop = maybe_broadcast(drop, drop.count(), 16)
-    return docs.join(drop, docs.doc_id.cast("long") == drop["_id"], "left_anti").select(*columns)
+    """The row with the least ``doc_id`` of each component, in ``columns``.
+
+    Rows are told apart by id and text, so rows that share an id are judged each; of
+    equal rows one stays. A null id stays only where no row of its component has one.
+    Rows without words are in no component and stay.
+    """
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("_id"), row_hash().alias("_row")), "jaccard-rows")
+    joined = join_components(docs.select(row_hash().alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    named = materialize(rows.join(joined, "_row"), "jaccard-named")
+    first = named.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_row"))).alias("_first"))
+    judged = named.join(first, "_group").select("_row", (F.col("_row") == F.col("_first._row")).cast("int").alias("_stays"))
+    return without_rows(docs, judged, columns)

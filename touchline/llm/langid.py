@@ -8,8 +8,9 @@ A language's false-positive rate is its share of set bits to the power of
 to the language with more training text and then the lesser name.
 
 Training counts the n-grams of all rows with a language, each task combining its
-own, and keeps the ``PROFILE`` most frequent n-grams of each language; at most
-``LANGUAGES`` languages fit the mask (more raise ValueError).
+own, and keeps those that make up ``SHARE`` of all n-grams of their language (so at
+most ``1 / SHARE`` of each language, without ranking them); at most ``LANGUAGES``
+languages fit the mask (more raise ValueError).
 
 Texts that are null or have no letter are ``und`` with score 0, as is every text
 when nothing was learned. Otherwise the score is the corrected share of n-grams
@@ -22,18 +23,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_text_chunks, map_arrow
+from .common import in_text_chunks, map_arrow, materialize
 from .textvec import mix
 
-#: N-grams kept for a language.
-PROFILE = 6000
+#: Share of its language's n-grams from which an n-gram is kept.
+SHARE = 2e-5
 #: Bits of the mask.
 LANGUAGES = 62
 HASHES = 3
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 #: Text that is judged at a time; its n-grams take about 150 times as many bytes.
 RUN_BYTES = 512 << 10
 #: Distinct n-grams that a counting task holds before it sends them on.
@@ -159,12 +160,15 @@ class Filters:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters learned from all rows of ``docs`` whose language is not null."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("body"))
-    total = _counts(rows).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = total.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
-    # At most PROFILE rows for each of at most LANGUAGES languages.
-    found = ranked.limit(PROFILE * LANGUAGES + 1).toPandas()
-    if len(found) > PROFILE * LANGUAGES:
+    counted = materialize(_counts(rows).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-counts")
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("all")).limit(LANGUAGES + 1).collect()
+    if len(totals) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    if not totals:
+        return Filters({}, {})
+    least = F.create_map(*(F.lit(x) for r in totals for x in (r.lang, SHARE * r["all"])))
+    # At most 1 / SHARE rows for each of at most LANGUAGES languages.
+    found = counted.where(F.col("n") >= F.element_at(least, F.col("lang"))).toPandas()
     by = dict(iter(found.groupby("lang")))
     return Filters({k: v.gram.to_numpy() for k, v in by.items()}, {k: int(v.n.sum()) for k, v in by.items()})
 

@@ -13,6 +13,7 @@ ignored and repeated rows each give their row.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -91,7 +92,7 @@ class Scanner:
             _, label, edits, pattern = self.notices[number]
             seen = set()
             for low, high in spans:
-                for m in pattern.finditer(line, low, high):
+                for m in pattern.finditer(line, low, high, overlapped=True):
                     if m.span() not in seen:
                         seen.add(m.span())
                         out.append((label, *m.span(), sum(m.fuzzy_counts)))
@@ -103,14 +104,23 @@ def _scanner() -> Scanner:
     return Scanner(NOTICES)
 
 
-def base_places(line: bytes) -> list[tuple[int, str]]:
-    """Word index and label of every place of a base phrase in blank-joined words."""
+def word_starts(words: list[bytes]) -> list[int]:
+    """Where each word starts when they are joined by one blank."""
+    starts, at = [], 0
+    for word in words:
+        starts.append(at)
+        at += len(word) + 1
+    return starts
+
+
+def base_places(line: bytes, starts: list[int]) -> list[tuple[int, str]]:
+    """Word index and label of every place of a base phrase in blank-joined words that begin at ``starts``."""
     padded, found = b" " + line + b" ", []
     for phrase, label in BASE.items():
         needle = b" " + phrase.encode() + b" "
         at = padded.find(needle)
         while at >= 0:
-            found.append((padded.count(b" ", 0, at), label))
+            found.append((bisect_left(starts, at), label))
             at = padded.find(needle, at + 1)
     return sorted(found)
 
@@ -132,12 +142,13 @@ def scan(docs: DataFrame) -> DataFrame:
                     words = words_of(text)
                     line = b" ".join(words)
                     counts.append(len(words))
-                    bases.append([{"word": w, "label": x} for w, x in base_places(line)])
+                    starts = word_starts(words)
+                    bases.append([{"word": w, "label": x} for w, x in base_places(line, starts)])
                     found = []
                     line = line.decode("latin-1")
                     for label, start, end, edits in scanner.find(line):
-                        first = line.count(" ", 0, start + (line[start] == " "))
-                        last = line.count(" ", 0, end - (line[end - 1] == " "))
+                        first = bisect_right(starts, start + (line[start] == " ")) - 1
+                        last = bisect_right(starts, end - 1 - (line[end - 1] == " ")) - 1
                         found.append({"label": label, "first_word": first, "last_word": last, "edits": edits, "similarity": 1 - edits / max(1, end - start)})
                     notices.append(found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, counts, bases, notices), kinds, strict=True)], ["doc_id", "n_words", "base", "notices"])

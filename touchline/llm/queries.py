@@ -26,7 +26,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup_groups
 
-    return dedup_groups(documents(spark, sf_dir))
+    return dedup_groups(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,21 @@ A store is a folder in shared storage:
 
 ``dictionary``
     A zstandard dictionary, trained on the serialised id arrays of at most
-    ``SAMPLE_DOCS`` documents (those of least hash of the id; of each at most
-    ``SAMPLE_BYTES`` of text). Only the dictionary is fitted to that sample.
-``<shard>-<token>.ids``
-    ``MAGIC``, SHA-256 of the dictionary (32 bytes), bytes of an id (2 or 4) and
-    number of documents (both unsigned 64-bit), then one zstandard frame for each
-    document, and last the index: for each document its id (int64), whether the id
-    is not null (uint64), the offset of its frame in the file, the size of the
-    frame and the number of ids (uint64). All numbers are little-endian.
-
-Texts are sorted by range of ``doc_id`` and every task writes its range as one
-shard under a name of its own. Only the names in the manifest that the tasks
+    ``SAMPLE_DOCS`` documents (those of least hash of the id; of each a window of at
+    most ``SAMPLE_BYTES`` of text that may begin anywhere). Only the dictionary is fitted to that sample.
+``<shard>-<part>-<token>.ids``
+    ``MAGIC``, SHA-256 of the dictionary (32 bytes) and bytes of an id (2 or 4,
+    unsigned 64-bit), then one zstandard frame for each document, the index (for each
+    document its id (int64), whether the id is not null (uint64), the offset of its
+    frame in the file, the size of the frame and the number of ids (uint64)), and
+    last the number of documents (unsigned 64-bit). All numbers are little-endian.
+
+Texts are sorted by range of ``doc_id`` and every task writes its range as files of
+about ``SHARD_BYTES`` under names of their own, frame by frame. Only the names in the manifest that the tasks
 return count, so that files of lost attempts do no harm.
 
-A null text counts as empty and has the end id alone. A null ``doc_id`` sorts
+A null text counts as empty and has the end id alone. Special tokens of the tokenizer
+that stand in a text are read as the library reads them. A null ``doc_id`` sorts
 first; rows with the same id are ordered by text. Texts are encoded whole, extra
 columns are ignored, and an empty table gives a store without documents.
 """
@@ -25,6 +26,7 @@ columns are ignored, and an empty table gives a store without documents.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 import uuid
@@ -37,8 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import doc_bytes, in_text_chunks, least_by_hash, map_arrow, materialize, shuffle_partitions, work_path
 
-MAGIC = b"TLIDS001"
-HEADER = len(MAGIC) + 32 + 16
+MAGIC = b"TLIDS002"
+HEADER = len(MAGIC) + 32 + 8
+#: Compressed bytes from which a new file is begun.
+SHARD_BYTES = 64 << 20
 INDEX = np.dtype([("doc_id", "<i8"), ("valid", "<u8"), ("offset", "<u8"), ("size", "<u8"), ("n", "<u8")])
 SAMPLE_DOCS = 512
 SAMPLE_BYTES = 16 << 10
@@ -102,7 +106,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold an added token are encoded in one piece.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.raw = [i.to_bytes(4, "little") for i in range(self.vocabulary())]
@@ -146,43 +151,6 @@ class Encoder:
             young.update(zip(other, self.direct([before + c for c in other]), strict=True))
         return young
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        spaced, plain = [], []
-        for i, data in enumerate(texts):
-            if not data:
-                out[i] = b""
-            elif any(space in data for space in _SPACES):
-                self._odd(data.decode("utf-8", "replace"), i, out, plain)
-            else:
-                first, *rest = data.decode("utf-8", "replace").replace("\n", " \n").split(" ")
-                spaced.append((i, first, rest))
-        after = set().union(*(rest for _, _, rest in spaced))
-        if "" in after or "\n" in after or any(not first for _, first, _ in spaced):  # white space meets some, or an end
-            odd_ones = [not first or "" in rest or "\n" in rest for _, first, rest in spaced]
-            for (i, _, _), odd in zip(spaced, odd_ones, strict=True):
-                if odd:
-                    self._odd(texts[i].decode("utf-8", "replace"), i, out, plain)
-            spaced = [x for x, odd in zip(spaced, odd_ones, strict=True) if not odd]
-            after = set().union(*(rest for _, _, rest in spaced))
-        lines = {c for c in after if c[0] == "\n"}  # chunks behind a line feed have no blank
-        own = self._learn(self.plain, lines.union((first for _, first, _ in spaced), *(c for _, c in plain)), "")
-        after -= lines
-        table = self._learn(self.spaced, after, " ")
-        table.update((c, own[c]) for c in lines)
-        for i, first, rest in spaced:
-            out[i] = own[first] + b"".join(map(table.__getitem__, rest))
-        for i, chunks in plain:
-            out[i] = b"".join(map(own.__getitem__, chunks))
-        return out
-
-    def _odd(self, text: str, i: int, out: list, plain: list) -> None:
-        if _ODD.search(text):
-            out[i] = self.direct([text])[0]
-        else:
-            plain.append((i, _CHUNK.findall(text)))
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
@@ -192,6 +160,9 @@ class Encoder:
             if not text:
                 out[i] = b""
                 continue
+            if any(token in data for token in self.added):
+                out[i] = self.direct([text])[0]
+                continue
             if not any(space in data for space in _SPACES):
                 chunks = text.replace("\n", " \n").split(" ")
                 if "" not in chunks and "\n" not in chunks:  # no white space meets another one or an end
@@ -255,7 +226,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A dictionary from the serialised ids of the sample; raw content where there is too little to train on."""
     import zstandard
 
-    rows = docs.select("doc_id", F.substring("body", 1, SAMPLE_BYTES).alias("body"))
+    room = F.greatest(F.octet_length("body") - SAMPLE_BYTES + 1, F.lit(1))
+    rows = docs.select("doc_id", F.substring("body", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), room) + 1).cast("int"), F.lit(SAMPLE_BYTES)).alias("body"))
     sample = least_by_hash(rows, F.xxhash64("doc_id"), SAMPLE_DOCS, docs.count()).collect()
     encoder = _encoder(path)
     kind = "<u2" if encoder.vocabulary() <= 1 << 16 else "<u4"
@@ -266,7 +238,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
         return b"".join(coded)[:DICTIONARY_BYTES]
 
 
-def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFrame:
+def write_store(docs: DataFrame, path: str, end_id: int, folder: str, file_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the store; the manifest ``shard, name, first_id, last_id, n_docs, n_ids, n_bytes``."""
     spark = docs.sparkSession
     rows = doc_bytes(docs)
@@ -285,24 +257,33 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFra
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained) if trained else zstandard.ZstdCompressor(level=LEVEL)
 
         def run(batches):
-            index, frames, at = [], [], HEADER
-            for ids, texts in in_text_chunks(batches, RUN_BYTES):
-                for doc, coded in zip(ids, encoder.encode(texts), strict=True):
-                    array = np.append(np.frombuffer(coded, "<u4"), np.uint32(end_id))
-                    frame = squeeze.compress(array.astype(kind).tobytes())
-                    index.append((doc or 0, doc is not None, at, len(frame), len(array)))
-                    frames.append(frame)
+            def frames():
+                for ids, texts in in_text_chunks(batches, RUN_BYTES):
+                    for doc, coded in zip(ids, encoder.encode(texts), strict=True):
+                        array = np.append(np.frombuffer(coded, "<u4"), np.uint32(end_id))
+                        yield doc, len(array), squeeze.compress(array.astype(kind).tobytes())
+
+            def file(first):
+                """The parts of one file: from ``first`` until it is large enough; fills ``index``."""
+                at = HEADER
+                yield MAGIC + hashlib.sha256(shared.value).digest() + np.array([width], "<u8").tobytes()
+                for doc, n, frame in itertools.chain([first], left):
+                    index.append((doc or 0, doc is not None, at, len(frame), n))
                     at += len(frame)
-            if not index:
-                return
-            shard = TaskContext.get().partitionId()
-            name = f"{shard:07d}-{uuid.uuid4().hex}.ids"
-            table = np.array(index, INDEX)
-            head = MAGIC + hashlib.sha256(shared.value).digest() + np.array([width, len(index)], "<u8").tobytes()
-            size = _write(folder, name, [head, *frames, table.tobytes()])
-            yield pa.RecordBatch.from_pydict(
-                {"shard": [shard], "name": [name], "first_id": [index[0][0]], "last_id": [index[-1][0]], "n_docs": [len(index)], "n_ids": [int(table["n"].sum())], "n_bytes": [size]}
-            )
+                    yield frame
+                    if at > file_bytes:
+                        break
+                yield np.array(index, INDEX).tobytes()
+                yield np.array([len(index)], "<u8").tobytes()
+
+            left, number = frames(), TaskContext.get().partitionId()
+            for part, first in enumerate(left):
+                index = []
+                name = f"{number:07d}-{part:05d}-{uuid.uuid4().hex}.ids"
+                size = _write(folder, name, file(first))
+                yield pa.RecordBatch.from_pydict(
+                    {"shard": [number << 20 | part], "name": [name], "first_id": [index[0][0]], "last_id": [index[-1][0]], "n_docs": [len(index)], "n_ids": [sum(x[4] for x in index)], "n_bytes": [size]}
+                )
 
         return run
 
@@ -335,8 +316,8 @@ def read_store(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFra
                     _check(folder, data)
                     trained = _dictionary(_read(folder, "dictionary"))
                     open_ = zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()
-                    width, n = np.frombuffer(data, "<u8", 2, HEADER - 16)
-                    index = np.frombuffer(data, INDEX, int(n), len(data) - int(n) * INDEX.itemsize)
+                    width, n = np.frombuffer(data, "<u8", 1, HEADER - 8)[0], np.frombuffer(data, "<u8", 1, len(data) - 8)[0]
+                    index = np.frombuffer(data, INDEX, int(n), len(data) - 8 - int(n) * INDEX.itemsize)
                     starts = first + np.cumsum(index["n"]).astype(np.int64) - index["n"].astype(np.int64)
                     for at in range(0, int(n), 500):
                         part = index[at : at + 500]
@@ -360,9 +341,9 @@ def read_document(folder: str, manifest: DataFrame, doc_id: int) -> list[np.ndar
     for row in manifest.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("shard").collect():
         system, path = fs.FileSystem.from_uri(f"{folder}/{row.name}")
         with system.open_input_file(path) as file:
-            width, n = np.frombuffer(file.read_at(16, HEADER - 16), "<u8")
+            width, n = np.frombuffer(file.read_at(8, HEADER - 8), "<u8")[0], np.frombuffer(file.read_at(8, row.n_bytes - 8), "<u8")[0]
             size = int(n) * INDEX.itemsize
-            index = np.frombuffer(file.read_at(size, row.n_bytes - size), INDEX)
+            index = np.frombuffer(file.read_at(size, row.n_bytes - 8 - size), INDEX)
             for entry in index[(index["doc_id"] == doc_id) & (index["valid"] == 1)]:
                 out.append(np.frombuffer(open_.decompress(file.read_at(int(entry["size"]), int(entry["offset"]))), f"<u{width}").astype(np.uint32))
     return out
