@@ -46,7 +46,7 @@ LEARN, BURN_IN, SAMPLES = 3, 3, 3
 #: Discounts of two-word and one-word contexts.
 DISCOUNTS = (0.8, 0.75)
 #: Tokens that a bucket should hold, occurrences of a preceding word in one share.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 SHARE_TOKENS = 1_000_000
 #: Words that are looked at for shares, the most frequent ones.
 HOT = 1 << 20

@@ -30,6 +30,7 @@ extra columns are ignored, also those named like the labels' columns.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -347,12 +348,12 @@ def _counts(sample: DataFrame) -> DataFrame:
     return map_arrow(sample, make, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _chains_of(sample: DataFrame, unfitted: Model) -> tuple[Chains, np.ndarray]:
-    """The sample's tokens with evidence (bounded by the sample's bounds), and the labels."""
-    shared = sample.sparkSession.sparkContext.broadcast(unfitted)
+def _fitted(sample: DataFrame, unfitted: Model) -> Model:
+    """The model fitted to the sample's tokens with evidence, in one task: the sample is bounded."""
+    shared = sample.sparkSession.sparkContext.broadcast(unfitted)  # FEATURES hashes and weights
     names, kinds = ["count", "gap", "tail", "times", "feature", "value"], ["<i4"] * 5 + ["<f4"]
 
-    def make():
+    def make_chains():
         model = shared.value
 
         def run(batches):
@@ -360,15 +361,29 @@ def _chains_of(sample: DataFrame, unfitted: Model) -> tuple[Chains, np.ndarray]:
                 c = model.chains(Tokens(texts))
                 order = np.argsort(c.token, kind="stable")
                 values = [np.diff(c.first), c.gap, c.tail, np.bincount(c.token, minlength=len(c.gap)), c.feature[order], c.value[order]]
-                yield pa.RecordBatch.from_arrays([pa.array([np.array(labels, np.int8).tobytes()]), *(pa.array([v.astype(k).tobytes()]) for v, k in zip(values, kinds, strict=True))], ["toxic", *names])
+                key = hashlib.sha256(b"\0".join(texts)).digest()
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([np.array(labels, np.int8).tobytes()]), *(pa.array([v.astype(k).tobytes()]) for v, k in zip(values, kinds, strict=True))], ["key", "toxic", *names])
+
+        return run
+
+    def make_fit():
+        def run(batches):
+            rows = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda r: r["key"])
+            if not rows:
+                return
+            *counts, value = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in zip(names, kinds, strict=True))
+            count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
+            toxic = np.concatenate([np.frombuffer(r["toxic"], np.int8) for r in rows]) == 1
+            del rows
+            model = shared.value
+            fit(model, Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64)), toxic)
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.edge.tobytes()])], ["weights", "bias", "edge"])
 
         return run
 
-    rows = map_arrow(sample, make, "toxic binary, " + ", ".join(f"{k} binary" for k in names)).collect()
-    *counts, value = (np.concatenate([np.frombuffer(r[k], kind) for r in rows] or [np.zeros(0, kind)]) for k, kind in zip(names, kinds, strict=True))
-    count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
-    toxic = np.concatenate([np.frombuffer(r.toxic, np.int8) for r in rows] or [np.zeros(0, np.int8)]) == 1
-    return Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64)), toxic
+    rows = map_arrow(sample, make_chains, "key binary, toxic binary, " + ", ".join(f"{k} binary" for k in names))
+    out = map_arrow(rows.repartition(1), make_fit, "weights binary, bias double, edge binary").first()
+    return Model(unfitted.features, unfitted.odds, np.frombuffer(out.weights), out.bias, np.frombuffer(out.edge).reshape(2, 2))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -387,9 +402,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not len(best):
         return Model()
     model = Model(best.feature.to_numpy(np.int64), best.odds.to_numpy(), np.concatenate([np.zeros(SHAPES), TRUST * best.odds.to_numpy()]), BIAS)
-    chains, toxic = _chains_of(sample, model)
-    fit(model, chains, toxic)
-    return model
+    return _fitted(sample, model)
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
