@@ -30,6 +30,7 @@ extra columns are ignored, also those named like the labels' columns.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 from dataclasses import dataclass, field
 
@@ -375,7 +376,7 @@ def _fitted(sample: DataFrame, unfitted: Model) -> Model:
             count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
             toxic = np.concatenate([np.frombuffer(r["toxic"], np.int8) for r in rows]) == 1
             del rows
-            model = shared.value
+            model = copy.copy(shared.value)
             fit(model, Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64)), toxic)
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.edge.tobytes()])], ["weights", "bias", "edge"])
 
