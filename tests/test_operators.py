@@ -212,3 +212,37 @@ def test_link_names_finds_swapped_misspelt_names(spark):
     got = {r.raw: r.club_id for r in entity.link_names(raw, "raw", canonicals, spark.createDataFrame([], "club_id long, alias string")).collect()}
     scored = raw.crossJoin(canonicals).withColumn("score", sim.token_set_ratio(F.col("raw"), F.col("name"))).where("score >= 88").collect()
     assert got == {**dict.fromkeys(raws), **{r.raw: r.id for r in scored}} and got["strikers arsenals"] == 1
+
+
+def test_school_linker_passes(spark):
+    schools = spark.createDataFrame([(1, "TX", "Austin High School"), (2, "TX", "St. Mary's Academy"), (3, "OK", "Austin High School"), (4, "TX", None)], "id int, state string, name string")
+    aliases = spark.createDataFrame([(2, "TX", "Marys"), (1, "TX", "Lee High")], "id int, state string, name string")
+    raw = spark.createDataFrame([("tx", " marys"), ("TX", "Austin  High School"), ("TX", "Austin High Schol"), ("OK", "Lee High"), (None, "Marys"), ("TX", None), ("TX", "Hihg Asutin Shcool")], "state string, name string")
+    got = {(r.state, r.name): (r.id, r["pass"]) for r in entity.link_schools(raw, schools, aliases).collect()}
+    assert got[("tx", " marys")] == (2, 1)
+    assert got[("TX", "Austin  High School")] == (1, 2)
+    assert got[("TX", "Austin High Schol")] == (1, 3)
+    assert got[("OK", "Lee High")] == (None, 4)
+    assert got[(None, "Marys")] == (None, 4) and got[("TX", None)] == (None, 4)
+    assert len(got) == 7
+
+
+def test_merge_of_two(spark):
+    clubs = spark.createDataFrame([(1, False), (2, True), (3, None)], "id int, manually_merged boolean")
+    teams = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "team int, club int")
+    out = entity.merge_two({"teams": (teams, "club")}, clubs, "id", 1, 2)
+    assert {r.team: r.club for r in out["teams"].collect()} == {10: 1, 11: 1, 12: None}
+    assert {r.id: r.manually_merged for r in out["clubs"].collect()} == {1: True, 3: None}
+    for winner, loser in ((1, 1), (0, 2), (1, 9)):
+        with pytest.raises(ValueError):
+            entity.merge_two({}, clubs, "id", winner, loser)
+
+
+def test_rehash_and_relink(spark):
+    people = spark.createDataFrame([(1, "Ann Lee", None, False), (2, "A. Lee", None, False), (3, "Bo", "b@x.org", False), (4, "Ann Lee", None, True), (5, "Cy Roe", None, None)], "id int, display_name string, primary_email string, manually_merged boolean")
+    seen = spark.createDataFrame([(1, 2, "ann  lee", "2026-02-01"), (2, 2, "A. Lee", "2026-01-01"), (3, None, "Cy Roe", "2026-01-01")], "id int, person_id int, name string, last_seen_at string")
+    hashed = entity.rehash(people, seen)
+    assert {r.id: (r.winner_id, r.group_size) for r in hashed.collect()} == {1: (1, 2), 2: (1, 2), 5: (5, 1)}
+    stored = hashed.where("id = winner_id").select("id", "person_hash").join(people.select("id", "manually_merged"), "id")
+    got = entity.relink(seen.withColumn("email", F.lit(None).cast("string")), stored)
+    assert {r.id: (r.person_id, r.relinked) for r in got.collect()} == {1: (2, False), 2: (2, False), 3: (5, True)}

@@ -41,11 +41,11 @@ def result(own: Column, other: Column) -> Column:
 
 
 def bracket(c: Column) -> Column:
-    """CLS-05: age group and gender of ``B U14``, ``2010 Girls`` and the like."""
-    age = F.nullif(F.upper(F.regexp_replace(F.regexp_extract(c, r"(?i)\b(U-?[0-9]{1,2})", 1), "-", "")), F.lit(""))
-    year = F.nullif(F.regexp_extract(c, r"\b(20[0-2][0-9])", 1), F.lit(""))
-    gender = F.when(c.rlike(r"(?i)\b(boys?|men|male)\b|\bB\s?U?-?[0-9]|[0-9]B\b"), "M").when(c.rlike(r"(?i)\b(girls?|women|female)\b|\bG\s?U?-?[0-9]|[0-9]G\b"), "F")
-    return F.struct(F.coalesce(age, year).alias("age_group"), gender.alias("gender"))
+    """CLS-05: age group and gender of ``B15 Premier``, ``U9 Girls``, ``G U-14``, ``2010 Girls`` and the like."""
+    part = lambda pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    age = F.concat(F.lit("U"), F.lpad(F.coalesce(part(r"(?i)\b[BG](\d{2})\b"), part(r"(?i)\bU-?(\d{1,2})\b")), 2, "0"))
+    gender = F.when(c.rlike(r"(?i)\b(girls?|women|female)\b|\bG\s?U?-?[0-9]|[0-9]G\b"), "F").when(c.rlike(r"(?i)\b(boys?|men|male)\b|\bB\s?U?-?[0-9]|[0-9]B\b"), "M")
+    return F.struct(F.coalesce(age, part(r"\b(20[0-2][0-9])")).alias("age_group"), gender.alias("gender"))
 
 
 # Roles of whole titles, and parts of titles of which the first match wins.
@@ -200,8 +200,8 @@ def is_head_coach(title: Column) -> Column:
 
 
 def loose_int(c: Column) -> Column:
-    """CLS-18: the first number of the text."""
-    return F.nullif(F.regexp_extract(c, r"([0-9]{1,9})", 1), F.lit("")).try_cast("int")
+    """CLS-18: the number that the text begins with."""
+    return F.nullif(F.regexp_extract(F.trim(c), r"^(-?\d+)", 1), F.lit("")).try_cast("int")
 
 
 def grade(c: Column) -> Column:
@@ -215,17 +215,65 @@ def grades_overlap(low: Column, high: Column, first: int = 9, last: int = 12) ->
     return F.when(low.isNull() & high.isNull(), False).otherwise(F.coalesce(low <= last, F.lit(True)) & F.coalesce(high >= first, F.lit(True)))
 
 
-def pool_tier(c: Column) -> Column:
-    """CLS-20."""
-    return first_match(c, [(r"(?i)national", "national"), (r"(?i)regional", "regional"), (r"(?i)state", "state"), (r"(?i)district", "district")], "other")
+# Tiers of player pools, and what gives a birth year, in order.
+POOL_TIERS = {
+    "training-center": ["training camp", "training center", "regional camp", "regional training"],
+    "national": ["national pool", "national selection", "national team"],
+    "regional": ["regional pool", "regional selection", "regional event", "selection event", "id selection"],
+}
+BIRTH_YEARS = [
+    r"(?i)born in\s+((?:19|20)\d{2})",
+    r"(?i)((?:19|20)\d{2})\s+age group",
+    r"(?i)((?:19|20)\d{2})\s+(?:boys|girls|standouts|cohort|class)\b",
+    r"(?i)\bid2\s+((?:19|20)\d{2})\b",
+]
 
 
-def gate_reason(checks: list[tuple[Column, str]]) -> Column:
-    """CLS-21: the reason of the first check that holds, or null."""
-    out = None
-    for hit, reason in checks:
-        out = F.when(hit, reason) if out is None else out.when(hit, reason)
-    return out
+def pool_tier(title: Column, slug: Column) -> Column:
+    """CLS-20: the first tier with a phrase in title or slug, or null."""
+    text = F.concat_ws(" ", title, slug)
+    return reduce(lambda out, t: out.when(_any(text, t[1]), t[0]), POOL_TIERS.items(), F.when(F.lit(False), F.lit(None).cast("string")))
+
+
+def selection_year(posted: Column) -> Column:
+    """CLS-20: the year that a date's text begins with."""
+    return F.nullif(F.regexp_extract(posted, r"^((?:19|20)\d{2})", 1), F.lit("")).try_cast("int")
+
+
+def birth_year(body: Column, title: Column, selected: Column) -> Column:
+    """CLS-20: a year from 1990 to 2030 said outright; else ``selected`` less the age of ``U15`` (8 to 23)."""
+    text = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit("")))
+    number = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
+    said = [F.when(number(p).between(1990, 2030), number(p)) for p in BIRTH_YEARS]
+    age = number(r"\bU-?(\d{1,2})\b")
+    return F.coalesce(*said, F.when(age.between(8, 23), selected - age))
+
+
+# Fixed values.
+CANCELLED_SEASONS = ["2020-21"]
+ENOUGH_PLAYERS = 10
+MOST_ATTEMPTS = 3
+
+
+def scrape_gate(season: Column, current: str, scraped: Column, players: Column, in_review: Column, attempts: Column, as_of: str, fresh_days: int = 30, force: bool = False, force_season: str | None = None) -> Column:
+    """CLS-21: the reason by the first of the ordered rules that holds, and whether to go (``go, reason``).
+
+    ``players``: rows known for the season; ``in_review``: an open flag on its URL;
+    ``attempts``: failed ones on record (null: none).
+    """
+    now_on = season == current
+    fresh = scraped > F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(fresh_days))
+    reason = (
+        F.when(F.lit(force), "force_rescrape").when(season == F.lit(force_season), "force_historical")
+        .when(season.isin(CANCELLED_SEASONS), "likely_covid_cancelled")
+        .when(now_on & fresh, F.concat(F.lit("fresh:scraped_at="), F.date_format(scraped, "yyyy-MM-dd")))
+        .when(now_on, "ok")
+        .when(players >= ENOUGH_PLAYERS, F.concat(F.lit("historical_has_data:count="), players.cast("string")))
+        .when(in_review, "unresolved_url_needs_review")
+        .when(attempts >= MOST_ATTEMPTS, F.concat(F.lit("max_attempts:"), attempts.cast("string")))
+        .otherwise("ok")
+    )
+    return F.struct(reason.isin("force_rescrape", "force_historical", "ok").alias("go"), reason.alias("reason"))
 
 
 def ordered_pair(a: Column, b: Column) -> tuple[Column, Column]:

@@ -18,7 +18,7 @@ def parse_date(c: Column, formats: list[str] = FORMATS) -> Column:
 def academic_year(d: Column) -> Column:
     """DT-02: ``2024-25`` for dates from August 2024 to July 2025."""
     start = F.when(F.month(d) >= 8, F.year(d)).otherwise(F.year(d) - 1)
-    return F.format_string("%d-%02d", start, F.pmod(start + 1, F.lit(100)))
+    return F.when(d.isNotNull(), F.format_string("%d-%02d", start, F.pmod(start + 1, F.lit(100))))
 
 
 def seasons_back(first: Column, count: int) -> Column:
@@ -28,9 +28,9 @@ def seasons_back(first: Column, count: int) -> Column:
 
 def season_of_text(c: Column) -> Column:
     """DT-04: ``20YY-YY`` in the text, else the season that ends in its single year."""
-    pair = F.nullif(F.regexp_extract(c, r"(20[0-9]{2}-[0-9]{2})([^0-9]|$)", 1), F.lit(""))
-    year = F.nullif(F.regexp_extract(c, r"(20[0-9]{2})", 1), F.lit("")).try_cast("int")
-    return F.coalesce(pair, F.format_string("%d-%02d", year - 1, F.pmod(year, F.lit(100))))
+    pair = F.nullif(F.regexp_replace(F.regexp_extract(c, r"20\d{2}[-–]\d{2}", 0), "–", "-"), F.lit(""))
+    year = F.nullif(F.regexp_extract(c, r"(20\d{2})", 1), F.lit("")).try_cast("int")
+    return F.coalesce(pair, F.when(year.isNotNull(), F.format_string("%d-%02d", year - 1, F.pmod(year, F.lit(100)))))
 
 
 def grad_year_of_birth_date(d: Column) -> Column:
@@ -43,22 +43,30 @@ def grad_year_of_birth_month(year: Column, month: Column) -> Column:
     return year + 18 + F.when(month > 8, 1).otherwise(0)
 
 
+# Years until graduation, from the start of the school year.
+GRADE_YEARS = {
+    "fr": 4, "freshman": 4, "9": 4, "9th": 4,
+    "so": 3, "sophomore": 3, "10": 3, "10th": 3,
+    "jr": 2, "junior": 2, "11": 2, "11th": 2,
+    "sr": 1, "senior": 1, "12": 1, "12th": 1,
+}
+
+
 def grad_year_of_grade(grade: Column, spring: Column) -> Column:
-    """DT-07: a year in the text wins; else by the grade (9 to 12) in the school year that ends in ``spring``."""
-    explicit = F.nullif(F.regexp_extract(grade, r"(20[0-9]{2})", 1), F.lit("")).try_cast("int")
-    number = F.nullif(F.regexp_extract(grade, r"\b(9|10|11|12)(th)?\b", 1), F.lit("")).try_cast("int")
-    words = {"freshman": 9, "sophomore": 10, "junior": 11, "senior": 12, "fr": 9, "so": 10, "jr": 11, "sr": 12}
-    table = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
-    return F.coalesce(explicit, spring + 12 - F.coalesce(number, F.try_element_at(table, F.lower(F.regexp_replace(grade, "[^A-Za-z]", "")))))
+    """DT-07: a year in the cell wins; else by the whole cell as a grade in the school year that ends in ``spring``."""
+    cell = F.replace(F.lower(F.trim(grade)), F.lit("."), F.lit(""))
+    explicit = F.nullif(F.regexp_extract(cell, r"\b(20\d{2})\b", 1), F.lit("")).try_cast("int")
+    table = F.create_map(*(F.lit(x) for pair in GRADE_YEARS.items() for x in pair))
+    return F.coalesce(explicit, spring + F.try_element_at(table, cell) - 1)
 
 
 # Fixed values.
-CLASS_YEARS = {"fr": "freshman", "freshman": "freshman", "so": "sophomore", "soph": "sophomore", "sophomore": "sophomore", "jr": "junior", "junior": "junior", "sr": "senior", "senior": "senior", "gr": "grad", "grad": "grad", "graduate": "grad", "5th": "grad"}
+CLASS_YEARS = {"fr": "freshman", "freshman": "freshman", "so": "sophomore", "sophomore": "sophomore", "jr": "junior", "junior": "junior", "sr": "senior", "senior": "senior", "gr": "grad", "grad": "grad", "graduate": "grad", "5th": "grad", "5th yr": "grad", "5th year": "grad"}
 
 
 def class_year(c: Column) -> Column:
-    """DT-08: class year of a roster cell; a redshirt mark is skipped."""
-    word = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^(rs|r|redshirt)[\s.-]+", ""), r"[^a-z0-9].*$", "")
+    """DT-08: class year of a roster cell; points and a redshirt mark before it are skipped."""
+    word = F.regexp_replace(F.replace(F.lower(F.trim(c)), F.lit("."), F.lit("")), r"^(rs-|rs |r-)", "")
     table = F.create_map(*(F.lit(x) for pair in CLASS_YEARS.items() for x in pair))
     return F.try_element_at(table, word)
 
@@ -93,6 +101,8 @@ def date_range(c: Column) -> Column:
     return F.struct(first.alias("first"), last.alias("last"))
 
 
-def age_of_birth_year(c: Column, season_start: Column) -> Column:
-    """DT-14: age in the season by a birth year in the text."""
-    return season_start - F.nullif(F.regexp_extract(c, r"((?:19|20)[0-9]{2})", 1), F.lit("")).try_cast("int")
+def age_of_division(division: Column, season: Column) -> Column:
+    """DT-14: ``U17`` for ``G2008/2007`` in ``2024-25``: the first birth year against the season's first year, at least 1."""
+    born = F.nullif(F.regexp_extract(division, r"(?i)[BG](\d{4})", 1), F.lit("")).try_cast("int")
+    start = F.nullif(F.regexp_extract(season, r"^(\d{4})", 1), F.lit("")).try_cast("int")
+    return F.when(born.isNotNull() & start.isNotNull(), F.concat(F.lit("U"), F.greatest(F.lit(1), start - born + 1).cast("string")))

@@ -150,6 +150,23 @@ def append_to_master(master: DataFrame, new: DataFrame, keys: list[str], order:
     return greedy_dedup(keep_last(both, [F.col(k) for k in keys], [F.col(order).desc()]), order, name)
 
 
+def set_ratio_hits(queries: DataFrame, choices: DataFrame, least: float) -> DataFrame:
+    """Queries (``_scope, raw, _query``) with ``choice, choice_id`` of their scope whose token set ratio is at least ``least``, as ``score``.
+
+    Such a ratio needs a shared token or nearly equal strings; both are joined for.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    by_word = queries.withColumn("_w", F.explode(words("_query"))).join(choices.withColumn("_w", F.explode(words("choice"))), ["_scope", "_w"]).drop("_w").distinct()
+    # Without a shared token the set ratio compares the sorted distinct tokens.
+    in_order = lambda c: F.array_join(F.array_sort(words(c)), " ")
+    q, c = queries.withColumn("_sorted", in_order("_query")), choices.withColumn("_choice_sorted", in_order("choice"))
+    texts = q.select(F.col("_sorted").alias("t")).unionByName(c.select(F.col("_choice_sorted").alias("t"))).distinct().withColumn("k", F.col("t"))
+    near = indel_candidates(texts, "k", "t", least)
+    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    by_text = q.join(near, F.col("_sorted") == F.col("a")).join(c, (F.col("b") == F.col("_choice_sorted")) & (q["_scope"] == c["_scope"])).select(q["_scope"], "raw", "_query", "choice", "choice_id")
+    return by_word.select("_scope", "raw", "_query", "choice", "choice_id").unionByName(by_text).distinct().withColumn("score", similarity.token_set_ratio(F.col("_query"), F.col("choice"))).where(F.col("score") >= least)
+
+
 def link_names(raw: DataFrame, column: str, canonicals: DataFrame, aliases: DataFrame, least: float = SAME) -> DataFrame:
     """ER-04, ER-05, ER-08: each different raw name with ``club_id`` and the pass that found it.
 
@@ -165,18 +182,8 @@ def link_names(raw: DataFrame, column: str, canonicals: DataFrame, aliases: Data
     found = first_of_two_keys(distinct, ["_raw", "_short"], alias_index, "_key", "_id", "_by_alias")
     found = first_of_two_keys(found, ["_raw", "_short"], name_index, "_key", "_id", "_by_name")
     rest = found.where("_by_alias IS NULL AND _by_name IS NULL").withColumn("_query", F.coalesce("_short", "_raw"))
-    choices = name_index.unionByName(alias_index).select(F.col("_key").alias("choice"), F.col("_id").alias("choice_id")).distinct()
-    # A set ratio of 88 needs a shared token or nearly equal strings; both are joined for.
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != "")))
-    by_word = rest.select("raw", "_query", word("_query").alias("_w")).join(choices.select("choice", "choice_id", word("choice").alias("_w")), "_w").select("raw", "_query", "choice", "choice_id").distinct()
-    # Without a shared token the set ratio compares the sorted distinct tokens.
-    in_order = lambda c: F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))), " ")
-    rest, choices = rest.withColumn("_sorted", in_order("_query")), choices.withColumn("_choice_sorted", in_order("choice"))
-    texts = rest.select(F.col("_sorted").alias("t")).unionByName(choices.select(F.col("_choice_sorted").alias("t"))).distinct().withColumn("k", F.col("t"))
-    near = indel_candidates(texts, "k", "t", least)
-    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    by_text = rest.select("raw", "_query", "_sorted").join(near, F.col("_sorted") == F.col("a")).join(choices, F.col("b") == F.col("_choice_sorted")).select("raw", "_query", "choice", "choice_id")
-    scored = by_word.unionByName(by_text).distinct().withColumn("score", similarity.token_set_ratio(F.col("_query"), F.col("choice"))).where(F.col("score") >= least)
+    choices = name_index.unionByName(alias_index).select(F.lit("").alias("_scope"), F.col("_key").alias("choice"), F.col("_id").alias("choice_id")).distinct()
+    scored = set_ratio_hits(rest.select(F.lit("").alias("_scope"), "raw", "_query"), choices, least)
     scored = scored.where(~similarity.unsafe_subset(F.col("_query"), F.col("choice")))
     best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("score"), "choice", "choice_id"))).where("_r = 1").select(F.col("raw").alias("_fraw"), F.col("choice_id").alias("_by_fuzzy"), "score")
     out = found.join(best, found["raw"] == best["_fraw"], "left")
@@ -184,16 +191,29 @@ def link_names(raw: DataFrame, column: str, canonicals: DataFrame, aliases: Data
     return out.select("raw", F.coalesce("_by_alias", "_by_name", "_by_fuzzy").alias("club_id"), number.alias("pass"), F.floor("score").cast("int").alias("score"))
 
 
-def link_schools(raw: DataFrame, schools: DataFrame, least: float = SAME) -> DataFrame:
-    """ER-07: ``state, name`` of ``raw`` to ``id`` of ``schools (id, state, name)`` of the same state; exact, then fuzzy."""
-    q = raw.select("state", "name").distinct().withColumn("_n", names.school_name(F.col("name")))
-    s = schools.select(F.col("state").alias("_st"), F.col("id").alias("_id"), names.school_name(F.col("name")).alias("_sn"))
-    exact = q.join(s, (q["state"] == s["_st"]) & (q["_n"] == s["_sn"])).groupBy("state", "name").agg(F.min("_id").alias("id")).withColumn("pass", F.lit(2))
-    rest = q.join(exact, ["state", "name"], "left_anti")
-    scored = rest.join(s, rest["state"] == s["_st"]).withColumn("score", similarity.token_set_ratio(F.col("_n"), F.col("_sn"))).where(F.col("score") >= least)
-    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("state", "name").orderBy(F.desc("score"), "_id"))).where("_r = 1").select("state", "name", F.col("_id").alias("id"), F.lit(3).alias("pass"))
-    found = exact.select("state", "name", "id", "pass").unionByName(best)
-    return q.select("state", "name").join(found, ["state", "name"], "left").withColumn("pass", F.coalesce("pass", F.lit(4)))
+def link_schools(raw: DataFrame, schools: DataFrame, aliases: DataFrame, least: float = SAME) -> DataFrame:
+    """ER-07: each ``state, name`` of ``raw`` with ``id`` and the pass that found it, within its state.
+
+    ``schools`` and ``aliases`` have ``id, state, name``; of equal keys the greatest
+    id is used. Passes: alias exact, school exact (raw before normalised form),
+    fuzzy, none. A row without state or name is never found.
+    """
+    state, key = F.upper(F.trim("state")).alias("_scope"), F.lower(F.trim("name")).alias("_key")
+    q = raw.select("state", "name").distinct().select("state", "name", state, key, F.nullif(names.school_name(F.col("name")), F.lit("")).alias("_short"))
+    index = lambda df: df.select(state, key, "id").where("_scope <> '' AND _key <> ''").groupBy("_scope", "_key").agg(F.max("id").alias("_id"))
+    by_alias, by_name = index(aliases), index(schools)
+    scoped = lambda scope, c: F.to_json(F.struct(F.col(scope).alias("s"), F.col(c).alias("k")), {"ignoreNullFields": "false"})
+    q = q.withColumns({"_own_key": F.when(F.col("_key") != "", scoped("_scope", "_key")), "_short_key": F.when(F.col("_short").isNotNull(), scoped("_scope", "_short"))})
+    found = q
+    for side, out in ((by_alias, "_by_alias"), (by_name, "_by_name")):
+        found = first_of_two_keys(found, ["_own_key", "_short_key"], side.select(scoped("_scope", "_key").alias("_key"), "_id"), "_key", "_id", out)
+    rest = found.where("_by_alias IS NULL AND _by_name IS NULL AND _scope <> '' AND _key <> ''").select("_scope", F.col("_own_key").alias("raw"), F.coalesce("_short", "_key").alias("_query"))
+    choices = by_name.unionByName(by_alias).select("_scope", F.col("_key").alias("choice"), F.col("_id").alias("choice_id")).distinct()
+    scored = set_ratio_hits(rest.distinct(), choices, least)
+    best = scored.groupBy("raw").agg(F.min_by("choice_id", F.struct(-F.col("score"), F.col("choice"), F.col("choice_id"))).alias("_by_fuzzy"), F.max("score").alias("score"))
+    out = found.join(best, found["_own_key"] == best["raw"], "left")
+    number = F.when(F.col("_by_alias").isNotNull(), 1).when(F.col("_by_name").isNotNull(), 2).when(F.col("_by_fuzzy").isNotNull(), 3).otherwise(4)
+    return out.select("state", "name", F.coalesce("_by_alias", "_by_name", "_by_fuzzy").alias("id"), number.alias("pass"), F.when(number == 3, F.floor("score").cast("int")).alias("score"))
 
 
 def resolve_chains(losers: DataFrame) -> DataFrame:
@@ -209,7 +229,7 @@ def resolve_chains(losers: DataFrame) -> DataFrame:
 
 
 def merge(tables: dict[str, tuple[DataFrame, str, list[str] | None]], losers: DataFrame, clubs: DataFrame, key: str) -> dict[str, DataFrame]:
-    """ER-13, ER-14: every table re-pointed, losers deleted; manually merged clubs stay apart.
+    """ER-13: every table re-pointed, losers deleted; manually merged clubs stay apart.
 
     ``tables``: name -> (frame, id column, other columns of its unique key).
     """
@@ -220,6 +240,20 @@ def merge(tables: dict[str, tuple[DataFrame, str, list[str] | None]], losers: Da
     return out
 
 
+def merge_two(tables: dict[str, tuple[DataFrame, str]], clubs: DataFrame, key: str, winner: int, loser: int) -> dict[str, DataFrame]:
+    """ER-14: one decided merge: tables re-pointed without a look at collisions, the winner marked, the loser gone.
+
+    ValueError for ids that are not positive, equal, or missing in ``clubs``.
+    """
+    if min(winner, loser) <= 0 or winner == loser:
+        raise ValueError("winner and loser must be two positive ids")
+    if clubs.where(F.col(key).isin(winner, loser)).select(key).distinct().count() < 2:
+        raise ValueError(f"{winner} or {loser} is no club")
+    moved = {name: frame.withColumn(column, F.when(F.col(column) == loser, F.lit(winner).cast(frame.schema[column].dataType)).otherwise(F.col(column))) for name, (frame, column) in tables.items()}
+    kept = clubs.where(F.col(key) != loser)
+    return moved | {"clubs": kept.withColumn("manually_merged", F.col("manually_merged") | (F.col(key) == winner))}
+
+
 def over_collapsed(aliases: DataFrame, club: str, alias: str, least_aliases: int = 3, least_roots: int = 2) -> DataFrame:
     """ER-15: clubs whose aliases have several different stripped roots."""
     root = F.nullif(F.lower(names.without_team_words(F.col(alias))), F.lit(""))
@@ -257,12 +291,39 @@ def merge_websites(clubs: DataFrame, key: str, sources: list[tuple[str, DataFram
 
 
 def master_people(discoveries: DataFrame, key: str, name: str, email: str, club: str) -> DataFrame:
-    """ER-19 to ER-21: the least id of each person hash, and every row's link to it."""
+    """ER-19: the least id of each person hash, and every row's link to it."""
     hashed = discoveries.withColumn("person_hash", person_hash(F.col(name), F.col(email), F.col(club)))
     ids = hashed.groupBy("person_hash").agg(F.min(key).alias("person_id"), F.count("*").alias("n_rows"))
     return hashed.select(key, "person_hash").join(ids, "person_hash")
 
 
+def rehash(people: DataFrame, discoveries: DataFrame) -> DataFrame:
+    """ER-20: people without e-mail hashed anew; of equal hashes the least id wins.
+
+    ``people (id, display_name, primary_email, manually_merged)``, ``discoveries (id,
+    person_id, name, last_seen_at)``. The name is the one last seen, else the stored
+    one. Manually merged people are left out. Returns ``id, person_hash, winner_id,
+    group_size``; where ``id`` is not the winner, its discoveries move (``redirect``).
+    """
+    seen = discoveries.where("person_id IS NOT NULL").groupBy(F.col("person_id").alias("_p")).agg(F.max_by("name", F.struct("last_seen_at", "id")).alias("_name"))
+    own = people.where(F.col("primary_email").isNull() & ~F.coalesce("manually_merged", F.lit(False)))
+    hashed = own.join(seen, own["id"] == seen["_p"], "left").select("id", person_hash(F.coalesce("_name", "display_name"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("person_hash"))
+    groups = hashed.groupBy("person_hash").agg(F.min("id").alias("winner_id"), F.count("*").alias("group_size"))
+    return hashed.join(groups, "person_hash").select("id", "person_hash", "winner_id", "group_size")
+
+
+def relink(discoveries: DataFrame, people: DataFrame) -> DataFrame:
+    """ER-21: discoveries without a person take the one with their hash (``id, person_id, relinked``).
+
+    ``discoveries (id, person_id, name, email)``, ``people (id, person_hash,
+    manually_merged)``; manually merged people take none.
+    """
+    side = people.where(~F.coalesce("manually_merged", F.lit(False))).groupBy("person_hash").agg(F.min("id").alias("_to"))
+    hashed = discoveries.withColumn("person_hash", F.when(F.col("person_id").isNull(), person_hash(F.col("name"), F.col("email"), F.lit(None).cast("string"))))
+    out = hashed.join(side, "person_hash", "left")
+    return out.select("id", F.coalesce("person_id", "_to").alias("person_id"), (F.col("person_id").isNull() & F.col("_to").isNotNull()).alias("relinked"))
+
+
 def deletable(df: DataFrame, key: str, name: str, junk: list[str], references: list[tuple[DataFrame, str]], longest: int = 80) -> DataFrame:
     """ER-22: junk names (too long or listed), deletable without any reference."""
     out = df.where((F.length(name) > longest) | F.lower(F.trim(name)).isin(junk))
