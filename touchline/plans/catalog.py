@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, names, similarity
 from ..operators import aggregates as agg
 from ..operators import cdc, entity, filters, joins, quality, upsert, windows
+from ..operators.lineage import shared_folder
 from ..sources import html, scans
 from ..streaming import streams
 from . import bindings as b
@@ -711,8 +712,6 @@ def daily_window_stream(spark, d):
     """ST-03, ST-04: the stream of what is there now; the same result as the batch."""
     import uuid
 
-    name = f"daily_{uuid.uuid4().hex}"
     stream = streams.file_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/touchline-streams"
-    out = streams.run_available(streams.daily_counts(stream, "ts", "event_type"), name, f"{base}/{name}")
+    out = streams.run_available(streams.daily_counts(stream, "ts", "event_type"), f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}")
     return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")

@@ -44,11 +44,21 @@ def upsert_into(read: Callable[[], DataFrame], write: Callable[[DataFrame], None
     return apply
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return its result."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now and return its result, kept as Parquet in ``folder``.
+
+    Every batch has a folder of its own, so that a repeated batch replaces itself.
+    """
+    written = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        written.append(f"{folder}/rows/{number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*(written[-1:] if mode == "complete" else written)) if written else spark.createDataFrame([], stream.schema)
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
