@@ -54,6 +54,8 @@ FEATURES = 20_000
 #: Chance that a label is wrong, and the penalty on squared weights.
 NOISE, PENALTY = 0.01, 0.3
 STEPS = 60
+#: Tokens with evidence of a block of the fit.
+FIT_TOKENS = 100_000
 #: Weight of a feature before the fit, as a multiple of its log odds, and the bias before the fit.
 TRUST, BIAS = 2.5, -9.0
 #: Of a word's features, those with at least this share of its best one's log odds count.
@@ -252,24 +254,27 @@ def forward_backward(chains: Chains, node: np.ndarray, bias: float, edge: np.nda
     return log_z, p, expected
 
 
-def fit(model: Model, chains: Chains, toxic: np.ndarray, steps: int = STEPS) -> None:
-    """Fit the weights to texts of label ``toxic`` by gradient steps of adapted size (RPROP).
+def fit_blocks(model: Model, blocks: list[tuple[Chains, np.ndarray]], steps: int = STEPS) -> None:
+    """Fit the weights to texts and their labels (1: toxic) by gradient steps of adapted size (RPROP).
 
-    The penalty draws weights to those that the model comes with, so that a word that
+    The slope of a step is the sum over the blocks, so that only one block's marginals
+    are held at a time. The penalty draws weights to those that the model comes with, so that a word that
     always stands beside others like it keeps what it is worth by itself.
     """
     w = np.concatenate([model.weights, [model.bias], model.edge.ravel()[1:]])
     k = len(model.weights)
     prior = w.copy()
     rate, last = np.full(len(w), 0.2), np.zeros(len(w))
-    owner = np.repeat(np.arange(len(chains.tail)), np.diff(chains.first))
     for _ in range(steps):
         model.weights, model.bias, model.edge = w[:k], float(w[k]), np.r_[0.0, w[k + 1 :]].reshape(2, 2)
-        log_z, p, expected = forward_backward(chains, model.node(chains), model.bias, model.edge, slopes=True)
-        none = np.exp(-np.maximum(log_z, 0))
-        pull = np.where(toxic, (1 - NOISE) * none / (NOISE + (1 - NOISE) * (1 - none)), -1.0)
-        given = p * pull[owner]
-        slope = np.concatenate([np.bincount(chains.feature, given[chains.token] * chains.value, k), [given.sum() + pull @ expected[:, 0]], pull @ expected[:, 1:]]) - PENALTY * (w - prior)
+        slope = -PENALTY * (w - prior)
+        for chains, toxic in blocks:
+            owner = np.repeat(np.arange(len(chains.tail)), np.diff(chains.first))
+            log_z, p, expected = forward_backward(chains, model.node(chains), model.bias, model.edge, slopes=True)
+            none = np.exp(-np.maximum(log_z, 0))
+            pull = np.where(toxic, (1 - NOISE) * none / (NOISE + (1 - NOISE) * (1 - none)), -1.0)
+            given = p * pull[owner]
+            slope += np.concatenate([np.bincount(chains.feature, given[chains.token] * chains.value, k), [given.sum() + pull @ expected[:, 0]], pull @ expected[:, 1:]])
         turn = slope * last
         rate = np.clip(np.where(turn > 0, rate * 1.2, np.where(turn < 0, rate * 0.5, rate)), 1e-5, 0.5)
         slope = np.where(turn < 0, 0.0, slope)
@@ -277,6 +282,11 @@ def fit(model: Model, chains: Chains, toxic: np.ndarray, steps: int = STEPS) ->
     model.weights, model.bias, model.edge = w[:k], float(w[k]), np.r_[0.0, w[k + 1 :]].reshape(2, 2)
 
 
+def fit(model: Model, chains: Chains, toxic: np.ndarray, steps: int = STEPS) -> None:
+    """``fit_blocks`` for texts held as one block."""
+    fit_blocks(model, [(chains, toxic)], steps)
+
+
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``toxic, body``: different texts, of each label those of least hash within the bounds.
 
@@ -372,12 +382,17 @@ def _fitted(sample: DataFrame, unfitted: Model) -> Model:
             rows = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda r: r["key"])
             if not rows:
                 return
-            *counts, value = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in zip(names, kinds, strict=True))
-            count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
-            toxic = np.concatenate([np.frombuffer(r["toxic"], np.int8) for r in rows]) == 1
-            del rows
+            blocks, held = [], []
+            while rows:
+                held.append(rows.pop(0))
+                if not rows or sum(len(r["gap"]) for r in held) >= 4 * FIT_TOKENS:
+                    *counts, value = (np.concatenate([np.frombuffer(r[k], kind) for r in held]) for k, kind in zip(names, kinds, strict=True))
+                    count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
+                    toxic = np.concatenate([np.frombuffer(r["toxic"], np.int8) for r in held]) == 1
+                    blocks.append((Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64)), toxic))
+                    held = []
             model = copy.copy(shared.value)
-            fit(model, Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64)), toxic)
+            fit_blocks(model, blocks)
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.edge.tobytes()])], ["weights", "bias", "edge"])
 
         return run
