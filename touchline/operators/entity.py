@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names, similarity
 from ..functions.classify import match_class, person_hash
+from . import fuzzy
 from .aggregates import completeness, keep_last
+from .fuzzy import indel_candidates, set_ratio_hits
 from .lineage import cut
 from .joins import first_of_two_keys, pairs_within
 from .upsert import redirect
@@ -88,36 +90,6 @@ def tier_pairs(pairs: DataFrame, meta: DataFrame, key: str, least: float = 0.95)
     return out.select(*pairs.columns, "tier", "reason", "winner")
 
 
-def indel_candidates(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """Pairs of keys that may have an indel ratio of ``least`` or more; none is lost.
-
-    Two texts of that ratio are at most ``d`` insertions and deletions apart. One
-    text in ``d + 1`` pieces keeps at least one of them whole in the other, moved
-    by at most ``d``. Pairs meet on such a piece.
-    """
-    share = 1 - least / 100
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0)
-    n = F.length("_t")
-    # d is at most share * (own + longest partner), the partner being at most own * (2 - r) / r.
-    r = least / 100
-    most = F.floor(F.lit(share * (1 + (2 - r) / r)) * n + 1e-9)
-    count = F.least(most + 1, n)
-    pieces = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.struct(F.floor(i * n / count).cast("int").alias("at"), (F.floor((i + 1) * n / count) - F.floor(i * n / count)).cast("int").alias("len")))
-    indexed = rows.withColumn("_p", F.explode(pieces)).select("_k", n.alias("_n"), F.col("_p.at").alias("_at"), F.col("_p.len").alias("_len"), F.expr("substring(_t, _p.at + 1, _p.len)").alias("_piece"))
-    lengths = indexed.agg(F.collect_set("_len").alias("v")).first().v or []  # lengths of pieces: a handful
-    kind = "array<struct<at:int,piece:string>>"
-
-    def windows_of(size: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(i.alias("at"), F.substring(F.col("_t"), i + 1, F.lit(size)).alias("piece")))
-        return F.when(n >= size, cut).otherwise(F.array().cast(kind))
-
-    windows = F.flatten(F.array(*(windows_of(size) for size in sorted(lengths)))) if lengths else F.array().cast(kind)
-    probes = rows.withColumn("_w", F.explode(windows)).select(F.col("_k").alias("_k2"), n.alias("_n2"), F.col("_w.at").alias("_at2"), F.col("_w.piece").alias("_piece"))
-    met = indexed.join(probes, "_piece").where(F.col("_k") != F.col("_k2")).where(F.abs(F.col("_at") - F.col("_at2")) <= F.lit(share) * (F.col("_n") + F.col("_n2")) + 1e-9)
-    met = met.where(F.least("_n", "_n2") * 200 >= F.lit(float(least)) * (F.col("_n") + F.col("_n2")))
-    return met.select(F.least("_k", "_k2").alias("a"), F.greatest("_k", "_k2").alias("b")).distinct()
-
-
 def greedy_dedup(df: DataFrame, order: str, name: str, least: float = SAME) -> DataFrame:
     """ER-02: a row goes if an earlier row that stays is alike; ``order`` is unique.
 
@@ -150,23 +122,6 @@ def append_to_master(master: DataFrame, new: DataFrame, keys: list[str], order:
     return greedy_dedup(keep_last(both, [F.col(k) for k in keys], [F.col(order).desc()]), order, name)
 
 
-def set_ratio_hits(queries: DataFrame, choices: DataFrame, least: float) -> DataFrame:
-    """Queries (``_scope, raw, _query``) with ``choice, choice_id`` of their scope whose token set ratio is at least ``least``, as ``score``.
-
-    Such a ratio needs a shared token or nearly equal strings; both are joined for.
-    """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    by_word = queries.withColumn("_w", F.explode(words("_query"))).join(choices.withColumn("_w", F.explode(words("choice"))), ["_scope", "_w"]).drop("_w").distinct()
-    # Without a shared token the set ratio compares the sorted distinct tokens.
-    in_order = lambda c: F.array_join(F.array_sort(words(c)), " ")
-    q, c = queries.withColumn("_sorted", in_order("_query")), choices.withColumn("_choice_sorted", in_order("choice"))
-    texts = q.select(F.col("_sorted").alias("t")).unionByName(c.select(F.col("_choice_sorted").alias("t"))).distinct().withColumn("k", F.col("t"))
-    near = indel_candidates(texts, "k", "t", least)
-    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    by_text = q.join(near, F.col("_sorted") == F.col("a")).join(c, (F.col("b") == F.col("_choice_sorted")) & (q["_scope"] == c["_scope"])).select(q["_scope"], "raw", "_query", "choice", "choice_id")
-    return by_word.select("_scope", "raw", "_query", "choice", "choice_id").unionByName(by_text).distinct().withColumn("score", similarity.token_set_ratio(F.col("_query"), F.col("choice"))).where(F.col("score") >= least)
-
-
 def link_names(raw: DataFrame, column: str, canonicals: DataFrame, aliases: DataFrame, least: float = SAME) -> DataFrame:
     """ER-04, ER-05, ER-08: each different raw name with ``club_id`` and the pass that found it.
 
@@ -268,12 +223,19 @@ def rebucket(rows: DataFrame, column: str, raw: str, roots: DataFrame) -> DataFr
 
 
 def diff_with_master(external: DataFrame, master: DataFrame) -> DataFrame:
-    """ER-17: external names of a state with their best master name, score and class."""
-    e = external.select(F.upper("state").alias("state"), "name").distinct()
-    m = master.select(F.upper("state").alias("state"), F.col("name").alias("master")).distinct()
-    scored = e.join(m, "state").withColumn("score", similarity.token_sort_ratio(F.lower("name"), F.lower("master")))
-    best = scored.groupBy("state", "name").agg(F.max(F.struct("score", (-F.xxhash64("master")).alias("_h"), "master")).alias("b"))
-    return e.join(best, ["state", "name"], "left").select("state", "name", F.col("b.master").alias("master"), F.coalesce(F.col("b.score"), F.lit(0.0)).alias("score"), match_class(F.coalesce(F.col("b.score"), F.lit(0.0))).alias("class"))
+    """ER-17: external rows (``state, name``) with the best master name of their state, score and class.
+
+    ``master`` has ``id, state, name``. Canonical names are compared, blank ones of
+    the master left out; of equal scores the first master row (by ``id``) is taken.
+    A name without any likeness, or in a state without masters, has none and score 0.
+    """
+    scope = lambda df: F.coalesce(F.upper(F.trim("state")), F.lit("")).alias("_scope")
+    e = external.select("state", "name").distinct().select("state", "name", scope(external), names.canonical_name(F.col("name")).alias("canonical_name"))
+    m = master.select(scope(master), names.canonical_name(F.col("name")).alias("choice"), F.col("id").alias("rank")).where("choice <> ''")
+    best = fuzzy.best_matches(e.select("_scope", F.col("canonical_name").alias("query")), m)
+    out = e.join(best, (e["_scope"] == best["scope"]) & (e["canonical_name"] == best["query"]), "left")
+    score = F.coalesce("score", F.lit(0.0))
+    return out.select("state", "name", "canonical_name", F.col("choice").alias("master"), score.alias("score"), match_class(score))
 
 
 def merge_websites(clubs: DataFrame, key: str, sources: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -130,3 +130,27 @@ SNAPSHOTS = """snapshots AS (
     SELECT club_id, snapshot, player, CASE WHEN j <> 'P' THEN j END AS jersey, position FROM (
         SELECT o_custkey % 20 AS club_id, CAST(year(o_orderdate) AS INTEGER) AS snapshot, CAST(o_orderkey % 37 AS VARCHAR) AS player,
                min(o_orderstatus) AS j, max(o_orderpriority) AS position FROM orders GROUP BY 1, 2, 3))"""
+
+
+def link_targets(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Tables with raw team names and club ids that are mostly null: ``id, raw, club_id`` of parts, customers, suppliers and orders.
+
+    Names are a club's, with words swapped, a letter left out, or team words added.
+    """
+    names = clubs(spark, d).select((F.col("id") % 997).alias("n"), "name").groupBy("n").agg(F.min("name").alias("name"))
+    swapped = F.array_join(F.reverse(F.split("name", " ")), " ")
+    less = F.regexp_replace("name", "e", "")
+
+    def of(table_name: str, key: str, kinds: list) -> DataFrame:
+        t = table(spark, d, table_name).select(F.col(key).alias("id"), (F.col(key) % 997).alias("n")).join(names, "n", "left")
+        raw = F.when(F.col("id") % 5 == 4, None)
+        for k, kind in enumerate(kinds):
+            raw = raw.when(F.col("id") % len(kinds) == k, kind)
+        return t.select("id", raw.alias("raw"), F.when(F.col("id") % 11 == 0, F.col("id")).alias("club_id"))
+
+    return {
+        "parts": of("part", "p_partkey", [F.concat("name", F.lit(" U15 Boys Gold")), F.concat(less, F.lit(" 2011 Girls"))]),
+        "customers": of("customer", "c_custkey", [swapped, F.concat(less, F.lit(" U14")), F.col("name")]),
+        "suppliers": of("supplier", "s_suppkey", [F.upper("name"), F.concat(swapped, F.lit(" VA"))]),
+        "orders": of("orders", "o_orderkey", [F.concat("name", F.lit(" 07 Elite")), less, F.lit("Lone Wanderers"), F.concat(F.lit("Total "), "name")]),
+    }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, dates, names, similarity
 from ..operators import aggregates as agg
-from ..operators import cdc, entity, filters, joins, quality, upsert, windows
+from ..operators import cdc, entity, filters, fuzzy, joins, quality, upsert, windows
 from ..operators.lineage import shared_folder
 from ..sources import html, scans
 from ..streaming import streams
@@ -572,26 +572,25 @@ def fuzzy_pairs_lev_jaccard(spark, d):
     return entity.duplicate_pairs(c, "id", "name", [F.upper(F.coalesce("state", F.lit("UNKNOWN")))], 0.85).select("a_id", "b_id", F.round("similarity", 4).alias("similarity"))
 
 
-@query(f"""WITH {b.CLUBS}, c AS (SELECT id, lower(name) AS name, coalesce(state, '-') AS state FROM clubs) SELECT a.id AS a_id, b.id AS b_id, round(jaro_winkler_similarity(a.name, b.name), 6) AS jw FROM c a JOIN c b ON a.state = b.state AND a.id < b.id AND left(a.name, 4) = left(b.name, 4) AND abs(length(a.name) - length(b.name)) <= 3 WHERE jaro_winkler_similarity(a.name, b.name) >= 0.9""")
+@query(f"""WITH {b.CLUBS}, c AS (SELECT id, lower(name) AS name, coalesce(state, '-') AS state FROM clubs)
+SELECT a.id AS a_id, b.id AS b_id, round(jaro_winkler_similarity(a.name, b.name), 6) AS jw FROM c a JOIN c b ON a.state = b.state AND a.id < b.id WHERE jaro_winkler_similarity(a.name, b.name) >= 0.9""")
 def jaro_winkler(spark, d):
-    """SIM-08: names of a state that begin alike; each pair of different names is scored once."""
+    """SIM-08: all pairs of a state's names; each pair of different names is scored once."""
     c = b.clubs(spark, d).select("id", F.lower("name").alias("name"), F.coalesce("state", F.lit("-")).alias("state"))
-    different = c.select("name", "state").distinct()
-    p = joins.pairs_within(different, "name", [F.col("state"), F.substring("name", 1, 4)], ["state"])
-    p = p.where(F.abs(F.length("a_name") - F.length("b_name")) <= 3).select("a_name", "b_name", F.col("a_state").alias("state"))
-    p = p.withColumn("jw", similarity.jaro_winkler(F.col("a_name"), F.col("b_name"))).where("jw >= 0.9").unionByName(different.select(F.col("name").alias("a_name"), F.col("name").alias("b_name"), "state", F.lit(1.0).alias("jw")))
+    p = fuzzy.winkler_pairs(c.select(F.col("state").alias("_scope"), F.col("name").alias("_text"))).select(F.col("a").alias("a_name"), F.col("b").alias("b_name"), F.col("_scope").alias("state"), "jw")
+    same = c.select(F.col("name").alias("a_name"), F.col("name").alias("b_name"), "state", F.lit(1.0).alias("jw")).distinct()
     side = lambda s: c.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), "state")
-    both = p.join(side("a"), ["a_name", "state"]).join(side("b"), ["b_name", "state"]).where("a_id <> b_id AND (a_name <> b_name OR a_id < b_id)")
+    both = p.unionByName(same).join(side("a"), ["a_name", "state"]).join(side("b"), ["b_name", "state"]).where("a_id <> b_id AND (a_name <> b_name OR a_id < b_id)")
     return both.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), F.round("jw", 6).alias("jw"))
 
 
 @query()
 def token_ratios(spark, d):
-    """SIM-05 to SIM-07, SIM-09 over pairs of a state (Arrow UDFs)."""
-    c = b.clubs(spark, d).select("id", F.lower("name").alias("name"), F.coalesce("state", F.lit("-")).alias("state"))
-    p = joins.pairs_within(c.dropDuplicates(["name", "state"]), "id", [F.col("state")], ["name"])
-    a, z = F.col("a_name"), F.col("b_name")
-    return p.select("a_id", "b_id", similarity.token_sort_ratio(a, z).alias("sort_ratio"), similarity.token_set_ratio(a, z).alias("set_ratio"), similarity.token_set_blocks(a, z).alias("set_blocks"), similarity.unsafe_subset(a, z).alias("unsafe"))
+    """SIM-05 to SIM-07, SIM-09: different names of a state whose token set ratio is 88 or more."""
+    c = b.clubs(spark, d).select(F.coalesce("state", F.lit("-")).alias("_scope"), F.lower("name").alias("_text"))
+    p = fuzzy.set_ratio_pairs(c, c, 88).where("_q < _c")
+    a, z = F.col("_q"), F.col("_c")
+    return p.select(F.col("_scope").alias("state"), a.alias("a_name"), z.alias("b_name"), similarity.token_sort_ratio(a, z).alias("sort_ratio"), F.col("score").alias("set_ratio"), similarity.token_set_blocks(a, z).alias("set_blocks"), similarity.unsafe_subset(a, z).alias("unsafe"))
 
 
 @query()
