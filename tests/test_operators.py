@@ -191,16 +191,6 @@ def test_scans_and_sinks(spark, tmp_path):
     assert scans.csv_kind(["Name", "URL"], {"coach": {"coach"}, "url": {"name", "url"}}) == "url"
 
 
-def test_stream_streaks_follow_batch(spark, tmp_path):
-    import pandas as pd
-
-    (tmp_path / "in").mkdir()
-    for n, part in enumerate(["FFO", "FF"]):
-        pd.DataFrame({"k": ["a"] * len(part), "t": range(n * 10, n * 10 + len(part)), "bad": [c == "F" for c in part]}).to_parquet(tmp_path / "in" / f"{n}.parquet")
-    stream = streams.streaks(streams.file_stream(spark, str(tmp_path / "in")), "k", "t", "bad")
-    out = streams.run_available(stream, str(tmp_path / "out"), "update")
-    assert out.groupBy("key").agg(F.max("streak")).first()[1] == 2
-
 
 def test_link_names_finds_swapped_misspelt_names(spark):
     from touchline.functions import similarity as sim

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 
 def daily_counts(events: DataFrame, time: str, kind: str, late: str = "1 day") -> DataFrame:
@@ -20,45 +19,56 @@ def once_each(events: DataFrame, keys: list[str], time: str, late: str = "1 day"
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def streaks(events: DataFrame, key: str, time: str, failed: str) -> DataFrame:
-    """ST-05: the current failure streak of each key, updated with every batch."""
+@contextmanager
+def _settings(spark: SparkSession, conf: dict[str, str]):
+    """Settings that a query takes when it starts; the session has its own back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, last = state.get if state.exists else (0, -(1 << 62))
-        rows = pd.concat(list(frames)).sort_values(time)
-        for at, bad in zip(rows[time].astype("int64").tolist(), rows[failed], strict=True):
-            if at >= last:
-                streak, last = (streak + 1 if bad else 0), at
-        state.update((streak, last))
-        yield pd.DataFrame({"key": [str(k[0])], "streak": [streak]})
 
-    return events.groupBy(key).applyInPandasWithState(step, "key string, streak long", "streak long, last long", "update", "NoTimeout")
-
-
-def upsert_into(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """ST-01, ST-02, ST-06: a ``foreachBatch`` function that merges a batch into stored state."""
-
-    def apply(batch: DataFrame, number: int) -> None:
-        write(merge(read(), batch))
-
-    return apply
+def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], state: str, mode: str = "append", conf: dict[str, str] | None = None) -> None:
+    """Run a stream over what is there now, ``apply`` on every batch."""
+    with _settings(stream.sparkSession, conf or {}):
+        query = stream.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+def run_available(stream: DataFrame, folder: str, mode: str = "complete", conf: dict[str, str] | None = None, numbered: bool = False) -> DataFrame:
     """Run a stream over what is there now and return its result, kept as Parquet in ``folder``.
 
     Every batch has a folder of its own, so that a repeated batch replaces itself.
+    ``numbered`` adds its number as ``batch``.
     """
     written = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        (batch.withColumn("batch", F.lit(number).cast("long")) if numbered else batch).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
         written.append(f"{folder}/rows/{number}")
 
-    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    run_batches(stream, keep, f"{folder}/state", mode, conf)
     spark = stream.sparkSession
-    return spark.read.schema(stream.schema).parquet(*(written[-1:] if mode == "complete" else written)) if written else spark.createDataFrame([], stream.schema)
+    schema = stream.schema.add("batch", "long") if numbered else stream.schema
+    return spark.read.schema(schema).parquet(*(written[-1:] if mode == "complete" else written)) if written else spark.createDataFrame([], schema)
+
+
+def in_cuts(df: DataFrame, path: str, cuts: int, order: str | None = None, end: DataFrame | None = None) -> DataFrame:
+    """A stream of ``df``'s rows in ``cuts`` micro-batches, dealt by hash (or in ``order``), then ``end``.
+
+    The rows are written below ``path``, one folder for each batch.
+    """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(cuts)) if order is None else F.ntile(cuts).over(Window.orderBy(order)) - 1
+    dealt = df.withColumn("_cut", part)
+    for k in range(cuts):
+        dealt.where(F.col("_cut") == k).drop("_cut").coalesce(1).write.mode("append").parquet(path)
+    if end is not None:
+        end.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
