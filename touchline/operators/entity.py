@@ -90,22 +90,18 @@ def tier_pairs(pairs: DataFrame, meta: DataFrame, key: str, least: float = 0.95)
     return out.select(*pairs.columns, "tier", "reason", "winner")
 
 
-def greedy_dedup(df: DataFrame, order: str, name: str, least: float = SAME) -> DataFrame:
-    """ER-02: a row goes if an earlier row that stays is alike; ``order`` is unique.
+def _in_order(name: str) -> Column:
+    return F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")), " ")
+
 
-    Equal names fall to their first row at once. Then, over the pairs that are
-    alike: rows without an undecided earlier partner stay, their later partners
-    go, until all are decided. Each round is written to checkpoint storage.
+def _greedily_gone(alike: DataFrame) -> DataFrame:
+    """``v`` of pairs ``a`` before ``b``: those alike to an earlier one that stays.
+
+    Rows without an undecided earlier partner stay, their later partners go, until all
+    are decided. Each round is written to checkpoint storage.
     """
-    firsts = keep_last(df, [F.col(name)], [F.col(order).asc()])
-    sorted_ = firsts.withColumn("_s", F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")), " "))
-    pairs = indel_candidates(sorted_, order, "_s", least)
-    text = firsts.select(F.col(order).alias("_o"), F.col(name).alias("_n"))
-    scored = pairs.join(text.withColumnsRenamed({"_o": "a", "_n": "na"}), "a").join(text.withColumnsRenamed({"_o": "b", "_n": "nb"}), "b")
-    alike = scored.where(similarity.token_sort_ratio(F.col("na"), F.col("nb")) >= least).select("a", "b")
-    alike = cut(alike)
-    gone = alike.select(F.col("b").alias("v")).limit(0)
-    left = alike
+    left = cut(alike)
+    gone = left.select(F.col("b").alias("v")).limit(0)
     while not left.isEmpty():
         # Rows that are nobody's later partner any more stay.
         stay = left.select(F.col("a").alias("v")).distinct().join(left.select(F.col("b").alias("v")).distinct(), "v", "left_anti")
@@ -113,13 +109,52 @@ def greedy_dedup(df: DataFrame, order: str, name: str, least: float = SAME) -> D
         gone = gone.unionByName(now)
         left = left.join(now.withColumnRenamed("v", "_x"), left.a == F.col("_x"), "left_anti").join(now.withColumnRenamed("v", "_y"), left.b == F.col("_y"), "left_anti")
         left = cut(left.join(stay.withColumnRenamed("v", "_z"), left.a == F.col("_z"), "left_anti"))
+    return gone
+
+
+def greedy_dedup(df: DataFrame, order: str, name: str, least: float = SAME) -> DataFrame:
+    """ER-02: a row goes if an earlier row that stays is alike; ``order`` is unique.
+
+    Equal names fall to their first row at once; the others are decided over the pairs
+    that are alike.
+    """
+    firsts = keep_last(df, [F.col(name)], [F.col(order).asc()])
+    pairs = indel_candidates(firsts.withColumn("_s", _in_order(name)), order, "_s", least)
+    text = firsts.select(F.col(order).alias("_o"), F.col(name).alias("_n"))
+    scored = pairs.join(text.withColumnsRenamed({"_o": "a", "_n": "na"}), "a").join(text.withColumnsRenamed({"_o": "b", "_n": "nb"}), "b")
+    gone = _greedily_gone(scored.where(similarity.token_sort_ratio(F.col("na"), F.col("nb")) >= least).select("a", "b"))
     return firsts.join(gone.withColumnRenamed("v", "_v"), firsts[order] == F.col("_v"), "left_anti")
 
 
-def append_to_master(master: DataFrame, new: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """ER-03: the last row of each key, then greedy dedup over the whole frame."""
-    both = master.unionByName(new, allowMissingColumns=True)
-    return greedy_dedup(keep_last(both, [F.col(k) for k in keys], [F.col(order).desc()]), order, name)
+def master_index(master: DataFrame, order: str, name: str, least: float = SAME) -> DataFrame:
+    """ER-03: the pieces of a master's names, to be stored beside it for ``append_to_master``."""
+    return fuzzy.piece_index(master.withColumn("_s", _in_order(name)), order, "_s", least)
+
+
+def append_to_master(master: DataFrame, index: DataFrame, new: DataFrame, keys: list[str], order: str, name: str, least: float = SAME) -> tuple[DataFrame, DataFrame]:
+    """ER-03: the master and its index after ``new`` rows, as dedup of the whole frame would give.
+
+    ``master`` holds rows that stay (no two alike); ``order`` is unique and later in
+    ``new``. The last row of each key stays, so a new one replaces its like at its later
+    place. Rows of the master cannot go otherwise: only new rows probe the index and
+    each other, and only their pieces are added to it. (Blank names have no pieces; they
+    are alike by equality.)
+    """
+    fresh = keep_last(new, [F.col(k) for k in keys], [F.col(order).desc()])
+    taken = fresh.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    stays = cut(master.join(taken, [master[k].eqNullSafe(taken[f"_{k}"]) for k in keys], "left_anti"))
+    fresh = cut(keep_last(fresh, [F.col(name)], [F.col(order).asc()]).withColumn("_s", _in_order(name)))
+    side = lambda df, s: df.select(F.col(order).alias(f"_o{s}"), F.col(name).alias(f"_n{s}"))
+    same = fresh.join(stays.select(F.col(name).alias("_same")).distinct(), F.col(name).eqNullSafe(F.col("_same")), "left_semi").select(order)
+    met = fuzzy.probe_pieces(index, fresh, order, "_s", least)
+    scored = met.join(side(stays, 1), F.col("_k") == F.col("_o1")).join(side(fresh, 2), F.col("_k2") == F.col("_o2")).where(similarity.token_sort_ratio(F.col("_n1"), F.col("_n2")) >= least)
+    lost = cut(scored.select(F.col("_k2").alias("_lost")).unionByName(same.select(F.col(order).alias("_lost"))).distinct())
+    left = cut(fresh.join(lost, fresh[order] == lost["_lost"], "left_anti"))
+    pairs = indel_candidates(left, order, "_s", least)
+    within = pairs.join(side(left, 1), F.col("a") == F.col("_o1")).join(side(left, 2), F.col("b") == F.col("_o2")).where(similarity.token_sort_ratio(F.col("_n1"), F.col("_n2")) >= least).select("a", "b")
+    gone = _greedily_gone(within)
+    kept = cut(left.join(gone.withColumnRenamed("v", "_v"), left[order] == F.col("_v"), "left_anti"))
+    return stays.unionByName(kept.drop("_s"), allowMissingColumns=True), index.unionByName(fuzzy.piece_index(kept, order, "_s", least))
 
 
 def link_names(raw: DataFrame, column: str, canonicals: DataFrame, aliases: DataFrame, least: float = SAME) -> DataFrame:

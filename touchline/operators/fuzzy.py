@@ -16,33 +16,43 @@ from .lineage import cut
 HOT_PAIRS = 1 << 20
 
 
-def indel_candidates(df: DataFrame, key: str, text: str, least: float, block: str | None = None) -> DataFrame:
-    """Pairs of keys that may have an indel ratio of ``least`` or more; none is lost.
+def piece_index(df: DataFrame, key: str, text: str, least: float, block: str | None = None) -> DataFrame:
+    """Pieces of the texts (``_k, _in, _n, _at, _len, _piece``), to be stored and probed by ``probe_pieces``.
 
-    Two texts of that ratio are at most ``d`` insertions and deletions apart. One
-    text in ``d + 1`` pieces keeps at least one of them whole in the other, moved
-    by at most ``d``. Pairs meet on such a piece (and within their ``block``).
+    Two texts with an indel ratio of ``least`` are at most ``d`` insertions and deletions
+    apart. One text in ``d + 1`` pieces keeps at least one of them whole in the other.
     """
-    share = 1 - least / 100
+    share, r = 1 - least / 100, least / 100
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), (F.col(block) if block else F.lit("")).alias("_in")).where(F.length("_t") > 0)
     n = F.length("_t")
     # d is at most share * (own + longest partner), the partner being at most own * (2 - r) / r.
-    r = least / 100
     most = F.floor(F.lit(share * (1 + (2 - r) / r)) * n + 1e-9)
     count = F.least(most + 1, n)
     pieces = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.struct(F.floor(i * n / count).cast("int").alias("at"), (F.floor((i + 1) * n / count) - F.floor(i * n / count)).cast("int").alias("len")))
-    indexed = rows.withColumn("_p", F.explode(pieces)).select("_k", "_in", n.alias("_n"), F.col("_p.at").alias("_at"), F.col("_p.len").alias("_len"), F.expr("substring(_t, _p.at + 1, _p.len)").alias("_piece"))
-    lengths = indexed.agg(F.collect_set("_len").alias("v")).first().v or []  # lengths of pieces: a handful
+    return rows.withColumn("_p", F.explode(pieces)).select("_k", "_in", n.alias("_n"), F.col("_p.at").alias("_at"), F.col("_p.len").alias("_len"), F.expr("substring(_t, _p.at + 1, _p.len)").alias("_piece"))
+
+
+def probe_pieces(index: DataFrame, df: DataFrame, key: str, text: str, least: float, block: str | None = None) -> DataFrame:
+    """``_k, _k2``: indexed keys and keys of ``df`` that share a piece moved by at most ``d``; no pair of the ratio is lost."""
+    share = 1 - least / 100
+    rows = df.select(F.col(key).alias("_k2"), F.col(text).alias("_t"), (F.col(block) if block else F.lit("")).alias("_in")).where(F.length("_t") > 0)
+    n = F.length("_t")
+    lengths = sorted(index.agg(F.collect_set("_len").alias("v")).first().v or [])  # lengths of pieces: a handful
     kind = "array<struct<at:int,piece:string>>"
 
     def windows_of(size: int) -> Column:
         cut = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(i.alias("at"), F.substring(F.col("_t"), i + 1, F.lit(size)).alias("piece")))
         return F.when(n >= size, cut).otherwise(F.array().cast(kind))
 
-    windows = F.flatten(F.array(*(windows_of(size) for size in sorted(lengths)))) if lengths else F.array().cast(kind)
-    probes = rows.withColumn("_w", F.explode(windows)).select(F.col("_k").alias("_k2"), "_in", n.alias("_n2"), F.col("_w.at").alias("_at2"), F.col("_w.piece").alias("_piece"))
-    met = indexed.join(probes, ["_in", "_piece"]).where(F.col("_k") != F.col("_k2")).where(F.abs(F.col("_at") - F.col("_at2")) <= F.lit(share) * (F.col("_n") + F.col("_n2")) + 1e-9)
-    met = met.where(F.least("_n", "_n2") * 200 >= F.lit(float(least)) * (F.col("_n") + F.col("_n2")))
+    windows = F.flatten(F.array(*map(windows_of, lengths))) if lengths else F.array().cast(kind)
+    probes = rows.withColumn("_w", F.explode(windows)).select("_k2", "_in", n.alias("_n2"), F.col("_w.at").alias("_at2"), F.col("_w.piece").alias("_piece"))
+    met = index.join(probes, ["_in", "_piece"]).where(F.abs(F.col("_at") - F.col("_at2")) <= F.lit(share) * (F.col("_n") + F.col("_n2")) + 1e-9)
+    return met.where(F.least("_n", "_n2") * 200 >= F.lit(float(least)) * (F.col("_n") + F.col("_n2"))).select("_k", "_k2").distinct()
+
+
+def indel_candidates(df: DataFrame, key: str, text: str, least: float, block: str | None = None) -> DataFrame:
+    """Pairs of keys (of a ``block``) that may have an indel ratio of ``least`` or more; none is lost."""
+    met = probe_pieces(piece_index(df, key, text, least, block), df, key, text, least, block).where(F.col("_k") != F.col("_k2"))
     return met.select(F.least("_k", "_k2").alias("a"), F.greatest("_k", "_k2").alias("b")).distinct()
 
 
