@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from touchline.plans import catalog, cells, endpoints, steps  # noqa: F401
+from touchline.plans import catalog, columns, endpoints, live, replayed, resolution, steps  # noqa: F401
 from touchline.sources.scans import TABLES
 
 FOLDER = "/root/testdata/sf0.001"

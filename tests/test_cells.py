@@ -1,50 +1,19 @@
-"""Readings of single cells: literal cells with the values they must give.
+"""Readings of single cells: literal cells with the values they must give."""
 
-The tables hold no such cells, so each query binds its own; its SQL twin states
-the expected values outright and does not repeat the formula.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import Column
+import pytest
 from pyspark.sql import functions as F
 
-from ..functions import classify, dates, names, similarity
-from .catalog import QUERIES, SQL
-
-#: Spark's name of a type -> DuckDB's.
-KINDS = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
-
+from touchline.functions import classify, dates, names, similarity
 
-def literal(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, str):
-        return "'" + value.replace("'", "''") + "'"
-    return str(value)
+CASES = {}
 
 
-def cells(name: str, about: str, inputs: str, outputs: str, read: Callable[..., list[Column]], rows: list[tuple]) -> None:
-    """Register a query: ``rows`` hold the ``inputs``, then the ``outputs`` that ``read`` must give (both as DDL)."""
-    given, made = ([part.split() for part in ddl.split(", ")] for ddl in (inputs, outputs))
-    keys = [n for n, _ in given]
+def cells(name, about, inputs, outputs, read, rows):
+    """``rows`` hold the ``inputs``, then the ``outputs`` that ``read`` must give (both as DDL)."""
+    CASES[name] = ([part.split() for part in inputs.split(", ")], [part.split() for part in outputs.split(", ")], read, rows)
 
-    def run(spark, d):
-        # The rows come from an expression, not from a local collection.
-        one = lambda row: F.struct(*(F.lit(v).cast(t).alias(n) for (n, t), v in zip(given, row)))
-        frame = spark.range(1).select(F.inline(F.array(*(one(r) for r in rows))))
-        return frame.select(*keys, *(c.cast(t).alias(n) for c, (n, t) in zip(read(*(F.col(k) for k in keys)), made, strict=True)))
 
-    run.__name__, run.__doc__ = name, about
-    QUERIES[name] = run
-    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
-    columns = [n for n, _ in given + made]
-    SQL[name] = f"SELECT {', '.join(f'CAST({n} AS {KINDS[t]}) AS {n}' for n, t in given + made)} FROM (VALUES {values}) t({', '.join(columns)})"
-
-
-def fields(c: Column, *parts: str) -> list[Column]:
+def fields(c, *parts):
     return [c[p] for p in parts]
 
 
@@ -168,3 +137,12 @@ cells("scrape_gates", "CLS-21", "season string, scraped string, players int, in_
 cells("scrape_gates_forced", "CLS-21: a forced season", "season string", "go boolean, reason string", lambda s: fields(classify.scrape_gate(s, "2025-26", F.lit(None).cast("timestamp_ntz"), F.lit(50), F.lit(True), F.lit(9), "2026-01-31 00:00:00", force_season="2020-21"), "go", "reason"), [
     ("2020-21", True, "force_historical"), ("2023-24", False, "historical_has_data:count=50"),
 ])
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_cells(spark, name):
+    given, made, read, rows = CASES[name]
+    one = lambda values, kinds: [F.lit(v).cast(t).alias(n) for (n, t), v in zip(kinds, values, strict=True)]
+    frame = spark.range(1).select(F.posexplode(F.array(*(F.struct(*one(r[: len(given)], given), F.struct(*one(r[len(given) :], made)).alias("want")) for r in rows))).alias("at", "r")).select("at", "r.*")
+    got = frame.select("at", "want", F.struct(*(c.cast(t).alias(n) for c, (n, t) in zip(read(*(F.col(k) for k, _ in given)), made, strict=True))).alias("got")).orderBy("at").collect()
+    assert [r.got for r in got] == [r.want for r in got]

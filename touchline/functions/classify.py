@@ -141,13 +141,16 @@ def _any(c: Column, words: list[str]) -> Column:
 TIMEOUT_MARKS = ["timeout", "timed out", "timeouterror"]
 NETWORK_MARKS = ["connectionerror", "connection", "network", "dns", "err_name_not_resolved", "err_connection", "err_internet", "transient"]
 PARSE_MARKS = ["beautifulsoup", "parseerror", "parse", "valueerror", "keyerror", "attributeerror", "indexerror"]
+#: Types that are a ValueError, KeyError, AttributeError or IndexError without its name.
+PARSE_TYPES = ["jsondecodeerror", "unicodeerror", "unicodedecodeerror", "unicodeencodeerror", "unicodetranslateerror", "frozeninstanceerror"]
 
 
 def failure_kind(message: Column, kind: Column | None = None) -> Column:
     """CLS-13, by the message and the exception's type name; without either null."""
     said = F.concat_ws("\n", message, kind) if kind is not None else message
     given = message.isNotNull() if kind is None else message.isNotNull() | kind.isNotNull()
-    return F.when(~given, None).when(_any(said, TIMEOUT_MARKS), "timeout").when(_any(said, NETWORK_MARKS), "network").when(_any(said, PARSE_MARKS), "parse_error").otherwise("unknown")
+    by_type = F.coalesce(F.lower(F.element_at(F.split(kind, r"\."), -1)).isin(PARSE_TYPES), F.lit(False)) if kind is not None else F.lit(False)
+    return F.when(~given, None).when(_any(said, TIMEOUT_MARKS), "timeout").when(_any(said, NETWORK_MARKS), "network").when(by_type | _any(said, PARSE_MARKS), "parse_error").otherwise("unknown")
 
 
 def first_match(c: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
@@ -158,17 +161,18 @@ def first_match(c: Column, rules: list[tuple[str, str]], otherwise: str | None =
     return out.otherwise(otherwise)
 
 
-# Fixed values.
-PLATFORMS = [("wp-content", "wordpress"), ("squarespace", "squarespace"), ("sportsengine", "sportsengine"), ("wixstatic", "wix"), ("multiscreensite", "duda"), ("shopify", "shopify")]
-
-
-def platform(html: Column) -> Column:
-    """CLS-15: the first platform whose mark the page holds."""
-    out = None
-    for mark, name in PLATFORMS:
-        hit = F.contains(F.lower(html), F.lit(mark))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("unknown")
+def platform(url: Column, html: Column) -> Column:
+    """CLS-15: the family of a site: its address first, then generator, body class, scripts and links."""
+    address, page = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(html, F.lit("")))
+    tag = r"<meta\b[^>]*\bname\s*=\s*[\"'][^\"']*generator[^\"']*[\"'][^>]*>"
+    generator = F.regexp_extract(F.regexp_extract(page, tag, 0), r"\bcontent\s*=\s*[\"']([^\"']*)", 1)
+    body = F.regexp_extract(page, r"<body\b[^>]*\bclass\s*=\s*[\"']([^\"']*)", 1)
+    return (
+        F.when(address.contains("sportsengine.com"), "sportsengine").when(address.contains("leagueapps.com"), "leagueapps")
+        .when(generator.contains("sportsengine") | body.rlike("se-|sports-engine|sportsengine"), "sportsengine")
+        .when(page.rlike(r"<script\b[^>]*\bsrc\s*=\s*[\"'][^\"']*leagueapps|<link\b[^>]*\bhref\s*=\s*[\"'][^\"']*leagueapps"), "leagueapps")
+        .when(generator.contains("wordpress") | page.rlike(r"\b(?:href|src)\s*=\s*[\"'][^\"']*/wp-content/"), "wordpress").otherwise("unknown")
+    )
 
 
 # Phrases of parked pages.

@@ -321,15 +321,18 @@ def relink(discoveries: DataFrame, people: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("person_id", "_to").alias("person_id"), (F.col("person_id").isNull() & F.col("_to").isNotNull()).alias("relinked"))
 
 
-def deletable(df: DataFrame, key: str, name: str, junk: list[str], references: list[tuple[DataFrame, str]], longest: int = 80) -> DataFrame:
-    """ER-22: junk names (too long or listed), deletable without any reference."""
+def deletable(df: DataFrame, key: str, name: str, junk: list[str], references: dict[str, tuple[DataFrame, str]], longest: int = 80) -> DataFrame:
+    """ER-22: junk names (too long or listed) with the rows of every referring table, deletable without any.
+
+    ``references``: label -> (table, column); each label becomes a column of counts.
+    """
     out = df.where((F.length(name) > longest) | F.lower(F.trim(name)).isin(junk))
     total = F.lit(0)
-    for i, (frame, column) in enumerate(references):
-        n = frame.groupBy(F.col(column).alias(f"_k{i}")).agg(F.count("*").alias(f"_n{i}"))
-        out = out.join(n, out[key] == n[f"_k{i}"], "left")
-        total = total + F.coalesce(f"_n{i}", F.lit(0))
-    return out.withColumn("references", total).withColumn("deletable", F.col("references") == 0).select(*df.columns, "references", "deletable")
+    for label, (frame, column) in references.items():
+        n = frame.groupBy(F.col(column).alias(f"_k_{label}")).agg(F.count("*").alias(f"_n_{label}"))
+        out = out.join(n, out[key] == n[f"_k_{label}"], "left").withColumn(label, F.coalesce(f"_n_{label}", F.lit(0)))
+        total = total + F.col(label)
+    return out.withColumn("references", total).withColumn("deletable", F.col("references") == 0).select(*df.columns, *references, "references", "deletable")
 
 
 def seed_clubs(rows: DataFrame, name: str, order: str, columns: list[str]) -> DataFrame:

@@ -334,10 +334,15 @@ def seen_spans(spark, d):
     return g.withColumn("kinds", F.count("*").over(Window.partitionBy("user_id")))
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(html), 'wp-content') THEN 'wordpress' WHEN contains(lower(html), 'squarespace') THEN 'squarespace' ELSE 'unknown' END AS platform, CASE WHEN regexp_matches(url, '/(blog|news)') THEN 'news' ELSE 'page' END AS kind FROM pages")
+@query("""WITH p AS (SELECT page_id, url, html, page_id % 6 AS k FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'wordpress' WHEN 1 THEN 'sportsengine' WHEN 2 THEN 'leagueapps' WHEN 3 THEN 'wordpress' WHEN 4 THEN 'sportsengine' ELSE 'unknown' END AS platform, CASE WHEN regexp_matches(url, '/(blog|news)') THEN 'news' ELSE 'page' END AS kind FROM p""")
 def page_registry(spark, d):
-    """UDF-01 to UDF-05, CLS-15: a registry of patterns and built-in parsers."""
-    return T(spark, d, "pages").select("page_id", classify.platform(F.col("html")).alias("platform"), classify.first_match(F.col("url"), [("/(blog|news)", "news")], "page").alias("kind"))
+    """CLS-15, CLS-14: the family of each page's site, after marks of one are put into the page by its id."""
+    marks = ['<link href="/a/wp-content/x.css">', '<meta name="Generator" content="SportsEngine 2">', '<script async src="//cdn.leagueapps.com/w.js"></script>', '<meta content="WordPress 6" name="generator">', "", "wp-content leagueapps sportsengine"]
+    k = F.col("page_id") % 6
+    mark = F.element_at(F.array(*(F.lit(m) for m in marks)), (k + 1).cast("int"))
+    url = F.when(k == 4, F.concat(F.lit("https://x.SportsEngine.com/"), "page_id")).otherwise(F.col("url"))
+    return T(spark, d, "pages").select("page_id", classify.platform(url, F.concat("html", mark)).alias("platform"), classify.first_match(F.col("url"), [("/(blog|news)", "news")], "page").alias("kind"))
 
 
 @query("SELECT c_custkey, replace(lower(trim(c_name)), '#', ' ') AS slugged FROM customer")

@@ -25,13 +25,6 @@ def _place(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _written_text(spark, name: str, rows: list[str]) -> str:
-    """A text file with the given lines, as a source to scan."""
-    path = _place(spark, name)
-    spark.range(1).select(F.explode(F.array(*(F.lit(r) for r in rows))).alias("value")).coalesce(1).write.text(path)
-    return path
-
-
 # --- scans -----------------------------------------------------------------------
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -46,84 +39,101 @@ def keyset_page(spark, d):
     return scans.after_key(T(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 40, 25)
 
 
-@query("SELECT * FROM (VALUES ('North', 'https://n.org', 'A1', 'TX'), ('South', 'https://s.org', 'A2', NULL)) t(name, url, association, state)")
+@query("""SELECT DISTINCT n_name AS name, 'https://' || lower(n_name) || '.org' AS url, 'A' || n_regionkey AS association, CASE WHEN n_regionkey <> 3 THEN r_name END AS state
+FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 5 <> 0 AND n_nationkey % 4 <> 1""")
 def csv_league_seed(spark, d):
-    """S-04: public leagues with a URL, each once, with their association's state."""
-    path = _written_text(spark, "seed", ["name,url,association,has_public_clubs", "North,https://n.org,A1,True", "North,https://n.org,A1,True", "South,https://s.org,A2,True", "East,,A1,True", "West,https://w.org,A1,False"])
-    states = spark.range(1).select(F.lit("A1").alias("association"), F.lit("TX").alias("state"))
+    """S-04: nations as leagues, each written twice: public ones with a URL, each once, with their association's state."""
+    path, n = _place(spark, "seed"), T(spark, d, "nation")
+    rows = n.select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".org"))).alias("url"), F.concat(F.lit("A"), "n_regionkey").alias("association"), F.when(F.col("n_nationkey") % 4 == 1, "False").otherwise("True").alias("has_public_clubs"))
+    rows.unionByName(rows).write.option("header", True).csv(path)
+    states = T(spark, d, "region").where("r_regionkey <> 3").select(F.concat(F.lit("A"), "r_regionkey").alias("association"), F.col("r_name").alias("state"))
     return scans.seed_leagues(spark, path, states).select("name", "url", "association", "state")
 
 
-@query("""SELECT * FROM (VALUES ('a "b", c', '', '007'), ('', '', '')) t(name, city, code)""")
+@query("""SELECT c_name || ' "b", c' AS name, '' AS city, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE printf('%09d', c_custkey) END AS code FROM customer WHERE c_custkey % 7 <> 0""")
 def csv_all_strings(spark, d):
-    """S-05, S-06: all cells as strings, missing ones and missing columns empty; rows without a key are skipped."""
-    path = _written_text(spark, "strings", ["key,name,code", '1,"a ""b"", c",007', "2,,", ",lost,9"])
+    """S-05, S-06: files of customers with all cells as strings, missing ones and missing columns empty; rows without a key are skipped."""
+    path, c = _place(spark, "strings"), T(spark, d, "customer")
+    key = F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey"))
+    rows = c.select(key.alias("key"), F.concat("c_name", F.lit(' "b", c')).alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.format_string("%09d", "c_custkey")).alias("code"))
+    rows.repartition(3).write.option("header", True).option("escape", '"').csv(path)
     return scans.csv_folder(spark, path, ["key", "name", "city", "code"], "key").drop("key")
 
 
-@query("SELECT * FROM (VALUES ('Name, Club ', 'roster'), ('club,league', 'club'), ('x', NULL)) t(header, kind)")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'roster' WHEN 1 THEN 'club' END AS kind FROM customer")
 def csv_kinds(spark, d):
-    """S-07."""
-    kinds = {"roster": {"name", "club"}, "club": {"club"}}
-    headers = ["Name, Club ", "club,league", "x"]
-    return spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(h).alias("header"), F.lit(scans.csv_kind(h.split(","), kinds)).cast("string").alias("kind")) for h in headers))).alias("r")).select("r.*")
+    """S-07: the kind of a file by the header that each customer sent."""
+    header = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Name, Club ,"), "c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.concat("c_name", F.lit(",CLUB"))).otherwise(F.col("c_mktsegment"))
+    return T(spark, d, "customer").select("c_custkey", scans.csv_kind_of(F.split(header, ","), {"roster": {"name", "club"}, "club": {"club"}}).alias("kind"))
 
 
-@query("SELECT * FROM (VALUES ('Ann FC|TX', 'ann.org', 'found'), ('Bo SC|OK', NULL, 'missed')) t(key, website, status)")
+@query("SELECT c_name || '|' || c_nationkey AS key, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) || '.org' END AS website, CASE WHEN c_custkey % 2 = 0 THEN 'found' ELSE 'missed' END AS status FROM customer")
 def json_checkpoint(spark, d):
-    """S-08."""
-    path = _written_text(spark, "checkpoint", ['{"processed": {"Ann FC|TX": {"status": "found", "website": "ann.org"}, "Bo SC|OK": {"status": "missed", "website": null}}}'])
-    return scans.checkpoint_sites(spark, path)
-
-
-@query("""SELECT * FROM (VALUES ('r1', 'k:1', TIMESTAMP '2026-01-01 10:00:00', TIMESTAMP '2026-01-01 10:05:00', 'ok', 7::BIGINT), ('r2', 'k:2', TIMESTAMP '2026-01-01 11:00:00', NULL, 'running', NULL)) t(client_run_id, scraper_key, started_at, completed_at, status, records_created)""")
+    """S-08: customers' checkpoints, a file of several lines for each task."""
+    path, c = _place(spark, "checkpoint"), T(spark, d, "customer")
+    found = F.col("c_custkey") % 2 == 0
+    entry = F.struct(F.when(found, "found").otherwise("missed").alias("status"), F.when(found, F.concat(F.lower("c_name"), F.lit(".org"))).alias("website"))
+    rows = c.select((F.floor(F.col("c_custkey") / 500)).alias("file"), F.concat_ws("|", "c_name", F.col("c_nationkey").cast("string")).alias("key"), entry.alias("v"))
+    files = rows.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("processed"))
+    text = F.concat(F.lit('{\n "processed": '), F.to_json("processed", {"ignoreNullFields": "false"}), F.lit("\n}"))
+    files.select(text.alias("value"), "file").write.partitionBy("file").text(path)
+    return scans.checkpoint_sites(spark, f"{path}/*")
+
+
+@query("""SELECT 'r' || event_id AS client_run_id, 'k:' || user_id AS scraper_key, ts AS started_at, CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL 5 MINUTE END AS completed_at,
+    CASE WHEN event_id % 4 = 0 THEN 'running' WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN event_id % 4 <> 0 THEN CAST(floor(value) AS BIGINT) END AS records_created FROM events""")
 def run_log_consolidated(spark, d):
-    """S-09, ST-08: start and finish lines of a run as one row, in whatever order they were written."""
-    lines = [
-        '{"client_run_id":"r1","seq":2,"completed_at":"2026-01-01T10:05:00","status":"ok","records_created":7}',
-        '{"client_run_id":"r1","seq":1,"scraper_key":"k:1","started_at":"2026-01-01T10:00:00","status":"running"}',
-        '{"client_run_id":"r2","seq":1,"scraper_key":"k:2","started_at":"2026-01-01T11:00:00","status":"running"}',
-    ]
-    return scans.consolidate_runs(scans.run_log_events(spark, _written_text(spark, "runs", lines))).drop("error_message")
-
+    """S-09: start and finish lines of each run as one row, in whatever order they were written; every fourth has no finish."""
+    e, path = T(spark, d, "events"), _place(spark, "runs")
+    run, none = F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("client_run_id"), lambda t: F.lit(None).cast(t)
+    start = e.select(run, F.lit(1).alias("seq"), F.concat(F.lit("k:"), F.col("user_id").cast("string")).alias("scraper_key"), F.col("ts").alias("started_at"), none("timestamp_ntz").alias("completed_at"), F.lit("running").alias("status"), none("long").alias("records_created"))
+    done = e.where("event_id % 4 <> 0").select(run, F.lit(2).alias("seq"), none("string").alias("scraper_key"), none("timestamp_ntz").alias("started_at"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("completed_at"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.floor("value").cast("long").alias("records_created"))
+    done.unionByName(start).write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    return scans.consolidate_runs(scans.run_log_events(spark, path)).drop("error_message")
 
-def _pages(spark, *pages: str):
-    return spark.range(1).select(F.posexplode(F.array(*(F.lit(p) for p in pages))).alias("page_id", "html"))
 
-
-@query("""SELECT * FROM (VALUES (0, 0, 0, '{"team":"A & B","score":"3-1"}'), (0, 0, 1, '{"team":"C","score":"0-0"}'), (0, 1, 0, '{"col0":"x","col1":"y"}')) t(page_id, table_no, row_no, cells)""")
+@query("""SELECT c_custkey AS page_id, CAST(t AS INTEGER) AS table_no, CAST(r AS INTEGER) AS row_no, CASE WHEN t = 1 THEN '{"col0":"' || c_mktsegment || '","col1":"y"}' WHEN r = 0 THEN '{"team":"' || c_name || ' & B","score":"' || c_nationkey || '-1"}' ELSE '{"team":"C","score":"0-0"}' END AS cells
+FROM customer, (VALUES (0, 0), (0, 1), (1, 0)) v(t, r) WHERE c_custkey % 2 = 0""")
 def html_table_cells(spark, d):
-    """S-10, UDF-03: rows of the tables of a page with and without a header."""
-    page = "<table><tr><th>Team</th><th>Score</th></tr><tr><td>A &amp; B</td><td>3-1</td></tr><tr><td>C</td><td>0-0</td></tr></table><table><tr><td>x</td><td>y</td></tr></table>"
-    return html.table_rows(_pages(spark, page, "<p>none</p>"), "page_id", "html").select("page_id", "table_no", "row_no", F.to_json("cells").alias("cells"))
+    """S-10, UDF-03: rows of the tables of customers' pages with and without a header; every second page has none."""
+    page = F.concat(F.lit("<table><tr><th>Team</th><th>Score</th></tr><tr><td>"), "c_name", F.lit(" &amp; B</td><td>"), F.col("c_nationkey").cast("string"), F.lit("-1</td></tr><tr><td>C</td><td>0-0</td></tr></table><table><tr><td>"), "c_mktsegment", F.lit("</td><td>y</td></tr></table>"))
+    pages = T(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.when(F.col("c_custkey") % 2 == 0, page).otherwise("<p>none</p>").alias("html"))
+    return html.table_rows(pages, "page_id", "html").select("page_id", "table_no", "row_no", F.to_json("cells").alias("cells"))
 
 
-@query("SELECT * FROM (VALUES (0, 'Event', 'Cup'), (0, 'Place', 'Park'), (0, 'Event', 'Final')) t(page_id, kind, name)")
+@query("SELECT c_custkey AS page_id, kind, CASE n WHEN 0 THEN c_name || ' Cup' WHEN 1 THEN c_mktsegment ELSE 'Final' END AS name FROM customer, (VALUES (0, 'Event'), (1, 'Place'), (2, 'Event')) v(n, kind) WHERE c_custkey % 2 = 0")
 def linked_data_objects(spark, d):
-    """S-11, CJ-09: lists and ``@graph`` are flattened; a broken block is skipped."""
-    block = '<script type="application/ld+json">{}</script>'.format
-    page = block('{"@graph":[{"@type":"Event","name":"Cup"},[{"@type":"Place","name":"Park"}]]}') + block("{broken") + block('[{"@type":"Event","name":"Final"}]')
-    return html.linked_data(_pages(spark, page, "<p></p>"), "page_id", "html").select("page_id", "kind", F.get_json_object("body", "$.name").alias("name"))
+    """S-11, CJ-09: objects of customers' pages; lists and ``@graph`` are flattened; a broken block is skipped."""
+    block = lambda *c: F.concat(F.lit('<script type="application/ld+json">'), *c, F.lit("</script>"))
+    page = F.concat(block(F.lit('{"@graph":[{"@type":"Event","name":"'), "c_name", F.lit(' Cup"},[{"@type":"Place","name":"'), "c_mktsegment", F.lit('"}]]}')), block(F.lit("{broken")), block(F.lit('[{"@type":"Event","name":"Final"}]')))
+    pages = T(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.when(F.col("c_custkey") % 2 == 0, page).otherwise("<p></p>").alias("html"))
+    return html.linked_data(pages, "page_id", "html").select("page_id", "kind", F.get_json_object("body", "$.name").alias("name"))
 
 
-@query("""SELECT * FROM (VALUES (0, '{"a":{"b":"}"},"c":1}', '1'), (1, NULL, NULL)) t(page_id, body, c)""")
+@query("""SELECT c_custkey AS page_id, CASE WHEN c_custkey % 2 = 0 THEN '{"a":{"b":"}' || c_name || '"},"c":' || c_nationkey || '}' END AS body, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS c FROM customer""")
 def embedded_objects(spark, d):
-    """S-12: the balanced object behind a marker."""
-    found = html.embedded_json(F.col("html"), "window.data =")
-    return _pages(spark, '<script>window.data = {"a":{"b":"}"},"c":1}; var x = {};</script>', "<script>none</script>").select("page_id", found.alias("body")).withColumn("c", F.get_json_object("body", "$.c"))
+    """S-12: the balanced object behind a marker of customers' pages."""
+    page = F.concat(F.lit('<script>window.data = {"a":{"b":"}'), "c_name", F.lit('"},"c":'), F.col("c_nationkey").cast("string"), F.lit("}; var x = {};</script>"))
+    pages = T(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.when(F.col("c_custkey") % 2 == 0, page).otherwise("<script>none</script>").alias("html"))
+    return pages.select("page_id", html.embedded_json(F.col("html"), "window.data =").alias("body")).withColumn("c", F.get_json_object("body", "$.c"))
 
 
-@query("SELECT * FROM (VALUES ('v1', 'Goal', TIMESTAMP '2026-01-02 03:04:05'), ('v2', 'Save', NULL)) t(video_id, title, published)")
+@query("SELECT 'v' || o_orderkey AS video_id, o_orderpriority AS title, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS published FROM orders")
 def feed_videos(spark, d):
-    """S-13."""
-    feed = "<feed><entry><yt:videoId>v1</yt:videoId><title>Goal</title><published>2026-01-02T03:04:05</published></entry><entry><yt:videoId>v2</yt:videoId><title>Save</title></entry></feed>"
-    return scans.feed_entries(_pages(spark, feed), "html").select("video_id", "title", F.col("published").cast("timestamp_ntz").alias("published"))
+    """S-13: orders as entries of their customers' feeds; every third has no date."""
+    o = T(spark, d, "orders")
+    entry = F.concat(F.lit("<entry><yt:videoId>v"), F.col("o_orderkey").cast("string"), F.lit("</yt:videoId><title>"), "o_orderpriority", F.lit("</title>"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("<published>"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</published>"))).otherwise(""), F.lit("</entry>"))
+    feeds = o.select((F.floor(F.col("o_orderkey") / 100)).alias("feed"), entry.alias("e")).groupBy("feed").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list("e"), ""), F.lit("</feed>")).alias("xml"))
+    return scans.feed_entries(feeds, "xml").select("video_id", "title", F.col("published").cast("timestamp_ntz").alias("published"))
 
 
-@query("SELECT * FROM (VALUES (0, 'North SC'), (0, 'South FC')) t(page_id, name)")
+@query("SELECT s_suppkey // 50 AS map_id, s_name AS name FROM supplier")
 def map_placemarks(spark, d):
-    """S-14."""
-    return scans.placemarks(_pages(spark, "<kml><Placemark id='1'><name>North SC</name></Placemark><Placemark><name><![CDATA[South FC]]></name></Placemark></kml>"), "html").select("page_id", "name")
+    """S-14: suppliers as placemarks of maps, every second name as CDATA."""
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("<![CDATA["), "s_name", F.lit("]]>"))).otherwise(F.col("s_name"))
+    mark = F.concat(F.lit("<Placemark id='1'><name>"), name, F.lit("</name></Placemark>"))
+    maps = T(spark, d, "supplier").select(F.floor(F.col("s_suppkey") / 50).alias("map_id"), mark.alias("m")).groupBy("map_id").agg(F.concat(F.lit("<kml>"), F.array_join(F.collect_list("m"), ""), F.lit("</kml>")).alias("kml"))
+    return scans.placemarks(maps, "kml").select("map_id", "name")
 
 
 # --- writes -------------------------------------------------------------------------
@@ -270,11 +280,20 @@ def ignore_listed(spark, d):
     return filters.not_listed(c, "name", c.where("size = 1").select(F.upper("name").alias("listed")), "listed", any_case=True).select("id")
 
 
-@query("SELECT s_suppkey, CAST(n AS BIGINT) AS \"references\", n = 0 AS deletable FROM (SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 48) AS n FROM supplier WHERE length(s_name) > 17 OR lower(trim(s_name)) IN ('supplier#000000003'))")
+@query("""WITH l AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), e AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1)
+SELECT c_custkey, coalesce(l.n, 0) AS lineitems, coalesce(c.n, 0) AS customers, coalesce(e.n, 0) AS events, coalesce(l.n, 0) + coalesce(c.n, 0) + coalesce(e.n, 0) AS "references", coalesce(l.n, 0) + coalesce(c.n, 0) + coalesce(e.n, 0) = 0 AS deletable
+FROM customer LEFT JOIN l ON l.k = c_custkey LEFT JOIN c ON c.k = c_custkey LEFT JOIN e ON e.k = c_custkey WHERE length(c_name) > 17 OR lower(trim(c_name)) IN ('customer#000000003')""")
+def junk_names(spark, d):
+    """ER-22: junk names with the rows of each table that refer to them, deletable without any."""
+    tables = {"lineitems": (T(spark, d, "lineitem"), "l_suppkey"), "customers": (T(spark, d, "customer"), "c_nationkey"), "events": (T(spark, d, "events"), "user_id")}
+    found = entity.deletable(T(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", "c_name", ["customer#000000003"], tables, longest=17)
+    return found.select("c_custkey", *tables, "references", "deletable")
+
+
+@query("SELECT s_suppkey, CAST(n AS BIGINT) AS \"references\", n = 0 AS deletable FROM (SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n FROM supplier WHERE length(s_name) > 17 OR lower(trim(s_name)) IN ('supplier#000000003'))")
 def junk_suppliers(spark, d):
-    """ER-22: junk names with the number of rows that refer to them."""
-    used = T(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 48")
-    return entity.deletable(T(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "s_name", ["supplier#000000003"], [(used, "l_suppkey")], longest=17).select("s_suppkey", "references", "deletable")
+    """ER-22: junk names with the number of rows that refer to them, over the whole table."""
+    return entity.deletable(T(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "s_name", ["supplier#000000003"], {"lineitems": (T(spark, d, "lineitem"), "l_suppkey")}, longest=17).select("s_suppkey", "references", "deletable")
 
 
 @query(f"WITH {b.CLUBS} SELECT regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, arg_min(city, id) AS city, string_agg(DISTINCT name, '|' ORDER BY name) AS aliases FROM clubs GROUP BY 1")

@@ -48,6 +48,15 @@ def csv_kind(header: list[str], kinds: dict[str, set[str]]) -> str | None:
     return next((kind for kind, need in kinds.items() if need <= have), None)
 
 
+def csv_kind_of(header: Column, kinds: dict[str, set[str]]) -> Column:
+    """S-07 of an array of header cells, as ``csv_kind``."""
+    have = F.transform(header, lambda h: F.lower(F.trim(h)))
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for kind, need in kinds.items():
+        out = out.when(F.size(F.array_except(F.lit(sorted(need)), have)) == 0, kind)
+    return out
+
+
 def checkpoint_sites(spark: SparkSession, path: str) -> DataFrame:
     """S-08: ``key, website, status`` of a JSON checkpoint ``{"processed": {key: {...}}}``."""
     schema = T.StructType([T.StructField("processed", T.MapType(T.StringType(), T.StructType([T.StructField("status", T.StringType()), T.StructField("website", T.StringType())])))])
