@@ -335,13 +335,14 @@ def deletable(df: DataFrame, key: str, name: str, junk: list[str], references: d
     return out.withColumn("references", total).withColumn("deletable", F.col("references") == 0).select(*df.columns, *references, "references", "deletable")
 
 
-def seed_clubs(rows: DataFrame, name: str, order: str, columns: list[str]) -> DataFrame:
-    """ER-23: one club for each slug, first values win, with its aliases."""
+def seed_clubs(rows: DataFrame, name: str, order: str, columns: list[str], affiliation: str | None = None) -> DataFrame:
+    """ER-23: one club for each slug, first values win, with its aliases and ``affiliations`` (distinct)."""
     from .aggregates import merge_first
 
     keyed = rows.withColumn("slug", names.slug(F.col(name)))
-    aliases = keyed.groupBy(F.col("slug").alias("key")).agg(F.array_sort(F.collect_set(name)).alias("aliases"))
-    return merge_first(keyed, F.col("slug"), order, columns).join(aliases, "key").withColumnRenamed("key", "slug")
+    sets = [F.array_sort(F.collect_set(name)).alias("aliases"), *([F.array_sort(F.collect_set(affiliation)).alias("affiliations")] if affiliation else [])]
+    gathered = keyed.groupBy(F.col("slug").alias("key")).agg(*sets)
+    return merge_first(keyed, F.col("slug"), order, columns).join(gathered, "key").withColumnRenamed("key", "slug")
 
 
 def club_completeness(columns: list[str]) -> Column:
