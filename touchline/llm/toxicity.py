@@ -31,7 +31,7 @@ extra columns are ignored, also those named like the labels' columns.
 from __future__ import annotations
 
 import copy
-import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, in_text_chunks, least_by_hash, map_arrow, materialize
+from .common import doc_bytes, in_text_chunks, least_by_hash, map_arrow, materialize, shuffle_partitions
 from .textvec import join_texts, range_hashes, spans
 
 #: Labelled texts of each label, and their bytes, that the model is fitted to.
@@ -54,8 +54,8 @@ FEATURES = 20_000
 #: Chance that a label is wrong, and the penalty on squared weights.
 NOISE, PENALTY = 0.01, 0.3
 STEPS = 60
-#: Tokens with evidence of a block of the fit.
-FIT_TOKENS = 100_000
+#: Bytes of text whose tokens are a row of the fit's table.
+FIT_BYTES = 512 << 10
 #: Weight of a feature before the fit, as a multiple of its log odds, and the bias before the fit.
 TRUST, BIAS = 2.5, -9.0
 #: Of a word's features, those with at least this share of its best one's log odds count.
@@ -254,37 +254,47 @@ def forward_backward(chains: Chains, node: np.ndarray, bias: float, edge: np.nda
     return log_z, p, expected
 
 
-def fit_blocks(model: Model, blocks: list[tuple[Chains, np.ndarray]], steps: int = STEPS) -> None:
-    """Fit the weights to texts and their labels (1: toxic) by gradient steps of adapted size (RPROP).
+def _packed(model: Model) -> np.ndarray:
+    return np.concatenate([model.weights, [model.bias], model.edge.ravel()[1:]])
 
-    The slope of a step is the sum over the blocks, so that only one block's marginals
-    are held at a time. The penalty draws weights to those that the model comes with, so that a word that
+
+def _unpacked(model: Model, w: np.ndarray) -> Model:
+    """``model`` with the weights, bias and edges of ``w``."""
+    k, out = len(model.weights), copy.copy(model)
+    out.weights, out.bias, out.edge = w[:k], float(w[k]), np.r_[0.0, w[k + 1 :]].reshape(2, 2)
+    return out
+
+
+def slope_of(model: Model, chains: Chains, toxic: np.ndarray) -> np.ndarray:
+    """What some texts and their labels (1: toxic) add to the slope of the likelihood at ``model``."""
+    owner = np.repeat(np.arange(len(chains.tail)), np.diff(chains.first))
+    log_z, p, expected = forward_backward(chains, model.node(chains), model.bias, model.edge, slopes=True)
+    none = np.exp(-np.maximum(log_z, 0))
+    pull = np.where(toxic, (1 - NOISE) * none / (NOISE + (1 - NOISE) * (1 - none)), -1.0)
+    given = p * pull[owner]
+    return np.concatenate([np.bincount(chains.feature, given[chains.token] * chains.value, len(model.weights)), [given.sum() + pull @ expected[:, 0]], pull @ expected[:, 1:]])
+
+
+def climb(model: Model, slope: Callable[[Model], np.ndarray], steps: int = STEPS) -> Model:
+    """The model after gradient steps of adapted size (RPROP); ``slope`` is that of the likelihood.
+
+    The penalty draws weights to those that the model comes with, so that a word that
     always stands beside others like it keeps what it is worth by itself.
     """
-    w = np.concatenate([model.weights, [model.bias], model.edge.ravel()[1:]])
-    k = len(model.weights)
-    prior = w.copy()
-    rate, last = np.full(len(w), 0.2), np.zeros(len(w))
+    w = _packed(model)
+    prior, rate, last = w.copy(), np.full(len(w), 0.2), np.zeros(len(w))
     for _ in range(steps):
-        model.weights, model.bias, model.edge = w[:k], float(w[k]), np.r_[0.0, w[k + 1 :]].reshape(2, 2)
-        slope = -PENALTY * (w - prior)
-        for chains, toxic in blocks:
-            owner = np.repeat(np.arange(len(chains.tail)), np.diff(chains.first))
-            log_z, p, expected = forward_backward(chains, model.node(chains), model.bias, model.edge, slopes=True)
-            none = np.exp(-np.maximum(log_z, 0))
-            pull = np.where(toxic, (1 - NOISE) * none / (NOISE + (1 - NOISE) * (1 - none)), -1.0)
-            given = p * pull[owner]
-            slope += np.concatenate([np.bincount(chains.feature, given[chains.token] * chains.value, k), [given.sum() + pull @ expected[:, 0]], pull @ expected[:, 1:]])
-        turn = slope * last
+        now = slope(_unpacked(model, w)) - PENALTY * (w - prior)
+        turn = now * last
         rate = np.clip(np.where(turn > 0, rate * 1.2, np.where(turn < 0, rate * 0.5, rate)), 1e-5, 0.5)
-        slope = np.where(turn < 0, 0.0, slope)
-        w, last = np.clip(w + np.sign(slope) * rate, -25, 25), slope
-    model.weights, model.bias, model.edge = w[:k], float(w[k]), np.r_[0.0, w[k + 1 :]].reshape(2, 2)
+        now = np.where(turn < 0, 0.0, now)
+        w, last = np.clip(w + np.sign(now) * rate, -25, 25), now
+    return _unpacked(model, w)
 
 
 def fit(model: Model, chains: Chains, toxic: np.ndarray, steps: int = STEPS) -> None:
-    """``fit_blocks`` for texts held as one block."""
-    fit_blocks(model, [(chains, toxic)], steps)
+    """Fit the weights to texts held as one block."""
+    model.__dict__.update(climb(model, lambda m: slope_of(m, chains, toxic), steps).__dict__)
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -360,46 +370,54 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def _fitted(sample: DataFrame, unfitted: Model) -> Model:
-    """The model fitted to the sample's tokens with evidence, in one task: the sample is bounded."""
-    shared = sample.sparkSession.sparkContext.broadcast(unfitted)  # FEATURES hashes and weights
+    """The model fitted to the sample's tokens with evidence.
+
+    The tokens of about ``FIT_BYTES`` of text are a row of a table, and each step is a
+    job over it: every task sums the slopes of its rows, one after the other, and sends
+    the sum; the driver adds those of the tasks and moves the weights.
+    """
+    spark = sample.sparkSession
+    shared = spark.sparkContext.broadcast(unfitted)  # FEATURES hashes and weights
     names, kinds = ["count", "gap", "tail", "times", "feature", "value"], ["<i4"] * 5 + ["<f4"]
 
     def make_chains():
         model = shared.value
 
         def run(batches):
-            for labels, texts in in_text_chunks(batches):
+            for labels, texts in in_text_chunks(batches, FIT_BYTES):
                 c = model.chains(Tokens(texts))
                 order = np.argsort(c.token, kind="stable")
                 values = [np.diff(c.first), c.gap, c.tail, np.bincount(c.token, minlength=len(c.gap)), c.feature[order], c.value[order]]
-                key = hashlib.sha256(b"\0".join(texts)).digest()
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([np.array(labels, np.int8).tobytes()]), *(pa.array([v.astype(k).tobytes()]) for v, k in zip(values, kinds, strict=True))], ["key", "toxic", *names])
+                yield pa.RecordBatch.from_arrays([pa.array([np.array(labels, np.int8).tobytes()]), *(pa.array([v.astype(k).tobytes()]) for v, k in zip(values, kinds, strict=True))], ["toxic", *names])
 
         return run
 
-    def make_fit():
-        def run(batches):
-            rows = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda r: r["key"])
-            if not rows:
-                return
-            blocks, held = [], []
-            while rows:
-                held.append(rows.pop(0))
-                if not rows or sum(len(r["gap"]) for r in held) >= 4 * FIT_TOKENS:
-                    *counts, value = (np.concatenate([np.frombuffer(r[k], kind) for r in held]) for k, kind in zip(names, kinds, strict=True))
-                    count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
-                    toxic = np.concatenate([np.frombuffer(r["toxic"], np.int8) for r in held]) == 1
-                    blocks.append((Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64)), toxic))
-                    held = []
-            model = copy.copy(shared.value)
-            fit_blocks(model, blocks)
-            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.edge.tobytes()])], ["weights", "bias", "edge"])
+    rows = map_arrow(sample, make_chains, "toxic binary, " + ", ".join(f"{k} binary" for k in names))
+    rows = materialize(rows.repartition(max(8, shuffle_partitions(spark))), "toxic-chains")
 
-        return run
+    def slope(model: Model) -> np.ndarray:
+        w = spark.sparkContext.broadcast(_packed(model))
+
+        def make_slope():
+            now = _unpacked(shared.value, w.value)
+
+            def run(batches):
+                total = np.zeros(len(w.value))
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        *counts, value = (np.frombuffer(row[k], kind) for k, kind in zip(names, kinds, strict=True))
+                        count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
+                        chains = Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64))
+                        total += slope_of(now, chains, np.frombuffer(row["toxic"], np.int8) == 1)
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["slope"])
+
+            return run
+
+        parts = map_arrow(rows, make_slope, "slope binary").collect()  # a row of FEATURES numbers for each task
+        w.unpersist()
+        return np.sum([np.frombuffer(r.slope) for r in parts], axis=0) if parts else np.zeros(len(_packed(model)))
 
-    rows = map_arrow(sample, make_chains, "key binary, toxic binary, " + ", ".join(f"{k} binary" for k in names))
-    out = map_arrow(rows.repartition(1), make_fit, "weights binary, bias double, edge binary").first()
-    return Model(unfitted.features, unfitted.odds, np.frombuffer(out.weights), out.bias, np.frombuffer(out.edge).reshape(2, 2))
+    return climb(unfitted, slope)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
