@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, in_text_chunks, least_by_hash, map_arrow, materialize, shuffle_partitions
+from .common import doc_bytes, in_text_chunks, least_by_hash, map_arrow, materialize
 from .textvec import join_texts, range_hashes, spans
 
 #: Labelled texts of each label, and their bytes, that the model is fitted to.
@@ -54,8 +54,8 @@ FEATURES = 20_000
 #: Chance that a label is wrong, and the penalty on squared weights.
 NOISE, PENALTY = 0.01, 0.3
 STEPS = 60
-#: Bytes of text whose tokens are a row of the fit's table.
-FIT_BYTES = 512 << 10
+#: Tokens with evidence of a block of the fit, and what parts texts by their number of them.
+FIT_TOKENS, FIT_CLASSES = 100_000, (17, 65, 257, 1025)
 #: Weight of a feature before the fit, as a multiple of its log odds, and the bias before the fit.
 TRUST, BIAS = 2.5, -9.0
 #: Of a word's features, those with at least this share of its best one's log odds count.
@@ -372,9 +372,11 @@ def _counts(sample: DataFrame) -> DataFrame:
 def _fitted(sample: DataFrame, unfitted: Model) -> Model:
     """The model fitted to the sample's tokens with evidence.
 
-    The tokens of about ``FIT_BYTES`` of text are a row of a table, and each step is a
-    job over it: every task sums the slopes of its rows, one after the other, and sends
-    the sum; the driver adds those of the tasks and moves the weights.
+    Texts of about as many such tokens are rows of a table together, the longest ones in
+    one place, since a text costs as many steps as it has of them and texts of like
+    length share these. Each step of the fit is a job over the table: every task sums
+    the slopes of its blocks, one after the other, and sends the sum; the driver adds
+    those of the tasks and moves the weights.
     """
     spark = sample.sparkSession
     shared = spark.sparkContext.broadcast(unfitted)  # FEATURES hashes and weights
@@ -384,16 +386,29 @@ def _fitted(sample: DataFrame, unfitted: Model) -> Model:
         model = shared.value
 
         def run(batches):
-            for labels, texts in in_text_chunks(batches, FIT_BYTES):
+            for labels, texts in in_text_chunks(batches):
                 c = model.chains(Tokens(texts))
                 order = np.argsort(c.token, kind="stable")
-                values = [np.diff(c.first), c.gap, c.tail, np.bincount(c.token, minlength=len(c.gap)), c.feature[order], c.value[order]]
-                yield pa.RecordBatch.from_arrays([pa.array([np.array(labels, np.int8).tobytes()]), *(pa.array([v.astype(k).tobytes()]) for v, k in zip(values, kinds, strict=True))], ["toxic", *names])
+                count, times, toxic = np.diff(c.first), np.bincount(c.token, minlength=len(c.gap)), np.array(labels, np.int8)
+                kind = np.digitize(count, FIT_CLASSES)
+                of_token = np.repeat(kind, count)
+                of_feature = np.repeat(of_token, times)
+                for k in np.unique(kind):
+                    doc, token, feature = kind == k, of_token == k, of_feature == k
+                    values = [count[doc], c.gap[token], c.tail[doc], times[token], c.feature[order][feature], c.value[order][feature]]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([toxic[doc].tobytes()]), *(pa.array([v.astype(t).tobytes()]) for v, t in zip(values, kinds, strict=True))], ["kind", "toxic", *names])
 
         return run
 
-    rows = map_arrow(sample, make_chains, "toxic binary, " + ", ".join(f"{k} binary" for k in names))
-    rows = materialize(rows.repartition(max(8, shuffle_partitions(spark))), "toxic-chains")
+    rows = map_arrow(sample, make_chains, "kind int, toxic binary, " + ", ".join(f"{k} binary" for k in names))
+    rows = materialize(rows, "toxic-chains")
+    tokens = {r.kind: r.n for r in rows.groupBy("kind").agg(F.sum(F.octet_length("gap") / 4).alias("n")).collect()}
+    place, parts = F.lit(0), 0
+    for k in sorted(tokens):  # as few tasks for each length as its tokens need
+        n = 1 + int(tokens[k]) // (4 * FIT_TOKENS)
+        place = F.when(F.col("kind") == k, parts + F.pmod(F.xxhash64("feature", "gap"), F.lit(n))).otherwise(place)
+        parts += n
+    rows = materialize(rows.repartitionById(max(1, parts), place.cast("int")), "toxic-blocks")
 
     def slope(model: Model) -> np.ndarray:
         w = spark.sparkContext.broadcast(_packed(model))
@@ -401,21 +416,30 @@ def _fitted(sample: DataFrame, unfitted: Model) -> Model:
         def make_slope():
             now = _unpacked(shared.value, w.value)
 
+            def block(held: list[dict]) -> np.ndarray:
+                *counts, value = (np.concatenate([np.frombuffer(r[k], kind) for r in held]) for k, kind in zip(names, kinds, strict=True))
+                count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
+                chains = Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64))
+                return slope_of(now, chains, np.concatenate([np.frombuffer(r["toxic"], np.int8) for r in held]) == 1)
+
             def run(batches):
                 total = np.zeros(len(w.value))
+                held: dict[int, list] = {}
                 for batch in batches:
                     for row in batch.to_pylist():
-                        *counts, value = (np.frombuffer(row[k], kind) for k, kind in zip(names, kinds, strict=True))
-                        count, gap, tail, times, feature = (x.astype(np.int64) for x in counts)
-                        chains = Chains(np.r_[0, np.cumsum(count)], gap, tail, np.repeat(np.arange(len(gap)), times), feature, value.astype(np.float64), np.zeros(0, np.int64))
-                        total += slope_of(now, chains, np.frombuffer(row["toxic"], np.int8) == 1)
+                        mine = held.setdefault(row["kind"], [])
+                        mine.append(row)
+                        if sum(len(r["gap"]) for r in mine) >= 4 * FIT_TOKENS:
+                            total += block(held.pop(row["kind"]))
+                for k in sorted(held):
+                    total += block(held[k])
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["slope"])
 
             return run
 
-        parts = map_arrow(rows, make_slope, "slope binary").collect()  # a row of FEATURES numbers for each task
+        sums = map_arrow(rows, make_slope, "slope binary").collect()  # a row of FEATURES numbers for each task
         w.unpersist()
-        return np.sum([np.frombuffer(r.slope) for r in parts], axis=0) if parts else np.zeros(len(_packed(model)))
+        return np.sum([np.frombuffer(r.slope) for r in sums], axis=0) if sums else np.zeros(len(_packed(model)))
 
     return climb(unfitted, slope)
 
