@@ -110,7 +110,8 @@ def _split(spark, d):
     held = {name: raw[name].select("id", (F.col("id") % 20).alias("club_id"), (F.col("id") % 19).alias("other_id"), "raw") for name in ("customers", "suppliers", "orders")}
     aliases = b.team_names(spark, d).select("id", (F.col("id") % 20).alias("club_id"), F.col("raw").alias("alias"))
     roots = b.clubs(spark, d).where("size % 3 = 2").select(F.lower("name").alias("root")).distinct()
-    splits = c.where("id % 5 = 0").select(F.col("id").alias("source_id")).crossJoin(roots).withColumn("new_name", F.concat(F.lit("New "), F.col("root")))  # four clubs, the roots a reviewer names
+    four = F.explode(F.array(*(F.lit(k).cast("long") for k in (0, 5, 10, 15))))  # the clubs that a reviewer takes apart
+    splits = roots.select(four.alias("source_id"), "root", F.concat(F.lit("New "), F.col("root")).alias("new_name"))
     references = [("customers", "club_id", "raw"), ("suppliers", "club_id", "raw"), ("orders", "club_id", "raw"), ("orders", "other_id", "raw")]
     return merging.split_clubs(c, aliases, held, references, splits)
 
