@@ -356,6 +356,9 @@ def test_mixing_takes_prefixes(spark, odd, empty, monkeypatch):
             budget, taken = leaf[0].leaf_budget, sum(r.n_tokens * r.copies for r in leaf)
             longest = max(r.n_tokens for r in leaf)
             assert budget - 1e-6 <= taken < budget + longest or taken == budget
+            assert sum(r.taken_tokens for r in leaf) == math.ceil(round(budget, 6))
+            cut = [r for r in leaf if r.taken_tokens != r.n_tokens * r.copies]
+            assert len(cut) <= 1 and all((r.copies - 1) * r.n_tokens < r.taken_tokens < r.copies * r.n_tokens for r in cut)
             counts = {r.copies for r in leaf if r.n_tokens}
             assert max(counts, default=0) <= epochs and (not counts or max(counts) - min(counts) <= 1)
     assert len(mixing.mix_sources(odd, queries.mix_domain(), queries.mix_weight, lambda t: t / 2).collect()) == len(ODD)
@@ -396,6 +399,44 @@ def test_index_recall_of_noisy_copies(spark):
     assert want >= 24 and want >= got >= 0.9 * want
 
 
+def _every_offset(a, b):
+    """Whether some offset of all matches, votes or none, without frames that are silent in both."""
+    a, b = a.tolist(), b.tolist()
+    for offset in range(-len(a), len(b) + 1):
+        s, e = max(0, -offset), min(len(a), len(b) - offset)
+        x, y = a[s:e], b[s + offset : e + offset]
+        bits = [32 if (p == chroma.SILENT) != (q == chroma.SILENT) else (int(p) ^ int(q)).bit_count() for p, q in zip(x, y, strict=True) if not p == q == chroma.SILENT]
+        if len(bits) >= chroma.MIN_OVERLAP and sum(bits) <= chroma.MAX_ERROR * 32 * len(bits):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("common", [1000, 2])
+def test_excerpts_and_silence(spark, monkeypatch, common):
+    """Excerpts of a long recording, recordings that share silence or a held note, and others, against all offsets of all pairs."""
+    monkeypatch.setattr(chroma, "COMMON", common)
+    rng = np.random.default_rng(11)
+    tune = lambda n: chroma.read_wav(chroma.render([float(x) for x in rng.normal(0, 0.13, n)]))[1]
+    still = np.zeros(400 * chroma.HOP)
+    held = 0.4 * np.sin(2 * np.pi * 440 * np.arange(200 * chroma.HOP) / chroma.RATE)
+    long = tune(1200)
+    sounds = {0: long, 20: np.concatenate([tune(64), still]), 21: np.concatenate([still, tune(64)]), 40: np.concatenate([tune(20), held]), 41: np.concatenate([held, tune(20)]), 60: still, 61: still[: len(still) // 2]}
+    for k in range(1, 8):
+        at = int(rng.integers(0, len(long) - 110 * chroma.HOP))
+        part = long[at : at + 110 * chroma.HOP]
+        sounds[k] = part + rng.normal(0, 0.02, len(part))
+    for k in range(100, 125):
+        sounds[k] = tune(64)
+    rows = [(k, chroma.write_wav(chroma.RATE, v)) for k, v in sounds.items()]
+    codes = {k: chroma.integers(chroma.chroma_frames(*chroma.read_wav(m))) for k, m in rows}
+    got = by_id(chroma.match(spark.createDataFrame(rows, "rec_id long, media binary").repartition(3)), "rec_id")
+    want = {q: sum(_every_offset(codes[q], codes[y]) for y in codes if y != q) for q in codes if q % 20 == 0}
+    assert want[0] >= 7 and want[40] == 1 and want[20] == want[60] == 0
+    assert all((got[q].n_matches or 0) <= n for q, n in want.items())
+    assert sum(got[q].n_matches for q in want) >= 0.9 * sum(want.values())
+    assert got[20].n_matches == got[60].n_matches == 0
+
+
 def test_lm_word_order_counts(spark):
     rnd = random.Random(4)
     rows = [(2 * i + 1, " ".join(rnd.choice(["red fox runs home", "old dog eats fish", "a cat"]) for _ in range(6))) for i in range(60)] + [(2, "red fox runs home"), (4, "home fox red runs"), (6, "zz")]
