@@ -6,9 +6,11 @@ allowed. What a node cannot fill goes to its siblings first, in proportion to
 their weights and as far as they can take it, and only what a whole subtree
 cannot fill goes up to the siblings of its parent.
 
-A leaf's budget is then met by the shortest prefix of whole documents, in the
-seeded order of its epochs, that reaches it: every epoch has an order of its own,
-full epochs are taken whole, and the last one is cut. Order and cut need no task
+A leaf's budget is then met by a prefix of its tokens in the seeded order of its
+epochs: every epoch has an order of its own, full epochs are taken whole, and the
+last one is cut inside the document that reaches the budget. ``taken_tokens`` are
+a document's tokens within the prefix; ``copies`` counts the cut document as taken,
+for those who keep whole documents. Order and cut need no task
 that holds a leaf: documents fall into ranges of their random key, tokens are
 summed by (leaf, range), running sums over ranges find the range with the cut,
 and only that range is ordered row by row.
@@ -91,7 +93,10 @@ def mix_sources(
     epochs: int = 1,
     seed: int = 17,
 ) -> DataFrame:
-    """``doc_id, domain, lang, source, n_tokens, leaf_budget, copies`` for each row of ``docs``.
+    """``doc_id, domain, lang, source, n_tokens, leaf_budget, copies, taken_tokens, text_hash`` for each row of ``docs``.
+
+    Taken tokens of a leaf add up to its budget, rounded up. Of a document taken ``k``
+    times with fewer than ``k`` times its tokens, the first tokens of the last copy are taken.
 
     ``weight(path)`` weighs the last step of a path of the tree, ``budget(total)``
     gives the tokens to take of ``total``, ``epochs`` bounds the passes over a leaf.
@@ -130,10 +135,14 @@ def mix_sources(
     before = sums.select(*LEVELS, "range", (F.sum("in_range").over(Window.partitionBy(*LEVELS).orderBy("range")) - F.col("in_range")).alias("before"), "in_range")
     before = before.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), F.col("range").alias("_range"), "before", "in_range")
     placed = keyed.join(before, [*(keyed[c].eqNullSafe(before[f"_{c}"]) for c in LEVELS), keyed["range"] == before["_range"]]).drop("_range", *(f"_{c}" for c in LEVELS))
-    whole = placed.where((F.col("before") + F.col("in_range") <= F.col("rest")) | (F.col("before") >= F.col("rest"))).withColumn("taken", (F.col("before") < F.col("rest")).cast("int"))
+    whole = placed.where((F.col("before") + F.col("in_range") <= F.col("rest")) | (F.col("before") >= F.col("rest")))
+    whole = whole.withColumn("taken", (F.col("before") < F.col("rest")).cast("int")).withColumn("last", F.col("taken") * F.col("n_tokens"))
     cut = placed.where((F.col("before") + F.col("in_range") > F.col("rest")) & (F.col("before") < F.col("rest")))
     order = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("taken", (F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) < F.col("rest")).cast("int"))
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
+    cut = cut.withColumn("_left", left).withColumn("taken", (F.col("_left") > 0).cast("int"))
+    cut = cut.withColumn("last", F.least(F.col("n_tokens"), F.greatest(F.ceil("_left"), F.lit(0).cast("long")))).drop("_left")
     out = whole.unionByName(cut)
     copies = F.when(F.col("n_tokens") > 0, F.col("full") + F.col("taken")).otherwise(0).cast("int")
-    return out.select("doc_id", *LEVELS, "n_tokens", "leaf_budget", copies.alias("copies"), "text_hash")
+    tokens = (F.col("full") * F.col("n_tokens") + F.col("last")).cast("long")
+    return out.select("doc_id", *LEVELS, "n_tokens", "leaf_budget", copies.alias("copies"), tokens.alias("taken_tokens"), "text_hash")
