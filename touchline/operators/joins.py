@@ -25,23 +25,65 @@ def _windows(text: Column, size: int) -> Column:
 def containing(texts: DataFrame, text: str, names: DataFrame, name: str, size: int = 3) -> DataFrame:
     """J-06: pairs where the text holds the name, any case, the name taken literally.
 
-    Both sides meet on a piece of ``size`` characters (the name's first one), so
-    that no pair is tried without it; shorter names meet on what they have.
+    Each different text is searched once. Both sides meet on a piece of ``size``
+    characters (the name's first one), so that no pair is tried without it; shorter
+    names meet on what they have, and only lengths that some name has are cut.
     """
     n = names.withColumn("_n", F.lower(F.col(name))).where(F.length("_n") > 0)
     n = n.withColumn("_len", F.least(F.length("_n"), F.lit(size))).withColumn("_piece", F.expr("substring(_n, 1, _len)"))
-    t = texts.withColumn("_t", F.lower(F.col(text)))
-    pieces = F.array_distinct(F.flatten(F.array(*(_windows(F.col("_t"), k) for k in range(1, size + 1)))))
-    t = t.withColumn("_piece", F.explode(pieces))
-    return t.join(n, "_piece").where(F.contains("_t", "_n")).drop("_piece", "_t", "_n", "_len")
+    lengths = sorted(r[0] for r in n.select("_len").distinct().collect())  # ``size`` numbers at most
+    each = texts.select(F.lower(F.col(text)).alias("_t")).where("_t IS NOT NULL").distinct()  # the grouping also keeps ``lower`` out of the lambdas
+    pieces = F.array_distinct(F.flatten(F.array(*(_windows(F.col("_t"), k) for k in lengths)))) if lengths else F.array().cast("array<string>")
+    met = each.withColumn("_piece", F.explode(pieces)).join(n.select("_piece", "_n").distinct(), "_piece").where(F.contains("_t", "_n")).select("_t", "_n")
+    return texts.join(met, F.lower(F.col(text)) == met["_t"]).join(n.drop("_piece", "_len"), "_n").drop("_t", "_n")
+
+
+#: Members of a class in one block of ``expanded``.
+BLOCK = 1000
+
+
+def expanded(pairs: DataFrame, members: DataFrame, classes: list[str], key: str, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """Pairs of rows ``a_key < b_key`` of paired classes: ``a_key, b_key``, both sides' ``columns`` and the pairs' other columns.
+
+    ``pairs`` has ``a_c`` and ``b_c`` for each column ``c`` of ``classes``, each unordered pair
+    once; a class with itself stands for the pairs within it. Members are dealt into
+    blocks of about ``block``, and blocks meet blocks, so that a large class is shared
+    out among tasks and none holds it.
+    """
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = [f"_k{i}" for i in range(len(classes))]
+    m = members.select(*(F.col(c).alias(t) for c, t in zip(classes, told, strict=True)), F.col(key).alias("_key"), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)))
+    sizes = m.groupBy(*told).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    m = m.join(sizes, told).withColumn("_at", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")).drop("_blocks")
+    side = lambda df, s, *more: df.select(*(F.col(t).alias(f"{s}{t}") for t in told), *(F.col(c).alias(f"{s}{c}") for c in more))
+    others = [c for c in pairs.columns if c not in {f"{s}_{c}" for s in "ab" for c in classes}]
+    p = pairs.select(*(F.col(f"{s}_{c}").alias(f"{s}{t}") for s in "ab" for c, t in zip(classes, told, strict=True)), *others)
+    keys = {s: [f"{s}{t}" for t in told] for s in "ab"}
+    for s in "ab":
+        p = p.join(side(sizes, s, "_blocks"), keys[s])
+    same = reduce(lambda x, y: x & y, (F.col(f"a{t}") == F.col(f"b{t}") for t in told))
+    p = p.withColumn("_same", same).withColumn("a_at", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1)))
+    p = p.withColumn("b_at", F.explode(F.sequence(F.when(F.col("_same"), F.col("a_at")).otherwise(0), F.col("b_blocks") - 1))).drop("a_blocks", "b_blocks")
+    for s in "ab":
+        on = [*keys[s], f"{s}_at"]
+        values = [f"_v{i}" for i in range(len(columns))]
+        # Of a set number of parts, else small blocks would be merged into few tasks although their pairs are many.
+        p = p.repartition(parts, *on).join(side(m, s, "_at", "_key", *values).repartition(parts, *on).hint("merge"), on)
+    p = p.where(F.when(F.col("_same") & (F.col("a_at") == F.col("b_at")), F.col("a_key") < F.col("b_key")).otherwise(F.col("a_key") != F.col("b_key")))
+    turned = F.col("a_key") > F.col("b_key")
+    ordered = lambda c: (F.when(turned, F.col(f"b{c}")).otherwise(F.col(f"a{c}")), F.when(turned, F.col(f"a{c}")).otherwise(F.col(f"b{c}")))
+    both = [("_key", key), *((t, c) for t, c in zip(told, classes, strict=True)), *((f"_v{i}", c) for i, c in enumerate(columns))]
+    return p.select(*(x.alias(f"{s}_{c}") for inner, c in both for s, x in zip("ab", ordered(inner), strict=True)), *others)
 
 
 def pairs_within(df: DataFrame, key: str, block: list[Column], columns: list[str]) -> DataFrame:
     """J-07, J-08: pairs ``a < b`` of rows with the same block key."""
-    named = df.withColumns({f"_b{i}": c for i, c in enumerate(block)})
     keys = [f"_b{i}" for i in range(len(block))]
-    side = lambda s: named.select(*keys, F.col(key).alias(f"{s}_{key}"), *(F.col(c).alias(f"{s}_{c}") for c in columns))
-    return side("a").join(side("b"), keys).where(F.col(f"a_{key}") < F.col(f"b_{key}")).drop(*keys)
+    named = df.withColumns(dict(zip(keys, block, strict=True)))
+    shared = named.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    pairs = shared.select(*(F.col(k).alias(f"{s}_{k}") for s in "ab" for k in keys))
+    return expanded(pairs, named, keys, key, columns).drop(*(f"{s}_{k}" for s in "ab" for k in keys))
 
 
 def with_flags(df: DataFrame, flags: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
