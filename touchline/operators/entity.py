@@ -11,7 +11,7 @@ from . import fuzzy
 from .aggregates import completeness, keep_last
 from .fuzzy import indel_candidates, set_ratio_hits
 from .lineage import cut
-from .joins import first_of_two_keys, pairs_within
+from .joins import expanded, first_of_two_keys
 from .upsert import redirect
 
 #: Score from which names are the same (fixed value).
@@ -23,40 +23,66 @@ def normalize(df: DataFrame, name: str) -> DataFrame:
     return df.where(names.is_valid_name(F.col(name))).withColumn("canonical_name", names.canonical_name(F.col(name)))
 
 
-def _token_pairs(tokened: DataFrame, key: str, block: list[Column], name: str, share: float) -> DataFrame:
-    """Pairs of a block whose token sets can have a Jaccard share of ``share``.
+def _token_pairs(texts: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Pairs ``a_text < b_text`` of a block (``keys``) whose token sets can have a Jaccard share of ``share``.
 
     Two such sets share one of the first ``n - ceil(share * n) + 1`` tokens of each in
     one order, rarest first, so a frequent token joins only names that have nothing
     rarer. Names without tokens are alike and meet on a token of their own.
     """
-    named = tokened.withColumns({f"_b{i}": c for i, c in enumerate(block)})
-    keys = [f"_b{i}" for i in range(len(block))]
-    often = named.select(F.explode("_tok").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
-    one = named.select(key, *keys, F.size("_tok").alias("_n"), F.explode("_tok").alias("_t")).join(often, "_t")
+    named = texts.withColumn("_set", F.array_distinct("_tok"))
+    often = named.select(F.explode("_set").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
+    one = named.select("text", *keys, F.size("_set").alias("_n"), F.explode("_set").alias("_t")).join(often, "_t")
     first = F.array_sort(F.collect_list(F.struct("_df", "_t")))
-    ranked = one.groupBy(key, *keys, "_n").agg(first.alias("_all"))
+    ranked = one.groupBy("text", *keys, "_n").agg(first.alias("_all"))
     most = F.col("_n") - F.ceil(F.lit(share) * F.col("_n") - 1e-9).cast("int") + 1
-    heads = ranked.select(key, *keys, F.explode(F.transform(F.slice("_all", F.lit(1), most), lambda x: x["_t"])).alias("_t"))
-    heads = heads.unionByName(named.where(F.size("_tok") == 0).select(key, *keys, F.lit("").alias("_t")))
-    side = lambda s: heads.select(F.col(key).alias(f"{s}_{key}"), *keys, "_t")
-    met = side("a").join(side("b"), [*keys, "_t"]).where(F.col(f"a_{key}") < F.col(f"b_{key}")).select(f"a_{key}", f"b_{key}").distinct()
-    full = lambda s: named.select(F.col(key).alias(f"{s}_{key}"), F.col(name).alias(f"{s}_{name}"), F.col("_tok").alias(f"{s}__tok"))
-    return met.join(full("a"), f"a_{key}").join(full("b"), f"b_{key}")
-
-
-def duplicate_pairs(df: DataFrame, key: str, name: str, block: list[Column], least: float, skip_extensions: bool = False) -> DataFrame:
-    """ER-09, ER-10: pairs within a block with combined similarity of ``least`` or more."""
-    tokened = df.withColumn("_tok", names.tokens(F.col(name)))
-    pairs = _token_pairs(tokened, key, block, name, (least - 0.4) / 0.6) if least > 0.4 else pairs_within(tokened, key, block, [name, "_tok"])
+    heads = ranked.select("text", *keys, F.explode(F.transform(F.slice("_all", F.lit(1), most), lambda x: x["_t"])).alias("_t"))
+    heads = heads.unionByName(named.where(F.size("_set") == 0).select("text", *keys, F.lit("").alias("_t")))
+    side = lambda s: heads.select(F.col("text").alias(f"{s}_text"), *keys, "_t")
+    met = side("a").join(side("b"), [*keys, "_t"]).where("a_text < b_text").select(*keys, "a_text", "b_text").distinct()
+    full = lambda s: texts.select(*keys, F.col("text").alias(f"{s}_text"), F.col("_tok").alias(f"{s}_tok"))
+    return met.join(full("a"), [*keys, "a_text"]).join(full("b"), [*keys, "b_text"])
+
+
+def duplicate_pairs(df: DataFrame, key: str, name: str, block: list[Column], least: float, skip_extensions: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
+    """ER-09, ER-10: pairs within a block with combined similarity of ``least`` or more: keys, names, ``columns`` of both rows, ``similarity``.
+
+    Different names of a block are compared once; their rows, and those with the same
+    name, are paired by ``joins.expanded``.
+    """
+    keys = [f"_b{i}" for i in range(len(block))]
+    members = df.withColumns(dict(zip(keys, block, strict=True)))
+    texts = members.select(*keys, F.col(name).alias("text")).dropna().distinct()
+    tokened = texts.withColumn("_tok", names.tokens(F.col("text")))
+    if least > 0.4:
+        pairs = _token_pairs(tokened, keys, (least - 0.4) / 0.6)
+    else:
+        side = lambda s: tokened.select(*keys, F.col("text").alias(f"{s}_text"), F.col("_tok").alias(f"{s}_tok"))
+        pairs = side("a").join(side("b"), keys).where("a_text < b_text")
+    a, b = F.col("a_text"), F.col("b_text")
     if skip_extensions:
-        pairs = pairs.where(~names.is_extension(F.col(f"a_{name}"), F.col(f"b_{name}")))
-    a, b = F.col(f"a_{name}"), F.col(f"b_{name}")
+        pairs = pairs.where(~names.is_extension(a, b))
     # Cheap bound first: token share alone decides most pairs.
-    jaccard = similarity.token_jaccard(F.col("a__tok"), F.col("b__tok"))
+    jaccard = similarity.token_jaccard(F.col("a_tok"), F.col("b_tok"))
     pairs = pairs.withColumn("_j", jaccard).where(0.4 + 0.6 * F.col("_j") >= least)
     score = 0.4 * similarity.edit_similarity(F.lower(a), F.lower(b)) + 0.6 * F.col("_j")
-    return pairs.withColumn("similarity", score).where(F.col("similarity") >= least).drop("_j", "a__tok", "b__tok")
+    pairs = pairs.withColumn("similarity", score).where(F.col("similarity") >= least).select(*keys, "a_text", "b_text", "similarity")
+    if least <= 1:
+        pairs = pairs.unionByName(texts.select(*keys, F.col("text").alias("a_text"), F.col("text").alias("b_text"), F.lit(1.0).alias("similarity")))
+    classes = pairs.select(*(F.col(k).alias(f"{s}_{k}") for s in "ab" for k in keys), a.alias(f"a_{name}"), b.alias(f"b_{name}"), "similarity")
+    return expanded(cut(classes), members, [*keys, name], key, list(columns)).drop(*(f"{s}_{k}" for s in "ab" for k in keys))
+
+
+#: What a row brings to its pairs' tiers.
+TIER_COLUMNS = ("_here", "_state", "_site", "_merged", "_complete", "_words")
+
+
+def tier_columns(meta: DataFrame) -> DataFrame:
+    """``meta`` (``name, state, website, manually_merged, completeness``) with ``TIER_COLUMNS``."""
+    return meta.withColumns({
+        "_here": F.lit(True), "_state": F.nullif(F.upper(F.trim("state")), F.lit("")), "_site": names.website(F.col("website")), "_merged": F.coalesce("manually_merged", F.lit(False)),
+        "_complete": F.col("completeness"), "_words": F.array_distinct(F.split(F.lower(F.trim("name")), r"\s+")),
+    })
 
 
 def tier_pairs(pairs: DataFrame, meta: DataFrame, key: str, least: float = 0.95) -> DataFrame:
@@ -64,18 +90,21 @@ def tier_pairs(pairs: DataFrame, meta: DataFrame, key: str, least: float = 0.95)
 
     ``meta`` has ``key, name, state, website, manually_merged, completeness``.
     """
-    side = lambda s: meta.select(F.col(key).alias(f"{s}_{key}"), *(F.col(c).alias(f"{s}m_{c}") for c in ("name", "state", "website", "manually_merged", "completeness")), F.lit(True).alias(f"{s}m_here"))
-    j = pairs.join(side("a"), f"a_{key}", "left").join(side("b"), f"b_{key}", "left")
-    state = lambda s: F.nullif(F.upper(F.trim(f"{s}m_state")), F.lit(""))
-    site = lambda s: names.website(F.col(f"{s}m_website"))
-    words = lambda s: F.array_distinct(F.split(F.lower(F.trim(F.col(f"{s}m_name"))), r"\s+"))
-    same_state = F.coalesce(state("a") == state("b"), F.lit(False))
-    small, large = F.least(F.size(words("a")), F.size(words("b"))), F.greatest(F.size(words("a")), F.size(words("b")))
-    inside = (small <= 1) & (large > small) & (F.size(F.array_intersect(words("a"), words("b"))) == small)
+    m = tier_columns(meta)
+    side = lambda s: m.select(F.col(key).alias(f"{s}_{key}"), *(F.col(c).alias(f"{s}_{c}") for c in TIER_COLUMNS))
+    return tiers(pairs.join(side("a"), f"a_{key}", "left").join(side("b"), f"b_{key}", "left"), key, least).select(*pairs.columns, "tier", "reason", "winner")
+
+
+def tiers(pairs: DataFrame, key: str, least: float = 0.95) -> DataFrame:
+    """ER-11, ER-12 of pairs that bring ``TIER_COLUMNS`` of both rows."""
+    same_state = F.coalesce(F.col("a__state") == F.col("b__state"), F.lit(False))
+    n, m = F.size("a__words"), F.size("b__words")
+    small, large = F.least(n, m), F.greatest(n, m)
+    inside = (small <= 1) & (large > small) & (F.size(F.array_intersect("a__words", "b__words")) == small)
     rules = [
-        (F.col("am_here").isNull() | F.col("bm_here").isNull(), "skip", "missing row"),
-        (F.coalesce("am_manually_merged", F.lit(False)) | F.coalesce("bm_manually_merged", F.lit(False)), "skip", "manually merged"),
-        (F.coalesce(site("a") != site("b"), F.lit(False)), "review", "websites differ"),
+        (F.col("a__here").isNull() | F.col("b__here").isNull(), "skip", "missing row"),
+        (F.col("a__merged") | F.col("b__merged"), "skip", "manually merged"),
+        (F.coalesce(F.col("a__site") != F.col("b__site"), F.lit(False)), "review", "websites differ"),
         (~same_state, "review", "state mismatch"),
         (inside, "review", "short name"),
         (F.col("similarity") < least, "review", "similarity"),
@@ -84,10 +113,9 @@ def tier_pairs(pairs: DataFrame, meta: DataFrame, key: str, least: float = 0.95)
     for hit, t, why in rules:
         tier = F.when(hit, t) if tier is None else tier.when(hit, t)
         reason = F.when(hit, why) if reason is None else reason.when(hit, why)
-    a_wins = (F.col("am_completeness") > F.col("bm_completeness")) | ((F.col("am_completeness") == F.col("bm_completeness")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
-    out = j.withColumn("tier", tier.otherwise("auto_merge")).withColumn("reason", reason.otherwise("same"))
-    out = out.withColumn("winner", F.when(F.col("tier") == "auto_merge", F.when(a_wins, F.col(f"a_{key}")).otherwise(F.col(f"b_{key}"))))
-    return out.select(*pairs.columns, "tier", "reason", "winner")
+    a_wins = (F.col("a__complete") > F.col("b__complete")) | ((F.col("a__complete") == F.col("b__complete")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
+    out = pairs.withColumn("tier", tier.otherwise("auto_merge")).withColumn("reason", reason.otherwise("same"))
+    return out.withColumn("winner", F.when(F.col("tier") == "auto_merge", F.when(a_wins, F.col(f"a_{key}")).otherwise(F.col(f"b_{key}"))))
 
 
 def _in_order(name: str) -> Column:
