@@ -86,3 +86,12 @@ def test_trailing_counts(spark, tmp_path):
             for k in "xy":
                 n = sum(kind == k and until - dt.timedelta(days=days) <= t < until for t, kind in data)
                 assert got.get((width, until, k), 0) == n
+
+
+def test_cuts_of_many_files_are_whole_batches(spark, tmp_path):
+    df = spark.range(100).repartition(3)
+    seen = []
+    stream = streams.in_cuts(df, f"{tmp_path}/in", 2, end=spark.createDataFrame([(1000,)], "id long"), file_rows=7)
+    streams.run_batches(stream, lambda batch, _: seen.append({r.id for r in batch.collect()}), f"{tmp_path}/state")
+    assert len(seen) == 3 and seen[2] == {1000} and not seen[0] & seen[1] and seen[0] | seen[1] == set(range(100))
+    assert len(spark.read.parquet(f"{tmp_path}/in/batch=0").inputFiles()) > 1

@@ -146,15 +146,13 @@ def late_platform_ids(spark, d):
     first = rows.where(late).select(F.lit(None).cast("long").alias("platform_id"), "natural_key", (F.col("price") - 1).alias("price")).withColumn("turn", F.lit(0))
     sent = first.unionByName(rows.where(~late).withColumn("turn", F.lit(0))).unionByName(rows.where(late).withColumn("turn", F.lit(1)))
     place = _place(spark, "late-ids")
-    for turn in (0, 1):
-        sent.where(F.col("turn") == turn).drop("turn").coalesce(1).write.mode("append").parquet(f"{place}/in")
     table = VersionedTable(spark, f"{place}/table")
 
     def merge(old, batch):
         state = batch.limit(0) if old is None else old
         return upsert.upsert_by_platform_id(state, batch, "platform_id", {"natural_key": ""}).drop("action")
 
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    stream = streams.cut_stream(sent, "turn", [0, 1], f"{place}/in")
     streams.run_batches(stream, table.upsert_batch(merge, "orders"), f"{place}/state")
     return table.read()
 

@@ -57,18 +57,38 @@ def run_available(stream: DataFrame, folder: str, mode: str = "complete", conf:
     return spark.read.schema(schema).parquet(*(written[-1:] if mode == "complete" else written)) if written else spark.createDataFrame([], schema)
 
 
-def in_cuts(df: DataFrame, path: str, cuts: int, order: str | None = None, end: DataFrame | None = None) -> DataFrame:
+#: Rows of a file that a task writes for ``in_cuts``.
+FILE_ROWS = 500_000
+
+
+def cut_stream(dealt: DataFrame, cut: str, numbers: list[int], path: str, end: DataFrame | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """A stream with one micro-batch for each of ``numbers``, the rows with that value of ``cut``, then ``end``.
+
+    Every batch is written below ``path`` as the same number of files, so that a trigger
+    takes a batch whole and no task writes or reads all of it. Empty files fill up a
+    batch with fewer rows than files.
+    """
+    spark = dealt.sparkSession
+    most = dealt.groupBy(cut).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    files = max(1, -(-most // file_rows))
+    batches = [dealt.where(F.col(cut) == k).drop(cut) for k in numbers]
+    if end is not None:
+        batches.append(end.select(*batches[0].columns))
+    for k, batch in enumerate(batches):
+        place = f"{path}/batch={k}"
+        (batch.repartition(files) if files > 1 else batch.coalesce(1)).write.mode("overwrite").parquet(place)
+        for _ in range(files - len(spark.read.schema(batch.schema).parquet(place).inputFiles())):
+            batch.limit(0).coalesce(1).write.mode("append").parquet(place)
+    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", files).parquet(f"{path}/batch=*")
+
+
+def in_cuts(df: DataFrame, path: str, cuts: int, order: str | None = None, end: DataFrame | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """A stream of ``df``'s rows in ``cuts`` micro-batches, dealt by hash (or in ``order``), then ``end``.
 
     The rows are written below ``path``, one folder for each batch.
     """
     part = F.pmod(F.xxhash64(*df.columns), F.lit(cuts)) if order is None else F.ntile(cuts).over(Window.orderBy(order)) - 1
-    dealt = df.withColumn("_cut", part)
-    for k in range(cuts):
-        dealt.where(F.col("_cut") == k).drop("_cut").coalesce(1).write.mode("append").parquet(path)
-    if end is not None:
-        end.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return cut_stream(df.withColumn("_cut", part), "_cut", list(range(cuts)), path, end, file_rows)
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
