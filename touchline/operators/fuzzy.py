@@ -246,14 +246,19 @@ def winkler_pairs(texts: DataFrame, least: float = 0.9) -> DataFrame:
     ranked = cut(letters.groupBy("_scope", "_text").agg(F.array_sort(F.collect_list(F.struct("_df", "_x"))).alias("_all")).join(rows, ["_scope", "_text"]))
     n = F.length("_text")
     need = lambda k: (least - 0.1 * k) / (1 - 0.1 * k)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = None
     for k in range(5):
         t = need(k)
         first = n - F.ceil((3 * t - 2) * n - 1e-9).cast("int") + 1
         heads = ranked.where(n >= k).select("_scope", "_text", "_l", F.substring("_text", 1, k).alias("_start"), F.explode(F.transform(F.slice("_all", F.lit(1), F.least(first, n)), lambda x: x["_x"])).alias("_x"))
-        side = lambda s: heads.select("_scope", "_start", "_x", F.col("_text").alias(s), F.col("_l").alias(f"_l{s}"))  # noqa: B023, E731
+        # A set number of parts: texts are small, their pairs are not.
+        side = lambda s: heads.select("_scope", "_start", "_x", F.col("_text").alias(s), F.col("_l").alias(f"_l{s}")).repartition(parts, "_scope", "_start", "_x")  # noqa: B023, E731
         na, nb = F.length("a"), F.length("b")
-        met = side("a").join(side("b"), ["_scope", "_start", "_x"]).where(F.col("a") < F.col("b"))
-        met = met.where(F.size(F.array_intersect("_la", "_lb")) * (na + nb) >= (3 * t - 1) * na * nb - 1e-9).select("_scope", "a", "b")
+        met = side("a").join(side("b").hint("merge"), ["_scope", "_start", "_x"]).where(F.col("a") < F.col("b"))
+        if k < 4:  # a longer shared start asks for less, at its own step
+            met = met.where(F.substring("a", k + 1, 1) != F.substring("b", k + 1, 1))
+        enough = lambda common: common * (na + nb) >= (3 * t - 1) * na * nb - 1e-9  # noqa: B023, E731
+        met = met.where(enough(F.least(na, nb))).where(enough(F.size(F.array_intersect("_la", "_lb")))).select("_scope", "a", "b")
         found = met if found is None else found.unionByName(met)
-    return found.distinct().withColumn("jw", similarity.jaro_winkler(F.col("a"), F.col("b"))).where(F.col("jw") >= least)
+    return found.repartition(parts, "_scope", "a", "b").distinct().withColumn("jw", similarity.jaro_winkler(F.col("a"), F.col("b"))).where(F.col("jw") >= least)
