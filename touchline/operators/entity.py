@@ -193,12 +193,13 @@ def link_names(raw: DataFrame, column: str, canonicals: DataFrame, aliases: Data
     form), fuzzy among choices that share a token, none. Deterministic: names
     resolve on their own, and found ones do not change later ones.
     """
-    distinct = raw.select(F.col(column).alias("raw")).where(F.trim("raw") != "").distinct()
+    # Cut, as filters on the forms of a name would else go below the grouping, to every row.
+    distinct = cut(raw.select(F.col(column).alias("raw")).where(F.trim("raw") != "").distinct())
     distinct = distinct.withColumn("_raw", F.lower(F.trim("raw"))).withColumn("_short", F.nullif(F.lower(names.without_team_words(F.col("raw"))), F.lit("")))
-    alias_index = aliases.where("club_id IS NOT NULL").groupBy(F.lower(F.trim("alias")).alias("_key")).agg(F.max("club_id").alias("_id"))
-    name_index = canonicals.groupBy(F.lower(F.trim("name")).alias("_key")).agg(F.max("id").alias("_id"))
+    alias_index = cut(aliases.where("club_id IS NOT NULL").groupBy(F.lower(F.trim("alias")).alias("_key")).agg(F.max("club_id").alias("_id")))
+    name_index = cut(canonicals.groupBy(F.lower(F.trim("name")).alias("_key")).agg(F.max("id").alias("_id")))
     found = first_of_two_keys(distinct, ["_raw", "_short"], alias_index, "_key", "_id", "_by_alias")
-    found = first_of_two_keys(found, ["_raw", "_short"], name_index, "_key", "_id", "_by_name")
+    found = cut(first_of_two_keys(found, ["_raw", "_short"], name_index, "_key", "_id", "_by_name"))
     rest = found.where("_by_alias IS NULL AND _by_name IS NULL").withColumn("_query", F.coalesce("_short", "_raw"))
     choices = name_index.unionByName(alias_index).select(F.lit("").alias("_scope"), F.col("_key").alias("choice"), F.col("_id").alias("choice_id")).distinct()
     scored = set_ratio_hits(rest.select(F.lit("").alias("_scope"), "raw", "_query"), choices, least)
@@ -217,7 +218,7 @@ def link_schools(raw: DataFrame, schools: DataFrame, aliases: DataFrame, least:
     fuzzy, none. A row without state or name is never found.
     """
     state, key = F.upper(F.trim("state")).alias("_scope"), F.lower(F.trim("name")).alias("_key")
-    q = raw.select("state", "name").distinct().select("state", "name", state, key, F.nullif(names.school_name(F.col("name")), F.lit("")).alias("_short"))
+    q = cut(raw.select("state", "name").distinct()).select("state", "name", state, key, F.nullif(names.school_name(F.col("name")), F.lit("")).alias("_short"))
     index = lambda df: df.select(state, key, "id").where("_scope <> '' AND _key <> ''").groupBy("_scope", "_key").agg(F.max("id").alias("_id"))
     by_alias, by_name = index(aliases), index(schools)
     scoped = lambda scope, c: F.to_json(F.struct(F.col(scope).alias("s"), F.col(c).alias("k")), {"ignoreNullFields": "false"})
