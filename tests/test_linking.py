@@ -152,3 +152,24 @@ def test_promote(spark):
     old = spark.createDataFrame([(1, "a", "manual"), (1, "b", "linker-fuzzy"), (2, "c", None)], "club_id long, alias string, source string")
     got = {(r.club_id, r.alias): (r.source, r.action) for r in linking.promote(old, spark.createDataFrame([(1, "a"), (1, "b"), (3, "d")], "club_id long, alias string")).collect()}
     assert got == {(1, "a"): ("linker-fuzzy", "updated"), (1, "b"): ("linker-fuzzy", "unchanged"), (2, "c"): (None, "kept"), (3, "d"): ("linker-fuzzy", "inserted")}
+
+
+def test_names_are_worked_out_once_not_for_every_row(spark, monkeypatch):
+    """The forms of a name (regular expressions) are those of different names: no plan on rows holds them."""
+    seen = []
+    real = entity.cut
+
+    def noting(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(entity, "cut", noting)
+    rows = spark.range(3000).select("id", F.lit("WA").alias("state"), F.concat(F.lit("Solar North "), (F.col("id") % 3).cast("string"), F.lit(" U15 Boys Gold")).alias("name"))
+    clubs = rows.withColumn("name", F.concat(F.lit("solar north "), (F.col("id") % 3).cast("string")))
+    linked = entity.link_names(rows, "name", clubs, spark.createDataFrame([], "club_id long, alias string"))
+    schools = entity.link_schools(rows, clubs, clubs.limit(0))
+    diff = entity.diff_with_master(rows, clubs)
+    plans = [*seen, *(df._jdf.queryExecution().optimizedPlan().toString() for df in (linked, schools, diff))]
+    assert not [p for p in plans if "Range (" in p and "(?i)" in p]
+    assert sorted((r["name"], r.master) for r in diff.collect()) == [(f"Solar North {k} U15 Boys Gold", f"Solar North {k}") for k in range(3)]
+    assert [r.club_id for r in linked.orderBy("raw").collect()] == [2997, 2998, 2999]

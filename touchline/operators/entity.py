@@ -294,8 +294,10 @@ def diff_with_master(external: DataFrame, master: DataFrame) -> DataFrame:
     A name without any likeness, or in a state without masters, has none and score 0.
     """
     scope = lambda df: F.coalesce(F.upper(F.trim("state")), F.lit("")).alias("_scope")
-    e = external.select("state", "name").distinct().select("state", "name", scope(external), names.canonical_name(F.col("name")).alias("canonical_name"))
-    m = master.select(scope(master), names.canonical_name(F.col("name")).alias("choice"), F.col("id").alias("rank")).where("choice <> ''")
+    # Each different name is worked out once: without the cuts, filters on it would go below the grouping, to every row.
+    e = cut(external.select("state", "name").distinct()).select("state", "name", scope(external), names.canonical_name(F.col("name")).alias("canonical_name"))
+    e = cut(e)
+    m = cut(master.groupBy("state", "name").agg(F.min("id").alias("rank"))).select(scope(master), names.canonical_name(F.col("name")).alias("choice"), "rank").where("choice <> ''")
     best = fuzzy.best_matches(e.select("_scope", F.col("canonical_name").alias("query")), m)
     out = e.join(best, (e["_scope"] == best["scope"]) & (e["canonical_name"] == best["query"]), "left")
     score = F.coalesce("score", F.lit(0.0))
