@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.functions import similarity
+from touchline.functions import dates, names, similarity
 from touchline.operators import entity, fuzzy
 from touchline.sources import replays, schedules
 
@@ -66,6 +66,42 @@ def test_schedules(spark):
     }
 
 
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    """Pages of plain tags never reach the parser, whose steps are most of the work; all others do."""
+    rnd = random.Random(5)
+    bits = ["<table>", "</table>", "<TR>", "</tr>", "<td>", "</td>", "<th>", "</th >", '<td colspan="3">', "<td colspan=3>", "<td a=1b>", "<br>", "<br/>", "<b", ">", "<", "&amp;", "<!-- x -->", "<script>", "x", "a  b", "\n", " 2 - 1 ", "\xa0", '<tr class="a b">', "<tdx>", "</>", '<table x="<td>">', '</td a="1">']
+    quick = 0
+    for _ in range(20_000):
+        page = "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 12)))
+        found = schedules._quick(page)
+        if found is not None:
+            quick += 1
+            reader = schedules._Cells()
+            reader.feed(page)
+            assert found == reader.tables, page
+    assert quick > 500
+    assert schedules._quick("<table><tr><td>a &amp; b</td></tr></table>") is None
+    assert schedules._tables("<table><tr><td>a &amp; b</td></tr></table>") == [[[(False, ["a & b"])]]]
+
+
+def test_only_formats_that_fit_are_tried(spark):
+    """The result is that of trying all of them."""
+    cells = ["2024-01-02 03:04:05", "2024-01-02 03:04", "2024-01-02T03:04:05", "2024-01-02", "1/2/2024 3:04 PM", "1/2/2024 13:04", "1/2/2024", "Jan 2 2024 3:04 AM", "Jan 2, 2024 3:04 AM", "Sat, Jan 2, 2024", "Tue, 2024-01-02", "Jan 2 2024", "2024/01/02", "x", "", None, "12:30", "1/2/2024, 3:04 PM", "+12024-01-02", "2024-01-02T03:04:05Z"]
+    frame = spark.createDataFrame([(x,) for x in cells], "c string")
+    text = F.trim(F.regexp_replace(F.regexp_replace("c", r"\s+", " "), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", ""))
+    plain = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in dates.FORMATS)).cast("timestamp_ntz")
+    got = frame.select("c", dates.parse_date(F.col("c")).cast("string").alias("got"), plain.cast("string").alias("want")).collect()
+    assert [(r.c, r.got) for r in got] == [(r.c, r.want) for r in got]
+    assert sum(r.got is not None for r in got) >= 11
+
+
+def test_names_that_stay(spark):
+    texts = ["Solar SC", "boys", "Boys Gold", "\tBoys", "Bo(x)ys", "(x)", "(x) y", "", " ", None, "U15", "U15 Rush", "-Boys", "Boysen", "boys-", "Club (a", "é", *names.DESCRIPTORS]
+    frame = spark.createDataFrame([(x,) for x in texts], "c string")
+    got = frame.select("c", names.has_canonical_name(F.col("c")).alias("got"), (names.canonical_name(F.col("c")) != "").alias("want")).collect()
+    assert [(r.c, r.got) for r in got] == [(r.c, r.want) for r in got]
+
+
 def whole_frame(data, least=88):
     """The last row of each key, then each row that is alike to an earlier one that stays goes."""
     last = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,19 @@ from pyspark.sql import functions as F
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy h:mm a", "M/d/yyyy H:mm", "M/d/yyyy", "MMM d yyyy h:mm a", "MMM d, yyyy h:mm a", "MMM d, yyyy"]
 
 
+def _may_be(text: Column, form: str) -> Column:
+    """Whether the text holds the marks that ``form`` needs and none of those that it cannot take."""
+    holds = [F.contains(text, F.lit(m)) if m in form else ~F.contains(text, F.lit(m)) for m in "/,:"]
+    return reduce(lambda a, b: a & b, [*holds, *(F.contains(text, F.lit(m)) for m in "-T" if m in form)])
+
+
 def parse_date(c: Column, formats: list[str] = FORMATS) -> Column:
-    """DT-01: the first format that parses; a weekday before a comma is skipped."""
+    """DT-01: the first format that parses; a weekday before a comma is skipped.
+
+    A format that fails costs an exception, so only those whose marks fit are tried.
+    """
     text = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", ""))
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats)).cast("timestamp_ntz")
+    return F.coalesce(*(F.when(_may_be(text, f), F.try_to_timestamp(text, F.lit(f))) for f in formats)).cast("timestamp_ntz")
 
 
 def academic_year(d: Column) -> Column:

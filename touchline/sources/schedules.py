@@ -57,6 +57,54 @@ class _Cells(HTMLParser):
             self.cell.append(" ".join(data.split()))
 
 
+#: Tags that a page may be made of to be read by ``_quick``, as they are written most often; attributes are skipped.
+_TAG = re.compile(r"""<(/?)(table|thead|tbody|tfoot|tr|td|th|br|p|b|i|a|div|span|strong|em|html|body)(?:\s+[a-z][a-z-]*="[^"<>]*"|\s+[a-z][a-z-]*=[0-9]+(?=[\s>]))*[ \n]*>""", re.IGNORECASE)
+
+
+def _quick(html: str) -> list | None:
+    """The tables that ``_Cells`` finds, of a page of plain tags without entities, comments or scripts; else None."""
+    parts = _TAG.split(html)
+    texts = parts[::3]
+    if "&" in html or html.count("<") != len(texts) - 1:
+        return None
+    tables, open_, cell = [], [], None
+    for end, tag, text in zip(parts[1::3], parts[2::3], texts[1:], strict=True):
+        tag = tag.lower()
+        if tag == "td" or tag == "th":
+            if end:
+                cell = None
+            elif open_ and open_[-1]:
+                cell = []
+                open_[-1][-1].append((tag == "th", cell))
+        elif tag == "tr":
+            if end:
+                cell = None
+            elif open_:
+                open_[-1].append([])
+        elif tag == "table":
+            if not end:
+                tables.append([])
+                open_.append(tables[-1])
+            else:
+                cell = None
+                if open_:
+                    open_.pop()
+        if cell is not None and text:
+            words = text.split()
+            if words:
+                cell.append(" ".join(words))
+    return tables
+
+
+def _tables(html: str) -> list:
+    found = _quick(html)
+    if found is None:
+        reader = _Cells()
+        reader.feed(html)
+        found = reader.tables
+    return found
+
+
 def columns_of(headers: list[str]) -> dict[str, int]:
     """Each header takes the first keyword it holds whose column is not taken yet."""
     found: dict[str, int] = {}
@@ -75,16 +123,20 @@ def _by_header(table: list) -> Iterator[tuple] | None:
 
     def rows():
         heading: list[str] = []
+        least = max(at["home"], at["away"])
+        places = [at.get(c) for c in ("match_num", "home", "away", "score", "division")]
+        time = at.get("datetime")
         for n, row in enumerate(table):
             cells = [lines for is_header, lines in row if not is_header]
             filled = [c for c in cells if c]
             if len(filled) == 1 and _DATE.search(" ".join(filled[0])):
                 heading = filled[0]
-            if len(cells) <= max(at["home"], at["away"]):
+            size = len(cells)
+            if size <= least:
                 continue
-            text = lambda c: " ".join(cells[at[c]]) or None if c in at and at[c] < len(cells) else None  # noqa: B023, E731
-            when = cells[at["datetime"]] if "datetime" in at and at["datetime"] < len(cells) else []
-            yield n, "header", text("match_num"), when or heading, text("home"), text("away"), text("score"), text("division")
+            number, home, away, score, division = [None if k is None or k >= size else " ".join(cells[k]) or None for k in places]
+            when = cells[time] if time is not None and time < size else []
+            yield n, "header", number, when or heading, home, away, score, division
 
     return rows()
 
@@ -115,9 +167,7 @@ class ScheduleRows:
     """Table function: the rows of all schedule tables of a page."""
 
     def eval(self, html: str):
-        reader = _Cells()
-        reader.feed(html or "")
-        for t, table in enumerate(reader.tables):
+        for t, table in enumerate(_tables(html or "")):
             found = next((rows for rows in (s(table) for s in STRATEGIES) if rows is not None), iter(()))
             for n, *row in found:
                 yield t, n, *row
@@ -140,7 +190,7 @@ def schedule(pages: DataFrame, key: str, html: str) -> DataFrame:
     table = F.udtf(ScheduleRows, returnType=_ROW)
     rows = pages.select(F.col(key).alias("_key"), F.col(html).alias("_html")).lateralJoin(table(F.col("_html").outer()))
     bye = lambda c: F.col(c).rlike(r"(?i)^\s*bye\s*$")
-    rows = rows.where("home IS NOT NULL AND away IS NOT NULL").where(~bye("home") & ~bye("away") & (names.canonical_name(F.col("home")) != "") & (names.canonical_name(F.col("away")) != ""))
+    rows = rows.where("home IS NOT NULL AND away IS NOT NULL").where(~bye("home") & ~bye("away") & names.has_canonical_name(F.col("home")) & names.has_canonical_name(F.col("away")))
     is_status = lambda line: F.exists(F.lit(STATUS_WORDS), lambda w: F.contains(F.lower(line), w))
     tag = F.try_element_at(F.filter("time_lines", is_status), F.lit(-1))
     when = F.trim(F.regexp_replace(F.array_join(F.filter("time_lines", lambda line: ~is_status(line)), " "), ZONE, ""))
@@ -148,8 +198,9 @@ def schedule(pages: DataFrame, key: str, html: str) -> DataFrame:
     loose = classify.score(F.col("score_text"))
     by_header = F.col("strategy") == "header"
     home, away = F.when(by_header, plain(1)).otherwise(loose["home"]), F.when(by_header, plain(2)).otherwise(loose["away"])
-    side = classify.bracket(F.coalesce("division", F.lit("")))
+    # Read once, used by several columns.
+    rows = rows.withColumns({"_home": home, "_away": away, "_tag": tag, "_when": when, "_side": classify.bracket(F.coalesce("division", F.lit("")))})
     return rows.select(
-        F.col("_key").alias(key), "table_no", "row_no", "strategy", "match_num", "home", "away", home.alias("home_score"), away.alias("away_score"), dates.parse_date(when).alias("match_date"),
-        status(tag, F.col("score_text"), home, away).alias("status"), "division", side["age_group"].alias("age_group"), side["gender"].alias("gender"),
+        F.col("_key").alias(key), "table_no", "row_no", "strategy", "match_num", "home", "away", F.col("_home").alias("home_score"), F.col("_away").alias("away_score"), dates.parse_date(F.col("_when")).alias("match_date"),
+        status(F.col("_tag"), F.col("score_text"), F.col("_home"), F.col("_away")).alias("status"), "division", F.col("_side.age_group").alias("age_group"), F.col("_side.gender").alias("gender"),
     )
