@@ -11,15 +11,14 @@ silent frame differs from a heard one in all bits. A run of one integer votes wi
 its first and its last frame only. Every offset with a vote is verified.
 
 Search: recordings with equal fingerprints form one class, which is searched
-once. Every class is indexed by all its integers but silence (a run of one integer
-counts once), and a query class looks up all of its own. An integer with more than
-``COMMON`` places is looked up with the one that follows it, and so on up to
-``LONGEST`` integers; the longest are looked up however frequent they are. Classes
-are candidates that agree on ``LEAST_VOTES`` integers at one offset, or on one around
-which at most ``NEAR_BITS`` of 128 bits differ (in the frames ``NEAR`` before and
-after it); they are verified exactly. Recall against all offsets of all pairs is tested to be at least
-0.9. Classes are known by 64 bits of hash while candidates are sought. No pairs of
-copies are made.
+once; no pairs of copies are made. Every query class is compared with every other
+class that shares an integer with it, at every offset that one votes for: no integer is
+left out, however frequent, and no vote, so what is found is what ``align`` finds over
+all pairs. Classes and queries are dealt as blocks of bounded size; a task holds one
+block of each, looks the queries' integers up in the sorted integers of its classes,
+and hands on one row for each query, so no row is made for a pair. The votes
+themselves, and the matches that ``n_matches`` counts, grow with the square of the
+table; only the work in the tasks does, not what a task holds.
 
 Null, empty or broken media, and recordings shorter than one filter window, have
 no integers, are in no class and match nothing. A silent recording has a class and
@@ -31,6 +30,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 
 import numpy as np
@@ -38,22 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, shuffle_partitions
 
 FRAME, HOP = 1024, 256
 #: Notes are looked for from the first to the last of these frequencies (Hz).
 LOWEST, HIGHEST = 110.0, 1760.0
 #: Frames that a filter covers at most.
 WIDTH = 16
-#: Places beyond which an integer is looked up together with the next; most of them in a row.
-COMMON, LONGEST = 1000, 4
-#: Integers that must agree at one offset.
-LEAST_VOTES = 2
+#: Places of one integer whose votes are worked out at a time.
+COMMON = 1000
 MAX_ERROR = 0.25
 MIN_OVERLAP = 48
-#: Frames around an integer that are compared where it agrees alone, and their bits that may differ.
-NEAR = (-12, -6, 6, 12)
-NEAR_BITS = 48
+#: Frames of a block of classes or queries, and what a class adds to its own.
+BLOCK, ROW = 1 << 20, 64
 #: Cuts of a filter value.
 CUTS = (-0.25, 0.0, 0.25)
 
@@ -143,8 +140,8 @@ def integers(chroma: np.ndarray) -> np.ndarray:
 
 #: The integer of silence.
 SILENT = int(integers(np.full((WIDTH, 12), 1 / 12))[0])
-#: Pairs of equal runs that are counted at a time.
-VOTES = 1 << 20
+#: Pairs of equal runs that are counted, or frames that are compared, at a time.
+VOTES = 1 << 18
 
 
 def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,70 +206,135 @@ def fingerprint(recordings: DataFrame) -> DataFrame:
     return map_arrow(recordings.selectExpr("cast(rec_id as long) rec_id", "media"), make, "rec_id long, n_frames long, codes binary, cls string")
 
 
-def _places(classes: DataFrame) -> DataFrame:
-    """``num, run, pos, code, before, after``: number, first frame and integer of each run of a class, and the frames ``NEAR`` it."""
+class Joined:
+    """Fingerprints one after the other: where each begins, its length, and whose each frame is."""
 
-    def make():
-        def run(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    codes = [np.frombuffer(c.as_py(), "<u4") for c in part.column(1)]
-                    first = [_runs(c)[0] for c in codes]
-                    n = [len(f) for f in first]
-                    near = [c.astype(np.int64)[np.clip(f[:, None] + np.array(NEAR), 0, len(c) - 1)] for c, f in zip(codes, first, strict=True)]
-                    around = np.concatenate(near).reshape(-1, len(NEAR))
-                    columns = [np.concatenate([np.arange(k) for k in n]), np.concatenate(first), np.concatenate([c[f] for c, f in zip(codes, first, strict=True)]), around[:, 0] << 32 | around[:, 1], around[:, 2] << 32 | around[:, 3]]
-                    arrays = [pa.array(c.astype(t)) for c, t in zip(columns, (np.int32, np.int32, np.int64, np.int64, np.int64), strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), *arrays], ["num", "run", "pos", "code", "before", "after"])
+    def __init__(self, codes: list[np.ndarray]):
+        self.codes = np.concatenate([np.zeros(0, np.uint32), *codes])
+        self.size = np.fromiter(map(len, codes), np.int64, len(codes))
+        self.start = np.cumsum(self.size) - self.size
+        self.own = np.repeat(np.arange(len(codes)), self.size)
+        runs = [_runs(c) for c in codes]
+        #: First and last frames of runs.
+        self.runs = [np.concatenate([np.zeros(0, np.int64), *(r[k] + s for r, s in zip(runs, self.start.tolist(), strict=True))]) for k in (0, 1)]
 
-        return run
 
-    return map_arrow(classes.select("num", "codes"), make, "num long, run int, pos int, code long, before long, after long")
-
-
-def _keys(places: DataFrame) -> DataFrame:
-    """``num, pos, key, n, before, after``: what a class is looked up by (``n`` integers), where another place has it too."""
-    out, level = None, places.select("num", "run", "pos", F.col("code").alias("key"), "before", "after")
-    for n in range(1, LONGEST + 1):
-        met = level.join(level.groupBy("key").agg(F.count("*").alias("places")).where("places > 1"), "key")
-        rare = (met if n == LONGEST else met.where(F.col("places") <= COMMON)).select("num", "pos", "key", F.lit(n).alias("n"), "before", "after")
-        out = rare if out is None else out.unionByName(rare)
-        if n < LONGEST:
-            common = materialize(met.where(F.col("places") > COMMON).select("num", "run", "pos", "key", "before", "after"), f"chroma-common-{n}")
-            if common.isEmpty():
-                break
-            ahead = places.select("num", (F.col("run") - n).alias("run"), "code")
-            level = common.join(ahead, ["num", "run"], "left").select("num", "run", "pos", F.xxhash64("key", "code").alias("key"), "before", "after")
-    return out
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` numbers from each ``start`` on."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
 
+def _parts(n: np.ndarray) -> list[slice]:
+    """Neighbours whose numbers add up to about ``VOTES``."""
+    part = (np.cumsum(n) - n) // VOTES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(n)]
+    return [slice(s, e) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if s < e]
 
-def _candidates(keys: DataFrame, queries: DataFrame) -> DataFrame:
-    """``q_num, num``: queries with the classes to verify."""
-    asked = keys.join(queries, "num", "left_semi").select(F.col("num").alias("q_num"), F.col("pos").alias("q_pos"), "key", "n", F.col("before").alias("q_before"), F.col("after").alias("q_after"))
-    bits = F.bit_count(F.col("before").bitwiseXOR(F.col("q_before"))) + F.bit_count(F.col("after").bitwiseXOR(F.col("q_after")))
-    met = asked.join(keys, ["key", "n"]).where("q_num <> num").select("q_num", "num", (F.col("pos") - F.col("q_pos")).alias("offset"), "n", bits.alias("bits"))
-    votes = met.groupBy("q_num", "num", "offset").agg(F.sum("n").alias("votes"), F.min("bits").alias("bits"))
-    return votes.where((F.col("votes") >= LEAST_VOTES) | (F.col("bits") <= NEAR_BITS)).select("q_num", "num").distinct()
 
+def _errors(a: Joined, b: Joined, q: np.ndarray, c: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of differing bits of ``q`` in ``c`` at ``offset``, and frames compared (as ``align`` counts them)."""
+    begin = np.maximum(0, -offset)
+    n = np.minimum(a.size[q], b.size[c] - offset) - begin
+    error, frames = np.ones(len(q)), np.zeros(len(q), np.int64)
+    for part in _parts(n):
+        size = n[part]
+        i = _spread((a.start[q] + begin)[part], size)
+        j = i + np.repeat((b.start[c] + offset - a.start[q])[part], size)
+        x, y = a.codes[i], b.codes[j]
+        still = (x == SILENT).astype(np.int8) + (y == SILENT)
+        first = np.cumsum(size) - size
+        frames[part] = size - np.add.reduceat(still == 2, first, dtype=np.int64)
+        bits = np.add.reduceat(np.where(still == 1, 32, np.bitwise_count(x ^ y)), first, dtype=np.int64)
+        error[part] = bits.astype(np.float64) / (32 * np.maximum(frames[part], 1))
+    return error, frames
+
+
+def matches(queries: list[np.ndarray], classes: list[np.ndarray]):
+    """``q, c, offset, error`` of the pairs that match, in any order; those of some whole queries at a time.
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """``q, cls, offset, error`` of the pairs that match."""
+    The same as ``align`` of all pairs, with all votes of the queries looked up at once.
+    """
+    a, b = Joined(queries), Joined(classes)
+    frame, low, n, places, before = [], [], [], [], 0
+    for at_a, at_b in zip(a.runs, b.runs, strict=True):
+        at_b = at_b[np.argsort(b.codes[at_b], kind="stable")]
+        left, right = (np.searchsorted(b.codes[at_b], a.codes[at_a], side) for side in ("left", "right"))
+        times = -(-(right - left) // COMMON)
+        k = _spread(np.zeros(len(times), np.int64), times) * COMMON
+        frame.append(np.repeat(at_a, times))
+        low.append(np.repeat(left, times) + k + before)
+        n.append(np.minimum(np.repeat(right - left, times) - k, COMMON))
+        places.append(at_b)
+        before += len(at_b)
+    frame, low, n, places = (np.concatenate(x) for x in (frame, low, n, places))
+    order = np.argsort(a.own[frame], kind="stable")
+    frame, low, n = frame[order], low[order], n[order]
+    first = np.searchsorted(a.own[frame], np.arange(len(queries) + 1))
+    votes = np.diff(np.r_[0, np.cumsum(n)][first])
+    left_out, span = int(a.size.max(initial=0)), int(a.size.max(initial=0) + b.size.max(initial=0)) + 1
+    for some in _parts(votes):
+        own = slice(first[some.start], first[some.stop])
+        found = [np.zeros((4, 0))]
+        for part in _parts(n[own]):
+            size = n[own][part]
+            i, j = np.repeat(frame[own][part], size), places[_spread(low[own][part], size)]
+            q, c = a.own[i], b.own[j]
+            offset = (j - b.start[c]) - (i - a.start[q])
+            long = np.minimum(a.size[q], b.size[c] - offset) - np.maximum(0, -offset) >= MIN_OVERLAP
+            key = np.unique((q[long] * len(classes) + c[long]) * span + offset[long] + left_out)
+            pair, offset = key // span, key % span - left_out
+            error, frames = _errors(a, b, pair // len(classes), pair % len(classes), offset)
+            good = (frames >= MIN_OVERLAP) & (error <= MAX_ERROR)
+            found.append(_least(np.stack([pair[good], error[good], abs(offset[good]), offset[good]])))
+        pair, error, _, offset = _least(np.concatenate(found, axis=1))
+        pair = pair.astype(np.int64)
+        yield pair // len(classes), pair % len(classes), offset.astype(np.int64), error
+
+
+def _least(rows: np.ndarray) -> np.ndarray:
+    """Of columns with the same first number, the least."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return rows[:, np.r_[True, rows[0, 1:] != rows[0, :-1]][: rows.shape[1]]]
+
+
+def _searched(classes: DataFrame) -> DataFrame:
+    """``cls, n_matches, best (error, class_id, offset)`` of the query classes that match another."""
+    weight = F.octet_length("codes") / 4 + ROW
+    facts = classes.agg(F.sum(weight).alias("all"), F.sum(F.when(F.col("is_query"), weight)).alias("asked")).first()
+    # As many blocks as the size needs, and more (an eighth of the size) for the tasks that run at a time.
+    count = lambda total, tasks: max(1, math.ceil((total or 0) / BLOCK), min(tasks, math.ceil(8 * (total or 0) / BLOCK)))
+    n_all, n_asked = count(facts["all"], shuffle_partitions(classes.sparkSession)), count(facts["asked"], 1)
+    block = lambda n: F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = classes.select("cls", "class_id", "codes", F.lit(False).alias("asked"), block(n_all).alias("block"), every(n_asked).alias("other")).withColumn("block", F.col("other") * n_all + F.col("block"))
+    asked = classes.where("is_query").select("cls", "class_id", "codes", F.lit(True).alias("asked"), block(n_asked).alias("block"), every(n_all).alias("other")).withColumn("block", F.col("block") * n_all + F.col("other"))
+    dealt = held.unionByName(asked).repartitionById(n_all * n_asked, "block")
 
     def make():
+        shape = pa.schema([("cls", pa.string()), ("n", pa.int64()), ("error", pa.float64()), ("class_id", pa.int64()), ("offset", pa.int64())])
+
         def run(batches):
-            for batch in batches:
-                found = [[], [], [], []]
-                for q, cls, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    at = align(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"))
-                    if at and at[1] <= MAX_ERROR:
-                        for column, value in zip(found, (q, cls, at[0], at[1]), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)], ["q", "cls", "offset", "error"])
+            names, ids, codes = ([], []), [], ([], [])
+            for batch in batches:  # one block of classes and one of queries
+                for cls, class_id, data, asks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    names[asks].append(cls)
+                    codes[asks].append(np.frombuffer(data, "<u4"))
+                    if not asks:
+                        ids.append(class_id)
+            at = {cls: k for k, cls in enumerate(names[0])}
+            same = np.array([at.get(cls, -1) for cls in names[1]], np.int64)
+            known, number = np.array([i is not None for i in ids], bool), np.array([i or 0 for i in ids], np.int64)
+            for q, c, offset, error in matches(codes[1], codes[0]):
+                q, c, offset, error = (x[c != same[q]] for x in (q, c, offset, error))
+                order = np.lexsort((offset, number[c], known[c], error, q))
+                q, first, n = np.unique(q[order], return_index=True, return_counts=True)
+                c, offset, error = (x[order[first]] for x in (c, offset, error))
+                yield pa.RecordBatch.from_arrays([pa.array([names[1][k] for k in q.tolist()], pa.string()), pa.array(n.astype(np.int64)), pa.array(error), pa.array(number[c], mask=~known[c]), pa.array(offset)], schema=shape)
 
         return run
 
-    return map_arrow(pairs.select("q", "cls", "q_codes", "codes"), make, "q string, cls string, offset long, error double")
+    found = map_arrow(dealt.select("cls", "class_id", "codes", "asked"), make, "cls string, n long, error double, class_id long, offset long")
+    return found.groupBy("cls").agg(F.sum("n").alias("n_matches"), F.min(F.struct("error", "class_id", "offset")).alias("best"))
 
 
 def match(recordings: DataFrame, every: int = 20) -> DataFrame:
@@ -285,12 +347,8 @@ def match(recordings: DataFrame, every: int = 20) -> DataFrame:
     """
     prints = materialize(fingerprint(recordings), "chroma-prints")
     classes = prints.where("cls IS NOT NULL").groupBy("cls").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("class_size"), F.first("codes").alias("codes"), F.max(F.coalesce(F.col("rec_id") % every == 0, F.lit(False))).alias("is_query"))
-    classes = materialize(classes.withColumn("num", F.xxhash64("cls")), "chroma-classes")
-    keys = materialize(_keys(materialize(_places(classes), "chroma-places")), "chroma-keys")
-    pairs = _candidates(keys, classes.where("is_query").select("num").distinct())
-    pairs = pairs.join(classes.select("num", "cls", "codes"), "num").join(classes.where("is_query").select(F.col("num").alias("q_num"), F.col("cls").alias("q"), F.col("codes").alias("q_codes")), "q_num")
-    found = _verified(pairs).join(classes.select("cls", "class_id"), "cls")
-    best = found.groupBy("q").agg(F.count("*").alias("n_matches"), F.min(F.struct("error", "class_id", "offset")).alias("best")).withColumnRenamed("q", "cls")
+    classes = materialize(classes, "chroma-classes")
+    best = _searched(classes)
     facts = classes.select("cls", "class_id", "class_size").join(best, "cls", "left")
     is_query = F.coalesce(F.col("rec_id") % every == 0, F.lit(False))
     known = prints.where("cls IS NOT NULL").select("rec_id", "n_frames", "cls").join(facts, "cls")
