@@ -56,6 +56,8 @@ NOISE, PENALTY = 0.01, 0.3
 STEPS = 60
 #: Tokens with evidence of a block of the fit, and what parts texts by their number of them.
 FIT_TOKENS, FIT_CLASSES = 100_000, (17, 65, 257, 1025)
+#: Tokens with evidence of a piece of a long text.
+PIECE = 64
 #: Weight of a feature before the fit, as a multiple of its log odds, and the bias before the fit.
 TRUST, BIAS = 2.5, -9.0
 #: Of a word's features, those with at least this share of its best one's log odds count.
@@ -195,6 +197,80 @@ def _run_powers(bias: float, edge: np.ndarray, lengths: np.ndarray, slopes: bool
     return out[0, :, :2, :2], [out[k, :, :2, 2:] for k in range(len(places))]
 
 
+def _product(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Products of 2 by 2 matrices, given as four arrays."""
+    return [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]]
+
+
+class _Lanes:
+    """Pieces of unequal length that advance together: their places by step, the longest pieces first."""
+
+    def __init__(self, first: np.ndarray, size: np.ndarray):
+        self.order = np.argsort(-size, kind="stable")
+        live = np.searchsorted(-size[self.order], -np.arange(int(size.max(initial=0))), "left")
+        begin = np.cumsum(live) - live
+        step = np.repeat(np.arange(len(live)), live)
+        self.place = first[self.order][np.arange(len(step)) - begin[step]] + step
+        self.steps = list(zip(begin.tolist(), (begin + live).tolist(), strict=True))
+
+
+def _messages(m: list[np.ndarray], lanes: _Lanes, ahead: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each place its scale and the normalised messages before it (2) and behind it (2); ``ahead`` and ``after`` are those of the pieces' ends."""
+    m00, m01, m10, m11 = (x[lanes.place] for x in m)
+    n = len(lanes.place)
+    scale, a0, a1, b0, b1 = np.ones(n), *(np.empty(n) for _ in range(4))
+    v0, v1 = ahead[lanes.order].T.copy()
+    for s, e in lanes.steps:
+        x, y = a0[s:e], a1[s:e]
+        x[:], y[:] = v0[: e - s], v1[: e - s]
+        to0, to1 = x * m00[s:e] + y * m10[s:e], x * m01[s:e] + y * m11[s:e]
+        total = np.add(to0, to1, out=scale[s:e])
+        v0[: e - s], v1[: e - s] = to0 / total, to1 / total
+    w0, w1 = after[lanes.order].T.copy()
+    for s, e in reversed(lanes.steps):
+        x, y = b0[s:e], b1[s:e]
+        x[:], y[:] = w0[: e - s], w1[: e - s]
+        to0, to1 = m00[s:e] * x + m01[s:e] * y, m10[s:e] * x + m11[s:e] * y
+        total = to0 + to1
+        w0[: e - s], w1[: e - s] = to0 / total, to1 / total
+    out = []
+    for x in (scale, a0, a1, b0, b1):
+        back = np.empty(n)
+        back[lanes.place] = x
+        out.append(back)
+    return tuple(out)
+
+
+def _all_messages(m: list[np.ndarray], first: np.ndarray, size: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``_messages`` of texts that begin with the label 0.
+
+    Long texts are cut into pieces of ``PIECE`` tokens. The pieces' matrices are
+    multiplied first, all pieces at a time, and give the messages at their ends.
+    """
+    ahead = np.tile([1.0, 0.0], (len(size), 1))
+    if int(size.max(initial=0)) <= PIECE:
+        return _messages(m, _Lanes(first, size), ahead, after)
+    pieces = -(-size // PIECE)
+    text = np.repeat(np.arange(len(size)), pieces)
+    number = np.cumsum(pieces) - pieces  # of each text's first piece
+    k = np.arange(len(text)) - number[text]
+    own_first, own_size = first[text] + k * PIECE, np.minimum(PIECE, size[text] - k * PIECE)
+    many = np.flatnonzero(pieces[text] > 1)
+    lanes = _Lanes(own_first[many], own_size[many])
+    whole = [np.full(len(many), x) for x in (1.0, 0.0, 0.0, 1.0)]
+    at = [x[lanes.place] for x in m]
+    for s, e in lanes.steps:
+        now = _product([x[: e - s] for x in whole], [x[s:e] for x in at])
+        total = now[0] + now[1] + now[2] + now[3]
+        for x, y in zip(whole, now, strict=True):
+            x[: e - s] = y / total
+    product = [np.full(len(text), x) for x in (1.0, 0.0, 0.0, 1.0)]
+    for x, y in zip(product, whole, strict=True):
+        x[many[lanes.order]] = y
+    _, a0, a1, b0, b1 = _messages(product, _Lanes(number, pieces), ahead, after)
+    return _messages(m, _Lanes(own_first, own_size), np.stack([a0, a1], axis=1), np.stack([b0, b1], axis=1))
+
+
 def forward_backward(chains: Chains, node: np.ndarray, bias: float, edge: np.ndarray, slopes: bool = False):
     """log Z of each text and P(label 1) of each token with evidence.
 
@@ -202,55 +278,43 @@ def forward_backward(chains: Chains, node: np.ndarray, bias: float, edge: np.nda
     the bias alone, and of the pairs (0,1), (1,0), (1,1) of labels; the label before
     the first token counts as 0.
     """
-    docs = len(chains.tail)
-    count = np.diff(chains.first)
-    order = np.argsort(-count, kind="stable")  # texts advance together, the longest first
-    lengths, of = np.unique(np.r_[chains.gap, chains.tail], return_inverse=True)
+    docs, count = len(chains.tail), np.diff(chains.first)
+    held = np.bincount(np.r_[chains.gap, chains.tail].astype(np.int64)) > 0
+    lengths, of = np.flatnonzero(held), np.cumsum(held) - 1
     runs, slope = _run_powers(bias, edge, lengths, slopes)
-    gap, tail = of[: len(chains.gap)], of[len(chains.gap) :]
-    own = np.exp(edge[None] + np.stack([np.zeros(len(node)), node], axis=1)[:, None, :])
-    step = runs[gap] @ own
-    live = [int(x) for x in np.searchsorted(-count[order], -np.arange(int(count.max()) if docs else 0), "left")]
-    begin = chains.first[:-1][order]
-    scale, now = np.ones(len(node)), np.tile([1.0, 0.0], (docs, 1))
-    came, behind = np.empty((len(node), 2)), np.empty((len(node), 2))
-    for t, n in enumerate(live):
-        i = begin[:n] + t
-        came[i] = now[:n]
-        m = step[i]
-        v = now[:n, :1] * m[:, 0] + now[:n, 1:] * m[:, 1]
-        total = scale[i] = v[:, 0] + v[:, 1]
-        now[:n] = v / total[:, None]
-    last = np.empty((docs, 2))
-    last[order] = now
+    gap, tail = of[chains.gap.astype(np.int64)], of[chains.tail.astype(np.int64)]
+    toxic, edges = np.exp(node), np.exp(edge)
+    run = [runs[:, i, j][gap] for i in (0, 1) for j in (0, 1)]
+    own = [np.full(len(node), edges[0, 0]), edges[0, 1] * toxic, np.full(len(node), edges[1, 0]), edges[1, 1] * toxic]
     back = runs[tail].sum(axis=2)
+    scale, a0, a1, b0, b1 = _all_messages(_product(run, own), chains.first[:-1], count, back / back.sum(axis=1, keepdims=True))
     owner = np.repeat(np.arange(docs), count)
+    into0, into1 = a0 * run[0] + a1 * run[2], a0 * run[1] + a1 * run[3]
+    joint = [into0 * own[0] * b0, into0 * own[1] * b1, into1 * own[2] * b0, into1 * own[3] * b1]
+    total = joint[0] + joint[1] + joint[2] + joint[3]
+    joint = [x / total for x in joint]
+    p = joint[1] + joint[3]
+    # The message behind the last token with evidence.
+    last, some = np.tile([1.0, 0.0], (docs, 1)), count > 0
+    i = chains.first[1:][some] - 1
+    last[some] = np.stack([into0 * own[0] + into1 * own[2], into0 * own[1] + into1 * own[3]], axis=1)[i] / scale[i, None]
     log_z = np.bincount(owner, np.log(scale), docs) + np.log((last * back).sum(axis=1))
-    back = (back / back.sum(axis=1, keepdims=True))[order]
-    for t in range(len(live) - 1, -1, -1):
-        n = live[t]
-        i = begin[:n] + t
-        behind[i] = back[:n]
-        m = step[i]
-        b = m[:, :, 0] * back[:n, :1] + m[:, :, 1] * back[:n, 1:]
-        back[:n] = b / (b[:, :1] + b[:, 1:])
-    into = (came[:, None, :] @ runs[gap])[:, 0]
-    joint = into[:, :, None] * own * behind[:, None, :]
-    joint /= joint.sum(axis=(1, 2), keepdims=True)
-    p = joint[:, :, 1].sum(axis=1)
     if not slopes:
         return log_z, p
-    expected = np.stack([np.zeros(docs), *(np.bincount(owner, joint[:, i, j], docs) for i, j in ((0, 1), (1, 0), (1, 1)))], axis=1)
-
-    def in_run(to, ahead, which, after):
-        """Adds what runs hold between the messages ``ahead`` and ``after`` them."""
-        whole = np.einsum("ni,nij,nj->n", ahead, runs[which], after)
-        part = [np.bincount(to, np.einsum("ni,nij,nj->n", ahead, s[which], after) / whole, docs) for s in slope]
+    expected = np.stack([np.zeros(docs), *(np.bincount(owner, x, docs) for x in joint[1:])], axis=1)
+
+    def in_run(to, x, y, which, f, g):
+        """Adds what runs hold between the messages ``x, y`` ahead of and ``f, g`` after them."""
+        outer = [x * f, x * g, y * f, y * g]
+        inner = lambda s: sum(s[:, i, j][which] * outer[2 * i + j] for i in (0, 1) for j in (0, 1))
+        whole = inner(runs)
+        part = [np.bincount(to, inner(s) / whole, docs) for s in slope]
         expected[:, 0] += part[0] + part[2]
         expected[:, 1:] += np.stack(part, axis=1)
 
-    in_run(owner, came, gap, (own @ behind[:, :, None])[:, :, 0])
-    in_run(np.arange(docs), last, tail, np.ones((docs, 2)))
+    i = np.flatnonzero(chains.gap)  # no gap holds nothing
+    in_run(owner[i], a0[i], a1[i], gap[i], (own[0] * b0 + own[1] * b1)[i], (own[2] * b0 + own[3] * b1)[i])
+    in_run(np.arange(docs), *last.T, tail, np.ones(docs), np.ones(docs))
     return log_z, p, expected
 
 
